@@ -70,3 +70,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_query(
+    "op1_substring_dedup",
+    f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13),
+g AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS gram FROM i),
+f AS (SELECT gram, min(doc_id) AS least FROM g GROUP BY gram),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM g JOIN f USING (gram) WHERE doc_id > least),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS q, unnest(ws) AS word FROM w),
+m AS (SELECT words.doc_id, words.q, word, gone.q IS NULL AS kept FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.q = gone.q),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT kept) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY q) FILTER (kept), '') AS kept_text FROM m GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from thicket.llm.substring_dedup import substring_dedup
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

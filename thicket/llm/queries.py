@@ -93,3 +93,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file; the folder is a parameter of the environment."""
+    import os
+
+    folder = os.environ.get("THICKET_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), capacity=2048)

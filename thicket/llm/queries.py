@@ -112,3 +112,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), capacity=2048)
+
+
+@_query("op2_bpe_encode_decode")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.word_bpe import encode_decode
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, tokenizer_file("word_bpe_49k.json"), digests=True)

@@ -120,3 +120,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs, tokenizer_file("word_bpe_49k.json"), digests=True)
+
+
+@_query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.quality import classify
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

@@ -146,3 +146,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.topk import exact_top_k
 
     return exact_top_k(_table(spark, sf_dir, "embeddings"), k=5, modulus=50)
+
+
+@_query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.token_counts import token_counts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_pretokens", "n_tokens")

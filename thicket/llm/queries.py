@@ -172,3 +172,54 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.warc import round_trip
 
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _op6_sql() -> str:
+    from thicket.llm.licenses import ANCHOR, TEMPLATES
+
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH tmpl(license, body) AS (VALUES {rows}),
+tt AS (SELECT license, t, count(*) AS k FROM (SELECT license, unnest(regexp_extract_all({low.format("body")}, '[a-z0-9]+')) AS t FROM tmpl) GROUP BY ALL),
+docs AS (
+  SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path, source || '/' || lang AS dir, coalesce(text, '') AS text,
+    len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) < 60 AS speaks FROM documents),
+lines AS (
+  SELECT doc_id, i, regexp_extract_all(line, '[a-z0-9]+') AS ts
+  FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split({low.format("text")}, chr(10)) AS ls FROM docs))
+  WHERE regexp_matches(line, '{ANCHOR}')),
+total AS (SELECT count(*) AS n FROM lines),
+lt AS (SELECT doc_id, i, t, count(*) AS k FROM (SELECT doc_id, i, unnest(ts) AS t FROM lines) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM lt GROUP BY t),
+known AS (SELECT DISTINCT t FROM tt),
+idf AS (SELECT known.t, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM known CROSS JOIN total LEFT JOIN df ON df.t = known.t),
+lw AS (SELECT doc_id, i, lt.t, k * coalesce(w, ln(1 + n) + 1) AS x FROM lt CROSS JOIN total LEFT JOIN idf ON idf.t = lt.t),
+ln_ AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM lw GROUP BY ALL),
+tw AS (SELECT license, tt.t, k * w AS y FROM tt JOIN idf ON idf.t = tt.t),
+tn AS (SELECT license, sqrt(sum(y * y)) AS norm FROM tw GROUP BY ALL),
+c AS (
+  SELECT d.doc_id, round(d.dot / (ln_.norm * tn.norm), 6) AS score, d.license
+  FROM (SELECT doc_id, i, license, sum(x * y) AS dot FROM lw JOIN tw ON lw.t = tw.t GROUP BY ALL) d
+  JOIN ln_ ON ln_.doc_id = d.doc_id AND ln_.i = d.i JOIN tn ON tn.license = d.license),
+best AS (SELECT doc_id, score, license FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC) AS r FROM c) WHERE r = 1 AND score >= 0.8),
+spoken AS (
+  SELECT dir, score, license FROM (
+    SELECT dir, score, license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license DESC) AS r
+    FROM docs JOIN best ON best.doc_id = docs.doc_id WHERE speaks) WHERE r = 1)
+SELECT docs.doc_id, path, coalesce(best.license, spoken.license) AS license, coalesce(best.score, spoken.score) AS score,
+  CASE WHEN best.license IS NOT NULL THEN 'own' WHEN spoken.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN best.license IS NULL THEN spoken.dir END AS license_dir
+FROM docs LEFT JOIN best ON best.doc_id = docs.doc_id LEFT JOIN spoken ON spoken.dir = docs.dir"""
+
+
+@_query("op6_license_scan", _op6_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a tree source/lang/doc_id, in which documents of under 60 words speak for their directory."""
+    from pyspark.sql import functions as F
+
+    from thicket.llm.licenses import scan_licenses
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", "doc_id").alias("path"))
+    short = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _BLANK, " ")), " ")) < 60
+    return scan_licenses(docs, license_file=short).select("doc_id", "path", "license", "score", "origin", "license_dir")

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from thicket.llm.common import written
 
-_VERSION = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r\n")
-_CANDIDATE = re.compile(rb"\x1f\x8b\x08|(?:^|(?<=\n))WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 #: An archive is closed when it has this many bytes.
 ARCHIVE_BYTES = 4 << 20

@@ -282,7 +282,8 @@ def test_network_gradient_and_scores():
         low = loss()
         x[k] = kept
         assert abs((high - low) / (2 * step) - g[name].reshape(-1)[k]) < 2e-2
-    whole, alone = net.score(column), [net.score(column[i : i + 1])[0] for i in range(4)]
+    column = pa.array(["hello hello world, this is some text " * 12, "x", "", None, "y" * 60, "z" * 61])
+    whole, alone = net.score(column), [net.score(column[i : i + 1])[0] for i in range(6)]
     assert np.allclose(whole, alone, atol=1e-6)
 
 

@@ -24,7 +24,6 @@ STEP, WIDTH, BLOCK, CHUNK, HOP = 4, 8, 16, 4, 3  # bytes, bytes, steps in a bloc
 def symbols(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts' symbols, each text padded with zeros to whole blocks, and its first block (n + 1 offsets)."""
     (h,), first = words(raw, at)
-    starts = np.flatnonzero(_word_starts(raw, at))
     again = np.zeros(len(h), bool)
     again[1:] = h[1:] == h[:-1]
     again[first[:-1][first[:-1] < len(h)]] = False
@@ -33,7 +32,6 @@ def symbols(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of = np.cumsum(_word_starts(raw, at)) - 1
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         sym[(of >= 0) & again[np.maximum(of, 0)] & ~space] += 256
-    del starts
     unit = STEP * BLOCK
     blocks = np.diff(at) + STEP
     blocks = -(-blocks // unit)
@@ -79,20 +77,21 @@ class Network:
         }
         self.shift = 0.0
 
-    def responses(self, sym: np.ndarray) -> np.ndarray:
-        """(steps, f) filter responses; the step at the end of the symbols sees zeros beyond."""
+    def responses(self, sym: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """(steps, f) filter responses; the last step of a text sees zeros beyond."""
         e, f = self.p["emb"].shape[1], self.p["w"].shape[1]
         half = STEP * e
         both = np.concatenate([self.p["w"][:half], self.p["w"][half:]], axis=1)
         x = self.p["emb"][sym].reshape(-1, half) @ both
-        out = x[:, :f].copy()
-        out[:-1] += x[1:, f:]
-        out[-1] += np.tile(self.p["emb"][0], STEP) @ self.p["w"][half:]
-        return out
+        after = np.empty((len(x), f), np.float32)
+        after[:-1] = x[1:, f:]
+        after[start[1:] * BLOCK - 1] = np.tile(self.p["emb"][0], STEP) @ self.p["w"][half:]
+        after += x[:, :f]
+        return after
 
     def _pooled(self, sym, start):
         f = self.p["w"].shape[1]
-        r = self.responses(sym).reshape(-1, BLOCK, f)
+        r = self.responses(sym, start).reshape(-1, BLOCK, f)
         top = r.max(axis=1)
         a, z, first = _chunks(start)
         m = top[a]
@@ -135,6 +134,7 @@ class Network:
         step = block * BLOCK + r.argmax(axis=1)[block, np.arange(f)]
         padded = np.concatenate([sym, np.zeros(WIDTH, np.uint16)])
         seen = padded[step[..., None] * STEP + np.arange(WIDTH)]  # (chunks, f, 8)
+        seen[..., STEP:][np.isin(step, start[1:] * BLOCK - 1)] = 0
         inputs = p["emb"][seen].reshape(*step.shape, WIDTH * e)
         g["w"] = np.einsum("cfi,cf->if", inputs, dm, optimize=True)
         back = (dm[..., None] * p["w"].T[None]).reshape(-1, e)

@@ -6,7 +6,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm.common import free_name, written
@@ -14,8 +14,12 @@ from thicket.llm.components import components
 from thicket.llm.sketch import band_keys, sketches
 from thicket.llm.text import mix, utf8, window_owner, windows, words
 
-#: Members of a bucket that are compared with each other at once; a larger bucket is cut into such blocks.
+#: Classes that are compared with each other at once; a larger cluster is cut into such blocks.
 BLOCK = 256
+#: Classes of a large cluster that every block of it sees.
+HUBS = 16
+#: Most ids (8 bytes each) that are broadcast; beyond, the texts are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -75,72 +79,93 @@ def _sketched(batches, size: int, t: int, bands: int):
             )
 
 
-def _forest(low: np.ndarray, label: np.ndarray | None, side: np.ndarray | None, least: int, forest: bool):
-    """Pairs of rows of ``low`` that agree in at least ``least`` coordinates and differ in label.
-
-    Only pairs between sides 0 and 1 where ``side`` is given.  With ``forest``, a spanning
-    forest of those pairs, best first.
-    """
-    m = len(low)
-    agree = np.empty((m, m), np.int16)
-    for i in range(m):
-        agree[i] = (low == low[i]).sum(axis=1)
-    ok = np.triu(agree >= least, 1)
-    if side is not None:
-        ok &= side[:, None] != side[None, :]
-    if label is not None:
-        ok &= label[:, None] != label[None, :]
-    i, j = np.nonzero(ok)
-    if forest and len(i):
-        parent = list(range(m))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        keep = []
-        for k in np.argsort(-agree[i, j], kind="stable").tolist():
-            a, b = root(int(i[k])), root(int(j[k]))
-            if a != b:
-                parent[a] = b
-                keep.append(k)
-        i, j = i[keep], j[keep]
-    return i, j
-
-
-def _pairs(table: pa.Table, least: int, forest: bool) -> pa.Table:
-    """Candidate pairs of all buckets' blocks that meet in this group."""
-    key, p, q = (table[c].to_numpy() for c in ("key", "p", "q"))
-    ids, mine = table["id"].to_numpy(), table["blk"].to_numpy()
-    label = table["label"].to_numpy()
+def _star(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id, other id) for the members of each component of the matrix ``linked``."""
+    m = len(ids)
+    label = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    by_rank = np.sort(ids)
+    linked = linked | np.eye(m, dtype=bool)
+    while True:
+        new = np.where(linked, label[None, :], m).min(axis=1)
+        new = np.minimum(new, label)
+        if (new == label).all():
+            break
+        label = new
+    root = by_rank[label]
+    return root[root != ids], ids[root != ids]
+
+
+def _groups(*keys: np.ndarray):
+    """Row numbers of each group of equal keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return np.split(order, np.flatnonzero(new)) if len(order) else []
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+    b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _alike(table: pa.Table, least: int) -> pa.Table:
+    """For each bucket, stars over the components of sketches that agree in ``least`` coordinates."""
+    ids = table["id"].to_numpy()
     low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    order = np.lexsort((ids, q, p, key))
-    new = np.ones(len(order), bool)
-    k, a, b = key[order], p[order], q[order]
-    new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    starts = np.append(np.flatnonzero(new), len(order))
-    left, right = [], []
-    two = np.flatnonzero(np.diff(starts) == 2)
-    x, y = order[starts[two]], order[starts[two] + 1]
-    fits = ((low[x] == low[y]).sum(axis=1) >= least) & (label[x] != label[y]) & ((p[x] == q[x]) | (mine[x] != mine[y]))
-    left.append(ids[x[fits]])
-    right.append(ids[y[fits]])
-    for g in np.flatnonzero(np.diff(starts) > 2):
-        rows = order[starts[g] : starts[g + 1]]
-        own = label[rows]
-        if (own == own[0]).all():
-            continue
-        crossed = p[rows[0]] != q[rows[0]]
-        i, j = _forest(low[rows], own, mine[rows] if crossed else None, least, forest)
-        left.append(ids[rows[i]])
-        right.append(ids[rows[j]])
-    u, v = np.concatenate(left), np.concatenate(right)
-    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+    found = []
+    for rows in _groups(table["key"].to_numpy()):
+        x = low[rows]
+        agree = np.stack([(x == y).sum(axis=1) for y in x])
+        if (agree >= least).sum() > len(rows):
+            found.append(_star(ids[rows], agree >= least))
+    a, b = (t.to_numpy() for t in _edges(found).columns)
+    both = np.unique(np.stack([a, b], axis=1), axis=0)
     return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections."""
+    m = len(sets)
+    if m <= 4:
+        out = np.diag([len(x) for x in sets])
+        for i in range(m):
+            for j in range(i):
+                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return out
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    column = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
+    common = np.bincount(column)[column] > 1  # the others meet nothing
+    column = np.cumsum(np.concatenate([[True], np.diff(column[common]) > 0])) - 1 if common.any() else np.zeros(0, int)
+    owner = owner[common]
+    out, width = np.zeros((m, m), np.float32), 4096
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [a, a + width])
+        part = np.zeros((m, width), np.float32)
+        part[owner[i:j], column[i:j] - a] = 1
+        out += part @ part.T
+    out = out.astype(np.int64)
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def _confirmed(table: pa.Table, percent: int) -> pa.Table:
+    """For each block or meeting of blocks, stars over the components of links on full sets."""
+    ids, raw = table["id"].to_numpy(), table["set"]
+    found = []
+    for rows in _groups(*(table[c].to_numpy() for c in ("cluster", "p", "q"))):
+        sets = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in rows]
+        both = _overlaps(sets)
+        size = np.diag(both)
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        found.append(_star(ids[rows], linked))
+    return _edges(found)
+
+
 def _sets(batches, size: int):
     for batch in batches:
         for b in _pieces(batch, "text"):
@@ -149,41 +174,14 @@ def _sets(batches, size: int):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], names=["id", "set"])
 
 
-def _linked(batches, percent: int):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y)) if percent * max(len(x), len(y)) <= 100 * min(len(x), len(y)) else 0
-            keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x, y = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(partial(_linked, percent=percent), "a long, b long")
-
-
-def _candidates(slots: DataFrame, low: DataFrame, least: int, parts: int, labels: DataFrame | None) -> DataFrame:
-    """Distinct candidate pairs (a, b): a spanning forest of each meeting of blocks, or, given
-    labels(node, component), every pair of different components."""
-    if labels is None:
-        rows = slots.join(low.withColumn("label", F.col("id")), "id")
-    else:
-        known = low.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-        rows = slots.join(known.select("id", "low", F.coalesce("component", "id").alias("label")), "id")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        rows = rows.join(mixed.select("key"), "key", "left_semi")
-    # Block b of n meets itself and every other block: one row for each meeting.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)))
-    rows = rows.withColumn("p", F.least("blk", "other")).withColumn("q", F.greatest("blk", "other"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "p", "q"), F.lit(parts)))
-    forest = labels is None
+def _confirm(rows: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links among the rows (id, cluster, p, q) that meet in one cluster, p and q."""
 
-    def pairs(table):
-        return _pairs(table, least, forest)
+    def confirmed(table):
+        return _confirmed(table, percent)
 
-    return rows.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
+    dealt = rows.join(sets, "id").withColumn("part", F.pmod(F.xxhash64("cluster", "p", "q"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(confirmed, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, t: int = 128, bands: int = 32, slack: int = 20) -> DataFrame:
@@ -201,19 +199,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Every text gets a fast similarity sketch of ``t`` coordinates, ``bands`` band keys and
        a 128-bit print of its set; rows of equal sets are one class, seen by its smallest id.
-    2. Classes that share a band key (counted by a map-side combined aggregation) are
-       candidates.  A bucket is cut into blocks of BLOCK members, and blocks meet two by two,
-       so no bucket, however large, is held by one task.  First pass: where blocks meet, a
-       spanning forest of the pairs whose sketches agree in t * percent / 100 - slack
-       coordinates or more, so a large group gives about as many pairs as members.
-    3. Those pairs are confirmed on the full sets and joined to components.
-    4. Second pass: pairs of the same buckets that still lie in different components are
-       confirmed likewise, all of them, so a link between such documents isn't lost; pairs
-       inside a component can't change the result.
+    2. Classes that share a band key (counted by a map-side combined aggregation) meet in
+       buckets.  In a bucket of up to BLOCK classes, those whose sketches agree in at least
+       t * percent / 100 - slack coordinates are joined; a larger bucket is joined whole.
+       Either way a bucket gives fewer pairs than members.  Components of these pairs are
+       clusters: links lie inside clusters.
+    3. A class goes to its cluster with its full set, once.  A cluster of up to BLOCK classes
+       is confirmed at once, by exact intersections.  A larger one is dealt into blocks, and
+       each block is confirmed within itself and with a few classes that all blocks see.
+       What this leaves outside the cluster's main component meets all blocks, block by
+       block, so no link is lost; pairs inside a component can't change the result.
 
     A pair of similarity J shares no band with probability (1 - J**(t/bands))**bands, 5e-8 at
-    J = 0.8 with the defaults; agreeing in 20 coordinates fewer than the expected 102 of 128 has a
-    probability below 1e-5 there.
+    J = 0.8 with the defaults; agreeing in 20 coordinates fewer than the expected 102 of 128
+    has a probability below 1e-5 there.
     """
     docs = docs.drop(*[c for c in ("n_shingles", "component_id", "kept") if c in docs.columns and c not in (id_col, text_col)])
     th, key_id, key_th = free_name(docs, "text_hash", "key_id", "key_hash")
@@ -223,18 +222,44 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows of one class have equal sketches, so any row's will do.
     classes = written(sketched.filter("id is not null and n > 0").groupBy("print", "n").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("keys").alias("keys")))
     keyed = classes.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    nblk = F.ceil(F.col("size") / BLOCK).cast("int")
-    slots = written(keyed.join(shared, "key").select("id", "key", nblk.alias("nblk"), F.pmod(F.xxhash64("id"), nblk).cast("int").alias("blk")))
-    parts = max(1, slots.count() // 4_000)
-    low = written(classes.join(slots.select("id").distinct(), "id", "left_semi").select("id", "low"))
-    sets = written(plain.join(low.select("id"), "id", "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, set binary"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1")
+    slots = written(keyed.join(shared, "key").select("id", "key", "size", "least"))
+    low = classes.join(slots.select("id").distinct(), "id", "left_semi").select("id", "low")
+    n_slots = slots.count()
     least = max(1, t * percent // 100 - slack)
 
-    tried = written(_candidates(slots, low, least, parts, None))
-    links = written(_verified(tried, sets, percent))
-    rest = _candidates(slots, low, least, parts, components(links)).join(tried, ["a", "b"], "left_anti")
-    found = components(links.union(_verified(rest, sets, percent)))
+    def alike(table):
+        return _alike(table, least)
+
+    small = slots.filter(F.col("size") <= BLOCK).join(low, "id").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(max(1, n_slots // 4_000))))
+    large = slots.filter((F.col("size") > BLOCK) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    cluster_of = components(small.groupBy("part").applyInArrow(alike, "a long, b long").union(large))
+
+    sizes = cluster_of.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nblk"))
+    block = F.pmod(F.xxhash64("node"), F.col("nblk")).cast("int")
+    members = written(cluster_of.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "nblk", block.alias("blk")))
+    n_members = members.count()
+    chosen = members.select("id")
+    if n_members <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    sets = written(plain.join(chosen, "id", "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, set binary"))
+    parts = max(1, n_members // 1_000)
+
+    split = members.filter("nblk > 1")
+    first = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
+    hubs = split.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= HUBS)
+    hubs = hubs.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1))).filter("p <> blk")
+    rows = members.select("id", "cluster", F.col("blk").alias("p")).union(hubs.select("id", "cluster", "p")).withColumn("q", F.lit(0))
+    links = written(_confirm(rows, sets, percent, parts))
+    found = components(links)
+    if not split.isEmpty():
+        labels = split.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+        counts = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("nrest")).filter("nrest > 0")
+        labels = labels.join(main, "cluster").select("id", "cluster", "blk", "nblk", "nrest", (F.col("label") != F.col("top.label")).alias("rest"))
+        rest = labels.filter("rest").select("id", "cluster", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)).alias("p"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("nrest")).cast("int").alias("q"))
+        every = labels.select("id", "cluster", F.col("blk").alias("p"), F.explode(F.sequence(F.lit(0), F.col("nrest") - 1)).alias("q"))
+        found = components(links.union(_confirm(rest.union(every).distinct(), sets, percent, parts)))
 
     of_class = classes.select("print", "n", "id").join(found, F.col("id") == F.col("node"), "left")
     of_class = of_class.select(F.col("print").alias("p2"), F.col("n").alias("n2"), F.coalesce("component", "id").alias("component"))

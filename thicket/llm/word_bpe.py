@@ -35,7 +35,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of a BPE file with word ends (``</w>``), lower-casing and NFC."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -47,20 +47,22 @@ class WordBpe:
         self.token = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.token[i] = t
-        self.rank: dict[int, int] = {}  # pair -> rank
+        self.rank: list[dict[int, int]] = [{} for _ in self.token]  # left symbol -> right symbol -> rank
         self.made: list[int] = []  # rank -> new symbol
-        self.pair: list[int] = []  # rank -> pair
+        self.pair: list[tuple[int, int]] = []  # rank -> pair
         for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            key = self.vocab[a] << 32 | self.vocab[b]
-            self.rank.setdefault(key, len(self.made))
-            self.pair.append(key)
+            left, right = self.vocab[a], self.vocab[b]
+            self.rank[left].setdefault(right, len(self.made))
+            self.pair.append((left, right))
             self.made.append(self.vocab[a + b])
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + self.end] for x in letters]
         self.split = regex.compile(PATTERN).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: Ids of chunks of text and of words, of which at most ``most`` each are remembered.
         self.seen: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.most = most
 
     def merge(self, words: list[bytes]) -> list[bytes]:
@@ -84,7 +86,7 @@ class WordBpe:
         for i in range(n):
             j = after[i]
             if j >= 0:
-                r = rank.get(sym[i] << 32 | sym[j])
+                r = rank[sym[i]].get(sym[j])
                 if r is not None:
                     if r in places:
                         places[r].append(i)
@@ -95,8 +97,7 @@ class WordBpe:
         while active:
             r = heapq.heappop(active)
             here = places.pop(r)
-            key, new = pair[r], made[r]
-            a, b = key >> 32, key & 0xFFFFFFFF
+            (a, b), new = pair[r], made[r]
             if a == b:
                 here.sort()
             for i in here:
@@ -107,7 +108,7 @@ class WordBpe:
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    q = rank.get(new << 32 | sym[k])
+                    q = rank[new].get(sym[k])
                     if q is not None:
                         if q in places:
                             places[q].append(i)
@@ -116,7 +117,7 @@ class WordBpe:
                             heapq.heappush(active, q)
                 h = before[i]
                 if h >= 0:
-                    q = rank.get(sym[h] << 32 | new)
+                    q = rank[sym[h]].get(new)
                     if q is not None:
                         if q in places:
                             places[q].append(h)
@@ -137,16 +138,19 @@ class WordBpe:
         return text.lower()
 
     def learn(self, chunks) -> None:
-        """Puts chunks of text without blanks into ``seen``."""
-        new = [x for x in set(chunks) if x not in self.seen]
-        if len(self.seen) + len(new) > self.most:
-            self.seen = {}
-            new = list(set(chunks))
-        parts = [[p.encode() for p in self.split(self._normal(x))] for x in new]
-        distinct = list({p for ps in parts for p in ps})
-        ids = dict(zip(distinct, self.merge(distinct), strict=True))
+        """Puts distinct new chunks of text without blanks into ``seen``."""
+        split, normal, words = self.split, self._normal, self.words
+        new = list(chunks)
+        parts = [split(normal(x)) for x in new]
+        distinct = {p for ps in parts for p in ps if p not in words}
+        if len(words) + len(distinct) > self.most:
+            words.clear()
+            distinct = {p for ps in parts for p in ps}
+        ordered = list(distinct)
+        words.update(zip(ordered, self.merge([p.encode() for p in ordered]), strict=True))
+        seen = self.seen
         for x, ps in zip(new, parts, strict=True):
-            self.seen[x] = b"".join([ids[p] for p in ps])
+            seen[x] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that are encoded each for itself: nothing merges across blanks."""
@@ -162,7 +166,7 @@ class WordBpe:
         missing = {c for ps in split for _, cs in ps if cs for c in cs if c not in self.seen}
         if missing:
             if len(self.seen) + len(missing) > self.most:
-                self.seen = {}
+                self.seen.clear()
                 missing = {c for ps in split for _, cs in ps if cs for c in cs}
             self.learn(missing)
         get = self.seen.__getitem__

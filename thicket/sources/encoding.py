@@ -7,6 +7,7 @@ import codecs
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def detect(content: Column) -> Column:
@@ -22,7 +23,7 @@ def declared(content: Column) -> Column:
     return F.when(found != "", found)
 
 
-@F.pandas_udf("struct<text:string,encoding:string,error:string>")
+@F.pandas_udf(StructType([StructField(c, StringType()) for c in ("text", "encoding", "error")]))
 def _decoded(content: pd.Series, mark: pd.Series, label: pd.Series) -> pd.DataFrame:
     out = []
     for raw, m, name in zip(content, mark, label, strict=True):

@@ -7,29 +7,43 @@ from pyspark.sql import functions as F
 
 from thicket.llm.common import written
 
+#: Tasks over which the neighbours of one node are dealt at most.
+SALTS = 16
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
     Edges are undirected; loops, repeats and nulls in either end are ignored.  Each step is
-    an aggregation (map-side combined minimum) and an equi-join back, so a node of very many
-    edges never meets in one task; each round ends in a written table.
+    an aggregation (map-side combined minimum) and a salted equi-join back, so the edges of a
+    node of very many never meet in one task; each round ends in a written table.
     """
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     ends = written(ends)
+    mark = _mark(ends)
     for _ in range(max_rounds):
         new = written(_small_star(_large_star(ends)))
-        if new.exceptAll(ends).isEmpty() and ends.exceptAll(new).isEmpty():
+        before, mark = mark, _mark(new)
+        if mark == before:
             return ends.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends.select("v", "v").distinct())
         ends = new
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
 
 
+def _mark(ends: DataFrame) -> tuple:
+    """Tells two sets of edges apart: their number and two sums of 64-bit hashes."""
+    h = F.xxhash64("u", "v")
+    return tuple(ends.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1_000_000_007)))).first())
+
+
 def _large_star(ends: DataFrame) -> DataFrame:
     """Every larger neighbour of a node goes to the node's smallest neighbour (itself included)."""
     both = ends.union(ends.select("v", "u")).toDF("x", "y")
-    least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")).withColumnRenamed("x", "hub")
-    moved = both.filter("y > x").join(least, F.col("x") == F.col("hub")).select(F.col("y").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+    # A node of very many neighbours: they meet its minimum under one of SALTS salts.
+    spread = least.select(F.col("x").alias("hub"), "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("hub_salt"))
+    larger = both.filter("y > x").withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)))
+    moved = larger.join(spread, (F.col("x") == F.col("hub")) & (F.col("salt") == F.col("hub_salt"))).select(F.col("y").alias("u"), F.col("m").alias("v"))
     return moved.filter("u > v").distinct()
 
 

@@ -314,8 +314,8 @@ def test_top_k(spark):
     for q in range(0, 300, 50):
         order = [i for i in sorted(range(300), key=lambda i: (-int(v[i] @ v[q]), i)) if i != q][:5]
         want += [(q, k + 1, i, int(v[i] @ v[q])) for k, i in enumerate(order)]
-    for block in (16384, 64):
-        assert sorted(tuple(r) for r in exact_top_k(df, block=block).collect()) == sorted(want)
+    for block, query_block in ((16384, 16384), (64, 2)):
+        assert sorted(tuple(r) for r in exact_top_k(df, block=block, query_block=query_block).collect()) == sorted(want)
     assert exact_top_k(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in exact_top_k(few).collect()] == [(0, 1, 1, 256 * 512)]

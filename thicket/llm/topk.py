@@ -126,7 +126,7 @@ class SlicedBlock:
         return ids[rows[order]], scores[order]
 
 
-def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, modulus: int = 50, scale: int = 256, block: int = 16384, drop: int = 2) -> DataFrame:
+def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, modulus: int = 50, scale: int = 256, block: int = 16384, query_block: int = 16384, drop: int = 2) -> DataFrame:
     """For each query its k highest scores: query_id, rank (from 1), vec_id, score.
 
     A component x becomes floor(scale * x), x as double; the score of two vectors is their
@@ -138,8 +138,10 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     under its id.  An empty table, or one without queries, gives no rows.  Other columns don't
     matter.
 
-    Rows are dealt by hash into blocks of up to about ``block``; the query set goes to every
-    block, each block's index answers with its own k best, and these meet per query.
+    Rows are dealt by hash into blocks of about ``block``, queries into blocks of about
+    ``query_block``.  Each pair of blocks is one group: its index answers its queries with
+    its own k best, and these meet per query.  So what a task holds depends on neither count,
+    and a query sends k rows from each block of rows.
     """
     (v,) = free_name(vectors, "v")
     array = F.col(f"`{vector_col}`")
@@ -147,11 +149,13 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     rows = vectors.filter(array.isNotNull() & (F.size(array) > 0) & F.col(f"`{id_col}`").isNotNull())
     rows = rows.withColumn(v, scaled).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(v).alias("v"))
     rows = rows.filter(~F.exists("v", lambda x: x.isNull())).distinct()
-    # Both sides of a block's cogroup; a block's vectors all have one length, the longest, filled with zeros.
-    blocks = max(1, -(-rows.count() // block), min(4, rows.count() // 2048))
-    length = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    index = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("blk"), "id", "v")
-    queries = rows.filter(F.col("id") % modulus == 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"), "id", "v")
+    # Both sides of a cogroup; a block's vectors all have one length, the longest, filled with zeros.
+    n, n_queries, length = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % modulus == 0), F.max(F.size("v"))).first()
+    blocks, query_blocks, length = max(1, -(-n // block), min(4, n // 2048)), max(1, -(-n_queries // query_block)), length or 0
+    number = lambda among: F.pmod(F.xxhash64("id"), F.lit(among).cast("long"))
+    every = lambda among: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(among - 1).cast("long")))
+    index = rows.select(number(blocks).alias("blk"), every(query_blocks).alias("q_blk"), "id", "v")
+    queries = rows.filter(F.col("id") % modulus == 0).select(every(blocks).alias("blk"), number(query_blocks).alias("q_blk"), "id", "v")
 
     def square(table):
         if not table.num_rows:
@@ -179,6 +183,6 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         cat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
         return pa.table({"query_id": cat[0], "vec_id": cat[1], "score": cat[2]})
 
-    found = index.groupBy("blk").cogroup(queries.groupBy("blk")).applyInArrow(answer, "query_id long, vec_id long, score long")
+    found = index.groupBy("blk", "q_blk").cogroup(queries.groupBy("blk", "q_blk")).applyInArrow(answer, "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -259,6 +259,25 @@ def test_quality(spark):
     assert classify(docs, labels.limit(0)).count() == len(all_)
 
 
+def test_quality_bound_passes_over_only_what_does_not_fit(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(Network, "fit", lambda self, text, y, epochs: fitted.append(sorted(zip(text.to_pylist(), y.tolist(), strict=True))) or self)
+    order = [r.id for r in spark.range(400).filter(F.crc32(F.col("id").cast("string")) % 4 != 2).orderBy(F.xxhash64("id", F.lit(11)), "id").collect()]
+    # A giant comes first, and the rare label last, in the sample's order.
+    rows = [(i, "x" * 30_000 if k == 0 else f"text {i}") for k, i in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < len(order) - 3)) for k, i in enumerate(order)], "doc_id long, quality int")
+    classify(docs, labels, max_bytes=20_000).count()
+    assert fitted == [sorted((t, float(k < len(rows) - 3)) for k, (_, t) in enumerate(rows) if k)]
+    # Texts that exceed the bound together: some of either label stay, within the bound.
+    long = docs.withColumn("text", F.concat("text", F.lit("y" * 500)))
+    classify(long, labels, max_bytes=20_000).count()
+    assert sum(len(t) for t, _ in fitted[1]) <= 20_000 and sum(y == 0 for _, y in fitted[1]) == 3 and sum(y == 1 for _, y in fitted[1]) > 25
+    # Of one label all are too long: no scores of weights that nothing was fitted to.
+    with pytest.raises(ValueError, match="both labels"):
+        classify(docs, labels.withColumn("quality", (F.col("doc_id") == order[0]).cast("int")), max_bytes=20_000)
+
+
 def test_network_gradient_and_scores():
     import pyarrow as pa
 

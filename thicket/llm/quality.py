@@ -12,7 +12,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -180,24 +180,49 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = 1500, max_bytes: int = 24 << 20, epochs: int = 7) -> Network:
     """A network fitted on a bounded sample of labelled rows.
 
-    The bounds are ``rows_per_class`` rows of either label, those of the smallest hash of
-    their id, and of these together ``max_bytes`` of whole texts.  Rows whose
-    crc32(id as text) mod 4 is 2 are held out.  Null labels, ids and texts, and labels but
-    0 and 1, are passed over.  Without rows of both labels the network stays unfitted.
+    The bounds are ``rows_per_class`` texts of either label, those of the smallest hash of
+    their id, and of these together ``max_bytes`` of whole texts (see ``_fitting``); texts
+    over half of ``max_bytes`` are passed over.  Rows whose crc32(id as text) mod 4 is 2 are
+    held out.  Null labels, ids and texts, and labels but 0 and 1, are passed over.  Without
+    labelled texts of both labels the network stays unfitted; where they exist, but those of
+    a label are all too long, a ValueError says so.
     """
-    lid = F.col(id_col)
-    usable = labels.select(lid.cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(F.crc32(F.col("id").cast("string")) % 4 != 2).distinct()
-    order = F.xxhash64("id", F.lit(11))
-    some = None
-    for y in (0, 1):
-        part = usable.filter(F.col("y") == y).withColumn("o", order).orderBy("o", "id").limit(rows_per_class)
-        some = part if some is None else some.union(part)
-    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null").join(F.broadcast(some), "id")
-    sized = found.select("id", "y", "o", F.octet_length("text").cast("long").alias("size"), "text")
-    running = F.sum("size").over(Window.orderBy("o", "id", "y", "text").rowsBetween(Window.unboundedPreceding, 0))
-    rows = sized.orderBy("o", "id", "y", "text").limit(2 * rows_per_class).withColumn("sum", running).filter(F.col("sum") <= max_bytes).select("text", "y").toArrow()
-    net, y = Network(), rows.column("y").to_numpy().astype(np.float32)
-    return net.fit(rows.column("text"), y, epochs) if 0 < y.sum() < len(y) else net
+    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(F.crc32(F.col("id").cast("string")) % 4 != 2).distinct()
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th")).filter("id is not null and text is not null")
+    # The bounds see sizes, not texts.
+    slim = texts.select("id", "th", F.octet_length("text").cast("long").alias("size")).join(usable, "id").withColumn("o", F.xxhash64("id", F.lit(11)))
+    order = ["o", "id", "th"]
+    sample = {y: [tuple(r) for r in slim.filter((F.col("y") == y) & (F.col("size") <= max_bytes // 2)).distinct().orderBy(*order).limit(rows_per_class).select("id", "th", "size").collect()] for y in (0, 1)}
+    chosen = [(*r[:2], y) for y, rows in _fitting(sample, max_bytes).items() for r in rows]
+    net = Network()
+    if len({y for *_, y in chosen}) < 2:
+        if slim.select("y").distinct().count() == 2:
+            raise ValueError(f"labelled texts of both labels exist, but those of one are all over max_bytes / 2 = {max_bytes // 2} bytes: no classifier is fitted")
+        return net
+    some = docs.sparkSession.createDataFrame(chosen, "id long, th long, y int")
+    rows = texts.join(F.broadcast(some), ["id", "th"]).dropDuplicates(["id", "th", "y"]).withColumn("o", F.xxhash64("id", F.lit(11))).orderBy("o", "id", "y", "text").select("text", "y").toArrow()
+    return net.fit(rows.column("text"), rows.column("y").to_numpy().astype(np.float32), epochs)
+
+
+def _fitting(sample: dict[int, list[tuple]], max_bytes: int) -> dict[int, list[tuple]]:
+    """The rows (.., size) of each label that fit together in ``max_bytes``, in their order.
+
+    The label of fewer bytes gets up to half, the other what is left.  Only a text that
+    doesn't fit is passed over, not those after it; and texts over a sixteenth of the budget
+    come after the others, so that a few of them can't take the place of all.
+    """
+    out, left = {}, max_bytes
+    for k, y in enumerate(sorted(sample, key=lambda y: sum(r[-1] for r in sample[y]))):
+        budget = left if k else max_bytes // 2
+        taken, room = set(), budget
+        for i in sorted(range(len(sample[y])), key=lambda i: 16 * sample[y][i][-1] > budget):
+            if sample[y][i][-1] <= room:
+                taken.add(i)
+                room -= sample[y][i][-1]
+        out[y] = [r for i, r in enumerate(sample[y]) if i in taken]
+        left -= budget - room
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **fit) -> DataFrame:

@@ -123,7 +123,15 @@ def catalog_rewrite(spark, sf_dir):
 
 @query("SELECT page_id AS doc_id, 'UTF-16LE' AS encoding, html AS text FROM pages WHERE page_id % 10 = 0")
 def decode_bytes(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").filter("page_id % 10 = 0")
+    return _decoded(table(spark, sf_dir, "pages").filter("page_id % 10 = 0"))
+
+
+@query("SELECT page_id AS doc_id, 'UTF-16LE' AS encoding, html AS text FROM pages")
+def decode_bytes_all(spark, sf_dir):
+    return _decoded(table(spark, sf_dir, "pages"))
+
+
+def _decoded(pages):
     raw = F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE"))
     return pages.select(F.col("page_id").alias("doc_id"), encoding.decode(raw).alias("d")).select("doc_id", "d.encoding", "d.text")
 
@@ -297,6 +305,17 @@ def function_string_value(spark, sf_dir):
     return string_value(orders, nodes).select("doc_id", "value")
 
 
+#: Items in the order of corpora.ITEM_ORDER.
+_ITEM_ORDER = ", ".join(corpora.ITEM_ORDER)
+
+
+@query(f"SELECT o_orderkey AS doc_id, c_name || coalesce(string_agg(CAST(l_partkey AS VARCHAR) || CAST(l_quantity AS VARCHAR) || CAST(l_extendedprice AS VARCHAR) || CAST(l_discount AS VARCHAR), '' ORDER BY {_ITEM_ORDER}), '') AS value FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, c_name")
+def function_string_value_all(spark, sf_dir):
+    """string(/order) of every order."""
+    nodes = order_nodes(spark, sf_dir)
+    return string_value(Selection(nodes).child("order").nodes(), nodes).select("doc_id", "value")
+
+
 _NAME = "c_name"
 
 
@@ -447,7 +466,15 @@ def html_serialize_stable(spark, sf_dir):
 @query("SELECT o_orderkey AS doc_id, 3 + 1 + 9 * count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_nodes, count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_lines, CAST('x' AS VARCHAR) AS mark FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
 def edit_documents(spark, sf_dir):
     """Returned items go, items become lines, the order gets a mark."""
-    nodes = order_nodes(spark, sf_dir).filter("doc_id % 10 = 0")
+    return _edited(order_nodes(spark, sf_dir).filter("doc_id % 10 = 0"))
+
+
+@query(_PER_ORDER.format("3 + 1 + 9 * count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_nodes, count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_lines, CAST('x' AS VARCHAR) AS mark"))
+def edit_documents_all(spark, sf_dir):
+    return _edited(order_nodes(spark, sf_dir))
+
+
+def _edited(nodes):
     nodes = edit.remove(nodes, Selection(nodes).descendant("item").where(attr("returnflag") == "R").nodes())
     nodes = edit.rename(nodes, Selection(nodes).descendant("item").nodes(), "line")
     nodes = edit.set_attribute(nodes, Selection(nodes).child("order").nodes(), "mark", "x")
@@ -457,9 +484,16 @@ def edit_documents(spark, sf_dir):
 @query("SELECT o_orderkey AS doc_id, c_name AS name, 'order/customer/name' AS path FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 20 = 0")
 def include_resources(spark, sf_dir):
     """Orders that include their customer's document: a join of hrefs with parsed resources."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0")
+    return _included(table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0"), table(spark, sf_dir, "customer"))
+
+
+@query("SELECT o_orderkey AS doc_id, c_name AS name, 'order/customer/name' AS path FROM orders JOIN customer ON c_custkey = o_custkey")
+def include_resources_all(spark, sf_dir):
+    return _included(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def _included(o, c):
     docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('<order xmlns:xi="http://www.w3.org/2001/XInclude"><xi:include href="c'), "o_custkey", F.lit('.xml"/></order>')).alias("text"))
-    c = table(spark, sf_dir, "customer")
     parsed = parse_xml(c.select(F.col("c_custkey").alias("doc_id"), corpora.element("customer", corpora.element("name", corpora.text(F.col("c_name")))).alias("text")))
     resources = parsed.withColumn("href", F.concat(F.lit("c"), "doc_id", F.lit(".xml"))).drop("doc_id")
     nodes, _ = links.include(parse_xml(docs), resources)
@@ -534,7 +568,16 @@ def builtin_path(spark, sf_dir):
 @query("SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS ok FROM orders WHERE o_orderkey % 5 = 0")
 def parse_errors(spark, sf_dir):
     """Broken documents are rows with an error; the job goes on."""
-    docs = order_docs(spark, sf_dir).filter("doc_id % 5 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.substring(F.col("text"), F.lit(1), F.length("text") - 3)).otherwise(F.col("text")))
+    return _parsed_or_not(order_docs(spark, sf_dir).filter("doc_id % 5 = 0"))
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS ok FROM orders")
+def parse_errors_all(spark, sf_dir):
+    return _parsed_or_not(order_docs(spark, sf_dir))
+
+
+def _parsed_or_not(docs):
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.substring(F.col("text"), F.lit(1), F.length("text") - 3)).otherwise(F.col("text")))
     return parse_xml(docs).filter("kind = 'document'").select("doc_id", F.col("error").isNull().alias("ok"))
 
 

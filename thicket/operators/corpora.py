@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from thicket.sinks.serialize import escape_attribute, escape_text
 
 
+#: What items of an order are sorted by: all that an item shows, so that their order is a matter of the tables alone.
+ITEM_ORDER = ("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+
+
 def element(name: str, *content: Column, **attributes: Column) -> Column:
     """<name a="..">content</name> as a text Column; contents are markup, attribute values are escaped."""
     attrs = [F.concat(F.lit(f' {k}="'), escape_attribute(v.cast("string")), F.lit('"')) for k, v in attributes.items()]
@@ -19,9 +23,9 @@ def text(value: Column) -> Column:
 
 
 def orders(orders_table: DataFrame, lineitem: DataFrame, customer: DataFrame) -> DataFrame:
-    """(doc_id, text): one document per order, its items in line order."""
+    """(doc_id, text): one document per order, its items in line order, then by ITEM_ORDER."""
     item = element("item", element("partkey", text(F.col("l_partkey"))), element("qty", text(F.col("l_quantity"))), element("price", text(F.col("l_extendedprice"))), element("discount", text(F.col("l_discount"))), n=F.col("l_linenumber"), returnflag=F.col("l_returnflag"))
-    items = lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity"), item.alias("x")))), lambda s: s["x"]), "").alias("items"))
+    items = lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ITEM_ORDER], item.alias("x")))), lambda s: s["x"]), "").alias("items"))
     o = orders_table.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     who = element("customer", element("name", text(F.coalesce("c_name", F.lit("")))), id=F.col("o_custkey"))
     return o.select(F.col("o_orderkey").alias("doc_id"), element("order", who, F.coalesce("items", F.lit("")), id=F.col("o_orderkey"), status=F.col("o_orderstatus"), priority=F.col("o_orderpriority")).alias("text"))

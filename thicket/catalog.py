@@ -449,6 +449,15 @@ def canonical_digest(spark, sf_dir):
     return serialize.canonical(empty).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+_ITEM = """'<item n="' || l_linenumber || '" returnflag="' || l_returnflag || '"><partkey>' || l_partkey || '</partkey><qty>' || l_quantity || '</qty><price>' || l_extendedprice || '</price><discount>' || l_discount || '</discount></item>'"""
+
+
+@query(f"""SELECT o_orderkey AS doc_id, sha256('<order id="' || o_orderkey || '" priority="' || o_orderpriority || '" status="' || o_orderstatus || '"><customer id="' || o_custkey || '"><name>' || c_name || '</name></customer>' || coalesce(string_agg({_ITEM}, '' ORDER BY {_ITEM_ORDER}), '') || '</order>') AS digest FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_orderstatus, o_custkey, c_name""")
+def canonical_digest_all(spark, sf_dir):
+    """Digests of the canonical form of every order, items included."""
+    return serialize.canonical(order_nodes(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 @query("SELECT o_orderkey AS doc_id, '<name>' || c_name || '</name>' AS text FROM orders JOIN customer ON c_custkey = o_custkey")
 def serialize_subtree(spark, sf_dir):
     nodes = order_nodes(spark, sf_dir)

@@ -113,6 +113,35 @@ def test_near_dedup(docs, rows, block, monkeypatch):
     assert got == brute_near([(i, t) for i, t, *_ in rows], 4, 80)
 
 
+@pytest.mark.parametrize("by", ["rows", "bytes"])
+def test_near_dedup_groups_are_bounded(spark, by, monkeypatch):
+    from thicket.llm import near_dedup as module
+
+    r = random.Random(4)
+    # One template, linked below 0.8: a cluster without a main component, but for a few pairs.
+    template = [f"t{i}" for i in range(60)]
+    pairs = [(i, " ".join(w if r.random() < 0.95 else f"x{r.random()}" for w in template)) for i in range(160)]
+    pairs += [(200 + i, t + " end") for i, t in pairs[:9]]
+    monkeypatch.setattr(module, "BLOCK", 8 if by == "rows" else 40)
+    monkeypatch.setattr(module, "HUBS", 1)
+    monkeypatch.setattr(module, "BLOCK_BYTES", 1 << 30 if by == "rows" else 8 * 450)
+    monkeypatch.setattr(module, "PART_ROWS", 40 if by == "rows" else 1 << 30)
+    monkeypatch.setattr(module, "PART_BYTES", 1 << 30 if by == "rows" else 40 * 450)
+    seen, dealt = [], module._dealt
+
+    def watched(*args):
+        out = dealt(*args)
+        seen.append(out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("set")).alias("b")).agg(F.max("n"), F.max("b"), F.sum("n")).first())
+        return out
+
+    monkeypatch.setattr(module, "_dealt", watched)
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup(df, shingle=4).collect()}
+    assert got == brute_near(pairs, 4, 80)
+    assert len(seen) == 2 and seen[1][2] > 3000, seen
+    assert all(most <= 200 and size <= 200 * 450 for most, size, _ in seen), seen
+
+
 def test_near_dedup_null_ids_repeats_and_empty(spark, empty):
     df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (3, "A B C D E"), (9, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id, r.n_shingles, r.kept) for r in near_dedup(df).collect())

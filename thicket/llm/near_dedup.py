@@ -6,7 +6,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm.common import free_name, written
@@ -18,6 +18,10 @@ from thicket.llm.text import mix, utf8, window_owner, windows, words
 BLOCK = 256
 #: Classes of a large cluster that every block of it sees.
 HUBS = 16
+#: Bytes of full sets, in the mean, beyond which a cluster is cut into more blocks.
+BLOCK_BYTES = 8 << 20
+#: Rows and bytes of full sets, in the mean, of one group of a confirmation.
+PART_ROWS, PART_BYTES = 1_000, 16 << 20
 #: Most ids (8 bytes each) that are broadcast; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
@@ -171,7 +175,22 @@ def _sets(batches, size: int):
         for b in _pieces(batch, "text"):
             values, first = shingle_sets(b.column("text"), size)
             raw = values.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()), pa.array(8 * np.diff(first))], names=["id", "set", "bytes"])
+
+
+def _blocks(count: Column, size: Column) -> Column:
+    """Into how many blocks ``count`` classes of ``size`` bytes together are dealt."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def _parts(rows: int | None, size: int | None) -> int:
+    """Groups for a confirmation of so many rows, with so many bytes of sets."""
+    return max(1, (rows or 0) // PART_ROWS, (size or 0) // PART_BYTES)
+
+
+def _dealt(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """The rows (id, cluster, p, q) with their sets; what meets in a cluster, p and q has one part."""
+    return rows.join(sets.select("id", "set"), "id").withColumn("part", F.pmod(F.xxhash64("cluster", "p", "q"), F.lit(parts)))
 
 
 def _confirm(rows: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -180,8 +199,7 @@ def _confirm(rows: DataFrame, sets: DataFrame, percent: int, parts: int) -> Data
     def confirmed(table):
         return _confirmed(table, percent)
 
-    dealt = rows.join(sets, "id").withColumn("part", F.pmod(F.xxhash64("cluster", "p", "q"), F.lit(parts)))
-    return dealt.groupBy("part").applyInArrow(confirmed, "a long, b long").distinct()
+    return _dealt(rows, sets, parts).groupBy("part").applyInArrow(confirmed, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, t: int = 128, bands: int = 32, slack: int = 20) -> DataFrame:
@@ -207,7 +225,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     3. A class goes to its cluster with its full set, once.  A cluster of up to BLOCK classes
        is confirmed at once, by exact intersections.  A larger one is dealt into blocks, and
        each block is confirmed within itself and with a few classes that all blocks see.
-       What this leaves outside the cluster's main component meets all blocks, block by
+       Blocks are counted by classes and by the bytes of their sets, and each confirmation's
+       groups by its own rows and their bytes.  What this leaves outside the cluster's main component meets all blocks, block by
        block, so no link is lost; pairs inside a component can't change the result.
 
     A pair of similarity J shares no band with probability (1 - J**(t/bands))**bands, 5e-8 at
@@ -235,30 +254,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = slots.filter((F.col("size") > BLOCK) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
     cluster_of = components(small.groupBy("part").applyInArrow(alike, "a long, b long").union(large))
 
-    sizes = cluster_of.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nblk"))
-    block = F.pmod(F.xxhash64("node"), F.col("nblk")).cast("int")
-    members = written(cluster_of.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "nblk", block.alias("blk")))
-    n_members = members.count()
-    chosen = members.select("id")
-    if n_members <= BROADCAST_IDS:
+    chosen = cluster_of.select(F.col("node").alias("id"))
+    if cluster_of.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    sets = written(plain.join(chosen, "id", "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, set binary"))
-    parts = max(1, n_members // 1_000)
+    sets = written(plain.join(chosen, "id", "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, set binary, bytes long"))
+    nodes = cluster_of.join(sets.groupBy(F.col("id").alias("node")).agg(F.count(F.lit(1)).alias("n_sets"), F.sum("bytes").alias("bytes")), "node")
+    sizes = nodes.groupBy("component").agg(_blocks(F.count(F.lit(1)), F.sum("bytes")).alias("nblk"))
+    block = F.pmod(F.xxhash64("node"), F.col("nblk")).cast("int")
+    members = written(nodes.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "nblk", block.alias("blk"), "n_sets", "bytes"))
 
     split = members.filter("nblk > 1")
     first = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
-    hubs = split.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= HUBS)
+    hubs = split.filter(F.col("bytes") <= BLOCK_BYTES // HUBS).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= HUBS)
     hubs = hubs.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1))).filter("p <> blk")
-    rows = members.select("id", "cluster", F.col("blk").alias("p")).union(hubs.select("id", "cluster", "p")).withColumn("q", F.lit(0))
-    links = written(_confirm(rows, sets, percent, parts))
+    hubs = hubs.select("id", "cluster", "p", "n_sets", "bytes")
+    rows = members.select("id", "cluster", F.col("blk").alias("p"), "n_sets", "bytes").union(hubs).withColumn("q", F.lit(0))
+    parts = _parts(*rows.agg(F.sum("n_sets"), F.sum("bytes")).first())
+    links = written(_confirm(rows.select("id", "cluster", "p", "q"), sets, percent, parts))
     found = components(links)
     if not split.isEmpty():
         labels = split.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        counts = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("nrest")).filter("nrest > 0")
-        labels = labels.join(main, "cluster").select("id", "cluster", "blk", "nblk", "nrest", (F.col("label") != F.col("top.label")).alias("rest"))
+        counts = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+        main = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), (F.sum("size") - F.max(F.struct("n", "label", "size"))["size"]).alias("size"), (F.sum("n") - F.max("n")).alias("n")).filter("n > 0").select("cluster", "top", _blocks(F.col("n"), F.col("size")).alias("nrest"))
+        labels = labels.join(main, "cluster").select("id", "cluster", "blk", "nblk", "nrest", "n_sets", "bytes", (F.col("label") != F.col("top.label")).alias("rest"))
         rest = labels.filter("rest").select("id", "cluster", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)).alias("p"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("nrest")).cast("int").alias("q"))
         every = labels.select("id", "cluster", F.col("blk").alias("p"), F.explode(F.sequence(F.lit(0), F.col("nrest") - 1)).alias("q"))
+        # Rows outside the main component go to all blocks, and all rows to each block of these.
+        times = F.when(F.col("rest"), F.col("nblk")).otherwise(0).cast("long") + F.col("nrest")
+        parts = _parts(*labels.agg(F.sum(times * F.col("n_sets")), F.sum(times * F.col("bytes"))).first())
         found = components(links.union(_confirm(rest.union(every).distinct(), sets, percent, parts)))
 
     of_class = classes.select("print", "n", "id").join(found, F.col("id") == F.col("node"), "left")

@@ -407,3 +407,39 @@ def test_pipeline_stages(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns, name
     assert F.col and Row and c.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pipeline_stages_against_brute_force(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as c
+
+    df = docs.select("doc_id", "text", F.char_length("text").alias("n_chars"))
+    text = {i: t for i, t, *_ in rows}
+
+    def n(t):
+        return t if t is None else len(t)
+
+    out = lambda stage, df: {r.doc_id: (r.text, r.n_chars) for r in stage(spark, df, "").collect()}
+    norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in text.items()}
+    least = {}
+    for i, t in norm.items():
+        least[t] = min(least.get(t, i), i)
+    assert out(c.exact, df) == {i: (text[i], n(text[i])) for i in least.values()}
+    assert out(c.near, df) == {i: (text[i], n(text[i])) for i, (_, _, kept) in brute_near(list(text.items()), 5, 80).items() if kept}
+    want = {i: kept if gone else text[i] for i, (_, gone, kept) in brute_substring(list(text.items()), 13).items()}
+    assert out(c.substring, df) == {i: (t, n(t)) for i, t in want.items()}
+    # The last stage packs all tokens of what the substring stage gives, and a separator for each text.
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    packed = c.packing(spark, c.substring(spark, df, ""), "").agg(F.sum("length")).first()[0]
+    assert packed == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in want.values())
+
+
+def test_pipeline_quality_stage(spark):
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: tuple(r) for r in c.quality(spark, docs, sf).collect()}
+    good = {r.doc_id for r in classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("score >= 0.7").select("doc_id").collect()}
+    assert got == {r.doc_id: tuple(r) for r in docs.collect() if r.doc_id in good} and 0 < len(got) < docs.count()

@@ -103,43 +103,80 @@ def brute_near(pairs, shingle, percent):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_near_dedup(docs, rows, block, monkeypatch):
     from thicket.llm import near_dedup as module
 
-    monkeypatch.setattr(module, "BLOCK", block)  # small blocks: large clusters are dealt and met
-    monkeypatch.setattr(module, "HUBS", 1)
+    monkeypatch.setattr(module, "BLOCK", block)  # small blocks: buckets are dealt and their blocks meet
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(docs, shingle=4).collect()}
     assert got == brute_near([(i, t) for i, t, *_ in rows], 4, 80)
 
 
-@pytest.mark.parametrize("by", ["rows", "bytes"])
-def test_near_dedup_groups_are_bounded(spark, by, monkeypatch):
+def adverse(kind):
+    """Texts whose buckets hold several components, none of them by far the largest."""
+    r = random.Random(4)
+    if kind == "template":  # one template, linked below 0.8, but for a few pairs
+        template = [f"t{i}" for i in range(60)]
+        out = [" ".join(w if r.random() < 0.95 else f"x{r.random()}" for w in template) for _ in range(160)]
+        return out + [t + " end" for t in out[:9]]
+    if kind == "chain":  # each text is linked with the next one alone
+        w = [f"c{i}" for i in range(700)]
+        return [" ".join(w[k : k + 60]) for k in range(0, 640, 6)] + [" ".join(w[k : k + 60]) for k in range(0, 640, 9)]
+    # Families of copies around bases that share half their words: tight components in common buckets.
+    base = [f"b{i}" for i in range(40)]
+    out = []
+    for f in range(8):
+        own = base + [f"f{f}-{i}" for i in range(12)]
+        out += [" ".join(own + [f"y{r.random()}"] * (k % 3)) for k in range(20)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["template", "chain", "families"])
+def test_near_dedup_loses_no_link_and_groups_are_bounded(spark, kind, monkeypatch):
     from thicket.llm import near_dedup as module
 
-    r = random.Random(4)
-    # One template, linked below 0.8: a cluster without a main component, but for a few pairs.
-    template = [f"t{i}" for i in range(60)]
-    pairs = [(i, " ".join(w if r.random() < 0.95 else f"x{r.random()}" for w in template)) for i in range(160)]
-    pairs += [(200 + i, t + " end") for i, t in pairs[:9]]
-    monkeypatch.setattr(module, "BLOCK", 8 if by == "rows" else 40)
-    monkeypatch.setattr(module, "HUBS", 1)
-    monkeypatch.setattr(module, "BLOCK_BYTES", 1 << 30 if by == "rows" else 8 * 450)
-    monkeypatch.setattr(module, "PART_ROWS", 40 if by == "rows" else 1 << 30)
-    monkeypatch.setattr(module, "PART_BYTES", 1 << 30 if by == "rows" else 40 * 450)
-    seen, dealt = [], module._dealt
+    pairs = list(enumerate(adverse(kind)))
+    random.Random(7).shuffle(pairs)
+    monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "PART_ROWS", 40)
+    seen, meetings = [], module._meetings
 
     def watched(*args):
-        out = dealt(*args)
-        seen.append(out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("set")).alias("b")).agg(F.max("n"), F.max("b"), F.sum("n")).first())
+        out = meetings(*args)
+        seen.extend(r.n for r in out.groupBy("key", "p", "q").agg(F.count(F.lit(1)).alias("n")).collect())
         return out
 
-    monkeypatch.setattr(module, "_dealt", watched)
+    monkeypatch.setattr(module, "_meetings", watched)
     df = spark.createDataFrame(pairs, "doc_id long, text string")
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup(df, shingle=4).collect()}
     assert got == brute_near(pairs, 4, 80)
-    assert len(seen) == 2 and seen[1][2] > 3000, seen
-    assert all(most <= 200 and size <= 200 * 450 for most, size, _ in seen), seen
+    assert kind == "chain" or (seen and max(seen) <= 60), seen
+
+
+def test_profiles_refute_without_loss():
+    from thicket.llm.near_dedup import _common, _may_link, _unrefuted, profile
+
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sets = [np.unique(r.choice(pool[: r.integers(20, 4000)], r.integers(1, 900))) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[3:], r.choice(pool, 2)])) for s in sets[:20]] + [np.arange(400, dtype=np.uint64) << np.uint64(20)]
+    profiles = [profile(s) for s in sets]
+    assert profiles[-1] == b"" and all(len(p) >= len(s) / 2 for p, s in zip(profiles[:-1], sets, strict=False))
+    n = np.array([len(s) for s in sets])
+    linked = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            bound = _common(*(np.frombuffer(profiles[k], np.uint8).reshape(1, -1) for k in (i, j)))[0, 0]
+            assert both <= bound
+            if 100 * both >= 80 * (n[i] + n[j] - both):
+                linked.add((j, i))
+                assert _may_link(bound, n[i], n[j], 80)
+    ids, rest = np.arange(len(sets)), np.arange(len(sets)) < 50
+    both = [np.concatenate([x, x[rest]]) for x in (ids, n, ids)]
+    found = _unrefuted(*both, np.concatenate([np.zeros(len(sets), bool), np.ones(50, bool)]), profiles + profiles[:50], 80)
+    got = {(a, b) for x, y in found for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert linked and {p for p in linked if p[0] < 50 or p[1] < 50} <= got and len(got) < 400
 
 
 def test_near_dedup_null_ids_repeats_and_empty(spark, empty):

@@ -49,6 +49,12 @@ def free_name(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def without_results(df: DataFrame, results: tuple[str, ...], *keep: str) -> DataFrame:
+    """df without the columns that bear a result's name (compared without case), but for those in ``keep``."""
+    drop = {c.lower() for c in results} - {c.lower() for c in keep}
+    return df.drop(*[c for c in df.columns if c.lower() in drop])
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts, summed where they lie."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")), F.lit(0))).first()[0])

@@ -6,24 +6,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import free_name, written
+from thicket.llm.common import free_name, without_results, written
 from thicket.llm.components import components
 from thicket.llm.sketch import band_keys, sketches
 from thicket.llm.text import mix, utf8, window_owner, windows, words
 
-#: Classes that are compared with each other at once; a larger cluster is cut into such blocks.
-BLOCK = 256
-#: Classes of a large cluster that every block of it sees.
-HUBS = 16
-#: Bytes of full sets, in the mean, beyond which a cluster is cut into more blocks.
-BLOCK_BYTES = 8 << 20
-#: Rows and bytes of full sets, in the mean, of one group of a confirmation.
-PART_ROWS, PART_BYTES = 1_000, 16 << 20
-#: Most ids (8 bytes each) that are broadcast; beyond, the texts are joined by a shuffle.
+#: Classes of a bucket, and bytes of their profiles in the mean, that are compared in one go.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Rows, and bytes of profiles in the mean, of one group of comparisons.
+PART_ROWS, PART_BYTES = 4_000, 16 << 20
+#: Tasks over which the partners of one class are dealt.
+SALTS = 16
+#: Most classes (16 bytes each) that are broadcast; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of a bucket that are held against the others at once; the bytes of one comparison.
+CHUNK, STEP_BYTES = 64, 16 << 20
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -78,25 +78,87 @@ def _sketched(batches, size: int, t: int, bands: int):
             prints = np.stack([x[first[1:]] - x[first[:-1]] for x in sums], axis=1)
             keys = band_keys(s, bands)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("th"), pa.array(n), _binary(prints), _binary(s.astype(np.uint8)), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1).view(np.int64)))],
-                names=["id", "th", "n", "print", "low", "keys"],
+                [b.column("id"), b.column("th"), pa.array(n), _binary(prints), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1).view(np.int64)))],
+                names=["id", "th", "n", "print", "keys"],
             )
 
 
-def _star(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest id, other id) for the members of each component of the matrix ``linked``."""
-    m = len(ids)
-    label = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    by_rank = np.sort(ids)
-    linked = linked | np.eye(m, dtype=bool)
-    while True:
-        new = np.where(linked, label[None, :], m).min(axis=1)
-        new = np.minimum(new, label)
-        if (new == label).all():
-            break
-        label = new
-    root = by_rank[label]
-    return root[root != ids], ids[root != ids]
+def profile(values: np.ndarray) -> bytes:
+    """How many of a set's elements fall into each of 2**k bins, at least half as many bins as elements.
+
+    The sum of the smaller counts of two sets is never less than their intersection, so it
+    refutes pairs without loss.  A count over 255 makes the profile empty: it refutes nothing.
+    """
+    bins = 1 << max(7, (len(values) >> 1).bit_length())
+    counts = np.bincount((values & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _folded(counts: np.ndarray, bins: int) -> np.ndarray:
+    """Counts (rows, bins') in fewer bins: an element's bin is its value's low bits."""
+    if counts.shape[1] == bins:
+        return counts
+    return counts.reshape(len(counts), -1, bins).sum(axis=1, dtype=np.uint16)
+
+
+def _may_link(common, n, m, percent: int):
+    """Whether sets of n and m elements that share ``common`` at most can be linked."""
+    common = np.minimum(common, np.minimum(n, m))
+    return 100 * common >= percent * (n + m - common)
+
+
+def _by_bins(profiles) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix of counts) for each number of bins; empty profiles have a matrix without columns."""
+    size = np.array([len(x) for x in profiles], np.int64)
+    out = []
+    for bins in np.unique(size):
+        rows = np.flatnonzero(size == bins)
+        out.append((rows, np.frombuffer(b"".join(profiles[i] for i in rows), np.uint8).reshape(len(rows), bins)))
+    return out
+
+
+def _common(some: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """The largest possible intersections of two lists of profiles, or a number no set exceeds."""
+    bins = min(some.shape[1], every.shape[1])
+    if not bins:
+        return np.full((len(some), len(every)), np.iinfo(np.int64).max >> 8)
+    some, every = _folded(some, bins), _folded(every, bins)
+    out, step = np.empty((len(some), len(every)), np.int64), max(1, STEP_BYTES // (2 * bins * len(some)))
+    for k in range(0, len(every), step):
+        out[:, k : k + step] = np.minimum(some[:, None], every[None, k : k + step]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def _unrefuted(ids, n, label, rest, profiles, percent: int):
+    """Pairs of a row of ``rest`` and another that differ in label and that the profiles can't refute.
+
+    Rows of ``rest`` are taken ``CHUNK`` at a time, alike ones together; what even their
+    largest counts refute is refuted for all of them.
+    """
+    found = []
+    others = np.flatnonzero(~rest)
+    groups = [(others[rows], counts) for rows, counts in _by_bins([profiles[i] for i in others])]
+    mine = np.flatnonzero(rest)
+    for rows, counts in _by_bins([profiles[i] for i in mine]):
+        order = np.lexsort((n[mine[rows]], label[mine[rows]]))
+        for k in range(0, len(order), CHUNK):
+            take = order[k : k + CHUNK]
+            some, here = counts[take], mine[rows[take]]
+            low, high = n[here].min(), n[here].max()
+            for theirs, matrix in groups:
+                near = np.flatnonzero((100 * n[theirs] >= percent * low) & (100 * high >= percent * n[theirs]))
+                if len(near) and len(here) > 1:
+                    m = n[theirs[near]]
+                    most = np.minimum(_common(some.max(axis=0, keepdims=True), matrix[near])[0], np.minimum(high, m))
+                    near = near[(100 + percent) * most >= percent * (low + m)]
+                if not len(near):
+                    continue
+                there = theirs[near]
+                ok = _may_link(_common(some, matrix[near]), n[here][:, None], n[there][None, :], percent)
+                ok &= (label[here][:, None] != label[there][None, :]) & (ids[here][:, None] != ids[there][None, :])
+                i, j = np.nonzero(ok)
+                found.append((np.minimum(ids[here[i]], ids[there[j]]), np.maximum(ids[here[i]], ids[there[j]])))
+    return found
 
 
 def _groups(*keys: np.ndarray):
@@ -108,101 +170,89 @@ def _groups(*keys: np.ndarray):
     return np.split(order, np.flatnonzero(new)) if len(order) else []
 
 
-def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _alike(table: pa.Table, least: int) -> pa.Table:
-    """For each bucket, stars over the components of sketches that agree in ``least`` coordinates."""
-    ids = table["id"].to_numpy()
-    low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    found = []
-    for rows in _groups(table["key"].to_numpy()):
-        x = low[rows]
-        agree = np.stack([(x == y).sum(axis=1) for y in x])
-        if (agree >= least).sum() > len(rows):
-            found.append(_star(ids[rows], agree >= least))
-    a, b = (t.to_numpy() for t in _edges(found).columns)
-    both = np.unique(np.stack([a, b], axis=1), axis=0)
-    return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections."""
-    m = len(sets)
-    if m <= 4:
-        out = np.diag([len(x) for x in sets])
-        for i in range(m):
-            for j in range(i):
-                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return out
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), [len(x) for x in sets])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    column = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
-    common = np.bincount(column)[column] > 1  # the others meet nothing
-    column = np.cumsum(np.concatenate([[True], np.diff(column[common]) > 0])) - 1 if common.any() else np.zeros(0, int)
-    owner = owner[common]
-    out, width = np.zeros((m, m), np.float32), 4096
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        i, j = np.searchsorted(column, [a, a + width])
-        part = np.zeros((m, width), np.float32)
-        part[owner[i:j], column[i:j] - a] = 1
-        out += part @ part.T
-    out = out.astype(np.int64)
-    np.fill_diagonal(out, [len(x) for x in sets])
-    return out
-
-
-def _confirmed(table: pa.Table, percent: int) -> pa.Table:
-    """For each block or meeting of blocks, stars over the components of links on full sets."""
-    ids, raw = table["id"].to_numpy(), table["set"]
-    found = []
-    for rows in _groups(*(table[c].to_numpy() for c in ("cluster", "p", "q"))):
-        sets = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in rows]
-        both = _overlaps(sets)
-        size = np.diag(both)
-        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        found.append(_star(ids[rows], linked))
-    return _edges(found)
+def _compared(table: pa.Table, percent: int) -> pa.Table:
+    """The distinct pairs (a, b) that meet in one bucket, p and q and that profiles can't refute."""
+    ids, n, label, rest = (table[c].to_numpy() for c in ("id", "n", "label", "rest"))
+    raw, found = table["profile"], []
+    for rows in _groups(*(table[c].to_numpy() for c in ("key", "p", "q"))):
+        found += _unrefuted(ids[rows], n[rows], label[rows], rest[rows], [raw[int(i)].as_buffer().to_pybytes() for i in rows], percent)
+    pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in found]), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def _sets(batches, size: int):
     for batch in batches:
         for b in _pieces(batch, "text"):
             values, first = shingle_sets(b.column("text"), size)
-            raw = values.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()), pa.array(8 * np.diff(first))], names=["id", "set", "bytes"])
+            sets = [values[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(first)), pa.array([profile(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "profile", "set"])
 
 
-def _blocks(count: Column, size: Column) -> Column:
-    """Into how many blocks ``count`` classes of ``size`` bytes together are dealt."""
-    return F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """pairs(a, b) with the columns of a as x_.. and those of b as y_..; the partners of one a are dealt under SALTS."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    one = table.select(F.col("id").alias("x"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    two = table.select(F.col("id").alias("y"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    left = salted.select("a", "salt").distinct().join(one, F.col("a") == F.col("x")).drop("x")
+    return salted.join(two, F.col("b") == F.col("y")).drop("y").join(left, ["a", "salt"])
 
 
-def _parts(rows: int | None, size: int | None) -> int:
-    """Groups for a confirmation of so many rows, with so many bytes of sets."""
-    return max(1, (rows or 0) // PART_ROWS, (size or 0) // PART_BYTES)
+def _filtered(batches, keep):
+    for b in batches:
+        for k in range(0, b.num_rows, 512):
+            part = b.slice(k, 512)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep(part), pa.bool_()))
 
 
-def _dealt(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """The rows (id, cluster, p, q) with their sets; what meets in a cluster, p and q has one part."""
-    return rows.join(sets.select("id", "set"), "id").withColumn("part", F.pmod(F.xxhash64("cluster", "p", "q"), F.lit(parts)))
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are linked; most others are refuted by their profiles before any set is sent."""
 
+    def open_(b):
+        n, m = b.column("x_n").to_numpy(), b.column("y_n").to_numpy()
+        one, two = ([x.as_buffer().to_pybytes() for x in b.column(c)] for c in ("x_profile", "y_profile"))
+        sized = (100 * n >= percent * m) & (100 * m >= percent * n)
+        return [bool(ok) and bool(_may_link(_common(*(np.frombuffer(z, np.uint8).reshape(1, -1) for z in (x, y)))[0, 0], i, j, percent)) for ok, x, y, i, j in zip(sized, one, two, n, m, strict=True)]
 
-def _confirm(rows: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links among the rows (id, cluster, p, q) that meet in one cluster, p and q."""
+    def linked(b):
+        out = []
+        for x, y in zip(b.column("x_set"), b.column("y_set"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(100 * both >= percent * (len(x) + len(y) - both))
+        return out
 
-    def confirmed(table):
-        return _confirmed(table, percent)
+    ends = "a long, b long"
+    likely = _both(pairs, sets, "n", "profile").select("a", "b", "x_n", "y_n", "x_profile", "y_profile").mapInArrow(partial(_filtered, keep=open_), ends).distinct()
+    return _both(likely, sets, "set").select("a", "b", "x_set", "y_set").mapInArrow(partial(_filtered, keep=linked), ends)
 
-    return _dealt(rows, sets, parts).groupBy("part").applyInArrow(confirmed, "a long, b long").distinct()
+
+def _blocks(count: Column, size: Column) -> Column:
+    """Into how many blocks ``count`` classes with ``size`` elements together are dealt."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, t: int = 128, bands: int = 32, slack: int = 20) -> DataFrame:
+def _meetings(slots: DataFrame, label_of: DataFrame) -> DataFrame:
+    """(key, p, q, id, n, label, rest): what is left to compare in each bucket, given components of confirmed links.
+
+    In a bucket whose members have several labels, those of other labels than the most
+    frequent one (rest) meet all members, block by block.  A bucket's smallest id is left
+    out: it has been held against every member before.
+    """
+    named = slots.filter("id > least").select("id", "key", "n").join(label_of.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("id", "key", "n", F.coalesce("component", "id").alias("label"))
+    per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"))
+    top = F.max(F.struct("k", "label", "size"))
+    mixed = per.groupBy("key").agg(top.alias("top"), F.sum("k").alias("k"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    mixed = mixed.select("key", F.col("top.label").alias("main"), _blocks(F.col("k"), F.col("size")).alias("nblk"), _blocks(F.col("k") - F.col("top.k"), F.col("size") - F.col("top.size")).alias("nrest"))
+    rows = named.join(mixed, "key")
+    block, part = F.pmod(F.xxhash64("id"), F.col("nblk")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("nrest")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select("key", block.alias("p"), every("nrest").alias("q"), "id", "n", "label", F.lit(False).alias("rest"))
+    rest = rows.filter("label <> main").select("key", every("nblk").alias("p"), part.alias("q"), "id", "n", "label", F.lit(True).alias("rest"))
+    return members.union(rest)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, t: int = 128, bands: int = 32) -> DataFrame:
     """One row per document: docs' columns, then n_shingles, component_id, kept.
 
     A document's set is its distinct shingles of ``shingle`` words (words are split at
@@ -213,76 +263,54 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is doc_id = component_id.  Ids must be integers; rows that repeat an id are one node of
     the graph, which each row's own set may link to others; a row with a null id takes no
     part: its component is null and it is kept.  An empty table gives
-    an empty result; columns of docs that bear a result's name are replaced.
+    an empty result; columns of docs that bear a result's name, in any case, are replaced.
 
     1. Every text gets a fast similarity sketch of ``t`` coordinates, ``bands`` band keys and
        a 128-bit print of its set; rows of equal sets are one class, seen by its smallest id.
-    2. Classes that share a band key (counted by a map-side combined aggregation) meet in
-       buckets.  In a bucket of up to BLOCK classes, those whose sketches agree in at least
-       t * percent / 100 - slack coordinates are joined; a larger bucket is joined whole.
-       Either way a bucket gives fewer pairs than members.  Components of these pairs are
-       clusters: links lie inside clusters.
-    3. A class goes to its cluster with its full set, once.  A cluster of up to BLOCK classes
-       is confirmed at once, by exact intersections.  A larger one is dealt into blocks, and
-       each block is confirmed within itself and with a few classes that all blocks see.
-       Blocks are counted by classes and by the bytes of their sets, and each confirmation's
-       groups by its own rows and their bytes.  What this leaves outside the cluster's main component meets all blocks, block by
-       block, so no link is lost; pairs inside a component can't change the result.
-
-    A pair of similarity J shares no band with probability (1 - J**(t/bands))**bands, 5e-8 at
-    J = 0.8 with the defaults; agreeing in 20 coordinates fewer than the expected 102 of 128
-    has a probability below 1e-5 there.
+       Classes that share a band key meet in a bucket, whatever its size.
+    2. In each bucket, every class is held against the smallest id: at most ``bands`` pairs a
+       class.  Profiles (``profile``) refute pairs without loss, what they leave is
+       confirmed on the full sets, and the links give components.
+    3. In buckets where several components meet, pairs across them are compared by their
+       profiles, block by block, and what is left is confirmed on the full sets as well.
+       Pairs inside a component can't change the result and are never formed.
+
+    So every pair that shares a band is linked, refuted by a bound that holds for all sets,
+    or inside a component of confirmed links: no link of such a pair is lost.  A pair of
+    similarity J shares no band with probability (1 - J**(t/bands))**bands, 5e-8 at J = 0.8
+    with the defaults.  A group of copies costs one comparison a bucket and member; only
+    classes of one bucket that are *not* linked are compared with each other, by profiles.
     """
-    docs = docs.drop(*[c for c in ("n_shingles", "component_id", "kept") if c in docs.columns and c not in (id_col, text_col)])
+    docs = without_results(docs, ("n_shingles", "component_id", "kept"), id_col, text_col)
     th, key_id, key_th = free_name(docs, "text_hash", "key_id", "key_hash")
     docs = docs.withColumn(th, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{th}`").alias("th"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketched = written(plain.mapInArrow(partial(_sketched, size=shingle, t=t, bands=bands), "id long, th long, n long, print binary, low binary, keys array<bigint>"))
+    sketched = written(plain.mapInArrow(partial(_sketched, size=shingle, t=t, bands=bands), "id long, th long, n long, print binary, keys array<bigint>"))
     # Rows of one class have equal sketches, so any row's will do.
-    classes = written(sketched.filter("id is not null and n > 0").groupBy("print", "n").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("keys").alias("keys")))
-    keyed = classes.select("id", F.explode("keys").alias("key"))
+    classes = sketched.filter("id is not null and n > 0").groupBy("print", "n").agg(F.min(F.struct("id", "th")).alias("of"), F.first("keys").alias("keys"))
+    classes = written(classes.select("print", "n", "of.id", "of.th", "keys"))
+    keyed = classes.select("id", "th", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1")
-    slots = written(keyed.join(shared, "key").select("id", "key", "size", "least"))
-    low = classes.join(slots.select("id").distinct(), "id", "left_semi").select("id", "low")
-    n_slots = slots.count()
-    least = max(1, t * percent // 100 - slack)
+    slots = written(keyed.join(shared, "key").select("id", "th", "n", "key", "least"))
 
-    def alike(table):
-        return _alike(table, least)
-
-    small = slots.filter(F.col("size") <= BLOCK).join(low, "id").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(max(1, n_slots // 4_000))))
-    large = slots.filter((F.col("size") > BLOCK) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    cluster_of = components(small.groupBy("part").applyInArrow(alike, "a long, b long").union(large))
-
-    chosen = cluster_of.select(F.col("node").alias("id"))
-    if cluster_of.count() <= BROADCAST_IDS:
+    chosen = slots.select("id", "th").distinct()
+    if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    sets = written(plain.join(chosen, "id", "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, set binary, bytes long"))
-    nodes = cluster_of.join(sets.groupBy(F.col("id").alias("node")).agg(F.count(F.lit(1)).alias("n_sets"), F.sum("bytes").alias("bytes")), "node")
-    sizes = nodes.groupBy("component").agg(_blocks(F.count(F.lit(1)), F.sum("bytes")).alias("nblk"))
-    block = F.pmod(F.xxhash64("node"), F.col("nblk")).cast("int")
-    members = written(nodes.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "nblk", block.alias("blk"), "n_sets", "bytes"))
-
-    split = members.filter("nblk > 1")
-    first = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
-    hubs = split.filter(F.col("bytes") <= BLOCK_BYTES // HUBS).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= HUBS)
-    hubs = hubs.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1))).filter("p <> blk")
-    hubs = hubs.select("id", "cluster", "p", "n_sets", "bytes")
-    rows = members.select("id", "cluster", F.col("blk").alias("p"), "n_sets", "bytes").union(hubs).withColumn("q", F.lit(0))
-    parts = _parts(*rows.agg(F.sum("n_sets"), F.sum("bytes")).first())
-    links = written(_confirm(rows.select("id", "cluster", "p", "q"), sets, percent, parts))
+    sets = written(plain.join(chosen, ["id", "th"], "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, n long, profile binary, set binary"))
+    star = slots.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(_linked(star, sets, percent))
     found = components(links)
-    if not split.isEmpty():
-        labels = split.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        counts = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
-        main = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), (F.sum("size") - F.max(F.struct("n", "label", "size"))["size"]).alias("size"), (F.sum("n") - F.max("n")).alias("n")).filter("n > 0").select("cluster", "top", _blocks(F.col("n"), F.col("size")).alias("nrest"))
-        labels = labels.join(main, "cluster").select("id", "cluster", "blk", "nblk", "nrest", "n_sets", "bytes", (F.col("label") != F.col("top.label")).alias("rest"))
-        rest = labels.filter("rest").select("id", "cluster", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)).alias("p"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("nrest")).cast("int").alias("q"))
-        every = labels.select("id", "cluster", F.col("blk").alias("p"), F.explode(F.sequence(F.lit(0), F.col("nrest") - 1)).alias("q"))
-        # Rows outside the main component go to all blocks, and all rows to each block of these.
-        times = F.when(F.col("rest"), F.col("nblk")).otherwise(0).cast("long") + F.col("nrest")
-        parts = _parts(*labels.agg(F.sum(times * F.col("n_sets")), F.sum(times * F.col("bytes"))).first())
-        found = components(links.union(_confirm(rest.union(every).distinct(), sets, percent, parts)))
+    meetings = written(_meetings(slots, found))
+    n_rows, size = meetings.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if n_rows:
+        parts = max(1, n_rows // PART_ROWS, size // PART_BYTES)
+
+        def compared(table):
+            return _compared(table, percent)
+
+        dealt = meetings.join(sets.select("id", F.col("n").alias("set_n"), "profile"), "id").filter("n = set_n").withColumn("part", F.pmod(F.xxhash64("key", "p", "q"), F.lit(parts)))
+        more = dealt.select("part", "key", "p", "q", "id", "n", "label", "rest", "profile").groupBy("part").applyInArrow(compared, "a long, b long").distinct()
+        found = components(links.union(_linked(written(more), sets, percent)))
 
     of_class = classes.select("print", "n", "id").join(found, F.col("id") == F.col("node"), "left")
     of_class = of_class.select(F.col("print").alias("p2"), F.col("n").alias("n2"), F.coalesce("component", "id").alias("component"))

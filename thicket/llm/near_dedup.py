@@ -20,7 +20,7 @@ BLOCK, BLOCK_BYTES = 1024, 4 << 20
 PART_ROWS, PART_BYTES = 4_000, 16 << 20
 #: Tasks over which the partners of one class are dealt.
 SALTS = 16
-#: Most classes (16 bytes each) that are broadcast; beyond, the texts are joined by a shuffle.
+#: Most classes (8 bytes each) that are broadcast; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows of a bucket that are held against the others at once; the bytes of one comparison.
 CHUNK, STEP_BYTES = 64, 16 << 20
@@ -293,10 +293,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1")
     slots = written(keyed.join(shared, "key").select("id", "th", "n", "key", "least"))
 
-    chosen = slots.select("id", "th").distinct()
+    # One long tells the rows that are needed; two that it doesn't tell apart only mean a set more.
+    pick = F.xxhash64("id", "th").alias("pick")
+    chosen = slots.select(pick).distinct()
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    sets = written(plain.join(chosen, ["id", "th"], "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, n long, profile binary, set binary"))
+    sets = written(plain.filter("id is not null").select("*", pick).join(chosen, "pick", "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, n long, profile binary, set binary"))
     star = slots.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_linked(star, sets, percent))
     found = components(links)

@@ -13,17 +13,26 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.common import without_results
+
 #: The split of words that the word-level vocabulary uses (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Blanks of which str.split() and Unicode's White_Space differ.
 _ODD_BLANK = re.compile("[\x1c-\x1f]")
+_BLANK = re.compile("[ \n]")
+#: Letters of what is remembered at most; of a chunk that is taken in parts; of a text that is cut at blanks.
+SHORT, LONG_CHUNK, LONG_TEXT = 64, 1 << 16, 1 << 20
+#: Bytes of words that are merged at once; a longer word is cut where nothing merges.
+LONG_WORD = 1 << 19
 
 
 def byte_letters() -> list[str]:
@@ -35,7 +44,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of a BPE file with word ends (``</w>``), lower-casing and NFC."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 256 << 20):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -58,24 +67,32 @@ class WordBpe:
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + self.end] for x in letters]
-        self.split = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.split, self.matches = pattern.findall, pattern.finditer
+        #: Bytes that stand side by side within some token; between all others nothing ever merges.
+        self.joint = np.zeros((256, 256), bool)
+        byte = {c: b for b, c in enumerate(letters)}
+        for t in self.vocab:
+            raw = [byte[c] for c in t.removesuffix(self.end) if c in byte]
+            self.joint[raw[:-1], raw[1:]] = True
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        #: Ids of chunks of text and of words, of which at most ``most`` each are remembered.
+        #: Ids of chunks of text and of words of up to SHORT letters, which take about ``most`` bytes at most.
         self.seen: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.held = most, 0
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids (little-endian 32-bit) of each of the distinct, non-empty words."""
-        sym: list[int] = []
+    def merge(self, words: list[bytes], closed: list[bool] | None = None) -> list[bytes]:
+        """Ids (little-endian 32-bit) of each of the distinct, non-empty words; those that aren't closed have no word end."""
+        sym: list[int] | array = [] if sum(map(len, words)) < LONG_WORD else array("i")
         starts = []
-        for w in words:
+        for w, ends in zip(words, closed or repeat(True), strict=False):
             starts.append(len(sym))
-            sym.extend([self.inner[b] for b in w[:-1]])
-            sym.append(self.final[w[-1]])
+            sym.extend(map(self.inner.__getitem__, w[:-1]))
+            sym.append((self.final if ends else self.inner)[w[-1]])
         n, rank, made, pair = len(sym), self.rank, self.made, self.pair
         # Words end at -1 in both directions, so no pair reaches from one word into the next.
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        row = list if isinstance(sym, list) else partial(array, "i")
+        after, before = row(range(1, n + 1)), row(range(-1, n - 1))
         for s in starts:
             before[s] = -1
             if s:
@@ -91,7 +108,7 @@ class WordBpe:
                     if r in places:
                         places[r].append(i)
                     else:
-                        places[r] = [i]
+                        places[r] = row([i])
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -99,7 +116,7 @@ class WordBpe:
             here = places.pop(r)
             (a, b), new = pair[r], made[r]
             if a == b:
-                here.sort()
+                here = sorted(here) if isinstance(here, list) else np.sort(np.frombuffer(here, np.int32)).tolist()
             for i in here:
                 j = after[i]
                 if sym[i] != a or j < 0 or sym[j] != b:
@@ -133,24 +150,75 @@ class WordBpe:
 
     def _normal(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # a final sigma is no other letter here
         return text.lower()
 
-    def learn(self, chunks) -> None:
-        """Puts distinct new chunks of text without blanks into ``seen``."""
-        split, normal, words = self.split, self._normal, self.words
+    def _merged(self, words: list[str]) -> None:
+        """Puts distinct new words into ``words``, about LONG_WORD bytes at a time."""
+        raw = [w.encode() for w in words]
+        for a, b in _runs(np.array([len(x) for x in raw], np.int64), LONG_WORD):
+            ids = self.merge(raw[a:b]) if len(raw[a]) < LONG_WORD else [*map(self._long_word, raw[a:b])]
+            self.words.update(zip(words[a:b], ids, strict=True))
+
+    def _long_word(self, word: bytes) -> bytes:
+        """The ids of one word, cut where its bytes can't merge, so that only a part is held at once."""
+        x, out, pos = np.frombuffer(word, np.uint8), [], 0
+        while pos < len(x):
+            end = min(pos + LONG_WORD, len(x))
+            while end < len(x):
+                left = x[end - 1 : end - 1 + min(LONG_WORD, len(x) - end)]
+                cuts = np.flatnonzero(~self.joint[left, x[end : end + len(left)]])
+                if len(cuts):
+                    end += int(cuts[0])
+                    break
+                end += len(left)
+            out += self.merge([word[pos:end]], [end == len(x)])
+            pos = end
+        return b"".join(out)
+
+    def learn(self, chunks) -> list[tuple[dict, str]]:
+        """Puts distinct new chunks of text without blanks into ``seen``; says what isn't to be kept."""
+        split, normal, words, seen = self.split, self._normal, self.words, self.seen
         new = list(chunks)
         parts = [split(normal(x)) for x in new]
-        distinct = {p for ps in parts for p in ps if p not in words}
-        if len(words) + len(distinct) > self.most:
-            words.clear()
-            distinct = {p for ps in parts for p in ps}
-        ordered = list(distinct)
-        words.update(zip(ordered, self.merge([p.encode() for p in ordered]), strict=True))
-        seen = self.seen
+        fresh = list({p for ps in parts for p in ps if p not in words})
+        self._merged(fresh)
         for x, ps in zip(new, parts, strict=True):
             seen[x] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
+        self.held += sum(150 + 5 * len(x) for x in new) + sum(150 + 5 * len(x) for x in fresh)
+        return [(seen, x) for x in new if len(x) > SHORT] + [(words, x) for x in fresh if len(x) > SHORT]
+
+    def _long_chunk(self, chunk: str) -> bytes:
+        """The ids of a long text without blanks, some of its words at a time."""
+        out, ps, size = [], [], 0
+
+        def flush():
+            nonlocal ps, size
+            missing = {p for p in ps if p not in self.words}
+            self._merged(list(missing))
+            out.append(b"".join([self.words[p] for p in ps]))
+            for p in missing:
+                del self.words[p]
+            ps, size = [], 0
+
+        for m in self.matches(self._normal(chunk)):
+            ps.append(m[0])
+            size += len(m[0])
+            if size >= LONG_TEXT // 8:
+                flush()
+        flush()
+        return b"".join(out)
+
+    def _parts(self, text: str) -> list[str]:
+        """A text, cut at blanks if it is a long one."""
+        out, pos = [], 0
+        while len(text) - pos > LONG_TEXT:
+            m = _BLANK.search(text, pos + LONG_TEXT)
+            if not m:
+                break
+            out.append(text[pos : m.start()])
+            pos = m.start()
+        return [*out, text[pos:] if pos else text]
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that are encoded each for itself: nothing merges across blanks."""
@@ -161,16 +229,26 @@ class WordBpe:
         return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if any(len(x) > LONG_TEXT for x in texts):
+            return [b"".join([self._encode([p])[0] for p in self._parts(x)]) if len(x) > LONG_TEXT else self._encode([x])[0] for x in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         pieces = [[text] if not any(x in text for x in self.special) else self.split_special.split(text) for text in texts]
         split = [[(x, None) if x in self.special else (x, self.chunks(x)) for x in ps] for ps in pieces]
-        missing = {c for ps in split for _, cs in ps if cs for c in cs if c not in self.seen}
-        if missing:
-            if len(self.seen) + len(missing) > self.most:
-                self.seen.clear()
-                missing = {c for ps in split for _, cs in ps if cs for c in cs}
-            self.learn(missing)
-        get = self.seen.__getitem__
-        return [b"".join([np.array([self.special[x]], "<u4").tobytes() if cs is None else b"".join(map(get, cs)) for x, cs in ps]) for ps in split]
+        if self.held > self.most:
+            self.seen.clear()
+            self.words.clear()
+            self.held = 0
+        seen = self.seen
+        missing = {c for ps in split for _, cs in ps if cs for c in cs if c not in seen}
+        long = {c for c in missing if len(c) > LONG_CHUNK}
+        passing = self.learn(missing - long) if missing else []
+        get = seen.__getitem__ if not long else lambda c: self._long_chunk(c) if c in long else seen[c]
+        out = [b"".join([np.array([self.special[x]], "<u4").tobytes() if cs is None else b"".join(map(get, cs)) for x, cs in ps]) for ps in split]
+        for table, x in passing:
+            table.pop(x, None)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by one space: the file names no decoder."""
@@ -219,10 +297,10 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", digests: b
     integers; ``decoded`` is decoded from them.  A null text counts as empty: no ids, an
     empty decoded text.  Each row stands for itself, so repeated rows and null ids give
     rows alike; an empty table gives an empty result; columns of docs that bear a result's
-    name are replaced.  A narrow transformation: nothing is shuffled.
+    name, in any case, are replaced.  A narrow transformation: nothing is shuffled.
     """
     result = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-    others = [c for c in docs.columns if c != text_col and c not in result]
+    others = [c for c in without_results(docs, tuple(result), text_col).columns if c.lower() != text_col.lower()]
     plain = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("string"))
     kinds = [f.dataType for f in plain.schema.fields[:-1]]
     from pyspark.sql.types import BinaryType, LongType, StringType, StructType

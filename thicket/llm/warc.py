@@ -24,6 +24,8 @@ _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 #: An archive is closed when it has this many bytes.
 ARCHIVE_BYTES = 4 << 20
+#: Members within members that are followed; bytes that one member may inflate to.
+MOST_DEPTH, MOST_INFLATED = 8, 1 << 29
 
 
 class Record(NamedTuple):
@@ -99,25 +101,31 @@ def _plain_record(data, pos: int) -> Record | str:
 def _member(data: bytes, pos: int) -> tuple[bytes, int] | str:
     """The gzip member at pos and where it ends; zlib checks its length and CRC."""
     z = zlib.decompressobj(31)
-    out, at, step = [], pos, 1 << 16
+    out, size, at, step = [], 0, pos, 1 << 16
     try:
         while not z.eof:
-            if at >= len(data):
+            if at >= len(data) and not z.unconsumed_tail:
                 return "truncated member"
-            out.append(z.decompress(data[at : at + step]))
-            at += step
+            more = z.unconsumed_tail or data[at : at + step]
+            at += 0 if z.unconsumed_tail else step
+            out.append(z.decompress(more, 1 << 20))
+            size += len(out[-1])
+            if size > MOST_INFLATED:
+                return f"member inflates to over {MOST_INFLATED} bytes"
     except zlib.error as e:
         return f"bad member: {e}"
     return b"".join(out), min(at, len(data)) - len(z.unused_data)
 
 
-def _at(data: bytes, pos: int) -> tuple[list[Record | Gap], int] | str:
+def _at(data: bytes, pos: int, depth: int) -> tuple[list[Record | Gap], int] | str:
     """What stands at pos and where it ends, or why nothing valid does."""
     if data[pos : pos + 3] == b"\x1f\x8b\x08":
+        if depth >= MOST_DEPTH:
+            return f"over {MOST_DEPTH} members within each other"
         got = _member(data, pos)
         if isinstance(got, str):
             return got
-        inner = list(salvage(got[0]))
+        inner = list(salvage(got[0], depth + 1))
         if not any(isinstance(x, Record) for x in inner):
             return inner[0].reason if inner else "empty member"
         return [x._replace(start=pos, end=got[1]) for x in inner], got[1]
@@ -125,18 +133,19 @@ def _at(data: bytes, pos: int) -> tuple[list[Record | Gap], int] | str:
     return got if isinstance(got, str) else ([got], got.end)
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
+def salvage(data: bytes, depth: int = 0) -> Iterator[Record | Gap]:
     """All valid records of an archive, and the byte gaps between them.
 
     Records are gzip members or plain.  Where a check fails (gzip's own, the header's form,
     the block's length, end or digest), the next member or version line that holds a valid
     record is searched for, and the bytes before it are a gap with the first failure's
     reason.  Gaps and records together cover the archive; within a member of several records
-    a gap has the member's place.
+    a gap has the member's place.  Members within members are followed MOST_DEPTH deep, and a
+    member that inflates to over MOST_INFLATED bytes is a gap like other damage.
     """
     pos, bad, reason = 0, None, ""
     while pos < len(data):
-        got = _at(data, pos)
+        got = _at(data, pos, depth)
         if isinstance(got, str):
             if bad is None:
                 bad, reason = pos, got
@@ -234,5 +243,43 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", content_col
 
 
 def round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """The pages' records, written to a table of archives in the shared folder and read back."""
+    """The pages' records, written to a table of archives in the shared folder and read back.
+
+    One record per row of pages.  A null html is an empty payload, a null url gives no target
+    URI; a row with a null id is a response of page_id null.  Of equal payloads of several
+    ids the smallest id is the response; rows that repeat an id with an equal payload are all
+    responses, as one with another payload is.  An empty table gives no rows; other columns
+    of pages, whatever their names, don't matter.  Payloads of up to about 500 MB come back
+    whole (MOST_INFLATED, and Spark's bound of 2 GB on a value).
+    """
     return read_archives(written(write_archives(pages, revisit_from=revisit_from))).filter("gap is null")
+
+
+def damaged(archives: DataFrame, letters: str = "ABCDEF") -> DataFrame:
+    """archives in which a byte amid each record whose payload digest begins with one of ``letters`` is turned over.
+
+    For drills of the salvage reader: such a record's checks fail, its neighbours' don't.  A
+    null content stays null.
+    """
+
+    def hit(batches):
+        for b in batches:
+            out = []
+            for content in b.column("content"):
+                raw = content.as_py()
+                if raw is not None:
+                    found = [x for x in salvage(raw) if isinstance(x, Record)]
+                    raw = bytearray(raw)
+                    for x in found:
+                        if x.headers.get("warc-payload-digest", "").removeprefix("sha1:")[:1] in [*letters]:
+                            raw[(x.start + x.end) // 2] ^= 0xFF
+                    raw = bytes(raw)
+                out.append(raw)
+            yield pa.RecordBatch.from_arrays([b.column("archive"), pa.array(out, pa.binary())], names=["archive", "content"])
+
+    return archives.select("archive", "content").mapInArrow(hit, "archive string, content binary")
+
+
+def salvage_drill(pages: DataFrame, letters: str = "ABCDEF") -> DataFrame:
+    """Records and gaps read back from the pages' archives after damage (see ``damaged``)."""
+    return read_archives(written(damaged(written(write_archives(pages)), letters)))

@@ -174,34 +174,59 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query(
+    "warc_salvage",
+    f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, {_BASE32} AS payload_digest FROM p)
+SELECT page_id, payload_digest, substr(payload_digest, 1, 1) NOT IN ('A', 'B', 'C', 'D', 'E', 'F') AS recovered FROM d""",
+)
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, and whether its record came back from archives in which some records are broken."""
+    from pyspark.sql import functions as F
+
+    from thicket.llm.warc import round_trip, salvage_drill
+
+    pages = _table(spark, sf_dir, "pages")
+    back = salvage_drill(pages).filter("gap is null").select("page_id", F.lit(True).alias("back"))
+    return round_trip(pages).join(back, "page_id", "left").select("page_id", "payload_digest", F.coalesce("back", F.lit(False)).alias("recovered"))
+
+
 def _op6_sql() -> str:
-    from thicket.llm.licenses import ANCHOR, TEMPLATES
+    from thicket.llm.licenses import ANCHOR, PARTED, templates
 
-    rows = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(templates()))
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-WITH tmpl(license, body) AS (VALUES {rows}),
-tt AS (SELECT license, t, count(*) AS k FROM (SELECT license, unnest(regexp_extract_all({low.format("body")}, '[a-z0-9]+')) AS t FROM tmpl) GROUP BY ALL),
+WITH tmpl(k, license, body) AS (VALUES {rows}),
+tt AS (SELECT tk, any_value(license) AS license, t, count(*) AS k FROM (SELECT k AS tk, license, unnest(regexp_extract_all({low.format("body")}, '[a-z0-9]+')) AS t FROM tmpl) GROUP BY tk, t),
 docs AS (
-  SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path, source || '/' || lang AS dir, coalesce(text, '') AS text,
+  SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path, source || '/' || lang AS dir, {low.format("coalesce(text, '')")} AS low,
     len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) < 60 AS speaks FROM documents),
-lines AS (
-  SELECT doc_id, i, regexp_extract_all(line, '[a-z0-9]+') AS ts
-  FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split({low.format("text")}, chr(10)) AS ls FROM docs))
-  WHERE regexp_matches(line, '{ANCHOR}')),
+split AS (SELECT doc_id, string_split(low, chr(10)) AS ls FROM docs),
+spots AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split),
+here AS (SELECT doc_id, i, ls[i] AS line, CASE WHEN i > 1 THEN ls[i - 1] ELSE '' END AS before, coalesce(ls[i + 1], '') AS after FROM spots WHERE regexp_matches(ls[i], '{ANCHOR}')),
+lines AS (SELECT doc_id, i, regexp_extract_all(line, '[a-z0-9]+') AS ts FROM here),
+units AS (
+  SELECT doc_id, 'l' || i AS i, ts FROM lines
+  UNION ALL SELECT doc_id, 'a' || i, regexp_extract_all(line || ' ' || after, '[a-z0-9]+') FROM here
+  UNION ALL SELECT doc_id, 'b' || i, regexp_extract_all(before || ' ' || line, '[a-z0-9]+') FROM here
+  UNION ALL SELECT doc_id, 'p' || i, regexp_extract_all(ps[i], '[a-z0-9]+') FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split_regex(low, '{PARTED}') AS ps FROM docs)) WHERE regexp_matches(ps[i], '{ANCHOR}')
+  UNION ALL SELECT doc_id, 'w', regexp_extract_all(low, '[a-z0-9]+') FROM docs WHERE speaks),
 total AS (SELECT count(*) AS n FROM lines),
-lt AS (SELECT doc_id, i, t, count(*) AS k FROM (SELECT doc_id, i, unnest(ts) AS t FROM lines) GROUP BY ALL),
-df AS (SELECT t, count(*) AS df FROM lt GROUP BY t),
+df AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT doc_id, i, unnest(ts) AS t FROM lines) GROUP BY t),
+lt AS (SELECT doc_id, i, t, count(*) AS k FROM (SELECT doc_id, i, unnest(ts) AS t FROM units) GROUP BY ALL),
 known AS (SELECT DISTINCT t FROM tt),
 idf AS (SELECT known.t, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM known CROSS JOIN total LEFT JOIN df ON df.t = known.t),
 lw AS (SELECT doc_id, i, lt.t, k * coalesce(w, ln(1 + n) + 1) AS x FROM lt CROSS JOIN total LEFT JOIN idf ON idf.t = lt.t),
 ln_ AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM lw GROUP BY ALL),
-tw AS (SELECT license, tt.t, k * w AS y FROM tt JOIN idf ON idf.t = tt.t),
-tn AS (SELECT license, sqrt(sum(y * y)) AS norm FROM tw GROUP BY ALL),
+tw AS (SELECT tk, license, tt.t, k * w AS y FROM tt JOIN idf ON idf.t = tt.t),
+tn AS (SELECT tk, sqrt(sum(y * y)) AS norm FROM tw GROUP BY ALL),
 c AS (
   SELECT d.doc_id, round(d.dot / (ln_.norm * tn.norm), 6) AS score, d.license
-  FROM (SELECT doc_id, i, license, sum(x * y) AS dot FROM lw JOIN tw ON lw.t = tw.t GROUP BY ALL) d
-  JOIN ln_ ON ln_.doc_id = d.doc_id AND ln_.i = d.i JOIN tn ON tn.license = d.license),
+  FROM (SELECT doc_id, i, tk, license, sum(x * y) AS dot FROM lw JOIN tw ON lw.t = tw.t GROUP BY ALL) d
+  JOIN ln_ ON ln_.doc_id = d.doc_id AND ln_.i = d.i JOIN tn ON tn.tk = d.tk),
 best AS (SELECT doc_id, score, license FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC) AS r FROM c) WHERE r = 1 AND score >= 0.8),
 spoken AS (
   SELECT dir, score, license FROM (

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from thicket.llm.quality import Network, classify, symbols
 from thicket.llm.queries import tokenizer_file
 from thicket.llm.sketch import EMPTY, sketches
 from thicket.llm.substring_dedup import pack as pack_cells
-from thicket.llm.substring_dedup import substring_dedup, unpack
-from thicket.llm.token_counts import MARK, UnigramTrie, token_counts, zipf_scores
+from thicket.llm.substring_dedup import Cells, join_kept, substring_dedup, unpack
+from thicket.llm.token_counts import MARK, UnigramTrie, file_scores, token_counts
 from thicket.llm.topk import SlicedBlock, exact_top_k, signed_digits
 from thicket.llm.warc import Gap, Record, make_record, read_archives, round_trip, salvage, sha1_base32
 from thicket.llm.word_bpe import encode_decode
@@ -215,8 +216,13 @@ def brute_substring(pairs, window):
     return out
 
 
-@pytest.mark.parametrize("size", [{}, {"bundle": 700, "block": 64}])
-def test_substring_dedup(docs, rows, size):
+@pytest.mark.parametrize("size", [{}, {"bundle": 700, "blocks": 4}, {"bundle": 300, "cells": 4}])
+def test_substring_dedup(docs, rows, size, monkeypatch):
+    from thicket.llm import substring_dedup as module
+
+    size = dict(size)
+    monkeypatch.setattr(module, "CELLS", size.pop("cells", module.CELLS))  # few cells a block: blocks grow in number
+    monkeypatch.setattr(module, "MOST_BUNDLE", 700)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(docs, window=13, **size).collect()}
     assert got == brute_substring([(i, t) for i, t, *_ in rows], 13)
 
@@ -229,22 +235,76 @@ def test_substring_null_ids_repeats_and_empty(spark, empty):
 
 
 def test_packed_cells():
-    for cells in ([], [0], [0, 0, 65534, 65535, 65536, 400000, 400000]):
+    for cells in ([], [0], [0, 0, 65534, 65535, 65536, 400000, 400000], [5, 6, 6, 70000], [1 << 24, (1 << 26) - 1, (1 << 26) - 1]):
         assert unpack(pack_cells(np.array(cells, np.int64))).tolist() == cells
 
 
-def test_bpe_is_the_library(spark):
+def test_cells_count_like_a_counter():
+    from collections import Counter
+
+    r = np.random.default_rng(2)
+    lists = [np.sort(r.integers(0, 512, r.integers(0, 200))) for _ in range(5)]
+    filled, count = Cells(9), Counter(np.concatenate(lists).tolist())
+    for x in lists:
+        filled.add(x)
+    assert filled.repeated(np.arange(512)).tolist() == [count[c] > 1 for c in range(512)]
+
+
+def test_substring_hot_window_and_hash_collisions(spark, monkeypatch):
+    from thicket.llm import substring_dedup as module
+
+    # A passage that every document holds, in many bundles; and hashes so short that most windows collide in one of them.
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(15)]
+    pairs = [(i, " ".join([f"a{r.random()}" for _ in range(20)] + passage + [f"b{r.random()}"])) for i in range(300)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    want = brute_substring(pairs, 13)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring_dedup(df, bundle=500).collect()} == want
+    windows = module.windows
+    first = []
+
+    def weak(h, size):  # of the two hashes of a bundle, the first keeps four bits
+        first.append(0)
+        return windows(h, size) >> np.uint64(60) << np.uint64(60) if len(first) % 2 else windows(h, size)
+
+    monkeypatch.setattr(module, "windows", weak)
+    b = module._Bundle(pa.array([t for _, t in pairs[:50]]), np.arange(50), 13)
+    distinct = {tuple(w[k : k + 13]) for _, t in pairs[:50] for w in [t.split()] for k in range(len(w) - 12)}
+    assert len(b.hash) == len(distinct) and len(np.unique(b.hash)) <= 16
+
+
+def test_join_kept():
+    r = random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choices("ab \n\t", k=r.randint(1, 30))).encode()
+        w = text.split()
+        lost = np.array([r.random() < 0.4 for _ in w], bool)
+        if len(w) and not lost.all():
+            assert join_kept(np.frombuffer(text, np.uint8), lost) == b" ".join(x for x, y in zip(w, lost, strict=True) if not y)
+
+
+def test_bpe_is_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
     r = random.Random(2)
     alphabet = [*"abcXYZ 'st\n\t\x0b\x1c\x1f\x85\xa0　!?.ÉéΣσςİı漢🙂éﬁ१Ω", "<|endoftext|>", "'LL", "aaaa", "the "]
-    some = [None, "", "aaa aaaaa", "x" * 5000] + ["".join(r.choices(alphabet, k=r.randint(1, 60))) for _ in range(400)]
+    from thicket.llm import word_bpe as module
+
+    some = [None, "", "aaa aaaaa", "x" * 5000, "thequickbrownfox" * 400, " ".join(["some words,and"] * 900)] + ["".join(r.choices(alphabet, k=r.randint(1, 60))) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
     for row in encode_decode(df, tokenizer_file("word_bpe_49k.json")).collect():
         ids = library.encode(some[row.doc_id] or "", add_special_tokens=False).ids
         assert np.frombuffer(row.ids, "<u4").tolist() == ids and row.n_tokens == len(ids)
         assert row.decoded == library.decode(ids, skip_special_tokens=False)
+    # The ways of long texts, chunks and words, which are taken in parts, give the same ids.
+    for name, value in (("LONG_TEXT", 200), ("LONG_CHUNK", 50), ("LONG_WORD", 20), ("SHORT", 3)):
+        monkeypatch.setattr(module, name, value)
+        bpe = module.WordBpe(tokenizer_file("word_bpe_49k.json"), most=5000)
+        for k in range(0, len(some), 40):
+            part = [x or "" for x in some[k : k + 40]]
+            assert bpe.encode(part) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
+        assert max(map(len, bpe.seen), default=0) <= module.SHORT and bpe.held < 200_000
     assert encode_decode(df.limit(0), tokenizer_file("word_bpe_49k.json"), digests=True).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
@@ -276,6 +336,40 @@ def test_warc_salvage(spark, compress):
     assert len(read) == len(found) and sum(r.gap is not None for r in read) == 5
 
 
+def test_salvage_follows_members_only_so_deep(monkeypatch):
+    import gzip
+
+    from thicket.llm import warc
+
+    record = make_record("response", 1, "u", b"payload", None, compress=False)
+    for depth, found in ((3, True), (1500, False)):
+        data = record
+        for _ in range(depth):
+            data = gzip.compress(data, 1)
+        got = list(salvage(data + record))
+        assert isinstance(got[-1], Record) and isinstance(got[0], Record) == found
+        assert got[0].start == 0 and got[-1].end == len(data + record)
+    monkeypatch.setattr(warc, "MOST_INFLATED", 3 << 20)
+    bomb = gzip.compress(b"\0" * (20 << 20))
+    got = list(salvage(bomb + record))
+    assert [type(x) for x in got] == [Gap, Record] and "inflates" in got[0].reason
+    big = make_record("response", 2, "u", b"x" * (2 << 20), None)
+    assert [type(x) for x in salvage(big)] == [Record]
+
+
+def test_salvage_drill(spark):
+    from thicket.llm.warc import salvage_drill
+
+    df = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 9) for i in range(60)], "page_id long, url string, html string")
+    lost = {r.page_id for r in round_trip(df).collect() if r.payload_digest[0] in "ABCDEF"}
+    read = salvage_drill(df).collect()
+    assert {r.page_id for r in read if r.gap is None} == set(range(60)) - lost and 0 < len(lost) < 60
+    assert sum(r.gap is not None for r in read) > 0
+    for archive in {r.archive for r in read}:  # records and gaps cover each archive
+        spans = sorted((r.start, r.end) for r in read if r.archive == archive)
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
@@ -345,8 +439,6 @@ def test_quality_bound_passes_over_only_what_does_not_fit(spark, monkeypatch):
 
 
 def test_network_gradient_and_scores():
-    import pyarrow as pa
-
     net = Network(e=4, f=3, seed=1)
     column = pa.array(["hello hello world, this is some text " * 12, "x", "", None])
     s = symbols(*__import__("thicket.llm.text", fromlist=["utf8"]).utf8(column))
@@ -372,18 +464,30 @@ def test_network_gradient_and_scores():
     assert np.allclose(whole, alone, atol=1e-6)
 
 
-def test_token_counts_are_a_unigram_models(spark):
+def test_token_counts_are_a_unigram_models(spark, monkeypatch):
     from tokenizers import Tokenizer, models
 
-    scores = zipf_scores(tokenizer_file("piece_bpe_32k.model"))
-    library = Tokenizer(models.Unigram([("<unk>", 0.0), *scores.items(), *((f"<0x{i:02X}>", -100.0) for i in range(256))], 0, True))
+    from thicket.llm import token_counts as module
+
+    scores = file_scores(tokenizer_file("piece_bpe_32k.model"))
+    library = Tokenizer(models.Unigram([("<unk>", 0.0), *scores.items(), *((f"<0x{i:02X}>", -3e9) for i in range(256))], 0, True))
     r = random.Random(6)
     pretokens = {MARK + "".join(r.choices("abcdefghiétion漢🙂.,-", k=r.randint(1, 14))) for _ in range(800)} | {MARK, MARK + "the", MARK + "thee"}
     trie = UnigramTrie(scores)
-    trie.learn(pretokens)
-    assert {t: len(library.encode(t).ids) for t in pretokens} == {t: trie.seen[t] for t in pretokens}
+    want = {t: len(library.encode(t).ids) for t in pretokens}
+    assert want == {t: trie.insert(t) for t in pretokens} == {t: trie.ends[t] for t in pretokens}
+    # One node for each distinct prefix; nothing is computed again for what is known.
+    assert len(trie.best) == 1 + len({t[:k] for t in pretokens for k in range(1, len(t) + 1)})
+    steps, step = [], trie._step
+    trie._step = lambda *a: steps.append(1) or step(*a)
+    trie.insert(MARK + "theé")
+    assert len(steps) == 1
+    monkeypatch.setattr(module, "LONGEST", 3)
+    assert {t: trie.insert(t) for t in pretokens} == want
+    small = UnigramTrie(scores, 50, 20)
+    assert small.counts([" ".join(t[1:] for t in pretokens if len(t) > 1)] * 2)[1] == [sum(n for t, n in want.items() if len(t) > 1)] * 2
     df = spark.createDataFrame([(1, None, 5), (2, " ", 5), (3, "the thee\nthe", 5), (3, "the thee\nthe", 5)], "doc_id long, text string, n_tokens int")
-    want = 2 * trie.seen[MARK + "the"] + trie.seen[MARK + "thee"]
+    want = 2 * trie.ends[MARK + "the"] + trie.ends[MARK + "thee"]
     assert sorted((r.doc_id, r.n_pretokens, r.n_tokens) for r in token_counts(df, tokenizer_file("piece_bpe_32k.model")).collect()) == [(1, 0, 0), (2, 0, 0), (3, 3, want), (3, 3, want)]
 
 
@@ -436,6 +540,36 @@ def test_licenses(spark):
     assert {(r.license, r.origin) for r in none} == {(None, "none")}
 
 
+def test_license_headers_titles_notices_and_files(spark):
+    from thicket.llm.licenses import TEMPLATES
+
+    mit = TEMPLATES["MIT"][-1]
+    bsd = TEMPLATES["BSD-3-Clause"][-1]
+    notice = "\n".join(" * " + x for x in TEMPLATES["Apache-2.0"][-1].split("\n"))
+    cases = {
+        "a1/x": ("# SPDX-License-Identifier: MIT\ncode", "MIT"), "a2/x": ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), "a3/x": ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+        "a4/x": ("MIT License\n\nCopyright", "MIT"), "a5/x": ("Apache License, Version 2.0, January 2004", "Apache-2.0"), "a6/x": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "GPL-3.0"),
+        "a7/x": ("int x;\n// This work is licensed under the GNU\n// General Public License, version 3.\nint y;", "GPL-3.0"), "a8/x": ("code\n\n/*\n" + notice + "\n */\n\ncode " * 50, "Apache-2.0"),
+        "a9/LICENSE": ("Copyright (c) 2020 Someone\n\n" + mit, "MIT"), "b1/LICENSE.txt": ("Copyright 2019, The Authors. All rights reserved.\n\n" + bsd.replace("\n", "\n\n"), "BSD-3-Clause"),
+        "b2/x": ("SPDX-License-Identifier: Zlib", None), "b3/x": ("this sentence has a license in it, and much else that no template holds", None), "b4/COPYING": ("nothing of the kind", None),
+    }
+    got = {r.path: r.license for r in scan_licenses(spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string")).collect()}
+    assert got == {p: want for p, (_, want) in cases.items()}
+
+
+def test_long_lines_are_scanned_in_linear_time(spark):
+    import time
+
+    line = lambda n: "license " + " ".join(f"t{i}" for i in range(n))
+    took = []
+    for n in (100, 2000, 20000):
+        df = spark.createDataFrame([("a/x", line(n))], "path string, text string")
+        began = time.time()
+        assert scan_licenses(df).first().origin == "none"
+        took.append(time.time() - began)
+    assert took[2] < took[0] + 20 * max(1.0, took[1] - took[0])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import free_name
+from thicket.llm.common import free_name, without_results
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -18,7 +18,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a null id sorts after all others, and a group of null ids alone has a null keep_id.  Rows
     that repeat an id with an equal text all count in group_size and are all marked kept, for
     theirs is the id that stays.  An empty table gives an empty result.  Columns of docs that
-    bear a result's name are replaced; other columns pass through whatever their names.
+    bear a result's name, in any case, are replaced; other columns pass through whatever their names.
 
     Only DataFrame functions run.  The aggregation groups by the 128-bit hash *and* the text:
     the hash places a row, the text's bytes decide within a hash, so a collision makes two
@@ -27,7 +27,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and, to tell collided texts apart, the SHA-256 that the result shows anyway; its hot keys
     are plain equi-join keys that AQE splits.
     """
-    docs = docs.drop(*[c for c in RESULT if c in docs.columns and c not in (id_col, text_col)])
+    docs = without_results(docs, RESULT, id_col, text_col)
     norm, h, g_h, g_norm, g_sha = free_name(docs, "norm", "h128", "g_h128", "g_norm", "g_sha256")
     doc_id = F.col(f"`{id_col}`")
     base = docs.withColumn(norm, F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "))

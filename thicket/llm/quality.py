@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from thicket.llm.common import without_results
 from thicket.llm.text import utf8, words
 
 STEP, WIDTH, BLOCK, CHUNK, HOP = 4, 8, 16, 4, 3  # bytes, bytes, steps in a block, blocks in a chunk, blocks between chunks
@@ -235,7 +236,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     columns of docs that bear a result's name are replaced.  See ``train`` for the sample
     that the classifier is fitted on; scoring is a narrow transformation.
     """
-    docs = docs.drop(*[c for c in ("held_out", "score", "predicted") if c in docs.columns and c not in (id_col, text_col)])
+    docs = without_results(docs, ("held_out", "score", "predicted"), id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, labels, id_col, text_col, **fit)))
     schema = StructType([*docs.schema.fields]).add("score", DoubleType())
     at = docs.columns.index(text_col)

@@ -438,7 +438,7 @@ def test_quality_bound_passes_over_only_what_does_not_fit(spark, monkeypatch):
         classify(docs, labels.withColumn("quality", (F.col("doc_id") == order[0]).cast("int")), max_bytes=20_000)
 
 
-def test_network_gradient_and_scores():
+def test_network_gradient_and_scores(monkeypatch):
     net = Network(e=4, f=3, seed=1)
     column = pa.array(["hello hello world, this is some text " * 12, "x", "", None])
     s = symbols(*__import__("thicket.llm.text", fromlist=["utf8"]).utf8(column))
@@ -460,8 +460,15 @@ def test_network_gradient_and_scores():
         x[k] = kept
         assert abs((high - low) / (2 * step) - g[name].reshape(-1)[k]) < 2e-2
     column = pa.array(["hello hello world, this is some text " * 12, "x", "", None, "y" * 60, "z" * 61])
-    whole, alone = net.score(column), [net.score(column[i : i + 1])[0] for i in range(6)]
+    column = pa.concat_arrays([column, pa.array(["".join(random.Random(1).choices("abc é", k=n)) for n in (63, 64, 200, 252, 253, 900, 5000)])])
+    whole, alone = net.score(column), [net.score(column[i : i + 1])[0] for i in range(len(column))]
     assert np.allclose(whole, alone, atol=1e-6)
+    from thicket.llm import quality as module
+
+    monkeypatch.setattr(module, "SLICE", 50)  # slice by slice, the scores are the same
+    for chunks in (1, 2, 7):
+        monkeypatch.setattr(module, "SLICE_CHUNKS", chunks)
+        assert np.allclose(whole, net.score(column), atol=1e-6)
 
 
 def test_token_counts_are_a_unigram_models(spark, monkeypatch):

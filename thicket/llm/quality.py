@@ -1,9 +1,10 @@
 """A byte-level convolutional quality classifier in numpy.
 
-Every byte is a symbol; bytes of a word that repeats the word before it are symbols of a
-second alphabet.  Learned filters of 8 bytes move over the text in steps of 4; their
-largest responses in overlapping chunks of 256 bytes (64 shared with the next) cover the
-whole document, and the chunks' mean and maximum are combined into one probability.
+Learned filters of 8 bytes move over the text's bytes in steps of 4; their largest responses
+in overlapping chunks of 256 bytes (64 shared with the next) cover the whole document, and
+the chunks' mean and maximum are combined into one probability.  A long text passes in
+slices that end at chunk borders, with a running sum and maximum, so that what is held
+doesn't depend on its length.
 """
 
 from __future__ import annotations
@@ -17,43 +18,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from thicket.llm.common import without_results
-from thicket.llm.text import utf8, words
+from thicket.llm.text import utf8
 
 STEP, WIDTH, BLOCK, CHUNK, HOP = 4, 8, 16, 4, 3  # bytes, bytes, steps in a block, blocks in a chunk, blocks between chunks
 
 
+#: Bytes of texts that are scored together; a longer text passes in slices of SLICE_CHUNKS chunks.
+SLICE, SLICE_CHUNKS = 1 << 20, 5000
+
+
 def symbols(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' symbols, each text padded with zeros to whole blocks, and its first block (n + 1 offsets)."""
-    (h,), first = words(raw, at)
-    again = np.zeros(len(h), bool)
-    again[1:] = h[1:] == h[:-1]
-    again[first[:-1][first[:-1] < len(h)]] = False
-    sym = raw.astype(np.uint16)
-    if len(h):
-        of = np.cumsum(_word_starts(raw, at)) - 1
-        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        sym[(of >= 0) & again[np.maximum(of, 0)] & ~space] += 256
+    """The texts' bytes, each text padded with zeros to whole blocks, and its first block (n + 1 offsets)."""
     unit = STEP * BLOCK
-    blocks = np.diff(at) + STEP
-    blocks = -(-blocks // unit)
-    start = np.concatenate([[0], np.cumsum(blocks)])
-    out = np.zeros(int(start[-1]) * unit, np.uint16)
+    start = np.concatenate([[0], np.cumsum(-(-(np.diff(at) + STEP) // unit))])
+    out = np.zeros(int(start[-1]) * unit, np.uint8)
     if len(raw):
-        shift = np.repeat(start[:-1] * unit - at[:-1], np.diff(at))
-        out[np.arange(len(raw)) + shift] = sym
+        out[np.arange(len(raw)) + np.repeat(start[:-1] * unit - at[:-1], np.diff(at))] = raw
     return out, start
 
 
-def _word_starts(raw, at):
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    edge = at[1:-1]
-    edge = edge[(edge > 0) & (edge < len(raw))]
-    begin[edge] = inside[edge]
-    return begin
-
-
 def _chunks(start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last block of every chunk, and each text's first chunk (n + 1 offsets)."""
     n = np.diff(start)
@@ -65,12 +48,12 @@ def _chunks(start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Network:
-    """embedding (512, e), filters (8 * e, f) with bias, and the weights of mean and maximum."""
+    """embedding (256, e), filters (8 * e, f) with bias, and the weights of mean and maximum."""
 
     def __init__(self, e: int = 8, f: int = 16, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.p = {
-            "emb": rng.normal(0, 0.5, (512, e)).astype(np.float32),
+            "emb": rng.normal(0, 0.5, (256, e)).astype(np.float32),
             "w": rng.normal(0, 1 / np.sqrt(WIDTH * e), (WIDTH * e, f)).astype(np.float32),
             "b": np.zeros(f, np.float32),
             "v": rng.normal(0, 0.2, 2 * f).astype(np.float32),
@@ -78,41 +61,63 @@ class Network:
         }
         self.shift = 0.0
 
-    def responses(self, sym: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """(steps, f) filter responses; the last step of a text sees zeros beyond."""
+    def responses(self, sym: np.ndarray, start: np.ndarray, ahead: np.ndarray | None = None) -> np.ndarray:
+        """(steps, f) filter responses; the last step of a text sees ``ahead``, by default zeros."""
         e, f = self.p["emb"].shape[1], self.p["w"].shape[1]
         half = STEP * e
         both = np.concatenate([self.p["w"][:half], self.p["w"][half:]], axis=1)
         x = self.p["emb"][sym].reshape(-1, half) @ both
         after = np.empty((len(x), f), np.float32)
         after[:-1] = x[1:, f:]
-        after[start[1:] * BLOCK - 1] = np.tile(self.p["emb"][0], STEP) @ self.p["w"][half:]
+        after[start[1:] * BLOCK - 1] = self.p["emb"][np.zeros(STEP, np.uint8) if ahead is None else ahead].reshape(-1) @ self.p["w"][half:]
         after += x[:, :f]
         return after
 
-    def _pooled(self, sym, start):
-        f = self.p["w"].shape[1]
-        r = self.responses(sym, start).reshape(-1, BLOCK, f)
+    def _chunk_values(self, sym, start, ahead=None):
+        """(chunks, f) values, and what the gradient needs of their making."""
+        r = self.responses(sym, start, ahead).reshape(-1, BLOCK, self.p["w"].shape[1])
         top = r.max(axis=1)
         a, z, first = _chunks(start)
         m = top[a]
         for k in range(1, CHUNK):
             np.maximum(m, top[np.minimum(a + k, z)], out=m)
-        m = np.tanh(np.maximum(m + self.p["b"], 0) / 4)
+        return np.tanh(np.maximum(m + self.p["b"], 0) / 4), (r, top, a, z, first)
+
+    def _pooled(self, sym, start):
+        m, (r, top, a, z, first) = self._chunk_values(sym, start)
         mean = np.add.reduceat(m, first[:-1], axis=0) / np.diff(first)[:, None]
         high = np.maximum.reduceat(m, first[:-1], axis=0)
         return np.concatenate([mean, high], axis=1), (r, top, a, z, first, m)
 
+    def _long(self, raw: np.ndarray) -> float:
+        """The logit of one text, slice by slice."""
+        unit, f = STEP * BLOCK, self.p["w"].shape[1]
+        blocks = -(-(len(raw) + STEP) // unit)
+        many = max(1, -(-(blocks - CHUNK) // HOP) + 1)
+        total, high = np.zeros(f), np.zeros(f, np.float32)
+        for c in range(0, many, SLICE_CHUNKS):
+            a, z = HOP * c, min(HOP * (min(c + SLICE_CHUNKS, many) - 1) + CHUNK, blocks)
+            sym, ahead = np.zeros((z - a) * unit, np.uint8), np.zeros(STEP, np.uint8)
+            for out, piece in ((sym, raw[a * unit : z * unit]), (ahead, raw[z * unit : z * unit + STEP])):
+                out[: len(piece)] = piece
+            m, _ = self._chunk_values(sym, np.array([0, z - a]), ahead)
+            total += m.sum(axis=0, dtype=np.float64)
+            np.maximum(high, m.max(axis=0), out=high)
+        return float(np.concatenate([total / many, high]) @ self.p["v"] + self.p["c"][0])
+
     def logits(self, sym, start) -> np.ndarray:
         return self._pooled(sym, start)[0] @ self.p["v"] + self.p["c"][0]
 
     def score(self, text) -> np.ndarray:
-        """A probability for each text of an Arrow column, a few MB of text at a time."""
+        """A probability for each text of an Arrow column, about SLICE bytes of text at a time."""
         raw, at = utf8(text)
         out, i, n = [], 0, len(at) - 1
         while i < n:
-            j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), "right")) - 1)
-            j = min(j, n)
+            if at[i + 1] - at[i] > SLICE:
+                out.append(np.array([self._long(raw[at[i] : at[i + 1]])]))
+                i += 1
+                continue
+            j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1))
             out.append(self.logits(*symbols(raw[at[i] : at[j]], at[i : j + 1] - at[i])))
             i = j
         z = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
@@ -133,13 +138,13 @@ class Network:
         best = np.stack([top[np.minimum(a + k, z)] for k in range(CHUNK)]).argmax(axis=0)
         block = np.minimum(a[:, None] + best, z[:, None])
         step = block * BLOCK + r.argmax(axis=1)[block, np.arange(f)]
-        padded = np.concatenate([sym, np.zeros(WIDTH, np.uint16)])
+        padded = np.concatenate([sym, np.zeros(WIDTH, np.uint8)])
         seen = padded[step[..., None] * STEP + np.arange(WIDTH)]  # (chunks, f, 8)
         seen[..., STEP:][np.isin(step, start[1:] * BLOCK - 1)] = 0
         inputs = p["emb"][seen].reshape(*step.shape, WIDTH * e)
         g["w"] = np.einsum("cfi,cf->if", inputs, dm, optimize=True)
         back = (dm[..., None] * p["w"].T[None]).reshape(-1, e)
-        g["emb"] = np.stack([np.bincount(seen.reshape(-1), back[:, k], 512) for k in range(e)], axis=1)
+        g["emb"] = np.stack([np.bincount(seen.reshape(-1), back[:, k], 256) for k in range(e)], axis=1)
         return g
 
     def fit(self, text, y: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
@@ -233,13 +238,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     empty texts are scored like any other); predicted is 1 if score >= threshold.  held_out
     says that crc32(id as text) mod 4 is 2 (a null id is never held out).  The score depends
     on the text alone, so repeated rows score alike; an empty table gives an empty result;
-    columns of docs that bear a result's name are replaced.  See ``train`` for the sample
+    columns of docs that bear a result's name, in any case, are replaced.  See ``train`` for the sample
     that the classifier is fitted on; scoring is a narrow transformation.
     """
     docs = without_results(docs, ("held_out", "score", "predicted"), id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, labels, id_col, text_col, **fit)))
     schema = StructType([*docs.schema.fields]).add("score", DoubleType())
-    at = docs.columns.index(text_col)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def scored(batches):
         net = pickle.loads(model.value)

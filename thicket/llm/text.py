@@ -5,8 +5,8 @@ A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``, which is what
 a polynomial over per-byte random values is accumulated with one running sum, so
 a word's hash is a difference of two prefix sums divided by its starting power
 (the base is odd, hence invertible modulo 2**64).  Work proceeds in slices of
-about ``SLICE`` bytes that end between words, so memory does not depend on how
-long a text is.
+about ``SLICE`` bytes that end between words, and a word that fills a slice is hashed
+slice by slice, so memory does not depend on how long a text or a word is.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _MIX_A, _MIX_B, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +69,33 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def _blank(b: np.ndarray) -> np.ndarray:
+    return (b == 32) | ((b >= 9) & (b <= 13))
+
+
+def _word_end(raw: np.ndarray, pos: int, stop: int) -> int:
+    """Where the word that begins at pos ends, in a text that ends at stop."""
+    while pos < stop:
+        gaps = np.flatnonzero(_blank(raw[pos : min(pos + SLICE, stop)]))
+        if len(gaps):
+            return pos + int(gaps[0])
+        pos = min(pos + SLICE, stop)
+    return stop
+
+
+def _long_word(word: np.ndarray, f: _Family, lower: bool) -> np.ndarray:
+    """The hash of one word, slice by slice."""
+    total = np.zeros(1, np.uint64)
+    f.grow(SLICE + 1)
+    for k in range(0, len(word), SLICE):
+        b = word[k : k + SLICE]
+        if lower:
+            b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
+        part = np.sum(f.table[b] * f.power[: len(b)], dtype=np.uint64, keepdims=True)
+        total = total + part * np.uint64(pow(f.base, k, 2**64))
+    return mix(total + np.array([len(word)], np.uint64) * _GOLD)
+
+
 def words(raw: np.ndarray, at: np.ndarray, seeds: tuple[int, ...] = (1,), lower: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of all words, one array for each seed, and each text's first word (n + 1 offsets).
 
@@ -80,16 +107,19 @@ def words(raw: np.ndarray, at: np.ndarray, seeds: tuple[int, ...] = (1,), lower:
     pos, n = 0, len(raw)
     while pos < n:
         end = min(pos + SLICE, n)
-        while end < n:  # end between words
-            ahead = raw[end : end + SLICE]
-            gap = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
-            stop = at[np.searchsorted(at, end)]
-            step = end + int(gap[0]) if len(gap) else end + len(ahead)
-            end = min(step, int(stop)) if stop >= end else step
-            if len(gap) or end == stop:
-                break
+        if end < n:  # end behind the last blank, or where a text ends
+            stop = int(at[np.searchsorted(at, end, "right") - 1])
+            gaps = np.flatnonzero(_blank(raw[pos:end]))
+            end = max(stop, pos + int(gaps[-1]) + 1 if len(gaps) else pos)
+            if end == pos:  # one word fills the slice
+                end = _word_end(raw, pos, int(at[np.searchsorted(at, pos, "right")]))
+                first.append(np.array([pos]))
+                for k, seed in enumerate(seeds):
+                    out[k].append(_long_word(raw[pos:end], _family(seed), lower))
+                pos = end
+                continue
         b = raw[pos:end]
-        inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
+        inside = ~_blank(b)
         begin, close = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         close[:-1] &= ~inside[1:]

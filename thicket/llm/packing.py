@@ -44,7 +44,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """(bin, offset) of each length, placed in the order given.
 
     With N(g) open bins of gap g, a length goes to the open bin after which the sum of
-    N(g)**2 is smallest (of equal ones, the smallest gap); a bin is opened if none has room.
+    N(g)**2 is smallest (of equal ones, the smallest gap).  Bins should be few, so a new one
+    isn't weighed against those open: it is opened if none has room.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -81,8 +82,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     are packed each for itself.  An empty table gives an empty result.  docs' other columns
     don't matter.
 
-    Tokens never travel: a written table of slim piece rows is dealt by hash into groups of
-    about ``group`` pieces, and each is packed for itself, longest first, by the
+    Tokens never travel: a written table of slim piece rows is dealt, by where a row lies, into
+    groups of about ``group`` pieces (so rows that are all alike are dealt like others), and each is packed for itself, longest first, by the
     sum-of-squares rule.  A group leaves only a few bins partly filled, so what splitting
     costs is a fraction of a percent at any size.  Numbers of sequences are unique over all.
     """
@@ -99,6 +100,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         base = int(out.column("part")[0].as_py()) << 32
         return out.drop_columns(["part"]).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
 
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     out = dealt.groupBy("part").applyInArrow(place, kinds + ", sequence_id long, offset long")
     return out if keep_ids else out.drop("ids")

@@ -136,7 +136,8 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     null id, and empty vectors take no part.  Rows that repeat an id with the same vector
     count once; with several vectors, each is a candidate, and each, as a query, is answered
     under its id.  An empty table, or one without queries, gives no rows.  Other columns don't
-    matter.
+    matter.  Where components are so large that a score might not fit 64 bits, a ValueError
+    says so before anything is compared; components travel as 32-bit integers where they fit.
 
     Rows are dealt by hash into blocks of about ``block``, queries into blocks of about
     ``query_block``.  Each pair of blocks is one group: its index answers its queries with
@@ -150,7 +151,12 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     rows = rows.withColumn(v, scaled).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(v).alias("v"))
     rows = rows.filter(~F.exists("v", lambda x: x.isNull())).distinct()
     # Both sides of a cogroup; a block's vectors all have one length, the longest, filled with zeros.
-    n, n_queries, length = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % modulus == 0), F.max(F.size("v"))).first()
+    n, n_queries, length, high, low = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % modulus == 0), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    most = max(high or 0, -(low or 0))
+    if (most + 1) ** 2 * (length or 0) >= 1 << 62:
+        raise ValueError(f"components of up to {most} in {length} dimensions: scores don't fit 64 bits")
+    if most < (1 << 31) - 1:
+        rows = rows.withColumn("v", F.col("v").cast("array<int>"))
     blocks, query_blocks, length = max(1, -(-n // block), min(4, n // 2048)), max(1, -(-n_queries // query_block)), length or 0
     number = lambda among: F.pmod(F.xxhash64("id"), F.lit(among).cast("long"))
     every = lambda among: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(among - 1).cast("long")))

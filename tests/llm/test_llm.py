@@ -187,6 +187,22 @@ def test_near_dedup_null_ids_repeats_and_empty(spark, empty):
     assert near_dedup(empty).count() == 0
 
 
+def test_words_are_hashed_alike_in_slices(monkeypatch):
+    from thicket.llm import text as module
+
+    r = random.Random(12)
+    texts_ = [None, "", "a" * 300, "  "] + ["".join(r.choices("abC é\n", weights=[9, 9, 9, 2, 3, 1], k=r.randint(1, 400))) for _ in range(40)] + ["x" * 70 + " " + "Y" * 90, "z" * 64]
+    raw, at = module.utf8(pa.array(texts_))
+    want, first = module.words(raw, at, (1, 2), lower=True)
+    assert np.diff(first).tolist() == [len((t or "").encode().split()) for t in texts_]
+    distinct = {w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for t in texts_ for w in WORD.findall(t or "")}
+    assert len(np.unique(want[0])) == len(distinct)
+    for size in (7, 64, 100):
+        monkeypatch.setattr(module, "SLICE", size)
+        got, again = module.words(raw, at, (1, 2), lower=True)
+        assert all((x == y).all() for x, y in zip(got, want, strict=True)) and (again == first).all()
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(5)
     a = r.integers(0, 1 << 63, 1000, dtype=np.uint64)
@@ -401,6 +417,36 @@ def test_cut_and_rule():
     assert offsets.tolist()[:4] == [0, 0, 6, 6] and len(set(bins.tolist())) == 3
 
 
+def test_sum_of_squares_is_the_rule():
+    """Against a version that tries every open bin and counts the squares anew."""
+    r = random.Random(8)
+    for _ in range(60):
+        capacity = r.randint(5, 30)
+        lengths = [r.randint(1, capacity) for _ in range(r.randint(1, 60))]
+        bins, offsets = sum_of_squares(np.array(lengths), capacity)
+        gaps: list[int] = []
+        for s, b, at in zip(lengths, bins.tolist(), offsets.tolist(), strict=True):
+            def squares(k, s=s):
+                after = [g - s if i == k else g for i, g in enumerate(gaps)]
+                return sum(after.count(g) ** 2 for g in {*after} - {0})
+
+            fit = [k for k, g in enumerate(gaps) if g >= s]
+            if fit:
+                best = min((squares(k), gaps[k]) for k in fit)
+                assert b in fit and (squares(b), gaps[b]) == best
+            else:
+                assert b == len(gaps)
+                gaps.append(capacity)
+            assert at == capacity - gaps[b]
+            gaps[b] -= s
+
+
+def test_packing_deals_rows_that_are_all_alike(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x").alias("text")).repartition(3)
+    got = pack(df, tokenizer_file("byte_bpe_50k.json"), capacity=64, group=300).groupBy((F.col("sequence_id") / (1 << 32)).cast("int").alias("g")).agg(F.sum("length").alias("n")).collect()
+    assert len(got) == 10 and sum(r.n for r in got) == 6000 and max(r.n for r in got) < 900
+
+
 def test_quality(spark):
     r = random.Random(4)
     words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(300)]
@@ -513,6 +559,11 @@ def test_top_k(spark):
     for block, query_block in ((16384, 16384), (64, 2)):
         assert sorted(tuple(r) for r in exact_top_k(df, block=block, query_block=query_block).collect()) == sorted(want)
     assert exact_top_k(df.limit(0)).count() == 0
+    wide = spark.createDataFrame([(0, [1e12, -1.0]), (1, [3.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        exact_top_k(wide)
+    far = spark.createDataFrame([(0, [1e7, -1.0]), (1, [-2e7, 2.0])], "vec_id long, embedding array<double>")
+    assert [r.score for r in exact_top_k(far).collect()] == [256 * 10**7 * -256 * 2 * 10**7 - 256 * 512]
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in exact_top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
 
@@ -577,6 +628,58 @@ def test_long_lines_are_scanned_in_linear_time(spark):
     assert took[2] < took[0] + 20 * max(1.0, took[1] - took[0])
 
 
+CLASHES = ["KEPT", "Keep_ID", "group_size", "Text_SHA256", "N_Shingles", "Component_ID", "SCORE", "Held_Out", "PREDICTED", "N_TOKENS", "IDS", "Decoded", "N_WORDS", "n_removed", "Kept_Text", "N_PreTokens", "License", "ORIGIN", "id", "th", "key", "part", "salt", "bundle_key"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (2, words + " x"), (3, None), (4, ""), (4, words), (None, "w1 w2")]
+    return spark.createDataFrame([(i, t, *range(7, 7 + len(CLASHES))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in CLASHES))
+
+
+OPERATORS = {
+    "exact": (lambda d: exact_dedup(d), {"keep_id", "group_size", "kept", "text_sha256"}),
+    "near": (lambda d: near_dedup(d), {"n_shingles", "component_id", "kept"}),
+    "substring": (lambda d: substring_dedup(d), {"n_words", "n_removed", "kept_text"}),
+    "quality": (lambda d: classify(d, d.sparkSession.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")), {"held_out", "score", "predicted"}),
+    "counts": (lambda d: token_counts(d, tokenizer_file("piece_bpe_32k.model")), {"n_pretokens", "n_tokens"}),
+    "bpe": (lambda d: encode_decode(d, tokenizer_file("word_bpe_49k.json")), {"n_tokens", "ids", "decoded"}),
+    "licenses": (lambda d: scan_licenses(d, path_col="path_"), {"license", "score", "origin", "license_dir"}),
+    "packing": (lambda d: pack(d, tokenizer_file("byte_bpe_50k.json")), None),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_names_are_replaced_without_case(clashing, tmp_path, name):
+    apply, results = OPERATORS[name]
+    docs = clashing.withColumn("path_", F.lit("a/b")) if name == "licenses" else clashing
+    apply(docs).write.parquet(str(tmp_path / name))
+    back = docs.sparkSession.read.parquet(str(tmp_path / name))
+    assert back.count() >= 6
+    if results is not None:
+        kept = [c for c in docs.columns if c.lower() not in results and not (name == "bpe" and c == "text")]
+        assert [c for c in back.columns if c not in results] == kept and results <= set(back.columns)
+        assert all(len(back.select(c).distinct().collect()) == 1 for c in kept if c not in ("doc_id", "text"))
+    empty = apply(docs.limit(0))
+    assert empty.count() == 0 and empty.columns == back.columns
+
+
+def test_pipeline_stages_keep_columns(clashing, spark, tmp_path):
+    import corpus_pipeline as c
+
+    docs = clashing.withColumn("N_Chars", F.lit(5))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        back = spark.read.parquet(str(tmp_path / name))
+        assert back.schema.simpleString() == docs.schema.simpleString(), name
+        assert {tuple(r) for r in back.select(*CLASHES).collect()} <= {tuple(range(7, 7 + len(CLASHES)))}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert {r.N_Chars for r in spark.read.parquet(str(tmp_path / "substring")).filter("doc_id = 2").collect()} == {1}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.operators.edit import renumber
 from thicket.operators.selection import attr
+from thicket.storage import written
 
 #: Kinds of catalog entries, by how they match; the order is their tier.
 TIERS = {"system": ("system", "rewriteSystem", "systemSuffix", "delegateSystem"), "public": ("public", None, None, "delegatePublic"), "uri": ("uri", "rewriteURI", "uriSuffix", "delegateURI")}
@@ -29,20 +30,35 @@ def resolve(requests: DataFrame, entries: DataFrame, what: str, column: str) ->
     """requests with ``resolved``: by exact match, else longest rewritten prefix, else longest
     suffix, else the catalog of the longest delegated prefix; null if none.
 
-    Each distinct identifier is resolved once.  A catalog is small and the condition isn't an
-    equality, so entries meet the distinct identifiers in a nested-loop join that Spark
-    broadcasts if the catalog fits its threshold.
+    Each distinct identifier is resolved once.  Exact entries meet identifiers in an
+    equi-join; for prefixes and suffixes an identifier is exploded into its heads or tails of
+    the lengths that occur among the entries (a few numbers, fetched first), which are
+    equi-joined too, so neither a large catalog nor many identifiers make a nested loop.
     """
     exact, prefix, suffix, delegate = TIERS[what]
     norm = _normal_public if what == "public" else (lambda x: x)
     ids = requests.select(norm(F.col(column)).alias("id_")).filter("id_ is not null").distinct()
-    e = entries.filter(F.col("kind").isin([k for k in (exact, prefix, suffix, delegate) if k]))
-    m = norm(F.col("match"))
-    fits = F.when(F.col("kind") == exact, F.col("id_") == m).when(F.col("kind") == F.lit(suffix or ""), F.endswith("id_", m)).otherwise(F.startswith("id_", m))
-    tier = F.when(F.col("kind") == exact, 0).when(F.col("kind") == F.lit(prefix or ""), 1).when(F.col("kind") == F.lit(suffix or ""), 2).otherwise(3)
-    value = F.when(F.col("kind") == F.lit(prefix or ""), F.concat("target", F.substring(F.col("id_"), F.length(m) + 1, F.length("id_")))).otherwise(F.col("target"))
-    hits = ids.join(e, fits).groupBy("id_").agg(F.min_by(value, F.struct(tier.alias("t"), (-F.length(m)).alias("l"), F.col("ord"))).alias("resolved"))
-    return requests.withColumn("key_", norm(F.col(column))).join(hits.withColumnRenamed("id_", "key_"), "key_", "left").drop("key_")
+    e = entries.select("ord", "kind", norm(F.col("match")).alias("m_"), "target")
+    hits = []
+    for tier, kind in enumerate((exact, prefix, suffix, delegate)):
+        if not kind:
+            continue
+        mine = e.filter((F.col("kind") == kind) & F.col("m_").isNotNull())
+        if kind == exact:
+            keyed = ids.withColumn("part_", F.col("id_"))
+        else:
+            lengths = sorted(r[0] for r in mine.select(F.length("m_")).distinct().collect())
+            if not lengths:
+                continue
+            cut = ids.withColumn("n_", F.explode(F.array(*map(F.lit, lengths)))).filter(F.col("n_") <= F.length("id_"))
+            keyed = cut.withColumn("part_", F.expr("right(id_, n_)" if kind == suffix else "left(id_, n_)"))
+        value = F.concat("target", F.substring(F.col("id_"), F.length("m_") + 1, F.length("id_"))) if kind == prefix else F.col("target")
+        hits.append(keyed.join(mine, F.col("part_") == F.col("m_")).select("id_", value.alias("value_"), F.struct(F.lit(tier).alias("t"), (-F.length("m_")).alias("l"), F.col("ord")).alias("rank_")))
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.union(h)
+    found = every.groupBy("id_").agg(F.min_by("value_", "rank_").alias("resolved"))
+    return requests.withColumn("key_", norm(F.col(column))).join(found.withColumnRenamed("id_", "key_"), "key_", "left").drop("key_")
 
 
 def resolve_external(requests: DataFrame, entries: DataFrame, system: str = "system_id", public: str = "public_id") -> DataFrame:
@@ -61,7 +77,8 @@ def include(nodes: DataFrame, resources: DataFrame, resource_texts: DataFrame |
     ``resources`` (href, and the columns of the node table but doc_id) are parsed documents;
     ``resource_texts`` (href, text) serve parse="text".  Each round is a join of hrefs with
     the resources; a row carries the hrefs it came through, so a circle is an error and ends.
-    An href that isn't there is replaced by its fallback's content, or is an error.
+    An href that isn't there is replaced by its fallback's content, or is an error.  What is
+    still left after ``max_depth`` rounds stays as it is, and each such element is an error.
     """
     path = "via_"
     current = nodes.withColumn(path, F.array().cast("array<string>"))
@@ -96,7 +113,11 @@ def include(nodes: DataFrame, resources: DataFrame, resource_texts: DataFrame |
         gone = calls.select(F.col("doc_id").alias("g_doc"), "i_pre", "i_post")
         rest = current.join(gone, (F.col("doc_id") == F.col("g_doc")) & (F.col("pre") >= F.col("i_pre")) & (F.col("pre") <= F.col("i_post")), "left_anti")
         merged = rest.withColumn("pre", F.col("pre").cast("double")).unionByName(new, allowMissingColumns=True).unionByName(rescued)
-        current = renumber(merged).persist()
-        errors = errors.persist()
+        current = written(renumber(merged))
+        errors = written(errors)
+    else:
+        left = current.filter((F.col("kind") == "element") & (F.col("name") == "include") & (F.col("namespace") == XI))
+        deep = left.select("doc_id", F.coalesce(attr("href"), F.lit("")).alias("href"), F.lit(f"inclusions nested over {max_depth} deep").alias("message"))
+        errors = deep if errors is None else errors.unionByName(deep)
     empty = nodes.select("doc_id", F.lit("").alias("href"), F.lit("").alias("message")).limit(0)
     return current.drop(path), errors if errors is not None else empty

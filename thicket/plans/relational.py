@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.storage import written
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """left with ``values`` of the latest row of right with the keys and right_time <= left_time.
@@ -28,12 +30,15 @@ def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int)
 
 
 def descendants(edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(root, node) of everything reachable from roots(node) over edges(parent, child), by rounds of joins."""
+    """(root, node) of everything reachable from roots(node) over edges(parent, child), by rounds of joins.
+
+    Each round's new rows are a written table, so plans don't grow with the rounds.
+    """
     seen = roots.select(F.col("node").alias("root"), "node")
     fresh = seen
     for _ in range(max_rounds):
         step = fresh.join(edges, fresh["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        fresh = step.join(seen, ["root", "node"], "left_anti").persist()
+        fresh = written(step.join(seen, ["root", "node"], "left_anti"))
         if fresh.isEmpty():
             return seen
         seen = seen.unionByName(fresh)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from xml.sax.saxutils import escape
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import html, xml
@@ -64,6 +65,47 @@ def test_errors_limits_and_recovery(spark):
     assert xml(spark, "<a/>" * 1, options=ParseOptions(max_name_length=0)).first().error
 
 
+def test_limits_hold_for_whole_texts_and_all_expansions(spark):
+    lines = "<a>" + "some text &amp;\n" * 4000 + "</a>"
+    assert xml(spark, lines, options=ParseOptions(max_text_length=50_000)).first().error == "text too long"
+    whole = xml(spark, lines, "<a><![CDATA[" + "x\n" * 40_000 + "]]></a>").filter("kind in ('text', 'cdata')").orderBy("doc_id").collect()
+    assert [(r.kind, len(r.content)) for r in whole] == [("text", 4000 * 12), ("cdata", 80_000)]
+    nested = '<!DOCTYPE a [<!ENTITY x "v"><!ENTITY y "&x;&x;&x;">]><a>' + "&y;" * 30 + "<!-- &y; --></a>"
+    assert xml(spark, nested, options=ParseOptions(max_entity_expansions=119)).first().error == "too many entity expansions"
+    assert xml(spark, nested, options=ParseOptions(max_entity_expansions=120)).first().error is None
+
+
+def test_only_what_is_asked_for_is_sent(spark):
+    from thicket.sources.xml import parse_xml
+
+    docs = spark.createDataFrame([(0, '<a><b x="1">t<c>u</c></b><b>v</b></a>'), (1, "<a>w</a>"), (2, "<a>")], "doc_id long, text string")
+    every = parse_xml(docs)
+    some = parse_xml(docs, columns=["doc_id", "pre", "path", "content", "attrs"], paths=["/a/b"])
+    assert some.columns == ["doc_id", "pre", "attrs", "content", "path"]
+    b = every.filter("path = '/a/b'").select("doc_id", F.col("pre").alias("parent"))
+    texts = every.filter("kind = 'text'").join(b, ["doc_id", "parent"], "left_semi")
+    want = every.filter("kind = 'document' or path = '/a/b'").select(*some.columns).union(texts.select(*some.columns))
+    assert sorted(map(str, some.collect())) == sorted(map(str, want.collect())) and some.count() == 3 + 2 + 2
+    with pytest.raises(ValueError):
+        parse_xml(docs, columns=["nothing"])
+
+
+def test_long_text_is_put_together_once():
+    import time
+
+    from thicket.schema import ARROW
+    from thicket.sources.xml import _parse
+
+    took = []
+    for n in (500_000, 2_000_000):
+        rows = []
+        began = time.time()
+        _parse(rows, 1, "<a>" + "line of text\n" * (n // 13) + "</a>", ParseOptions())
+        took.append(time.time() - began)
+        assert len(rows[-1][ARROW.names.index("content")]) == n // 13 * 13
+    assert took[1] < 4 * took[0] * 3 + 0.5
+
+
 def test_entities_doctype_and_defaults(spark):
     text = '<!DOCTYPE a PUBLIC "p" "s" [<!ENTITY e "v"><!ENTITY x SYSTEM "ext"><!ATTLIST b t CDATA "d">]><a><b/>&e;&x;<![CDATA[c]]></a>'
     rows = xml(spark, text, options=ParseOptions(entities={"ext": "<in>side</in>"})).orderBy("pre").collect()

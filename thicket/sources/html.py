@@ -7,9 +7,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.schema import NODES
 from thicket.sources.tree import TreeRows
-from thicket.sources.xml import _rows
+from thicket.sources.xml import _rows, wanted_columns
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,16 +20,16 @@ BARRIER = frozenset("applet body button caption dl html marquee object ol select
 
 
 class _Builder(HTMLParser):
-    def __init__(self, columns, doc_id):
+    def __init__(self, rows, doc_id):
         super().__init__(convert_charrefs=True)
-        self.tree = TreeRows(columns, doc_id)
+        self.tree = TreeRows(rows, doc_id)
         self.names: list[str] = []  # of open elements
 
     def _open(self, tag, attrs=()):
         seen: dict[str, str] = {}
         for k, v in attrs:
             seen.setdefault(k, v or "")
-        self.tree.start("element", tag, attrs=[{"name": k, "value": v, "prefix": None, "namespace": None} for k, v in seen.items()])
+        self.tree.element(tag, [(k, v, None, None) for k, v in seen.items()])
         self.names.append(tag)
 
     def _close(self, count: int):
@@ -123,8 +122,8 @@ class _Builder(HTMLParser):
     unknown_decl = handle_pi
 
 
-def _parse(columns, doc_id, text, o) -> None:
-    b = _Builder(columns, doc_id)
+def _parse(rows, doc_id, text, o) -> None:
+    b = _Builder(rows, doc_id)
     b.feed(text if isinstance(text, str) else text.decode("utf-8", "replace"))
     b.close()
     if not b.names:
@@ -132,12 +131,14 @@ def _parse(columns, doc_id, text, o) -> None:
     b.tree.close()
 
 
-def parse_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def parse_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", columns: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
     """The node table of a column of HTML texts.  Never an error: whatever comes is a tree.
 
     Unclosed elements end with their parent, end tags without a start are passed over, html,
     head and body are implied, script and style hold raw text, and character references are
     resolved.  Formatting elements that cross block borders are nested as they come; they are
-    not reopened.
+    not reopened.  ``columns`` and ``paths`` are those of ``parse_xml``.
     """
-    return pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(lambda it: _rows(it, None, _parse), NODES)
+    names, schema = wanted_columns(columns)
+    only = None if paths is None else frozenset(paths)
+    return pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(lambda it: _rows(it, None, _parse, names, only), schema)

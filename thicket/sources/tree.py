@@ -1,64 +1,132 @@
-"""Collects one document's nodes, in document order, as columns of the node table."""
+"""Collects one document's nodes, in document order, as rows of the node table."""
 
 from __future__ import annotations
 
+from itertools import compress
+
+import pyarrow as pa
+
 from thicket.schema import ARROW
 
-NAMES = ARROW.names
+_AT = {name: k for k, name in enumerate(ARROW.names)}
+_PRE, _POST, _PARENT, _ELEM_ORD, _LAST, _KIND, _CONTENT, _PATH, _ERROR = (_AT[c] for c in ("pre", "post", "parent", "elem_ord", "elem_ord_last", "kind", "content", "path", "error"))
 
 
 class TreeRows:
-    """Appends nodes under the innermost open one; numbers are those of ``thicket.schema``."""
+    """Appends nodes under the innermost open one; numbers are those of ``thicket.schema``.
+
+    ``rows`` holds one list of the table's columns per node; attributes are tuples of name,
+    value, prefix and namespace.
+    """
 
-    def __init__(self, columns: dict[str, list], doc_id):
-        self.c, self.doc_id = columns, doc_id
-        self.base = len(columns["pre"])
-        self.open: list[list] = []  # [row, children, element children, path]
+    def __init__(self, rows: list[list], doc_id):
+        self.rows, self.doc_id = rows, doc_id
+        self.base = len(rows)
+        self.open: list[list] = []  # [row, children, element children]
         self.n = 0
-        self.elements: list[int] = []
-        self.start("document", None, path="")
-
-    def start(self, kind, name, prefix=None, namespace=None, attrs=None, content=None, path=None) -> None:
-        top = self.open[-1] if self.open else None
-        element = kind == "element"
-        if top:
-            top[1] += 1
-            top[2] += element
-        if path is None:
-            path = f"{top[3]}/{name}" if element else None
-        values = (self.doc_id, self.n, self.n, top[0] if top else None, len(self.open), top[1] if top else 1, top[2] if element and top else None, None, kind, name, prefix, namespace, attrs, content, path, None)
-        for column, value in zip(self.c.values(), values, strict=True):
-            column.append(value)
-        self.open.append([self.n, 0, 0, path])
-        if element:
-            self.elements.append(self.n)
-        self.n += 1
+        self.run: list[str] = []  # the pieces of the text node that came last
+        self.kind, self.length = "", 0  # of that text
+        self.rows.append([doc_id, 0, 0, None, 0, 1, None, None, "document", None, None, None, None, None, "", None])
+        self.open.append([self.rows[-1], 0, 0])
+        self.n = 1
+
+    def element(self, name, attrs, prefix=None, namespace=None) -> None:
+        """An element's start; attrs is a list."""
+        if self.run:
+            self.cut()
+        top = self.open[-1]
+        top[1] += 1
+        top[2] += 1
+        above, n = top[0], self.n
+        row = [self.doc_id, n, n, above[1], len(self.open), top[1], top[2], None, "element", name, prefix, namespace, attrs, None, f"{above[14]}/{name}", None]
+        self.rows.append(row)
+        self.open.append([row, 0, 0])
+        self.n = n + 1
 
     def end(self) -> None:
-        row, *_ = self.open.pop()
-        self.c["post"][self.base + row] = self.n - 1
+        if self.run:
+            self.cut()
+        self.open.pop()[0][2] = self.n - 1
 
     def leaf(self, kind, name=None, content=None) -> None:
-        self.start(kind, name, content=content)
-        self.end()
+        if self.run:
+            self.cut()
+        top, n = self.open[-1], self.n
+        top[1] += 1
+        self.rows.append([self.doc_id, n, n, top[0][1], len(self.open), top[1], None, None, kind, name, None, None, None, content, None, None])
+        self.n = n + 1
+
+    def text(self, content: str, kind: str = "text") -> int:
+        """Text; what follows a node of its kind at once is added to it.  The length of the node's text so far."""
+        if self.run and self.kind == kind:
+            self.run.append(content)
+            self.length += len(content)
+            return self.length
+        self.leaf(kind, content=content)
+        self.run, self.kind, self.length = [content], kind, len(content)
+        return self.length
 
-    def text(self, content: str, kind: str = "text") -> None:
-        """Text; what follows a text node at once is added to it."""
-        c, last = self.c, self.base + self.n - 1
-        if kind == "text" and c["kind"][last] == "text" and c["parent"][last] == self.open[-1][0] and c["pre"][last] != self.open[-1][0]:
-            c["content"][last] += content
-        else:
-            self.leaf(kind, content=content)
+    def cut(self) -> None:
+        """What follows is no part of the text node that came last."""
+        if len(self.run) > 1:
+            self.rows[-1][_CONTENT] = "".join(self.run)
+        self.run = []
+
+    def drop(self) -> None:
+        """Only the document node stays."""
+        del self.rows[self.base + 1 :]
+        self.n, self.open, self.run = 1, self.open[:1], []
 
     def close(self, error: str | None = None) -> None:
         """Closes what is open; notes an error at the document node."""
+        self.cut()
         while self.open:
             self.end()
+        mine = self.rows[self.base :]
         last: dict[int, int] = {}
-        for pre in self.elements:
-            i = self.base + pre
-            last[self.c["parent"][i]] = self.c["elem_ord"][i]
-        for pre in self.elements:
-            i = self.base + pre
-            self.c["elem_ord_last"][i] = last[self.c["parent"][i]] - self.c["elem_ord"][i] + 1
-        self.c["error"][self.base] = error
+        for row in mine:
+            if row[_ELEM_ORD] is not None:
+                last[row[_PARENT]] = row[_ELEM_ORD]
+        for row in mine:
+            if row[_ELEM_ORD] is not None:
+                row[_LAST] = last[row[_PARENT]] - row[_ELEM_ORD] + 1
+        mine[0][_ERROR] = error
+
+
+def _attributes(column, kind: pa.DataType) -> pa.Array:
+    """Lists of attribute tuples as an Arrow column, built from flat columns."""
+    flat = [a for attrs in column if attrs for a in attrs]
+    parts = list(zip(*flat, strict=True)) or [()] * 4
+    offsets, n = [], 0
+    for attrs in column:
+        offsets.append(None if attrs is None else n)
+        n += len(attrs) if attrs else 0
+    offsets.append(n)
+    fields = list(kind.value_type)
+    values = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(kind)
+
+
+def record_batch(rows: list[list], columns: list[str], paths: frozenset[str] | None) -> pa.RecordBatch:
+    """The rows as Arrow columns; of ``paths``, only document nodes, the elements there and their texts."""
+    if paths is not None:
+        wanted, keep = False, []
+        inside: set[int] = set()
+        for row in rows:
+            if row[_KIND] == "document":
+                inside.clear()
+                wanted = True
+            elif row[_KIND] == "element":
+                wanted = row[_PATH] in paths
+                if wanted:
+                    inside.add(row[_PRE])
+            else:
+                wanted = row[_KIND] in ("text", "cdata") and row[_PARENT] in inside
+            keep.append(wanted)
+        rows = list(compress(rows, keep))
+    every = list(zip(*rows, strict=True)) or [()] * len(ARROW.names)
+    out = []
+    for name in columns:
+        kind, column = ARROW.field(name).type, every[_AT[name]]
+        out.append(_attributes(column, kind) if name == "attrs" else pa.array(column, kind))
+    return pa.RecordBatch.from_arrays(out, schema=pa.schema([ARROW.field(c) for c in columns]))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.schema import ARROW, NODES
-from thicket.sources.tree import TreeRows
+from thicket.sources.tree import TreeRows, record_batch
 
 _SEP = "\x1f"
 
@@ -35,39 +35,73 @@ class LimitError(ValueError):
     pass
 
 
-def _parse(columns, doc_id, text, o: ParseOptions) -> None:
-    tree = TreeRows(columns, doc_id)
+_REFERENCE = re.compile(r"&([^#;&\s][^;&\s]*);")
+
+
+def expansions(text, entities: dict[str, str], most: int) -> int:
+    """How many internal entities a document's references expand to, those within entities included.
+
+    Counted from the declarations, before anything is expanded; what expat doesn't let through
+    (an entity within itself) counts as over ``most``.
+    """
+    weight: dict[str, int] = {}
+
+    def of(name: str, above: tuple[str, ...] = ()) -> int:
+        if name in above or len(above) > 200:
+            return most + 1
+        if name not in weight:
+            weight[name] = 1 + sum(of(x, (*above, name)) for x in _REFERENCE.findall(entities[name]) if x in entities)
+        return weight[name]
+
+    if not isinstance(text, str):
+        text = bytes(text).decode("utf-8", "replace")
+    subset = re.match(r".*?<!DOCTYPE[^\[>]*(\[.*?\]\s*)?>", text, re.S)
+    body = re.sub(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>", "", text[subset.end() :] if subset else text, flags=re.S)
+    return sum(of(x) for x in _REFERENCE.findall(body) if x in entities)
+
+
+def _parse(rows, doc_id, text, o: ParseOptions) -> None:
+    tree = TreeRows(rows, doc_id)
     p = expat.ParserCreate(namespace_separator=_SEP)
     p.namespace_prefixes, p.ordered_attributes, p.buffer_text = True, True, True
     p.UseForeignDTD(False)
-    state = {"cdata": False, "doctype": False, "ns": [], "expansions": 0}
+    state = {"cdata": False, "doctype": False, "expansions": 0, "internal": {}}
+    declared: list[tuple[str, str]] = []  # namespaces, of the element that comes
+    known: dict[str, tuple] = {}  # names of this document, taken apart
 
     def split(name):
         parts = name.split(_SEP)
         if len(name) > o.max_name_length:
             raise LimitError("name too long")
-        return (parts[1], parts[2] if len(parts) > 2 else None, parts[0]) if len(parts) > 1 else (name, None, None)
+        known[name] = out = (parts[1], parts[2] if len(parts) > 2 else None, parts[0]) if len(parts) > 1 else (name, None, None)
+        return out
 
     def start(name, flat):
+        if state["internal"]:
+            state["expansions"] += expansions(text, state["internal"], o.max_entity_expansions)
+            state["internal"] = {}
+            if state["expansions"] > o.max_entity_expansions:
+                raise LimitError("too many entity expansions")
         if len(tree.open) > o.max_depth:
             raise LimitError("elements nested too deep")
         if len(flat) // 2 > o.max_attributes:
             raise LimitError("too many attributes")
-        attrs = [{"name": k or "xmlns", "value": v, "prefix": "xmlns" if k else None, "namespace": "http://www.w3.org/2000/xmlns/"} for k, v in state["ns"]]
-        state["ns"] = []
-        for k, v in zip(flat[::2], flat[1::2], strict=True):
-            if len(v) > o.max_attribute_length:
+        attrs = []
+        if declared:
+            attrs += [(k or "xmlns", v, "xmlns" if k else None, "http://www.w3.org/2000/xmlns/") for k, v in declared]
+            declared.clear()
+        for k in range(0, len(flat), 2):
+            name_, value = flat[k], flat[k + 1]
+            if len(value) > o.max_attribute_length:
                 raise LimitError("attribute value too long")
-            n, prefix, ns = split(k)
-            attrs.append({"name": n, "value": v, "prefix": prefix, "namespace": ns})
-        n, prefix, ns = split(name)
-        tree.start("element", n, prefix, ns, attrs)
+            n, prefix, ns = known.get(name_) or split(name_)
+            attrs.append((n, value, prefix, ns))
+        n, prefix, ns = known.get(name) or split(name)
+        tree.element(n, attrs, prefix, ns)
 
     def chars(data):
-        if len(data) > o.max_text_length:
+        if len(tree.open) > 1 and tree.text(data, "cdata" if state["cdata"] else "text") > o.max_text_length:
             raise LimitError("text too long")
-        if len(tree.open) > 1:
-            tree.text(data, "cdata" if state["cdata"] else "text")
 
     def external(context, base, system_id, public_id):
         state["expansions"] += 1
@@ -85,45 +119,66 @@ def _parse(columns, doc_id, text, o: ParseOptions) -> None:
     p.StartElementHandler = start
     p.EndElementHandler = lambda name: tree.end()
     p.CharacterDataHandler = chars
-    p.StartNamespaceDeclHandler = lambda prefix, uri: state["ns"].append((prefix, uri or ""))
-    p.StartCdataSectionHandler = lambda: state.update(cdata=True)
-    p.EndCdataSectionHandler = lambda: state.update(cdata=False)
+    p.StartNamespaceDeclHandler = lambda prefix, uri: declared.append((prefix, uri or ""))
+    def section(inside):
+        tree.cut()
+        state["cdata"] = inside
+
+    p.StartCdataSectionHandler = lambda: section(True)
+    p.EndCdataSectionHandler = lambda: section(False)
     p.CommentHandler = lambda data: tree.leaf("comment", content=data)
     p.ProcessingInstructionHandler = lambda target, data: tree.leaf("pi", target, data)
     p.StartDoctypeDeclHandler = doctype
+    p.EntityDeclHandler = lambda name, parameter, value, *_: state["internal"].setdefault(name, value) if value is not None and not parameter else None
     p.ExternalEntityRefHandler = external
     error = None
     try:
         p.Parse(text.lstrip("﻿") if isinstance(text, str) else text, True)
     except (expat.ExpatError, LimitError, ValueError) as e:
         error = str(e)
-        if not o.recover:  # the document node alone stays
-            for c in columns.values():
-                del c[tree.base + 1 :]
-            tree.n, tree.elements, tree.open = 1, [], tree.open[:1]
+        if not o.recover:
+            tree.drop()
     tree.close(error)
 
 
-def _rows(batches, o: ParseOptions, parse):
+def _rows(batches, o: ParseOptions | None, parse, columns: list[str], paths: frozenset[str] | None):
     for b in batches:
         ids, texts = b.column(0).to_pylist(), b.column(1)
-        for a in range(0, len(ids), 500):
-            columns: dict[str, list] = {c: [] for c in ARROW.names}
-            for doc_id, text in zip(ids[a : a + 500], texts[a : a + 500], strict=True):
-                parse(columns, doc_id, text.as_py() or "", o)
-            out = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns.values(), ARROW, strict=True)], schema=ARROW)
-            yield out
-
-
-def parse_xml(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: ParseOptions | None = None) -> DataFrame:
+        rows: list[list] = []
+        for doc_id, text in zip(ids, texts, strict=True):
+            parse(rows, doc_id, text.as_py() or "", o)
+            if len(rows) > 20_000:
+                yield record_batch(rows, columns, paths)
+                rows = []
+        yield record_batch(rows, columns, paths)
+
+
+def wanted_columns(columns: list[str] | None) -> tuple[list[str], str]:
+    """The node table's columns that are asked for, in its order, and their schema."""
+    every = dict(zip(ARROW.names, re.split(r",\s*(?=[a-z_]+ )", NODES), strict=True))
+    unknown = set(columns or ()) - set(every)
+    if unknown:
+        raise ValueError(f"no such columns of the node table: {sorted(unknown)}")
+    names = [c for c in ARROW.names if columns is None or c in columns]
+    return names, ", ".join(every[c] for c in names)
+
+
+def parse_xml(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: ParseOptions | None = None, columns: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
     """The node table of a column of XML texts (string or bytes with a byte order mark or declaration).
 
     Every document has at least its document node; the document node's ``error`` says why a
     document isn't well-formed or what limit it exceeds, and the job goes on.  With
     ``recover``, the nodes before the error stay and open elements are closed.
+
+    What a query doesn't need is best left out here, for the optimizer can't see into the
+    parser: of ``columns``, only these are made and sent; of ``paths`` (element paths such as
+    /order/item), only document nodes, the elements there and their texts.  Numbers are
+    those of the whole document either way.
     """
     o = options or ParseOptions()
-    nodes = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lambda it: _rows(it, o, _parse), NODES)
+    names, schema = wanted_columns(columns)
+    only = None if paths is None else frozenset(paths)
+    nodes = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lambda it: _rows(it, o, _parse, names, only), schema)
     if o.no_blanks:
         nodes = drop_blanks(nodes)
     return nodes

@@ -12,7 +12,8 @@ from thicket.functions import numbers, strings
 from thicket.functions.types import BUILTIN, facets_ok, list_of, union_of
 from thicket.operators import validate
 from thicket.operators.selection import Selection, attr
-from thicket.operators.validate import Rule, Shape, el, interleave, model, one_of, seq, times
+from thicket.operators.content import automaton, fits, parse
+from thicket.operators.validate import Rule, Shape, el, interleave, one_of, seq, times
 from thicket.plans import relational
 from thicket.sinks import serialize
 from thicket.streaming import documents as streaming
@@ -60,7 +61,7 @@ def test_dtd(spark):
 
 def test_shapes(spark):
     shapes = {
-        "card": Shape(model(seq(el("name"), times(one_of(el("mail"), el("phone")), 1, 2))), attributes={"n": ("int", True)}, closed=True),
+        "card": Shape(seq(el("name"), times(one_of(el("mail"), el("phone")), 1, 2)), attributes={"n": ("int", True)}, closed=True),
         "name": Shape(text="string", facets={"minLength": 2, "pattern": "[A-Z].*"}),
         "mail": Shape(text="token"),
         "phone": Shape(text="positiveInteger"),
@@ -71,11 +72,41 @@ def test_shapes(spark):
 
 
 def test_interleave(spark):
-    p = model(interleave(("a", 1, 1), ("b", 0, 2), ("c", 1, None)))
-    ok = ["a c ", "c a c ", "b c a b ", "c b a c c "]
-    bad = ["a ", "a a c ", "b b b a c ", "a c d ", ""]
-    df = spark.createDataFrame([(x,) for x in ok + bad], "w string").coalesce(1)
-    assert [r.ok for r in df.select(F.col("w").rlike(p).alias("ok")).collect()] == [True] * 4 + [False] * 5
+    p = interleave(("a", 1, 1), ("b", 0, 2), ("c", 1, None))
+    ok = ["a c", "c a c", "b c a b", "c b a c c"]
+    bad = ["a", "a a c", "b b b a c", "a c d", ""]
+    df = spark.createDataFrame([(x.split(),) for x in ok + bad], "w array<string>").coalesce(1)
+    assert [r.ok for r in df.select(fits(F.col("w"), p).alias("ok")).collect()] == [True] * 4 + [False] * 5
+
+
+def test_content_models(spark):
+    """The automaton says what a backtracking pattern says."""
+    import itertools
+    import re
+
+    for text in ("(a,b)", "(a|b)*", "((a,b)|c)*", "(a?,b*,c+)", "((a|b),(a|c)?)+", "a", "(a,(b|c)*,a)"):
+        pattern = re.sub(r"[abc]", lambda m: m[0] + " ", text).replace(",", "")
+        moves, final = automaton(parse(text))
+        for n in range(5):
+            for w in itertools.product("abc", repeat=n):
+                s = 0
+                for x in w:
+                    s = moves.get((s, x), -1)
+                assert (s in final) == bool(re.fullmatch(re.sub(r"([abc]) ", r"(?:\1 )", pattern), "".join(x + " " for x in w))), (text, w)
+    for bad in ("(a,b|c)", "(a", "a)", "(a,)", "(*a)", "(a b)"):
+        with pytest.raises(ValueError):
+            parse(bad)
+    many = spark.createDataFrame([(["a", "b"] * 50_000,), (["a"] * 99_999 + ["c"],)], "w array<string>").coalesce(1)
+    assert [r.ok for r in many.select(fits(F.col("w"), parse("(a|b)*")).alias("ok")).collect()] == [True, False]
+    assert [r.ok for r in many.select(fits(F.col("w"), parse("((a,b)|(a,c))+")).alias("ok")).collect()] == [True, False]
+
+
+def test_dtd_of_very_many_children(spark):
+    dtd = validate.Dtd.parse("<!ELEMENT l (a|b)*><!ELEMENT a EMPTY><!ELEMENT b EMPTY>")
+    nodes = xml(spark, "<l>" + "<a/><b/>" * 50_000 + "</l>", "<l>" + "<a/>" * 30_000 + "<l/></l>")
+    assert rules_of(validate.check_dtd(nodes, dtd)) == {1: ["content-model"]}
+    with pytest.raises(ValueError):
+        validate.Dtd.parse('<!ENTITY % a "%b;"><!ENTITY % b "%a;"><!ELEMENT x %a;>')
 
 
 def test_rules_first_fires(spark):

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions.types import BUILTIN
+from thicket.operators.content import EMPTY, Model, el, fits, interleave, one_of, parse, seq, times
 from thicket.operators.selection import Selection, attr
 
+__all__ = ["Dtd", "Rule", "Shape", "check_dtd", "check_rules", "check_shapes", "dtd_table", "el", "interleave", "one_of", "seq", "times", "verdicts"]
+
 NAME = r"^[\p{L}_:][\p{L}\p{N}._:\-·\p{M}]*$"
 NMTOKEN = r"^[\p{L}\p{N}._:\-·\p{M}]+$"
 
@@ -36,13 +39,48 @@ def verdicts(nodes: DataFrame, violations: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("n_errors").isNull().alias("is_valid"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
 
 
-def child_words(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, name, words, n_text): each element's child element names, each followed by a blank."""
+def child_names(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, depth, name, attrs, children, n_text): each element with its child elements' names in order."""
     inner = nodes.filter("kind in ('element', 'text', 'cdata') and depth > 1").select("doc_id", F.col("parent").alias("pre"), F.when(F.col("kind") == "element", F.struct("ord", "name")).alias("c"), ((F.col("kind") == "cdata") | ((F.col("kind") == "text") & F.col("content").rlike(r"[^ \t\r\n]"))).alias("t"))
     found = inner.groupBy("doc_id", "pre").agg(F.sort_array(F.collect_list("c")).alias("cs"), F.sum(F.col("t").cast("int")).alias("n_text"))
-    own = nodes.filter("kind = 'element'").select("doc_id", "pre", "name").join(found, ["doc_id", "pre"], "left")
-    words = F.concat_ws("", F.transform(F.coalesce("cs", F.array()), lambda x: F.concat(x["name"], F.lit(" "))))
-    return own.select("doc_id", "pre", "name", F.when(F.col("cs").isNull(), "").otherwise(words).alias("words"), F.coalesce("n_text", F.lit(0)).alias("n_text"))
+    own = nodes.filter("kind = 'element'").select("doc_id", "pre", "depth", "name", "attrs").join(found, ["doc_id", "pre"], "left")
+    names = F.coalesce(F.transform("cs", lambda x: x["name"]), F.array().cast("array<string>"))
+    return own.select("doc_id", "pre", "depth", "name", "attrs", names.alias("children"), F.coalesce("n_text", F.lit(0)).alias("n_text"))
+
+
+def _found(rule: str, message: Column | str, bad: Column) -> Column:
+    """A struct(rule, message) where ``bad`` holds, else null."""
+    message = message if isinstance(message, Column) else F.lit(message)
+    return F.when(bad, F.struct(F.lit(rule).alias("rule"), message.alias("message")))
+
+
+_FOUND = "array<struct<rule:string,message:string>>"
+
+
+def _by_name(checks: dict[str, list[Column]], otherwise: list[Column]) -> Column:
+    """The violations of a row: those of its element's name, found in one pass over the rows."""
+    out = None
+    for name, found in checks.items():
+        value = F.array(*found).cast(_FOUND)
+        out = F.when(F.col("name") == name, value) if out is None else out.when(F.col("name") == name, value)
+    rest = F.array(*otherwise).cast(_FOUND)
+    return F.array_compact(rest if out is None else out.otherwise(rest))
+
+
+def _listed(rows: DataFrame, found: Column) -> DataFrame:
+    """A row for each violation in an array of them."""
+    return rows.select("doc_id", "pre", F.explode(found).alias("v")).select("doc_id", "pre", F.col("v.rule").alias("rule"), F.col("v.message").alias("message"))
+
+
+def _real(a: Column) -> Column:
+    """Whether an attribute is one, and no namespace declaration."""
+    return (F.coalesce(a["prefix"], F.lit("")) != "xmlns") & (a["name"] != "xmlns")
+
+
+def _strangers(known: list[str], message) -> Column:
+    """A violation for each attribute of other names."""
+    other = F.filter(F.coalesce("attrs", F.array()), lambda a: _real(a) & ~a["name"].isin(known or [""]))
+    return F.transform(other, lambda a: F.struct(F.lit("undeclared-attribute").alias("rule"), message(a).alias("message"))).cast(_FOUND)
 
 
 @dataclass
@@ -55,7 +93,10 @@ class Dtd:
 
     @classmethod
     def parse(cls, text: str, root: str | None = None) -> Dtd:
-        """From declarations in text; parameter entities are put in first, comments left out."""
+        """From declarations in text; parameter entities are put in first, comments left out.
+
+        Entities that name each other in a circle, or lie over 32 deep, raise a ValueError.
+        """
         text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
         entities = dict(re.findall(r"<!ENTITY\s+%\s+([\w.:-]+)\s+[\"']([^\"']*)[\"']\s*>", text))
         for _ in range(32):
@@ -63,6 +104,8 @@ class Dtd:
             if new == text:
                 break
             text = new
+        else:
+            raise ValueError("parameter entities are nested over 32 deep or in a circle")
         dtd = cls(root=root)
         for name, model in re.findall(r"<!ELEMENT\s+(\S+)\s+([^>]+?)\s*>", text):
             if name in dtd.elements:
@@ -74,61 +117,58 @@ class Dtd:
         return dtd
 
 
-def model_pattern(model: str) -> str:
-    """A content model as a regular expression over ``child_words``."""
-    body = re.sub(r"\s+", "", model)
-    body = re.sub(r"[\w.:-]+", lambda m: f"(?:{re.escape(m[0])} )", body)
-    return "^" + body.replace("(?:", "\0").replace("(", "(?:").replace("\0", "(?:").replace(",", "") + "$"
+def _content_model(flat: str) -> Column | None:
+    """What is wrong with an element's content under a declared model; None for any content."""
+    if flat == "ANY":
+        return None
+    if flat == "EMPTY":
+        return (F.size("children") > 0) | (F.col("n_text") > 0)
+    if "#PCDATA" in flat:
+        allowed = [x for x in re.split(r"[()|*]", flat) if x and x != "#PCDATA"]
+        return F.exists("children", lambda x: ~x.isin(allowed)) if allowed else F.size("children") > 0
+    return ~fits(F.col("children"), parse(flat)) | (F.col("n_text") > 0)
 
 
 def check_dtd(nodes: DataFrame, dtd: Dtd) -> DataFrame:
     """Root, declared elements, content models, attributes, ID uniqueness, IDREF resolution.
 
-    Declarations are small literal maps and predicates; identifiers are an aggregation and
-    an anti-join.
+    All declarations of an element are one branch of one expression, so a document's elements
+    are passed over once; content models are folded over the children (``content``), however
+    many; identifiers are an aggregation and an anti-join.
     """
-    spark, out = nodes.sparkSession, []
-    elements = nodes.filter("kind = 'element'")
-    words = child_words(nodes)
-    if dtd.root:
-        out.append(_violation(elements.filter((F.col("depth") == 1) & (F.col("name") != dtd.root)), "root", "root element isn't the declared one"))
-    declared = list(dtd.elements) or [""]
-    out.append(_violation(elements.filter(~F.col("name").isin(declared)), "undeclared-element", F.concat(F.lit("undeclared element "), F.col("name"))))
-    for name, model in dtd.elements.items():
-        mine, flat = words.filter(F.col("name") == name), re.sub(r"\s+", "", model)
-        if flat == "EMPTY":
-            bad = (F.col("words") != "") | (F.col("n_text") > 0)
-        elif flat == "ANY":
-            continue
-        elif "#PCDATA" in flat:
-            allowed = [x for x in re.split(r"[()|*]", flat) if x and x != "#PCDATA"]
-            bad = ~F.col("words").rlike("^(?:" + "|".join(f"{re.escape(x)} " for x in allowed) + ")*$") if allowed else F.col("words") != ""
-        else:
-            bad = ~F.col("words").rlike(model_pattern(flat)) | (F.col("n_text") > 0)
-        out.append(_violation(mine.filter(bad), "content-model", f"content of {name} doesn't fit {flat}"))
-    given = elements.select("doc_id", "pre", F.col("name").alias("element"), F.explode("attrs").alias("a")).filter("a.prefix is distinct from 'xmlns' and a.name <> 'xmlns'").select("doc_id", "pre", "element", F.col("a.name").alias("attribute"), F.col("a.value").alias("value"))
-    known = spark.createDataFrame([(e, a) for e, a in dtd.attributes] or [("", "")], "element string, attribute string")
-    out.append(_violation(given.join(F.broadcast(known), ["element", "attribute"], "left_anti"), "undeclared-attribute", F.concat(F.lit("undeclared attribute "), F.col("attribute"))))
+    rows, elements = child_names(nodes), nodes.filter("kind = 'element'")
     typed = {"ID": NAME, "IDREF": NAME, "ENTITY": NAME, "NMTOKEN": NMTOKEN}
     lists = {"IDREFS": NAME, "ENTITIES": NAME, "NMTOKENS": NMTOKEN}
+    checks: dict[str, list[Column]] = {name: [] for name in [*dtd.elements, *[e for e, _ in dtd.attributes]]}
+    for name, declared in dtd.elements.items():
+        flat = re.sub(r"\s+", "", declared)
+        bad = _content_model(flat)
+        if bad is not None:
+            checks[name].append(_found("content-model", f"content of {name} doesn't fit {flat}", bad))
     ids, refs = [], []
     for (element, name), (kind, default) in dtd.attributes.items():
-        mine = given.filter((F.col("element") == element) & (F.col("attribute") == name))
+        value, found = attr(name), checks[element]
+        mine = elements.filter((F.col("name") == element) & value.isNotNull())
         if default == "#REQUIRED":
-            out.append(_violation(elements.filter((F.col("name") == element) & attr(name).isNull()), "required-attribute", f"{element} lacks {name}"))
+            found.append(_found("required-attribute", f"{element} lacks {name}", value.isNull()))
         if default.startswith("#FIXED"):
-            out.append(_violation(mine.filter(F.col("value") != default[6:].strip()[1:-1]), "fixed-attribute", f"{name} differs from its fixed value"))
+            found.append(_found("fixed-attribute", f"{name} differs from its fixed value", value != default[6:].strip()[1:-1]))
         if kind in typed:
-            out.append(_violation(mine.filter(~F.col("value").rlike(typed[kind])), "attribute-type", f"{name} isn't a valid {kind}"))
+            found.append(_found("attribute-type", f"{name} isn't a valid {kind}", ~value.rlike(typed[kind])))
         if kind in lists:
-            out.append(_violation(mine.filter(~F.forall(F.split(F.trim("value"), r"\s+"), _is(lists[kind]))), "attribute-type", f"{name} isn't a valid {kind}"))
+            found.append(_found("attribute-type", f"{name} isn't a valid {kind}", ~F.forall(F.split(F.trim(value), r"\s+"), _is(lists[kind]))))
         if "(" in kind:
             allowed = [x.strip() for x in kind[kind.index("(") + 1 : -1].split("|")]
-            out.append(_violation(mine.filter(~F.col("value").isin(allowed)), "attribute-type", f"{name} isn't one of {', '.join(allowed)}"))
+            found.append(_found("attribute-type", f"{name} isn't one of {', '.join(allowed)}", ~value.isin(allowed)))
         if kind == "ID":
-            ids.append(mine.select("doc_id", "pre", "value"))
+            ids.append(mine.select("doc_id", "pre", value.alias("value")))
         if kind in ("IDREF", "IDREFS"):
-            refs.append(mine.select("doc_id", "pre", F.explode(F.split(F.trim("value"), r"\s+")).alias("value")))
+            refs.append(mine.select("doc_id", "pre", F.explode(F.split(F.trim(value), r"\s+")).alias("value")))
+    stranger = _found("undeclared-element", F.concat(F.lit("undeclared element "), F.col("name")), ~F.col("name").isin(list(dtd.elements) or [""]))
+    wrong_root = _found("root", "root element isn't the declared one", (F.col("depth") == 1) & (F.col("name") != (dtd.root or ""))) if dtd.root else None
+    always = [x for x in (stranger, wrong_root) if x is not None]
+    unknown = _by_element(dtd)
+    out = [_listed(rows, F.concat(_by_name({n: [*found, *always] for n, found in checks.items()}, always), unknown))]
     if ids:
         every = _all(ids)
         twice = every.groupBy("doc_id", "value").agg(F.min("pre").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -139,6 +179,17 @@ def check_dtd(nodes: DataFrame, dtd: Dtd) -> DataFrame:
     return _all(out)
 
 
+def _by_element(dtd: Dtd) -> Column:
+    """The violations by attributes that a row's element doesn't declare."""
+    message = lambda a: F.concat(F.lit("undeclared attribute "), a["name"])
+    out = None
+    for element in dict.fromkeys(e for e, _ in dtd.attributes):
+        value = _strangers([a for e, a in dtd.attributes if e == element], message)
+        out = F.when(F.col("name") == element, value) if out is None else out.when(F.col("name") == element, value)
+    rest = _strangers([], message)
+    return rest if out is None else out.otherwise(rest)
+
+
 def _is(pattern: str):
     return lambda x: x.rlike(pattern)
 
@@ -147,75 +198,55 @@ def _is(pattern: str):
 class Shape:
     """What an element of a name may be: a grammar's rule with its types as names or Columns.
 
-    ``content`` is a regular expression over child names, each followed by a blank (see
-    ``model``), None for any; ``text`` the type of the text (None: no text, "mixed": any);
-    ``attributes`` name -> (type, required); ``closed`` forbids other attributes.
+    ``content`` is a model of the children (see ``content``), None for any; ``text`` the type
+    of the text (None: no text, "mixed": any); ``attributes`` name -> (type, required);
+    ``closed`` forbids other attributes.
     """
 
-    content: str | None = "^$"
+    content: Model | None = EMPTY
     text: str | None = None
     attributes: dict[str, tuple[str, bool]] = field(default_factory=dict)
     facets: dict[str, object] = field(default_factory=dict)
     closed: bool = False
 
 
-def seq(*parts: str) -> str:
-    return "(?:" + "".join(parts) + ")"
-
-
-def one_of(*parts: str) -> str:
-    return "(?:" + "|".join(parts) + ")"
-
-
-def el(name: str) -> str:
-    return f"(?:{re.escape(name)} )"
-
-
-def times(part: str, low: int = 0, high: int | None = None) -> str:
-    return f"{part}{{{low},{'' if high is None else high}}}"
-
-
-def interleave(*parts: tuple[str, int, int | None]) -> str:
-    """(name, least, most) in any order: lookaheads count each name, and no other name occurs."""
-    names = "|".join(re.escape(n) for n, _, _ in parts)
-    counts = "".join(rf"(?=(?:(?!{re.escape(n)} )\S+ )*(?:{re.escape(n)} (?:(?!{re.escape(n)} )\S+ )*){{{low},{'' if high is None else high}}}$)" for n, low, high in parts)
-    return f"{counts}(?:(?:{names}) )*"
-
-
-def model(expression: str) -> str:
-    return f"^{expression}$"
-
-
 def check_shapes(nodes: DataFrame, root: str, shapes: dict[str, Shape]) -> DataFrame:
-    """XSD- and RelaxNG-like rules: root, content, text types with facets, attributes."""
+    """XSD- and RelaxNG-like rules: root, content, text types with facets, attributes.
+
+    One pass over the elements for what they and their children show, one over the values of
+    those that have a text type.
+    """
     from thicket.functions.types import facets_ok
 
     elements = nodes.filter("kind = 'element'")
-    words = child_words(nodes)
-    out = [_violation(elements.filter((F.col("depth") == 1) & (F.col("name") != root)), "root", f"root element isn't {root}")]
-    out.append(_violation(elements.filter(~F.col("name").isin(list(shapes))), "undeclared-element", F.concat(F.lit("undeclared element "), F.col("name"))))
-    valued = Selection(nodes, elements.filter(F.col("name").isin([n for n, s in shapes.items() if s.text not in (None, "mixed")] or [""])).withColumn("ctx", F.lit(0)), False, "child").strings()
+    always = [_found("root", f"root element isn't {root}", (F.col("depth") == 1) & (F.col("name") != root))]
+    stranger = _found("undeclared-element", F.concat(F.lit("undeclared element "), F.col("name")), F.lit(True))
+    checks, values = {}, {}
     for name, s in shapes.items():
+        found = list(always)
         if s.content is not None:
-            out.append(_violation(words.filter((F.col("name") == name) & ~F.col("words").rlike(s.content)), "content", f"content of {name} doesn't fit"))
+            found.append(_found("content", f"content of {name} doesn't fit", ~fits(F.col("children"), s.content)))
         if s.text is None:
-            out.append(_violation(words.filter((F.col("name") == name) & (F.col("n_text") > 0)), "text", f"{name} has text"))
+            found.append(_found("text", f"{name} has text", F.col("n_text") > 0))
         elif s.text != "mixed":
             ok = BUILTIN[s.text](F.col("value")) & facets_ok(F.col("value"), s.text, s.facets)
-            out.append(_violation(valued.filter((F.col("name") == name) & ~F.coalesce(ok, F.lit(False))), "type", f"text of {name} isn't a valid {s.text}"))
+            values[name] = [_found("type", f"text of {name} isn't a valid {s.text}", ~F.coalesce(ok, F.lit(False)))]
         for a, (kind, required) in s.attributes.items():
-            mine = elements.filter(F.col("name") == name)
             if required:
-                out.append(_violation(mine.filter(attr(a).isNull()), "required-attribute", f"{name} lacks {a}"))
-            out.append(_violation(mine.filter(attr(a).isNotNull() & ~F.coalesce(BUILTIN[kind](attr(a)), F.lit(False))), "attribute-type", f"{a} isn't a valid {kind}"))
+                found.append(_found("required-attribute", f"{name} lacks {a}", attr(a).isNull()))
+            found.append(_found("attribute-type", f"{a} isn't a valid {kind}", attr(a).isNotNull() & ~F.coalesce(BUILTIN[kind](attr(a)), F.lit(False))))
         if s.closed:
-            extra = F.exists("attrs", _other(list(s.attributes) or [""]))
-            out.append(_violation(elements.filter((F.col("name") == name) & extra), "undeclared-attribute", f"{name} has other attributes"))
+            found.append(_found("undeclared-attribute", f"{name} has other attributes", F.exists("attrs", _other(list(s.attributes) or [""]))))
+        checks[name] = found
+    out = [_listed(child_names(nodes), _by_name(checks, [*always, stranger]))]
+    if values:
+        valued = Selection(nodes, elements.filter(F.col("name").isin(list(values))).withColumn("ctx", F.lit(0)), False, "child").strings()
+        out.append(_listed(valued, _by_name(values, [])))
     return _all(out)
 
 
 def _other(names: list[str]):
-    return lambda x: (F.coalesce(x["prefix"], F.lit("")) != "xmlns") & (x["name"] != "xmlns") & ~x["name"].isin(names)
+    return lambda x: _real(x) & ~x["name"].isin(names)
 
 
 @dataclass

@@ -110,6 +110,11 @@ def test_namespaces_language_and_ids(spark):
     assert Selection(nodes).descendant("b", namespace="d").nodes().count() == 0 and Selection(nodes).descendant("c", namespace="d").nodes().count() == 1
 
 
+def test_the_last_of_equal_ids_counts(spark):
+    nodes = xml(spark, '<a id="x"><b id="x"/><c id="y"/></a>')
+    assert [r.pre for r in compare.by_id(spark.createDataFrame([(0, "x")], "doc_id long, value string"), nodes).collect()] == [2]
+
+
 def test_comparisons(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (3, "x")], "doc_id long, value string")
     b = spark.createDataFrame([(1, "y"), (2, "x"), (4, "x")], "doc_id long, value string")
@@ -187,3 +192,22 @@ def test_catalog(spark):
 def test_attr_ignores_declarations(spark):
     row = xml(spark, '<a xmlns:q="u" q:q="1" r="2"/>').filter("kind = 'element'").select(attr("q").alias("q"), attr("r").alias("r"), attr("s").alias("s")).first()
     assert tuple(row) == ("1", "2", None)
+
+
+def test_includes_deeper_than_followed_are_errors(spark):
+    xi = 'xmlns:xi="http://www.w3.org/2001/XInclude"'
+    docs = xml(spark, f'<a {xi}><xi:include href="0"/></a>')
+    chain = xml(spark, *[f'<r {xi}><xi:include href="{k + 1}"/></r>' for k in range(4)], "<end/>").withColumn("href", F.col("doc_id").cast("string")).drop("doc_id")
+    nodes, errors = links.include(docs, chain, max_depth=3)
+    assert [r.message for r in errors.collect()] == ["inclusions nested over 3 deep"] and nodes.filter("name = 'include'").count() == 1
+    nodes, errors = links.include(docs, chain)
+    assert errors.count() == 0 and nodes.filter("name = 'end'").count() == 1
+
+
+def test_large_catalogs_meet_identifiers_in_equi_joins(spark):
+    rows = [(k, "rewriteURI", f"http://h{k}/", f"l{k}:") for k in range(300)] + [(500, "uri", "http://h7/x", "seven"), (501, "uriSuffix", "/end", "tail"), (502, "delegateURI", "ftp://", "d")]
+    entries = spark.createDataFrame(rows, "ord int, kind string, match string, target string")
+    asked = spark.createDataFrame([("http://h7/x",), ("http://h8/x",), ("z/end",), ("ftp://q",), ("none",), (None,)], "u string")
+    out = links.resolve(asked, entries, "uri", "u")
+    assert {r.u: r.resolved for r in out.collect()} == {"http://h7/x": "seven", "http://h8/x": "l8:x", "z/end": "tail", "ftp://q": "d", "none": None, None: None}
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()

@@ -42,6 +42,32 @@ def node_test(name: str | None = None, kind: str | None = "element", namespace:
     return out
 
 
+#: Nodes of a document, by number, that are one key of a join on intervals.
+BIN = 4096
+
+
+def _bin(column: str) -> Column:
+    return F.floor(F.col(column) / BIN)
+
+
+def joined(targets: DataFrame, context: DataFrame, axis: str) -> DataFrame:
+    """Targets with the context nodes (c_doc, c_pre, c_post, c_parent, ..) that reach them over an axis.
+
+    Where one side's interval holds the other's number, numbers are dealt into bins and the
+    interval is exploded over those it touches (one, in a small document), so a very large
+    document is many keys of the join; a pair meets in one bin alone.
+    """
+    on = (F.col("doc_id") == F.col("c_doc")) & CONDITIONS[axis](lambda x: F.col(f"c_{x}"), F.col)
+    every = lambda low, high: F.explode(F.sequence(_bin(low), _bin(high)))
+    if axis.startswith("descendant"):
+        targets, context = targets.withColumn("bin_", _bin("pre")), context.withColumn("c_bin_", every("c_pre", "c_post"))
+    elif axis.startswith("ancestor"):
+        targets, context = targets.withColumn("bin_", every("pre", "post")), context.withColumn("c_bin_", _bin("c_pre"))
+    else:
+        return targets.join(context, on)
+    return targets.join(context, on & (F.col("bin_") == F.col("c_bin_"))).drop("bin_", "c_bin_")
+
+
 def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column) -> DataFrame:
     """Nodes of the axis that pass the test, each with ``ctx``, the ``pre`` of the node it was reached from.
 
@@ -50,9 +76,7 @@ def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column) -> DataF
     if axis == "self":
         return context.filter(test).withColumn("ctx", F.col("pre"))
     c = context.select(F.col("doc_id").alias("c_doc"), *[F.col(x).alias(f"c_{x}") for x in ("pre", "post", "parent")])
-    condition = CONDITIONS[axis](lambda x: F.col(f"c_{x}"), F.col)
-    targets = nodes.filter(test)
-    return targets.join(c, (F.col("doc_id") == F.col("c_doc")) & condition).select(*[F.col(x) for x in nodes.columns], F.col("c_pre").alias("ctx"))
+    return joined(nodes.filter(test), c, axis).select(*[F.col(x) for x in nodes.columns], F.col("c_pre").alias("ctx"))
 
 
 def attributes(context: DataFrame, name: str | None = None, namespace: str | None = None) -> DataFrame:

@@ -28,14 +28,14 @@ def any_less(a: DataFrame, b: DataFrame, or_equal: bool = False) -> DataFrame:
 def by_id(tokens: DataFrame, nodes: DataFrame, attribute: str = "id") -> DataFrame:
     """Elements whose id is one of the white-space separated tokens of (doc_id, value): an equi-join.
 
-    Of several elements with one id in a document, the first counts.
+    Of several elements with one id in a document, the last counts.
     """
     from thicket.operators.selection import attr
 
     ids = nodes.filter("kind = 'element'").withColumn("id_", attr(attribute)).filter("id_ is not null")
-    first = ids.groupBy("doc_id", "id_").agg(F.min("pre").alias("pre"))
+    last = ids.groupBy("doc_id", "id_").agg(F.max("pre").alias("pre"))
     wanted = tokens.select("doc_id", F.explode(F.split(F.trim("value"), r"\s+")).alias("id_")).filter("id_ <> ''").distinct()
-    return nodes.join(first.join(wanted, ["doc_id", "id_"]).select("doc_id", "pre"), ["doc_id", "pre"], "left_semi")
+    return nodes.join(last.join(wanted, ["doc_id", "id_"]).select("doc_id", "pre"), ["doc_id", "pre"], "left_semi")
 
 
 def language(context: DataFrame, nodes: DataFrame, code: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.numbers import to_number
-from thicket.operators.axes import DISJOINT, REVERSE, attributes, node_test, step
+from thicket.operators.axes import BIN, DISJOINT, REVERSE, attributes, joined, node_test, step
 
 
 def attr(name: str) -> Column:
@@ -78,10 +78,14 @@ class Selection:
         order = F.col("pre").desc() if self.axis in REVERSE else F.col("pre")
         return F.row_number().over(Window.partitionBy("doc_id", "ctx").orderBy(order))
 
+    def marked(self) -> DataFrame:
+        """The rows with position_ and last_ in their context; nearest first on reverse axes."""
+        last = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "ctx"))
+        return self.rows.withColumn("position_", self._position()).withColumn("last_", last)
+
     def position(self, condition: Callable[[Column, Column], Column]) -> Selection:
         """Rows whose (position, last) in their context meet the condition; nearest first on reverse axes."""
-        last = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "ctx"))
-        rows = self.rows.withColumn("position_", self._position()).withColumn("last_", last)
+        rows = self.marked()
         return self._with(rows.filter(condition(F.col("position_"), F.col("last_"))).drop("position_", "last_"))
 
     def nth(self, n: int) -> Selection:
@@ -184,17 +188,18 @@ class _Origin(Selection):
         test = node_test(name, kind, namespace)
         if axis == "self":
             return self._with(self.rows.filter(test), axis)
-        from thicket.operators.axes import CONDITIONS
-
         c = self.nodes().select(F.col("doc_id").alias("c_doc"), F.col("origin").alias("c_origin"), *[F.col(x).alias(f"c_{x}") for x in ("pre", "post", "parent")])
-        on = (F.col("doc_id") == F.col("c_doc")) & CONDITIONS[axis](lambda x: F.col(f"c_{x}"), F.col)
-        rows = self.table.filter(test).join(c, on).select(*self.table.columns, F.col("c_origin").alias("origin"), F.col("c_pre").alias("ctx"))
+        rows = joined(self.table.filter(test), c, axis).select(*self.table.columns, F.col("c_origin").alias("origin"), F.col("c_pre").alias("ctx"))
         return self._with(rows, axis)
 
     def _position(self):
         order = F.col("pre").desc() if self.axis in REVERSE else F.col("pre")
         return F.row_number().over(Window.partitionBy("doc_id", "origin", "ctx").orderBy(order))
 
+    def marked(self):
+        last = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "origin", "ctx"))
+        return self.rows.withColumn("position_", self._position()).withColumn("last_", last)
+
     def having_value(self, condition: Column | str):
         """Keeps rows whose string-value (``value``) meets the condition."""
         rows = string_value(self.rows.drop("ctx").dropDuplicates(["doc_id", "pre", "origin"]), self.table)
@@ -207,13 +212,17 @@ class _Origin(Selection):
 def string_value(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows with ``value``: the text below an element or document, else the node's own content.
 
-    Elements meet their text nodes in an equi-join on the document with an interval; the
-    text is put together in document order by one aggregation.
+    An element with one node below it takes its text in an equi-join; others meet their text
+    nodes by bins of numbers with an interval (see ``axes.joined``), and the text is put
+    together in document order by one aggregation.
     """
     texts = table.filter("kind in ('text', 'cdata')").select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("content").alias("t_text"))
-    inner = rows.filter("kind in ('element', 'document')").select("doc_id", "pre", "post").distinct()
-    on = (F.col("doc_id") == F.col("t_doc")) & (F.col("t_pre") > F.col("pre")) & (F.col("t_pre") <= F.col("post"))
-    found = inner.join(texts, on).groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_pre", "t_text"))), lambda x: x["t_text"]), "").alias("below"))
+    inner = rows.filter("kind in ('element', 'document') and post > pre").select("doc_id", "pre", "post").distinct()
+    one = inner.filter("post = pre + 1").join(texts, (F.col("doc_id") == F.col("t_doc")) & (F.col("pre") + 1 == F.col("t_pre"))).select("doc_id", "pre", F.col("t_text").alias("below"))
+    many = inner.filter("post > pre + 1").withColumn("bin_", F.explode(F.sequence(F.floor(F.col("pre") / BIN), F.floor(F.col("post") / BIN))))
+    on = (F.col("doc_id") == F.col("t_doc")) & (F.col("bin_") == F.col("t_bin_")) & (F.col("t_pre") > F.col("pre")) & (F.col("t_pre") <= F.col("post"))
+    found = many.join(texts.withColumn("t_bin_", F.floor(F.col("t_pre") / BIN)), on).groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_pre", "t_text"))), lambda x: x["t_text"]), "").alias("below"))
+    found = one.union(found)
     out = rows.join(found, ["doc_id", "pre"], "left")
     value = F.when(F.col("kind").isin("element", "document"), F.coalesce("below", F.lit(""))).otherwise(F.coalesce("content", F.lit("")))
     return out.select(*[F.col(c) for c in rows.columns], value.alias("value"))

@@ -17,7 +17,7 @@ def compare(spark, name, sf_dir=SF):
     return [r[0] for r in got]
 
 
-@pytest.mark.parametrize("name", ["decode_bytes_all", "function_string_value_all", "edit_documents_all", "include_resources_all", "parse_errors_all", "canonical_digest_all"])
+@pytest.mark.parametrize("name", ["decode_bytes", "function_string_value", "edit_documents", "include_resources", "parse_errors", "canonical_digest"])
 def test_no_document_is_left_out(spark, name):
-    of, key = ("pages", "page_id") if name == "decode_bytes_all" else ("orders", "o_orderkey")
+    of, key = ("pages", "page_id") if name == "decode_bytes" else ("orders", "o_orderkey")
     assert compare(spark, name) == sorted(r[0] for r in catalog.table(spark, SF, of).select(key).collect())

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from thicket.functions import numbers, strings
 from thicket.functions.types import BUILTIN
-from thicket.operators import compare, corpora, css, edit, links, validate
+from thicket.operators import compare, corpora, css, edit, links, paths, validate
 from thicket.operators.axes import step
 from thicket.operators.selection import Selection, attr, string_value
 from thicket.plans import relational
@@ -22,6 +22,7 @@ from thicket.sources import encoding
 from thicket.sources.events import assemble, events
 from thicket.sources.html import parse_html
 from thicket.sources.xml import parse_xml
+from thicket.storage import written
 from thicket.streaming import documents as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,10 +47,10 @@ _cached: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make) -> DataFrame:
-    """A parsed corpus is persisted for the session's later queries; lost blocks are computed anew."""
+    """A parsed corpus is a table, written once for the session's queries, which read the columns they need of it."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _cached:
-        _cached[key] = make().persist()
+        _cached[key] = written(make())
     return _cached[key]
 
 
@@ -121,19 +122,10 @@ def catalog_rewrite(spark, sf_dir):
     return links.resolve(pages, entries, "uri", "url").select("doc_id", "resolved")
 
 
-@query("SELECT page_id AS doc_id, 'UTF-16LE' AS encoding, html AS text FROM pages WHERE page_id % 10 = 0")
-def decode_bytes(spark, sf_dir):
-    return _decoded(table(spark, sf_dir, "pages").filter("page_id % 10 = 0"))
-
-
 @query("SELECT page_id AS doc_id, 'UTF-16LE' AS encoding, html AS text FROM pages")
-def decode_bytes_all(spark, sf_dir):
-    return _decoded(table(spark, sf_dir, "pages"))
-
-
-def _decoded(pages):
+def decode_bytes(spark, sf_dir):
     raw = F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE"))
-    return pages.select(F.col("page_id").alias("doc_id"), encoding.decode(raw).alias("d")).select("doc_id", "d.encoding", "d.text")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), encoding.decode(raw).alias("d")).select("doc_id", "d.encoding", "d.text")
 
 
 # Axes, predicates, folds
@@ -149,6 +141,13 @@ def axis_path_column(spark, sf_dir):
     return _n(Selection(order_nodes(spark, sf_dir)).at_path("/order/item").count())
 
 
+@query(_PER_ORDER.format("count(l_orderkey) AS n"))
+def source_pushdown(spark, sf_dir):
+    """One path of fresh documents: the parser makes and sends only these nodes and columns."""
+    nodes = parse_xml(order_docs(spark, sf_dir), columns=["doc_id", "pre", "parent", "kind", "path"], paths=["/order/item"])
+    return _n(Selection(nodes).at_path("/order/item").count())
+
+
 @query(_PER_ORDER.format("coalesce(sum(l_quantity), 0) AS total, CASE WHEN count(l_orderkey) = 0 THEN CAST('nan' AS DOUBLE) ELSE min(l_quantity) END AS least, CASE WHEN count(l_orderkey) = 0 THEN CAST('nan' AS DOUBLE) ELSE max(l_quantity) END AS most"))
 def fold_sum_min_max(spark, sf_dir):
     f = Selection(order_nodes(spark, sf_dir)).descendant("qty").fold()
@@ -296,21 +295,12 @@ def function_string_join(spark, sf_dir):
     return Selection(order_nodes(spark, sf_dir)).descendant("partkey").fold().filter("n > 0").select("doc_id", F.col("joined").alias("parts"))
 
 
-@query("SELECT o_orderkey AS doc_id, c_name || coalesce(string_agg(CAST(l_partkey AS VARCHAR) || CAST(l_quantity AS VARCHAR) || CAST(l_extendedprice AS VARCHAR) || CAST(l_discount AS VARCHAR), '' ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount), '') AS value FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 7 = 0 AND (o_orderkey, 1) NOT IN (SELECT l_orderkey, 1 FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_quantity HAVING count(*) > 1) GROUP BY o_orderkey, c_name")
-def function_string_value(spark, sf_dir):
-    """string(/order); orders with items equal in line, part and quantity are left out, for the base tables don't order them."""
-    nodes = order_nodes(spark, sf_dir)
-    twice = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").count().filter("count > 1").select(F.col("l_orderkey").alias("doc_id"))
-    orders = Selection(nodes).child("order").where("doc_id % 7 = 0").nodes().join(twice, "doc_id", "left_anti")
-    return string_value(orders, nodes).select("doc_id", "value")
-
-
 #: Items in the order of corpora.ITEM_ORDER.
 _ITEM_ORDER = ", ".join(corpora.ITEM_ORDER)
 
 
 @query(f"SELECT o_orderkey AS doc_id, c_name || coalesce(string_agg(CAST(l_partkey AS VARCHAR) || CAST(l_quantity AS VARCHAR) || CAST(l_extendedprice AS VARCHAR) || CAST(l_discount AS VARCHAR), '' ORDER BY {_ITEM_ORDER}), '') AS value FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, c_name")
-def function_string_value_all(spark, sf_dir):
+def function_string_value(spark, sf_dir):
     """string(/order) of every order."""
     nodes = order_nodes(spark, sf_dir)
     return string_value(Selection(nodes).child("order").nodes(), nodes).select("doc_id", "value")
@@ -389,9 +379,9 @@ def validate_schema(spark, sf_dir):
     """A schema's sequence, types, facets and attributes."""
     nodes, Shape = order_nodes(spark, sf_dir), validate.Shape
     shapes = {
-        "order": Shape(validate.model(validate.seq(validate.el("customer"), validate.times(validate.el("item"), 1))), attributes={"id": ("integer", True), "status": ("token", True), "priority": ("string", False)}, closed=True),
-        "customer": Shape(validate.model(validate.el("name")), attributes={"id": ("nonNegativeInteger", True)}),
-        "item": Shape(validate.model(validate.interleave(("qty", 1, 1), ("partkey", 1, 1), ("discount", 0, 1), ("price", 1, 1))), attributes={"n": ("positiveInteger", True), "returnflag": ("string", True)}),
+        "order": Shape(validate.seq(validate.el("customer"), validate.times(validate.el("item"), 1)), attributes={"id": ("integer", True), "status": ("token", True), "priority": ("string", False)}, closed=True),
+        "customer": Shape(validate.el("name"), attributes={"id": ("nonNegativeInteger", True)}),
+        "item": Shape(validate.interleave(("qty", 1, 1), ("partkey", 1, 1), ("discount", 0, 1), ("price", 1, 1)), attributes={"n": ("positiveInteger", True), "returnflag": ("string", True)}),
         "name": Shape(text="string", facets={"minLength": 1}),
         "partkey": Shape(text="unsignedInt"),
         "qty": Shape(text="decimal", facets={"maxInclusive": 45, "fractionDigits": 0}),
@@ -431,6 +421,38 @@ def validate_types(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("doc_id"), BUILTIN["int"](F.col("o_orderstatus")).alias("is_int"), BUILTIN["byte"](key).alias("is_byte"), BUILTIN["date"](F.date_format("o_orderdate", "yyyy-MM-dd")).alias("is_date"), BUILTIN["positiveInteger"](key).alias("is_positive"))
 
 
+# Paths and selectors as strings
+
+
+@query("SELECT l_orderkey AS doc_id, l_partkey AS part FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
+def path_string(spark, sf_dir):
+    found = paths.xpath(order_nodes(spark, sf_dir), "/order/item[@returnflag = 'R'][qty > 45]/partkey")
+    return string_value(found, order_nodes(spark, sf_dir)).select("doc_id", F.col("value").cast("long").alias("part"))
+
+
+@query(_PER_ORDER.format("CAST(count(l_orderkey) FILTER (l_returnflag <> 'R' OR l_discount < 0.02) AS DOUBLE) AS value"))
+def path_string_count(spark, sf_dir):
+    return paths.xpath(order_nodes(spark, sf_dir), "count(//item[not(@returnflag = 'R') or discount < 0.02])")
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def path_string_attribute_owner(spark, sf_dir):
+    """From attribute nodes back to their elements."""
+    return paths.xpath(order_nodes(spark, sf_dir), "//@returnflag/..").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) - CAST(count(*) > 1 AS INTEGER) AS n FROM lineitem GROUP BY l_orderkey")
+def path_string_position(spark, sf_dir):
+    """All items but the second."""
+    found = paths.xpath(order_nodes(spark, sf_dir), "//order/item[position() != 2]")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id AS doc_id, CAST(len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\"/')) AS BIGINT) AS n FROM pages WHERE n > 0")
+def selector_string(spark, sf_dir):
+    return paths.select(page_nodes(spark, sf_dir), "NAV li > a[href^='/']").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Writing and editing
 
 
@@ -441,19 +463,11 @@ def serialize_round_trip(spark, sf_dir):
     return docs.join(text, "doc_id").select("doc_id", (F.regexp_replace("out", "\n$", "") == F.col("text")).alias("same"))
 
 
-@query("SELECT o_orderkey AS doc_id, sha256('<order id=\"' || o_orderkey || '\" priority=\"' || o_orderpriority || '\" status=\"' || o_orderstatus || '\"><customer id=\"' || o_custkey || '\"><name>' || c_name || '</name></customer></order>') AS digest FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
-def canonical_digest(spark, sf_dir):
-    """Digests of the canonical form, of orders without items."""
-    nodes = order_nodes(spark, sf_dir)
-    empty = nodes.join(Selection(nodes).child("order").without(lambda s: s.child("item")).nodes().select("doc_id"), "doc_id", "left_semi")
-    return serialize.canonical(empty).select("doc_id", F.sha2("text", 256).alias("digest"))
-
-
 _ITEM = """'<item n="' || l_linenumber || '" returnflag="' || l_returnflag || '"><partkey>' || l_partkey || '</partkey><qty>' || l_quantity || '</qty><price>' || l_extendedprice || '</price><discount>' || l_discount || '</discount></item>'"""
 
 
 @query(f"""SELECT o_orderkey AS doc_id, sha256('<order id="' || o_orderkey || '" priority="' || o_orderpriority || '" status="' || o_orderstatus || '"><customer id="' || o_custkey || '"><name>' || c_name || '</name></customer>' || coalesce(string_agg({_ITEM}, '' ORDER BY {_ITEM_ORDER}), '') || '</order>') AS digest FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_orderstatus, o_custkey, c_name""")
-def canonical_digest_all(spark, sf_dir):
+def canonical_digest(spark, sf_dir):
     """Digests of the canonical form of every order, items included."""
     return serialize.canonical(order_nodes(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("digest"))
 
@@ -472,36 +486,20 @@ def html_serialize_stable(spark, sf_dir):
     return once.join(twice, "doc_id").select("doc_id", (F.col("text") == F.col("again")).alias("stable"))
 
 
-@query("SELECT o_orderkey AS doc_id, 3 + 1 + 9 * count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_nodes, count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_lines, CAST('x' AS VARCHAR) AS mark FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
+@query(_PER_ORDER.format("3 + 1 + 9 * count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_nodes, count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_lines, CAST('x' AS VARCHAR) AS mark"))
 def edit_documents(spark, sf_dir):
     """Returned items go, items become lines, the order gets a mark."""
-    return _edited(order_nodes(spark, sf_dir).filter("doc_id % 10 = 0"))
-
-
-@query(_PER_ORDER.format("3 + 1 + 9 * count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_nodes, count(l_orderkey) FILTER (l_returnflag <> 'R') AS n_lines, CAST('x' AS VARCHAR) AS mark"))
-def edit_documents_all(spark, sf_dir):
-    return _edited(order_nodes(spark, sf_dir))
-
-
-def _edited(nodes):
+    nodes = order_nodes(spark, sf_dir)
     nodes = edit.remove(nodes, Selection(nodes).descendant("item").where(attr("returnflag") == "R").nodes())
     nodes = edit.rename(nodes, Selection(nodes).descendant("item").nodes(), "line")
     nodes = edit.set_attribute(nodes, Selection(nodes).child("order").nodes(), "mark", "x")
     return nodes.groupBy("doc_id").agg((F.max("pre")).cast("long").alias("n_nodes"), F.sum((F.col("path") == "/order/line").cast("long")).alias("n_lines"), F.max(attr("mark")).alias("mark"))
 
 
-@query("SELECT o_orderkey AS doc_id, c_name AS name, 'order/customer/name' AS path FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 20 = 0")
+@query("SELECT o_orderkey AS doc_id, c_name AS name, 'order/customer/name' AS path FROM orders JOIN customer ON c_custkey = o_custkey")
 def include_resources(spark, sf_dir):
     """Orders that include their customer's document: a join of hrefs with parsed resources."""
-    return _included(table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0"), table(spark, sf_dir, "customer"))
-
-
-@query("SELECT o_orderkey AS doc_id, c_name AS name, 'order/customer/name' AS path FROM orders JOIN customer ON c_custkey = o_custkey")
-def include_resources_all(spark, sf_dir):
-    return _included(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
-
-
-def _included(o, c):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('<order xmlns:xi="http://www.w3.org/2001/XInclude"><xi:include href="c'), "o_custkey", F.lit('.xml"/></order>')).alias("text"))
     parsed = parse_xml(c.select(F.col("c_custkey").alias("doc_id"), corpora.element("customer", corpora.element("name", corpora.text(F.col("c_name")))).alias("text")))
     resources = parsed.withColumn("href", F.concat(F.lit("c"), "doc_id", F.lit(".xml"))).drop("doc_id")
@@ -574,18 +572,10 @@ def builtin_path(spark, sf_dir):
     return order_docs(spark, sf_dir).select("doc_id", F.expr("xpath_double(text, 'sum(//qty)')").alias("total"))
 
 
-@query("SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS ok FROM orders WHERE o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS ok FROM orders")
 def parse_errors(spark, sf_dir):
     """Broken documents are rows with an error; the job goes on."""
-    return _parsed_or_not(order_docs(spark, sf_dir).filter("doc_id % 5 = 0"))
-
-
-@query("SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS ok FROM orders")
-def parse_errors_all(spark, sf_dir):
-    return _parsed_or_not(order_docs(spark, sf_dir))
-
-
-def _parsed_or_not(docs):
+    docs = order_docs(spark, sf_dir)
     docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.substring(F.col("text"), F.lit(1), F.length("text") - 3)).otherwise(F.col("text")))
     return parse_xml(docs).filter("kind = 'document'").select("doc_id", F.col("error").isNull().alias("ok"))
 

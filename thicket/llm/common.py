@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset.
-
-    A machine-local folder is only ever chosen for a local master, as in tests.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_by_code.isDefined():
-        return set_by_code.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="thicket-"))
-    return f"file://{_own[0]}"
-
+from thicket.storage import shared_dir, written
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage ends here and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/thicket-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["free_name", "power_of_two", "shared_dir", "text_bytes", "without_results", "written"]
 
 
 def free_name(df: DataFrame, *stems: str) -> list[str]:

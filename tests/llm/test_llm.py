@@ -562,8 +562,8 @@ def test_top_k(spark):
     wide = spark.createDataFrame([(0, [1e12, -1.0]), (1, [3.0, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError, match="64 bits"):
         exact_top_k(wide)
-    far = spark.createDataFrame([(0, [1e7, -1.0]), (1, [-2e7, 2.0])], "vec_id long, embedding array<double>")
-    assert [r.score for r in exact_top_k(far).collect()] == [256 * 10**7 * -256 * 2 * 10**7 - 256 * 512]
+    far = spark.createDataFrame([(0, [1e6, -1.0]), (1, [-2e6, 2.0])], "vec_id long, embedding array<double>")
+    assert [r.score for r in exact_top_k(far).collect()] == [256 * 10**6 * -256 * 2 * 10**6 - 256 * 512]
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in exact_top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
 

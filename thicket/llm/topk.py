@@ -137,7 +137,7 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     count once; with several vectors, each is a candidate, and each, as a query, is answered
     under its id.  An empty table, or one without queries, gives no rows.  Other columns don't
     matter.  Where components are so large that a score might not fit 64 bits, a ValueError
-    says so before anything is compared; components travel as 32-bit integers where they fit.
+    says so before anything is compared; components travel as 32-bit integers.
 
     Rows are dealt by hash into blocks of about ``block``, queries into blocks of about
     ``query_block``.  Each pair of blocks is one group: its index answers its queries with
@@ -155,8 +155,7 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     most = max(high or 0, -(low or 0))
     if (most + 1) ** 2 * (length or 0) >= 1 << 62:
         raise ValueError(f"components of up to {most} in {length} dimensions: scores don't fit 64 bits")
-    if most < (1 << 31) - 1:
-        rows = rows.withColumn("v", F.col("v").cast("array<int>"))
+    rows = rows.withColumn("v", F.col("v").cast("array<int>"))  # of larger ones no score would fit
     blocks, query_blocks, length = max(1, -(-n // block), min(4, n // 2048)), max(1, -(-n_queries // query_block)), length or 0
     number = lambda among: F.pmod(F.xxhash64("id"), F.lit(among).cast("long"))
     every = lambda among: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(among - 1).cast("long")))

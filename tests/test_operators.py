@@ -211,3 +211,23 @@ def test_large_catalogs_meet_identifiers_in_equi_joins(spark):
     out = links.resolve(asked, entries, "uri", "u")
     assert {r.u: r.resolved for r in out.collect()} == {"http://h7/x": "seven", "http://h8/x": "l8:x", "z/end": "tail", "ftp://q": "d", "none": None, None: None}
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replace_puts_one_node_in_place_of_a_subtree(spark):
+    nodes = xml(spark, '<a><b x="1">t<c/></b><d/>u</a>')
+    assert text_of(edit.replace(nodes, Selection(nodes).descendant("b").nodes(), name="n")) == "<a><n/><d/>u</a>"
+    assert text_of(edit.replace(nodes, Selection(nodes).descendant("d").nodes(), kind="text", content="w")) == '<a><b x="1">t<c/></b>wu</a>'
+
+
+def test_canonical_subtree_keeps_what_is_in_force(spark):
+    nodes = xml(spark, '<a xmlns="d" xmlns:p="u" xml:lang="en" y="1"><p:b z="2" a="1"><c xmlns:p="u"/></p:b><!--x--></a>')
+    one = lambda **k: serialize.canonical(nodes, roots=Selection(nodes).descendant("b").nodes(), **k).first().text
+    assert one() == '<p:b xmlns="d" xmlns:p="u" a="1" z="2" xml:lang="en"><c></c></p:b>'
+    assert one(exclusive=True) == '<p:b xmlns:p="u" a="1" z="2"><c xmlns="d"></c></p:b>'
+
+
+def test_next_catalogs_follow_in_turn(spark):
+    rows = [("m", 1, "nextCatalog", None, "x"), ("m", 2, "uri", "k", "own"), ("m", 3, "nextCatalog", None, "y"), ("x", 1, "uri", "k", "later"), ("x", 2, "uriSuffix", "q", "x-tail"), ("x", 3, "nextCatalog", None, "m"), ("x", 4, "nextCatalog", None, "gone"), ("y", 1, "uri", "q", "y-exact"), ("z", 1, "uri", "zz", "never")]
+    entries = links.chained(spark.createDataFrame(rows, "uri string, ord int, kind string, match string, target string"), "m")
+    out = links.resolve(spark.createDataFrame([("k",), ("q",), ("zz",)], "u string"), entries, "uri", "u")
+    assert {r.u: r.resolved for r in out.collect()} == {"k": "own", "q": "x-tail", "zz": None}

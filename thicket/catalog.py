@@ -253,11 +253,19 @@ def set_intersect_and_minus(spark, sf_dir):
 
 @query("SELECT o_orderkey AS doc_id, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS has_large FROM orders")
 def predicate_exists(spark, sf_dir):
-    """order[item/qty > 45] by a semi-join, order[not(...)] by an anti-join."""
+    """boolean(order[item/qty > 45]) of every order: one left join with the orders that reach such a quantity."""
     orders = Selection(order_nodes(spark, sf_dir)).child("order")
     path = lambda s: s.child("item").child("qty").having_value(numbers.to_number(F.col("value")) > 45)
-    yes = orders.having(path).nodes().select("doc_id", F.lit(True).alias("has_large"))
-    return yes.union(orders.without(path).nodes().select("doc_id", F.lit(False)))
+    return orders.flagged(path, "has_large").select("doc_id", "has_large")
+
+
+@query("SELECT o_orderkey AS doc_id, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def predicate_having_and_without(spark, sf_dir):
+    """order[item/qty > 45][not(item/@returnflag = 'R')]/customer/name: a semi-join, then an anti-join."""
+    orders = Selection(order_nodes(spark, sf_dir)).child("order")
+    large = orders.having(lambda s: s.child("item").child("qty").having_value(numbers.to_number(F.col("value")) > 45))
+    kept = large.without(lambda s: s.child("item").having_attr("returnflag", lambda v: v == "R"))
+    return kept.child("customer").child("name").strings().select("doc_id", F.col("value").alias("name"))
 
 
 @query("SELECT DISTINCT o_orderkey AS doc_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE CAST(l_partkey AS VARCHAR) = CAST(o_custkey AS VARCHAR)")

@@ -46,16 +46,24 @@ def set_text(nodes: DataFrame, targets: DataFrame, value: str | Column) -> DataF
 
 def insert(nodes: DataFrame, at: DataFrame, where: str, kind: str = "element", name: str | None = None, content: str | Column | None = None) -> DataFrame:
     """One new node for each of ``at``: its "first" or "last" child, or "before" or "after" it."""
+    return renumber(nodes.withColumn("pre", F.col("pre").cast("double")).unionByName(_new(nodes, at, where, kind, name, content), allowMissingColumns=True))
+
+
+def _new(nodes: DataFrame, at: DataFrame, where: str, kind: str, name: str | None, content: str | Column | None) -> DataFrame:
     text = content if isinstance(content, Column) else F.lit(content).cast("string")
-    inside = where in ("first", "last")
     # Places between the numbers there are: doubles, which renumber() makes whole.
     pre = {"first": F.col("pre") + 0.5, "last": F.col("post") + 0.5, "before": F.col("pre") - 0.5, "after": F.col("post") + 0.5}[where]
-    depth = F.col("depth") + (1 if inside else 0)
-    new = at.select(
+    depth = F.col("depth") + (1 if where in ("first", "last") else 0)
+    return at.select(
         "doc_id", pre.alias("pre"), depth.alias("depth"), F.lit(kind).alias("kind"), F.lit(name).cast("string").alias("name"),
         F.when(F.lit(kind == "element"), F.array().cast(nodes.schema["attrs"].dataType)).alias("attrs"), text.alias("content"),
     )
-    return renumber(nodes.withColumn("pre", F.col("pre").cast("double")).unionByName(new, allowMissingColumns=True))
+
+
+def replace(nodes: DataFrame, targets: DataFrame, kind: str = "element", name: str | None = None, content: str | Column | None = None) -> DataFrame:
+    """One new node in place of each target and what is below it."""
+    rest = nodes.join(_children(nodes, targets).select(*KEY), KEY, "left_anti").withColumn("pre", F.col("pre").cast("double"))
+    return renumber(rest.unionByName(_new(nodes, targets, "before", kind, name, content), allowMissingColumns=True))
 
 
 def clone(nodes: DataFrame, targets: DataFrame) -> DataFrame:

@@ -22,6 +22,28 @@ def catalog_entries(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "element").filter(F.col("name").isin(kinds)).select(F.row_number().over(over).alias("ord"), F.col("name").alias("kind"), match.alias("match"), target.alias("target"))
 
 
+def chained(catalogs: DataFrame, start: str, max_depth: int = 50) -> DataFrame:
+    """(turn, ord, kind, match, target): the entries of the catalog ``start`` and of those that its nextCatalog entries lead to.
+
+    ``catalogs`` are catalog entries with the ``uri`` of their catalog.  ``turn`` is the way
+    to an entry's catalog, an array that sorts as catalogs are consulted: one's own entries
+    first, then each next catalog with all that follows from it.  A catalog counts once, at
+    its first turn; one that isn't there has no entries; chains over ``max_depth`` long are a
+    ValueError.
+    """
+    turns = catalogs.sparkSession.createDataFrame([([], start)], "turn array<int>, uri string")
+    fresh = turns
+    for _ in range(max_depth):
+        step = fresh.join(catalogs.filter("kind = 'nextCatalog'").select("uri", "ord", F.col("target").alias("next")), "uri")
+        step = step.select(F.array_append("turn", F.col("ord").cast("int")).alias("turn"), F.col("next").alias("uri")).groupBy("uri").agg(F.min("turn").alias("turn")).select("turn", "uri")
+        fresh = written(step.join(turns.select("uri"), "uri", "left_anti").select("turn", "uri"))
+        if fresh.isEmpty():
+            first = turns.groupBy("uri").agg(F.min("turn").alias("turn"))
+            return catalogs.filter("kind <> 'nextCatalog'").join(first, "uri").select("turn", "ord", "kind", "match", "target")
+        turns = turns.union(fresh)
+    raise ValueError(f"nextCatalog entries lead over {max_depth} catalogs deep")
+
+
 def _normal_public(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
@@ -30,6 +52,8 @@ def resolve(requests: DataFrame, entries: DataFrame, what: str, column: str) ->
     """requests with ``resolved``: by exact match, else longest rewritten prefix, else longest
     suffix, else the catalog of the longest delegated prefix; null if none.
 
+    Entries with a ``turn`` (see ``chained``) are consulted catalog by catalog.
+
     Each distinct identifier is resolved once.  Exact entries meet identifiers in an
     equi-join; for prefixes and suffixes an identifier is exploded into its heads or tails of
     the lengths that occur among the entries (a few numbers, fetched first), which are
@@ -38,7 +62,8 @@ def resolve(requests: DataFrame, entries: DataFrame, what: str, column: str) ->
     exact, prefix, suffix, delegate = TIERS[what]
     norm = _normal_public if what == "public" else (lambda x: x)
     ids = requests.select(norm(F.col(column)).alias("id_")).filter("id_ is not null").distinct()
-    e = entries.select("ord", "kind", norm(F.col("match")).alias("m_"), "target")
+    turn = F.col("turn") if "turn" in entries.columns else F.array().cast("array<int>")
+    e = entries.select("ord", "kind", norm(F.col("match")).alias("m_"), "target", turn.alias("turn_"))
     hits = []
     for tier, kind in enumerate((exact, prefix, suffix, delegate)):
         if not kind:
@@ -53,7 +78,7 @@ def resolve(requests: DataFrame, entries: DataFrame, what: str, column: str) ->
             cut = ids.withColumn("n_", F.explode(F.array(*map(F.lit, lengths)))).filter(F.col("n_") <= F.length("id_"))
             keyed = cut.withColumn("part_", F.expr("right(id_, n_)" if kind == suffix else "left(id_, n_)"))
         value = F.concat("target", F.substring(F.col("id_"), F.length("m_") + 1, F.length("id_"))) if kind == prefix else F.col("target")
-        hits.append(keyed.join(mine, F.col("part_") == F.col("m_")).select("id_", value.alias("value_"), F.struct(F.lit(tier).alias("t"), (-F.length("m_")).alias("l"), F.col("ord")).alias("rank_")))
+        hits.append(keyed.join(mine, F.col("part_") == F.col("m_")).select("id_", value.alias("value_"), F.struct("turn_", F.lit(tier).alias("t"), (-F.length("m_")).alias("l"), F.col("ord")).alias("rank_")))
     every = hits[0]
     for h in hits[1:]:
         every = every.union(h)

@@ -185,7 +185,10 @@ class _Predicate:
         names = self.rows.columns
         if _positional(term):
             self.rows = self.s.marked()
-        test = F.col("position_") == term[1] if term[0] == "num" else self.truth(term)
+        if term[0] == "num" or term[:2] == ("call", "last"):  # a number as a predicate is a position
+            test = F.col("position_") == self.scalar(term)
+        else:
+            test = self.truth(term)
         return self.s._with(self.rows.filter(F.coalesce(test, F.lit(False))).select(*names))
 
     def flag(self, path: Callable[[Selection], Selection]) -> Column:

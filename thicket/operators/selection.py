@@ -107,6 +107,12 @@ class Selection:
         marked = Selection(self.table.withColumn("origin", F.lit(None).cast("int")), start.withColumn("origin", F.col("pre")).withColumn("ctx", F.col("pre")), False)
         return _carry(marked, path, self.table)
 
+    def flagged(self, path: Callable[[Selection], Selection], name: str) -> DataFrame:
+        """The rows with a boolean column: whether the path reaches something from them; one join."""
+        found = self._sub(path).select(F.col("doc_id").alias("f_doc"), F.col("origin").alias("f_pre"), F.lit(True).alias(name))
+        on = (F.col("doc_id") == F.col("f_doc")) & (F.col("pre") == F.col("f_pre"))
+        return self.rows.join(found, on, "left").drop("f_doc", "f_pre").withColumn(name, F.coalesce(name, F.lit(False)))
+
     def having(self, path: Callable[[Selection], Selection]) -> Selection:
         """[path]: a semi-join with the nodes that the path starts from with success."""
         found = self._sub(path).select(F.col("doc_id").alias("f_doc"), F.col("origin").alias("f_pre"))

@@ -100,8 +100,11 @@ def to_html(nodes: DataFrame) -> DataFrame:
     return _folded(n.withColumn("opening", opening).withColumn("closing", closing), ["doc_id"])
 
 
-def canonical(nodes: DataFrame, comments: bool = False, exclusive: bool = False, inclusive_prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text): Canonical XML, inclusive or exclusive.
+def canonical(nodes: DataFrame, comments: bool = False, exclusive: bool = False, inclusive_prefixes: tuple[str, ...] = (), roots: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text): Canonical XML, inclusive or exclusive, of whole documents or of a subtree of each.
+
+    ``roots`` holds one element a document (the first counts); namespaces in force at it come
+    from the whole document, and, if inclusive, so do xml: attributes that it doesn't have.
 
     Namespace declarations come first, by prefix, and only where they change what is in force
     (inclusive) or where a name uses them and no output ancestor has them so (exclusive);
@@ -114,6 +117,8 @@ def canonical(nodes: DataFrame, comments: bool = False, exclusive: bool = False,
     if not comments:
         keep = keep & (F.col("kind") != "comment")
     n = nodes.filter(keep)
+    if roots is not None:
+        n = _below(n, nodes, roots, exclusive)
     elements = n.filter("kind = 'element'")
     scope = in_scope_namespaces(elements, nodes)
     if exclusive:
@@ -147,6 +152,21 @@ def canonical(nodes: DataFrame, comments: bool = False, exclusive: bool = False,
     return _folded(rows.withColumn("opening", opening).withColumn("closing", closing), ["doc_id"])
 
 
+def _below(n: DataFrame, nodes: DataFrame, roots: DataFrame, exclusive: bool) -> DataFrame:
+    """The rows at and below the first root of each document, which takes over xml: attributes from above."""
+    apex = roots.groupBy(F.col("doc_id").alias("r_doc")).agg(F.min("pre").alias("r_pre"), F.min_by("post", "pre").alias("r_post"))
+    n = n.join(apex, (F.col("doc_id") == F.col("r_doc")) & (F.col("pre") >= F.col("r_pre")) & (F.col("pre") <= F.col("r_post"))).drop("r_doc", "r_post")
+    if exclusive:
+        return n.drop("r_pre")
+    above = nodes.filter("kind = 'element'").join(apex, (F.col("doc_id") == F.col("r_doc")) & (F.col("pre") < F.col("r_pre")) & (F.col("post") >= F.col("r_pre")))
+    given = above.select("doc_id", "pre", F.explode(F.filter("attrs", lambda a: a["prefix"] == "xml")).alias("a")).groupBy("doc_id", "a.name").agg(F.max_by("a", "pre").alias("a"))
+    taken = given.groupBy("doc_id").agg(F.collect_list("a").alias("given_"))
+    n = n.join(taken, "doc_id", "left")
+    own = F.transform(F.filter("attrs", lambda a: a["prefix"] == "xml"), lambda a: a["name"])
+    more = F.filter(F.coalesce("given_", F.array().cast(n.schema["attrs"].dataType)), lambda a: ~F.array_contains(own, a["name"]))
+    return n.withColumn("attrs", F.when(F.col("pre") == F.col("r_pre"), F.concat("attrs", more)).otherwise(F.col("attrs"))).drop("given_", "r_pre")
+
+
 def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Each root's subtree as a document of its own: doc_id stays, ``root`` names the root's ``pre``."""
     r = roots.select(F.col("doc_id").alias("r_doc"), F.col("pre").alias("root"), F.col("post").alias("r_post"))

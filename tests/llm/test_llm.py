@@ -716,6 +716,14 @@ def test_pipeline_stages_against_brute_force(spark, docs, rows):
     assert packed == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in want.values())
 
 
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = classify(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), labels).filter("held_out").join(labels, "doc_id")
+    share = {r.quality: r.right for r in got.groupBy("quality").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("right")).collect()}
+    assert share[1] >= 0.95 and share[0] >= 0.8, share
+
+
 def test_pipeline_quality_stage(spark):
     import corpus_pipeline as c
 

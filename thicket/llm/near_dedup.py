@@ -296,9 +296,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One long tells the rows that are needed; two that it doesn't tell apart only mean a set more.
     pick = F.xxhash64("id", "th").alias("pick")
     chosen = slots.select(pick).distinct()
-    if chosen.count() <= BROADCAST_IDS:
+    n_chosen = chosen.count()
+    if n_chosen <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
     sets = written(plain.filter("id is not null").select("*", pick).join(chosen, "pick", "left_semi").select("id", "text").mapInArrow(partial(_sets, size=shingle), "id long, n long, profile binary, set binary"))
+    if sets.count() > n_chosen:  # rows that repeat an id and a text: one of them will do
+        sets = written(sets.dropDuplicates(["id", "n", "set"]))
     star = slots.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_linked(star, sets, percent))
     found = components(links)

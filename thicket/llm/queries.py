@@ -202,7 +202,7 @@ def _op6_sql() -> str:
 WITH tmpl(k, license, body) AS (VALUES {rows}),
 tt AS (SELECT tk, any_value(license) AS license, t, count(*) AS k FROM (SELECT k AS tk, license, unnest(regexp_extract_all({low.format("body")}, '[a-z0-9]+')) AS t FROM tmpl) GROUP BY tk, t),
 docs AS (
-  SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path, source || '/' || lang AS dir, {low.format("coalesce(text, '')")} AS low,
+  SELECT doc_id, source || '/' || lang AS top, top || CASE WHEN strlen(coalesce(text, '')) % 3 > 0 THEN '/p' || (strlen(text) % 8) ELSE '' END AS dir, dir || '/' || doc_id AS path, {low.format("coalesce(text, '')")} AS low,
     len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) < 60 AS speaks FROM documents),
 split AS (SELECT doc_id, string_split(low, chr(10)) AS ls FROM docs),
 spots AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split),
@@ -232,19 +232,21 @@ spoken AS (
   SELECT dir, score, license FROM (
     SELECT dir, score, license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license DESC) AS r
     FROM docs JOIN best ON best.doc_id = docs.doc_id WHERE speaks) WHERE r = 1)
-SELECT docs.doc_id, path, coalesce(best.license, spoken.license) AS license, coalesce(best.score, spoken.score) AS score,
-  CASE WHEN best.license IS NOT NULL THEN 'own' WHEN spoken.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-  CASE WHEN best.license IS NULL THEN spoken.dir END AS license_dir
-FROM docs LEFT JOIN best ON best.doc_id = docs.doc_id LEFT JOIN spoken ON spoken.dir = docs.dir"""
+SELECT docs.doc_id, path, coalesce(best.license, near.license, far.license) AS license, coalesce(best.score, near.score, far.score) AS score,
+  CASE WHEN best.license IS NOT NULL THEN 'own' WHEN coalesce(near.license, far.license) IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN best.license IS NULL THEN coalesce(near.dir, far.dir) END AS license_dir
+FROM docs LEFT JOIN best ON best.doc_id = docs.doc_id LEFT JOIN spoken near ON near.dir = docs.dir LEFT JOIN spoken far ON far.dir = docs.top"""
 
 
 @_query("op6_license_scan", _op6_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a tree source/lang/doc_id, in which documents of under 60 words speak for their directory."""
+    """documents as a tree source/lang/doc_id and source/lang/part/doc_id (by the length of the text); those of under 60 words speak for their directory, and those below it."""
     from pyspark.sql import functions as F
 
     from thicket.llm.licenses import scan_licenses
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", "doc_id").alias("path"))
+    n = F.octet_length(F.coalesce("text", F.lit("")))
+    part = F.when(n % 3 > 0, F.concat(F.lit("p"), n % 8))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", part, "doc_id").alias("path"))
     short = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _BLANK, " ")), " ")) < 60
     return scan_licenses(docs, license_file=short).select("doc_id", "path", "license", "score", "origin", "license_dir")

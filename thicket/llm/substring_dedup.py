@@ -4,11 +4,12 @@ Documents are dealt by hash into bundles of about ``bundle`` bytes; a bundle is
 that counts, asks and removes.  What travels is packed: a bundle's sketch is the sorted list
 of the cells it fills, in each of the sketch's rows, cut at block borders.
 
-There are ``BLOCKS`` blocks until a block has ``CELLS`` cells, so a bundle sends the same
-number of messages at any size up to about 10 GB of text for each block of that size, and
-messages grow with the bundles alone.  Beyond, blocks grow in number, and bundles grow with
-them up to ``MOST_BUNDLE``, so that a message carries at least ``LEAST_WINDOWS`` windows
-for as long as it can: 680 at 1 TB, 10 at 100 TB of text.
+There are ``BLOCKS`` blocks until a block has 2**``CELLS`` cells (some 40 GB of text), so a
+bundle sends the same number of messages at any such size, and messages grow with the bundles
+alone.  Beyond, blocks grow in number, and bundles grow with them up to ``MOST_BUNDLE``, to keep
+``LEAST_WINDOWS`` windows in a message: 250 at 1 TB of text.  Then the sketch stops growing
+where a message would hold fewer than ``FEWEST_WINDOWS``: at 100 TB it has two cells a row for
+each window instead of eight, which lets more windows through to the exact pass, and loses none.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ _SECOND = np.uint64(0x5851F42D4C957F2D)
 _NO_ID = np.iinfo(np.int64).max
 #: Blocks at least; the exponent of a block's cells at most (two bitmaps of 32 MB).
 BLOCKS, CELLS = 256, 28
-#: Bytes of a bundle at most, and windows of a message below which bundles grow.
-MOST_BUNDLE, LEAST_WINDOWS = 16 << 20, 256
+#: Bytes of a bundle at most; windows of a message below which bundles grow, and below which the sketch doesn't.
+MOST_BUNDLE, LEAST_WINDOWS, FEWEST_WINDOWS = 16 << 20, 256, 16
 
 ANSWER = "bundle long, kind int, block long, bits binary"
 
@@ -178,18 +179,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Each bundle fills a count-min sketch of ``depth`` rows with its distinct windows, and
        counts of all bundles are merged, block of cells by block of cells.  A window whose
        cell was filled once in some row occurs in one bundle only; all others are estimated
-       to repeat.  The sketch has at least four cells a row for each window of the corpus,
-       so it grows with the input and is never held whole anywhere.
+       to repeat.  The sketch grows with the input, has at least eight cells a row for each
+       window of the corpus (two at 100 TB), and is never held whole anywhere.
     2. Windows estimated to repeat are grouped exactly, within a bundle and across bundles,
        by a 128-bit hash of their words, each with the smallest id that has it.  Windows are
        dealt to groups by hash, and a bundle sends a window once: a passage of very many
-       documents adds one entry of 24 bytes a bundle to a window's group (10 MB for 864 GB of
-       text in which every bundle has it), whatever share of the rows holds it.
+       documents adds one entry of 24 bytes a bundle to a window's group (2 MB at 1 TB, 150 MB
+       at 100 TB of text in which every bundle has it), whatever share of the rows holds it.
     3. Each bundle removes the words.  Repeats inside a bundle need no messages.
     """
     docs = without_results(docs, ("n_words", "n_removed", "kept_text"), id_col, text_col)
     total = text_bytes(docs, text_col)
     width = power_of_two(4 * total / 6) + 1
+    width = min(width, max(power_of_two(blocks), int(MOST_BUNDLE / 6 / FEWEST_WINDOWS).bit_length() - 1) + CELLS)
     bits = max(power_of_two(blocks), width - CELLS)
     cell_bits = max(3, width - bits)  # of a block
     bundle = max(bundle, min(MOST_BUNDLE, 6 * LEAST_WINDOWS << bits)) if bits > power_of_two(blocks) else bundle

@@ -83,23 +83,51 @@ def _touch(nodes: DataFrame, targets: DataFrame, **columns: Column) -> DataFrame
 
 
 def renumber(nodes: DataFrame) -> DataFrame:
-    """All numbers and paths from the order of ``pre`` (whole or not) and ``depth``, document by document."""
+    """All numbers and paths from the order of ``pre`` (whole or not) and ``depth``, document by document.
+
+    Documents stream through a task one behind another, so it holds one of them and a batch.
+    """
     kinds = ", ".join(f"{f.name} {NUMBERS.get(f.name) or f.dataType.simpleString()}" for f in nodes.schema.fields)
-    return nodes.groupBy("doc_id").applyInArrow(_numbered, kinds)
+    return nodes.repartition("doc_id").sortWithinPartitions("doc_id", "pre").mapInArrow(_streamed, kinds)
+
+
+def _streamed(batches):
+    held: list[pa.RecordBatch] = []  # of the document that isn't complete
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(b.schema.get_field_index("doc_id"))
+        if held and ids[0].as_py() != held[-1].column(held[-1].schema.get_field_index("doc_id"))[0].as_py():
+            yield from _numbered(pa.Table.from_batches(held)).to_batches()
+            held = []
+        last, k = ids[-1].as_py(), b.num_rows - 1
+        while k and ids[k - 1].as_py() == last:
+            k -= 1
+        if k:
+            yield from _numbered(pa.Table.from_batches([*held, b.slice(0, k)])).to_batches()
+            held = []
+        held.append(b.slice(k))
+    if held:
+        yield from _numbered(pa.Table.from_batches(held)).to_batches()
 
 
 NUMBERS = dict.fromkeys(("pre", "post", "parent", "depth", "ord", "elem_ord", "elem_ord_last"), "int")
 
 
 def _numbered(table: pa.Table) -> pa.Table:
-    table = table.sort_by("pre")
-    depths, kinds, names = (table.column(c).to_pylist() for c in ("depth", "kind", "name"))
-    n = len(depths)
+    """The numbers of whole documents, one behind another, in the order of their rows."""
+    docs, depths, kinds, names = (table.column(c).to_pylist() for c in ("doc_id", "depth", "kind", "name"))
+    n, base, first = len(depths), 0, [0] * len(depths)
     post, parent, ord_, element, paths = [0] * n, [None] * n, [1] * n, [None] * n, [None] * n
     children, elements, above = [0] * n, [0] * n, []
     for i, d in enumerate(depths):
+        if i and docs[i] != docs[i - 1]:
+            for k in above:
+                post[k] = i - 1 - base
+            above, base = [], i
+        first[i] = base
         while above and depths[above[-1]] >= d:
-            post[above.pop()] = i - 1
+            post[above.pop()] = i - 1 - base
         if above:
             p = parent[i] = above[-1]
             children[p] += 1
@@ -111,9 +139,10 @@ def _numbered(table: pa.Table) -> pa.Table:
             paths[i] = ""
         above.append(i)
     for i in above:
-        post[i] = n - 1
+        post[i] = n - 1 - base
     back = [None if e is None else elements[parent[i]] - e + 1 for i, e in enumerate(element)]
-    new = {"pre": list(range(n)), "post": post, "parent": parent, "ord": ord_, "elem_ord": element, "elem_ord_last": back}
+    parent = [None if p is None else p - b for p, b in zip(parent, first, strict=True)]
+    new = {"pre": [i - b for i, b in enumerate(first)], "post": post, "parent": parent, "ord": ord_, "elem_ord": element, "elem_ord_last": back}
     for c, values in new.items():
         table = table.set_column(table.schema.get_field_index(c), c, pa.array(values, pa.int32()))
     return table.set_column(table.schema.get_field_index("path"), "path", pa.array(paths, pa.string()))

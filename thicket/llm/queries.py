@@ -250,3 +250,58 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", part, "doc_id").alias("path"))
     short = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _BLANK, " ")), " ")) < 60
     return scan_licenses(docs, license_file=short).select("doc_id", "path", "license", "score", "origin", "license_dir")
+
+
+def _op13_sql(top: int = 14) -> str:
+    """Classes of 8, 16, .. words by hashes of their halves; neighbours at a distance that a length tells are candidate periods, which the words themselves confirm."""
+    digits = "[CAST(unicode(x) AS BIGINT) for x in string_split(CAST(doc_id AS VARCHAR), '')]"
+    word_at = "list_concat(ws[1:a], [ws[a + 1 + (i % p)] for i in range(n - a)])"
+    levels = [f"c3 AS (SELECT doc_id, i, hash({', '.join(f'ws[i + {k}]' for k in range(8))}) AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 24))"]
+    levels += [f"c{k} AS (SELECT x.doc_id, x.i, hash(x.c, y.c) AS c FROM c{k - 1} x JOIN c{k - 1} y ON x.doc_id = y.doc_id AND y.i = x.i + {1 << (k - 1)} JOIN d ON d.doc_id = x.doc_id WHERE d.n >= {3 << (k - 1)})" for k in range(4, top + 1)]
+    pairs = " UNION ALL ".join(
+        f"SELECT doc_id, q FROM (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id, c ORDER BY i) - i AS q FROM c{k}) WHERE q <= {1 << k} AND q > {(1 << (k - 1)) if k > 3 else 0}" for k in range(3, top + 1)
+    )
+    return f"""
+WITH remainders AS MATERIALIZED (SELECT [list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for n in range(256)] AS t),
+raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, remainders),
+sized AS (SELECT doc_id, ws, h, len(ws) AS n, h // 10 AS g FROM raw),
+placed AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM sized),
+w AS MATERIALIZED (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN {word_at} ELSE ws END AS ws FROM placed),
+d AS (SELECT doc_id, len(ws) AS n FROM w),
+each_word AS MATERIALIZED (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w),
+{", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in levels)},
+cand AS MATERIALIZED (SELECT DISTINCT doc_id, q FROM ({pairs})),
+m AS (SELECT c.doc_id, c.q, x.i, x.i - row_number() OVER (PARTITION BY c.doc_id, c.q ORDER BY x.i) AS island FROM cand c JOIN each_word x ON x.doc_id = c.doc_id JOIN each_word y ON y.doc_id = c.doc_id AND y.i = x.i + c.q WHERE x.word = y.word),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM m GROUP BY doc_id, q, island),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= 24 AND length >= 3 * q GROUP BY doc_id, start, length),
+marks AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY doc_id),
+best AS (SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.period > r.length * o.period OR o.length * r.period = r.length * o.period AND (o.start < r.start OR o.start = r.start AND o.period < r.period)))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS body FROM each_word x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM w LEFT JOIN marks ON marks.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
+@_query("op13_periodic_runs", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, a tenth of which (by the id's crc32) get a periodic end first."""
+    from pyspark.sql import functions as F
+
+    from thicket.llm.periodic_runs import periodic_runs
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    ends = (F.col("h") % 10 == 0) & F.col("text").isNotNull()
+    docs = docs.withColumn("ws", F.when(ends, F.filter(F.split("text", _BLANK), lambda x: x != ""))).withColumn("n", F.size("ws")).withColumn("g", F.floor(F.col("h") / 10))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    period = F.slice("ws", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), tail), " ")
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    s = F.col("strongest")
+    return periodic_runs(docs).select(
+        "doc_id", "n_runs", s.start.alias("start"), s.length.alias("length"), s.period.alias("period"),
+        F.floor(F.lit(1000).cast("long") * s.length / s.period).cast("long").alias("exponent_milli"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

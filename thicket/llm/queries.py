@@ -305,3 +305,12 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", s.start.alias("start"), s.length.alias("length"), s.period.alias("period"),
         F.floor(F.lit(1000).cast("long") * s.length / s.period).cast("long").alias("exponent_milli"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@_query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from thicket.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=8).withColumn("deviation", F.col("deviation").cast("long"))

@@ -314,3 +314,21 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.whitening import whiten
 
     return whiten(_table(spark, sf_dir, "embeddings"), components=8).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@_query(
+    "op11_embedding_near_dedup",
+    """
+WITH RECURSIVE t AS (
+  SELECT vec_id, CASE WHEN embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0 THEN [CAST(x AS DOUBLE) for x in embedding] END AS v FROM embeddings),
+u AS (SELECT vec_id, [x / sqrt(list_sum([y * y for y in v])) for x in v] AS v FROM t WHERE v IS NOT NULL),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id WHERE list_dot_product(x.v, y.v) >= 0.95),
+r AS (SELECT vec_id AS x, vec_id AS y FROM t UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM t JOIN c ON c.x = vec_id LEFT JOIN d ON d.a = vec_id""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.95).select("vec_id", "n_links", "component_id", "kept")

@@ -457,6 +457,61 @@ def path_string_position(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT l_orderkey AS doc_id, l_partkey AS part FROM {_RANKED} WHERE r % 2 = 1 AND r < c")
+def path_arithmetic_position(spark, sf_dir):
+    """Arithmetic on positions: every other item, but for the last."""
+    found = paths.xpath(order_nodes(spark, sf_dir), "/order/item[position() mod 2 = 1 and position() <= last() - 1]/partkey")
+    return string_value(found, order_nodes(spark, sf_dir)).select("doc_id", F.col("value").cast("long").alias("part"))
+
+
+@query("SELECT o_orderkey AS doc_id, c_name AS value FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT l_orderkey, count(*) FILTER (l_quantity > 30) AS large, count(*) FILTER (l_returnflag = 'R') AS back FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE large > back + 1")
+def path_count_in_predicate(spark, sf_dir):
+    nodes = order_nodes(spark, sf_dir)
+    found = paths.xpath(nodes, "//order[count(item[qty > 30]) > count(item[@returnflag = 'R']) + 1]/customer/name")
+    return string_value(found, nodes).select("doc_id", "value")
+
+
+@query(f"SELECT l_orderkey AS doc_id, count(*) AS n FROM {_RANKED} x WHERE EXISTS (SELECT 1 FROM {_RANKED} y WHERE y.l_orderkey = x.l_orderkey AND y.r < x.r AND y.l_returnflag = x.l_returnflag) GROUP BY l_orderkey")
+def path_against_path_equal(spark, sf_dir):
+    """Two node-sets of one context: items whose flag an earlier item of the order has."""
+    found = paths.xpath(order_nodes(spark, sf_dir), "//item[@returnflag = preceding-sibling::item/@returnflag]")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem JOIN (SELECT l_orderkey AS k, min(l_quantity) AS least FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON k = l_orderkey WHERE l_quantity > least GROUP BY l_orderkey")
+def path_against_path_less(spark, sf_dir):
+    """A context's node against a set of the document's: items larger than some returned item."""
+    found = paths.xpath(order_nodes(spark, sf_dir), "//item[//item[@returnflag = 'R']/qty < qty]")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT l_orderkey AS doc_id, max_by(l_partkey, r) AS part FROM {_RANKED} WHERE l_returnflag = 'R' GROUP BY l_orderkey")
+def path_filter_expression(spark, sf_dir):
+    nodes = order_nodes(spark, sf_dir)
+    found = paths.xpath(nodes, "(//item[@returnflag = 'R'])[last()]/partkey")
+    return string_value(found, nodes).select("doc_id", F.col("value").cast("long").alias("part"))
+
+
+@query(_PER_ORDER.format("coalesce(sum(l_quantity), 0) * 2 - CAST(count(l_orderkey) AS DOUBLE) / 4 AS value"))
+def path_arithmetic_value(spark, sf_dir):
+    return paths.xpath(order_nodes(spark, sf_dir), "sum(//qty) * $twice - count(//item) div 4", variables={"twice": 2})
+
+
+@query("SELECT o_orderkey AS doc_id, 'status' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT l_orderkey, 'returnflag', l_returnflag FROM lineitem WHERE l_returnflag = 'R' OR l_quantity > 45")
+def path_attribute_nodes(spark, sf_dir):
+    """Attribute nodes with predicates on their own value and on their element, united with others."""
+    found = paths.xpath(order_nodes(spark, sf_dir), "//@returnflag[. = 'R' or ../qty > 45] | /order/@status")
+    return found.select("doc_id", "name", "value")
+
+
+@query(f"SELECT l_orderkey AS doc_id, 'R' AS first, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY r DESC) AS parts FROM {_RANKED} GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R')")
+def path_functions_of_sets(spark, sf_dir):
+    nodes = order_nodes(spark, sf_dir)
+    first = paths.xpath(nodes, "string(//@returnflag[. = 'R'])").select("doc_id", F.col("value").alias("first"))
+    parts = paths.xpath(nodes, "string-join(reverse(//partkey), concat('', ' '))").select("doc_id", F.col("value").alias("parts"))
+    return first.filter("first <> ''").join(parts, "doc_id")
+
+
 @query("SELECT page_id AS doc_id, CAST(len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\"/')) AS BIGINT) AS n FROM pages WHERE n > 0")
 def selector_string(spark, sf_dir):
     return paths.select(page_nodes(spark, sf_dir), "NAV li > a[href^='/']").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -1,300 +1,24 @@
-"""Path and selector strings as calls of ``Selection`` and ``css``.
+"""Path and selector strings.
 
 A string is read once, on the driver, into the chain of steps and predicates that one would
-write by hand; what runs is the same DataFrame plan, and Catalyst plans it.
+write by hand; what runs is the same DataFrame plan, and Catalyst plans it.  Paths and other
+expressions are read by ``expressions``, selectors become calls of ``css``.
 """
 
 from __future__ import annotations
 
-import operator
 import re
-from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from thicket.functions.numbers import to_number
 from thicket.operators import css
-from thicket.operators.axes import CONDITIONS
-from thicket.operators.selection import Selection, attr
+from thicket.operators.expressions import PathError, evaluate
 
-_TOKEN = re.compile(r"""\s*(//|::|\.\.|!=|<=|>=|[/@\[\]()|,.=<>*]|'[^']*'|"[^"]*"|-?\d+(?:\.\d+)?|[^\W\d][\w.-]*(?::(?!:)(?:\*|[^\W\d][\w.-]*))?)""")
-_KINDS = {"text": "text", "node": None, "comment": "comment", "processing-instruction": "pi"}
-_COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-_FOLDS = ("count", "sum", "string", "number", "boolean")
-Term = tuple
+__all__ = ["PathError", "select", "xpath"]
 
-
-class PathError(ValueError):
-    """A path or selector that can't be read, or that names what isn't there."""
-
-
-class _Reader:
-    """Reads a path into terms: ("num", x), ("str", s), ("call", name, terms), ("path", steps, attribute, absolute), ("or" / "and" / comparison, term, term)."""
-
-    def __init__(self, text: str, namespaces: dict[str, str]):
-        self.text, self.namespaces, self.tokens, at = text, namespaces, [], 0
-        while at < len(text.rstrip()):
-            m = _TOKEN.match(text, at)
-            if not m:
-                raise PathError(f"{text!r} can't be read from {text[at:]!r}")
-            self.tokens.append(m[1])
-            at = m.end()
-        self.at = 0
-
-    def next(self, ahead: int = 0) -> str:
-        return self.tokens[self.at + ahead] if self.at + ahead < len(self.tokens) else ""
-
-    def take(self, *wanted: str) -> str:
-        token = self.next()
-        if wanted and token not in wanted:
-            raise PathError(f"{self.text!r}: {' or '.join(wanted)} expected, not {token or 'the end'!r}")
-        self.at += 1
-        return token
-
-    def term(self) -> Term:
-        out = self.both()
-        while self.next() == "or":
-            out = (self.take(), out, self.both())
-        return out
-
-    def both(self) -> Term:
-        out = self.compared()
-        while self.next() == "and":
-            out = (self.take(), out, self.compared())
-        return out
-
-    def compared(self) -> Term:
-        out = self.operand()
-        return (self.take(), out, self.operand()) if self.next() in _COMPARE else out
-
-    def operand(self) -> Term:
-        t = self.next()
-        if t[:1] in ("'", '"'):
-            return "str", self.take()[1:-1]
-        if re.fullmatch(r"-?\d.*", t):
-            return "num", float(self.take())
-        if t == "(":
-            self.take()
-            out = self.term()
-            self.take(")")
-            return out
-        if self.next(1) == "(" and t not in _KINDS:
-            name, args = self.take(), []
-            self.take("(")
-            while self.next() != ")":
-                args.append(self.term())
-                if self.next() == ",":
-                    self.take()
-            self.take(")")
-            return "call", name, args
-        return self.path()
-
-    def path(self) -> Term:
-        steps, absolute, deep = [], self.next() in ("/", "//"), False
-        if absolute:
-            deep = self.take() == "//"
-            if not self.next() and not deep:
-                return "path", [], None, True
-        while True:
-            if self.next() == "@":
-                self.take()
-                name = self.take()
-                if self.next() == "/" and self.next(1) == "..":  # the parent of an attribute is its element
-                    self.at += 2
-                    owners = [(axis, None, "element", None, []) for axis in (("descendant-or-self",) if deep else ())]
-                    steps += [*owners, ("owner", name, None, None, [])]
-                    if self.next() in ("/", "//"):
-                        deep = self.take() == "//"
-                        continue
-                    return "path", steps, None, absolute
-                if deep:
-                    steps.append(("descendant-or-self", None, "element", None, []))
-                return "path", steps, name, absolute
-            steps.append(self.step(deep, steps))
-            if self.next() not in ("/", "//"):
-                return "path", steps, None, absolute
-            deep = self.take() == "//"
-
-    def step(self, deep: bool, steps: list) -> Term:
-        t, axis = self.take(), "child"
-        if t in (".", ".."):
-            if deep:
-                steps.append(("descendant-or-self", None, None, None, []))
-            return ("self" if t == "." else "parent"), None, None, None, []
-        if self.next() == "::":
-            axis = t
-            if axis not in CONDITIONS:
-                raise PathError(f"{self.text!r}: no such axis: {axis}")
-            self.take()
-            t = self.take()
-        name, kind, namespace = t, "element", None
-        if self.next() == "(" and t in _KINDS:
-            self.take("(")
-            self.take(")")
-            name, kind = None, _KINDS[t]
-        elif ":" in t:
-            prefix, name = t.split(":")
-            if prefix not in self.namespaces:
-                raise PathError(f"{self.text!r}: no namespace for the prefix {prefix}")
-            namespace = self.namespaces[prefix]
-        elif t != "*" and not re.fullmatch(r"[^\W\d][\w.-]*", t):
-            raise PathError(f"{self.text!r}: a step expected, not {t or 'the end'!r}")
-        predicates = []
-        while self.next() == "[":
-            self.take()
-            predicates.append(self.term())
-            self.take("]")
-        if deep:
-            if axis == "child" and not any(map(_positional, predicates)):
-                axis = "descendant"
-            else:
-                steps.append(("descendant-or-self", None, None, None, []))
-        return axis, name, kind, namespace, predicates
-
-
-def _positional(term: Term, whole: bool = True) -> bool:
-    """Whether a predicate asks for a position: it is a number, or calls position() or last()."""
-    kind = term[0]
-    if kind == "num":
-        return whole
-    if kind == "call":
-        return term[1] in ("position", "last") or any(_positional(t, False) for t in term[2])
-    return kind not in ("str", "path") and any(_positional(t, False) for t in term[1:])
-
-
-def _walk(s: Selection, steps: list) -> Selection:
-    for axis, name, kind, namespace, predicates in steps:
-        if axis == "owner":
-            s = s.where(attr(name).isNotNull())
-            continue
-        s = s.step(axis, name, kind, namespace)
-        for p in predicates:
-            s = _Predicate(s).kept(p)
-    return s
-
-
-class _Predicate:
-    """A predicate as one Column: paths within it are flags, each joined to the rows once."""
-
-    def __init__(self, s: Selection):
-        self.s, self.rows, self.n = s, s.rows, 0
-
-    def kept(self, term: Term) -> Selection:
-        names = self.rows.columns
-        if _positional(term):
-            self.rows = self.s.marked()
-        if term[0] == "num" or term[:2] == ("call", "last"):  # a number as a predicate is a position
-            test = F.col("position_") == self.scalar(term)
-        else:
-            test = self.truth(term)
-        return self.s._with(self.rows.filter(F.coalesce(test, F.lit(False))).select(*names))
-
-    def flag(self, path: Callable[[Selection], Selection]) -> Column:
-        table, name = self.s.table, f"flag{self.n}_"
-        self.n += 1
-        nodes = self.s.rows.select(*table.columns).dropDuplicates(["doc_id", "pre"])
-        found = Selection(table, nodes.withColumn("ctx", F.col("pre")), False)._sub(path)
-        found = found.select(F.col("doc_id").alias("f_doc"), F.col("origin").alias("f_pre"), F.lit(True).alias(name))
-        on = (F.col("doc_id") == F.col("f_doc")) & (F.col("pre") == F.col("f_pre"))
-        self.rows = self.rows.join(found, on, "left").drop("f_doc", "f_pre")
-        return F.coalesce(F.col(name), F.lit(False))
-
-    def truth(self, term: Term) -> Column:
-        kind = term[0]
-        if kind in ("or", "and"):
-            return (operator.or_ if kind == "or" else operator.and_)(self.truth(term[1]), self.truth(term[2]))
-        if kind in _COMPARE:
-            return self.compared(kind, term[1], term[2])
-        if kind == "path":
-            return self.compared(None, term, None)
-        if kind == "call":
-            name, args = term[1], term[2]
-            if name == "not" and len(args) == 1:
-                return ~F.coalesce(self.truth(args[0]), F.lit(False))
-            if name in ("true", "false") and not args:
-                return F.lit(name == "true")
-            if name in ("contains", "starts-with", "ends-with") and len(args) == 2 and args[1][0] == "str":
-                method = {"contains": "contains", "starts-with": "startswith", "ends-with": "endswith"}[name]
-                return self.values(args[0], lambda v: getattr(v, method)(args[1][1]))
-            raise PathError(f"no such function in a predicate: {name}() with {len(args)} arguments")
-        raise PathError(f"a predicate expected, not {term[1]!r}")
-
-    def compared(self, op: str | None, a: Term, b: Term | None) -> Column:
-        if op is None:
-            return self.values(a, None)
-        if a[0] != "path" and b[0] == "path":
-            a, b, op = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
-        if b[0] == "path":
-            raise PathError("two paths are compared with operators.compare")
-        right = self.scalar(b)
-        if a[0] != "path":
-            return _COMPARE[op](self.scalar(a), right)
-        if b[0] == "str" and op in ("=", "!="):
-            return self.values(a, lambda v: _COMPARE[op](v, right))
-        number = right if b[0] != "str" else to_number(right)
-        return self.values(a, lambda v: ~F.isnan(to_number(v)) & _COMPARE[op](to_number(v), number))
-
-    def values(self, term: Term, test: Callable[[Column], Column] | None) -> Column:
-        """Whether the path reaches a value that passes the test."""
-        if term[0] != "path":
-            raise PathError(f"a path expected, not {term[1]!r}")
-        _, steps, attribute, absolute = term
-        if absolute:
-            raise PathError("paths within predicates begin at the node")
-        if attribute is not None:
-            test_attr = (lambda: attr(attribute).isNotNull()) if test is None else (lambda: F.coalesce(test(attr(attribute)), F.lit(False)))
-            return test_attr() if not steps else self.flag(lambda s: _walk(s, steps).where(test_attr()))
-        return self.flag(lambda s: _walk(s, steps) if test is None else _walk(s, steps).having_value(test(F.col("value"))))
-
-    def scalar(self, term: Term) -> Column:
-        if term[0] in ("num", "str"):
-            return F.lit(term[1])
-        if term[0] == "call" and term[1] in ("position", "last") and not term[2]:
-            return F.col(f"{term[1]}_").cast("double")
-        raise PathError(f"a literal, position() or last() expected, not {term[1]!r}")
-
-
-def xpath(nodes: DataFrame, path: str, namespaces: dict[str, str] | None = None) -> DataFrame:
-    """The nodes that a path selects in every document, each once.
-
-    Steps of the thirteen axes but ``namespace``, ``/`` ``//`` ``.`` ``..`` ``@name`` ``*``,
-    node tests and prefixes of ``namespaces``; predicates of positions, paths, comparisons
-    with literals, ``and`` ``or`` ``not()`` and the string tests; unions of paths.  A path
-    that ends at an attribute gives (doc_id, pre, attr_idx, name, value).  ``count(path)``,
-    ``sum``, ``string``, ``number`` and ``boolean`` give (doc_id, value), every document one
-    row.  What can't be read, an unknown function, axis or prefix is a PathError, before
-    anything runs.
-    """
-    r = _Reader(path, namespaces or {})
-    terms = [r.operand()]
-    while r.next() == "|":
-        r.take()
-        terms.append(r.operand())
-    if r.next():
-        raise PathError(f"{path!r} can't be read from {r.next()!r}")
-    if len(terms) == 1 and terms[0][0] == "call":
-        return _folded(nodes, terms[0], path)
-    if any(t[0] != "path" for t in terms):
-        raise PathError(f"{path!r} is no path")
-    if any(t[2] is not None for t in terms):
-        if len(terms) > 1:
-            raise PathError("attributes are united by union of the paths' results")
-        return _walk(Selection(nodes), terms[0][1]).attributes(terms[0][2])
-    return reduce(Selection.union, [_walk(Selection(nodes), t[1]) for t in terms]).nodes()
-
-
-def _folded(nodes: DataFrame, term: Term, path: str) -> DataFrame:
-    _, name, args = term
-    if name not in _FOLDS or len(args) != 1 or args[0][0] != "path" or args[0][2] is not None:
-        raise PathError(f"{path!r}: one of {', '.join(_FOLDS)} of a path of elements expected")
-    s = _walk(Selection(nodes), args[0][1])
-    if name in ("count", "boolean"):
-        n = s.count()
-        return n.select("doc_id", (F.col("n").cast("double") if name == "count" else F.col("n") > 0).alias("value"))
-    f = s.fold()
-    return f.select("doc_id", {"sum": F.col("sum"), "string": F.col("first"), "number": to_number(F.col("first"))}[name].alias("value"))
+def xpath(nodes: DataFrame, path: str, namespaces: dict[str, str] | None = None, variables: dict[str, float | str | bool] | None = None) -> DataFrame:
+    """The nodes that a path selects in every document, each once, or the value of any other expression: see ``expressions.evaluate``."""
+    return evaluate(nodes, path, namespaces, variables)
 
 
 _COMPOUND = re.compile(

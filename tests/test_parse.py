@@ -93,23 +93,23 @@ def test_only_what_is_asked_for_is_sent(spark):
 def test_long_text_is_put_together_once():
     import time
 
-    from thicket.schema import ARROW
-    from thicket.sources.xml import _parse
+    from thicket.sources.tree import Nodes
+    from thicket.sources.xml import xml_reader
 
     took = []
     for n in (500_000, 2_000_000):
-        rows = []
+        nodes = Nodes()
         began = time.time()
-        _parse(rows, 1, "<a>" + "line of text\n" * (n // 13) + "</a>", ParseOptions())
+        xml_reader(nodes, ParseOptions())(1, "<a>" + "line of text\n" * (n // 13) + "</a>")
         took.append(time.time() - began)
-        assert len(rows[-1][ARROW.names.index("content")]) == n // 13 * 13
+        assert len(nodes.content[-1]) == n // 13 * 13
     assert took[1] < 4 * took[0] * 3 + 0.5
 
 
 def test_entities_doctype_and_defaults(spark):
     text = '<!DOCTYPE a PUBLIC "p" "s" [<!ENTITY e "v"><!ENTITY x SYSTEM "ext"><!ATTLIST b t CDATA "d">]><a><b/>&e;&x;<![CDATA[c]]></a>'
     rows = xml(spark, text, options=ParseOptions(entities={"ext": "<in>side</in>"})).orderBy("pre").collect()
-    assert [(r.kind, r.name, r.content) for r in rows[1:]] == [("doctype", "a", "p s"), ("element", "a", None), ("element", "b", None), ("text", None, "v"), ("element", "in", None), ("text", None, "side"), ("cdata", None, "c")]
+    assert [(r.kind, r.name, r.content) for r in rows[1:]] == [("doctype", "a", 'PUBLIC "p" "s" [<!ENTITY e "v"><!ENTITY x SYSTEM "ext"><!ATTLIST b t CDATA "d">]'), ("element", "a", None), ("element", "b", None), ("text", None, "v"), ("element", "in", None), ("text", None, "side"), ("cdata", None, "c")]
     assert rows[3].attrs[0].value == "d"
     assert "in" not in [r.name for r in xml(spark, text).collect()]
 
@@ -164,3 +164,45 @@ def test_events_in_order(spark):
     nodes = xml(spark, "<a><b>x</b> <!--c--><?p d?><![CDATA[y]]></a>")
     got = [(r.event, r.name or r.value) for r in events(nodes).orderBy("at", "turn", "close").collect()]
     assert got == [("start_document", None), ("start_element", "a"), ("start_element", "b"), ("characters", "x"), ("end_element", "b"), ("whitespace", " "), ("comment", "c"), ("processing_instruction", "p"), ("cdata", "y"), ("end_element", "a"), ("end_document", None)]
+
+
+def test_doctypes_come_back(spark):
+    strict = '<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Strict//EN" "http://www.w3.org/x.dtd" [<!ENTITY e "a]>b"><!-- ]> --><?p ]>?>]>'
+    texts = [strict + "<html>&e;</html>", "<!DOCTYPE a SYSTEM 'say \"x\"'><a/>", "<!DOCTYPE a><a/>", '<!DOCTYPE a [<!ELEMENT a ANY>]><a/>', "<!DOCTYPE a [<!ENTITY e 'é'><!ENTITY f '漢'>]><a>é&e;</a>"]
+    back = dict(serialize.to_xml(xml(spark, *texts), declaration=False).collect())
+    for k, t in enumerate(texts):
+        assert back[k].split(">\n<")[0] + ">" == t[: t.rindex(">", 0, t.rindex("<html" if k == 0 else "<a") + 1) + 1]
+    assert back[0].endswith("<html>a]&gt;b</html>\n")
+    nodes = xml(spark, *texts)
+    assert nodes.filter("kind in ('comment', 'pi')").count() == 0
+    raw = [x.encode("utf-16") for x in texts] + ["<?xml version='1.0' encoding='ISO-8859-1'?><!DOCTYPE a [<!ENTITY e 'é'>]><a>&e;</a>".encode("latin-1")]
+    from thicket.sources.xml import parse_xml
+
+    bytes_ = parse_xml(spark.createDataFrame(list(enumerate(raw)), "doc_id long, text binary")).filter("kind = 'doctype'")
+    want = nodes.filter("kind = 'doctype'").select("doc_id", "content").collect() + [(5, "[<!ENTITY e 'é'>]")]
+    assert sorted(tuple(r) for r in bytes_.select("doc_id", "content").collect()) == sorted(tuple(r) for r in want)
+    few = '<!DOCTYPE a [<!ENTITY x "1"><!ENTITY y "&x; ]> &x;"><!ENTITY z "&y;&y;">]><a>&x;</a>'
+    assert xml(spark, few, options=ParseOptions(max_entity_expansions=1)).first().error is None
+    page = html(spark, '<!DOCTYPE html PUBLIC "-//W3C//DTD HTML 4.01//EN"\n"http://www.w3.org/TR/html4/strict.dtd"><p>x')
+    assert serialize.to_html(page).first().text.startswith('<!DOCTYPE html PUBLIC "-//W3C//DTD HTML 4.01//EN"\n"http://www.w3.org/TR/html4/strict.dtd"><html>')
+
+
+def test_deep_documents_stay_linear(spark):
+    import time
+
+    from thicket.schema import MOST_PATH
+    from thicket.sources.html import MOST_OPEN
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.time()
+        rows = html(spark, "<div>" * n + "end").select("kind", "depth", "path", "content", "error").collect()
+        took.append(time.time() - began)
+        assert rows[0].error == "elements nested too deep" and max(r.depth for r in rows) == MOST_OPEN + 1
+        assert sum(r.kind == "element" for r in rows) == n + 2 and [r.content for r in rows if r.kind == "text"] == ["end"]
+        assert max(len(r.path or "") for r in rows) <= MOST_PATH
+    assert took[1] < 8 * took[0] + 1
+    deep = xml(spark, "<a>" * 5000 + "</a>" * 5000, options=ParseOptions(max_depth=10_000)).collect()
+    assert [r.post - r.pre for r in deep] == list(range(5000, -1, -1)) and [r.depth for r in deep] == list(range(5001))
+    assert deep[1000].path is not None and deep[2000].path is None
+    assert html(spark, "<p>" + "<b x=1>" * 3).first().error is None

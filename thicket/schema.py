@@ -3,7 +3,11 @@
 ``pre`` numbers a document's nodes in document order from 0 (the document node); ``post`` is
 the last ``pre`` of the subtree, so d is below a if a.pre < d.pre <= a.post.  ``ord`` counts
 siblings from 1, ``elem_ord`` and ``elem_ord_last`` element siblings from either end.
-``path`` is the element path from the root, which turns absolute child paths into a filter.
+``path`` is the element path from the root, which turns absolute child paths into a filter; it
+is null where it would be longer than ``MOST_PATH``, so that deep documents stay linear.
+
+A doctype's ``content`` is what follows its name: public and system identifier, in quotes, and
+the internal subset as it is written.
 """
 
 from __future__ import annotations
@@ -24,3 +28,5 @@ ARROW = pa.schema(
     + [("attrs", pa.list_(_ATTR)), ("content", pa.string()), ("path", pa.string()), ("error", pa.string())]
 )
 KEY = ["doc_id", "pre"]
+#: Characters of a path at most.
+MOST_PATH = 2048

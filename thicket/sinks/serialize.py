@@ -65,7 +65,7 @@ def to_xml(nodes: DataFrame, declaration: bool = True, indent: str | None = None
         .when(kind == "element", F.concat(F.lit("<"), qname, _attrs(F.col("attrs"), _escape_attribute_xml), F.when(F.col("full_"), ">").otherwise("/>")))
         .when(kind == "text", escape_text(F.col("content")))
         .when(kind == "cdata", F.concat(F.lit("<![CDATA["), F.col("content"), F.lit("]]>")))
-        .when(kind == "doctype", F.concat(F.lit("<!DOCTYPE "), F.col("name"), F.when(F.length("content") > 0, F.concat(F.lit(' SYSTEM "'), F.col("content"), F.lit('"'))).otherwise(""), F.lit(">\n")))
+        .when(kind == "doctype", F.concat(F.lit("<!DOCTYPE "), F.col("name"), F.when(F.length("content") > 0, F.concat(F.lit(" "), F.col("content"))).otherwise(""), F.lit(">\n")))
         .otherwise(_comment_like(kind))
     )
     closing = F.when((kind == "element") & F.col("full_"), F.concat(F.lit("</"), qname, F.lit(">"))).when(kind == "document", "\n").otherwise("")
@@ -92,7 +92,7 @@ def to_html(nodes: DataFrame) -> DataFrame:
     opening = (
         F.when(kind == "element", F.concat(F.lit("<"), F.col("name"), _attrs(F.col("attrs"), value), F.lit(">")))
         .when(kind == "text", F.when(F.col("raw_"), F.col("content")).otherwise(text))
-        .when(kind == "doctype", F.concat(F.lit("<!DOCTYPE "), F.coalesce("name", F.lit("")), F.lit(">")))
+        .when(kind == "doctype", F.concat(F.lit("<!DOCTYPE "), F.coalesce("name", F.lit("")), F.when(F.length("content") > 0, F.concat(F.lit(" "), F.col("content"))).otherwise(""), F.lit(">")))
         .when(kind == "comment", F.concat(F.lit("<!--"), F.coalesce("content", F.lit("")), F.lit("-->")))
         .otherwise("")
     )

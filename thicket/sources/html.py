@@ -7,8 +7,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.sources.tree import TreeRows
-from thicket.sources.xml import _rows, wanted_columns
+from thicket.sources.tree import COMMENT, DOCTYPE, ELEMENT, TEXT, Nodes
+from thicket.sources.xml import ParseOptions, _rows, wanted_columns
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -19,23 +19,63 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opti
 BARRIER = frozenset("applet body button caption dl html marquee object ol select table td template th ul".split())
 
 
+#: Open elements at most, where no options say otherwise.
+MOST_OPEN = 512
+
+
 class _Builder(HTMLParser):
-    def __init__(self, rows, doc_id):
+    def __init__(self, nodes: Nodes, doc_id, o: ParseOptions):
         super().__init__(convert_charrefs=True)
-        self.tree = TreeRows(rows, doc_id)
+        self.nodes, self.mark, self.o = nodes, nodes.begin(doc_id), o
         self.names: list[str] = []  # of open elements
+        self.spots = [0]  # theirs, the document's first
+        self.pieces: list[str] = []  # of the text node that came last
+        self.cut_off: str | None = None
+
+    def _cut(self):
+        """What follows is no part of the text node that came last."""
+        if len(self.pieces) > 1:
+            self.nodes.content[-1] = "".join(self.pieces)
+        self.pieces = []
+
+    def _leaf(self, kind, name=None, content=None):
+        self._cut()
+        self.nodes.add(kind, len(self.spots), self.nodes.spot_of(self.nodes.name_of(name)), content)
+
+    def _text(self, data):
+        if not self.pieces:
+            self.nodes.add(TEXT, len(self.spots), 1, data)
+        self.pieces.append(data)
+
+    def finish(self):
+        self.close()
+        if not self.names:
+            self._imply(None)
+        self._cut()
+        self.nodes.end(self.mark, self.cut_off)
 
     def _open(self, tag, attrs=()):
         seen: dict[str, str] = {}
         for k, v in attrs:
+            if len(seen) == self.o.max_attributes:
+                self.cut_off = "too many attributes"
+                break
             seen.setdefault(k, v or "")
-        self.tree.element(tag, [(k, v, None, None) for k, v in seen.items()])
+        if len(self.names) >= self.o.max_depth:  # the innermost makes room: what follows is its sibling
+            self.cut_off = "elements nested too deep"
+            self._close(1)
+        self._cut()
+        self.nodes.owner += [len(self.nodes)] * len(seen)
+        self.nodes.attributes += [(k, v, None, None) for k, v in seen.items()]
+        spot = self.nodes.spot_below(self.spots[-1], self.nodes.name_of(tag))
+        self.nodes.add(ELEMENT, len(self.spots), spot)
+        self.spots.append(spot)
         self.names.append(tag)
 
     def _close(self, count: int):
-        for _ in range(count):
-            self.names.pop()
-            self.tree.end()
+        if count:
+            self._cut()
+            del self.names[-count:], self.spots[-count:]
 
     def _imply(self, tag: str | None):
         """html, head and body where they are left out."""
@@ -104,41 +144,49 @@ class _Builder(HTMLParser):
             return
         if self.names[-1:] == ["head"] or not inside:
             if not data.strip():
-                return self.tree.text(data) if inside else None
+                return self._text(data) if inside else None
             self._imply(None)
-        self.tree.text(data)
+        self._text(data)
         return None
 
     def handle_comment(self, data):
-        self.tree.leaf("comment", content=data)
+        self._leaf(COMMENT, content=data)
 
     def handle_decl(self, decl):
         if decl[:7].lower() == "doctype" and not self.names:
-            self.tree.leaf("doctype", decl[7:].strip().lower() or None)
+            name, _, rest = decl[7:].strip().partition(" ")
+            self._leaf(DOCTYPE, name.lower() or None, rest.strip() or None)
 
     def handle_pi(self, data):
-        self.tree.leaf("comment", content=f"?{data}")
+        self._leaf(COMMENT, content=f"?{data}")
 
     unknown_decl = handle_pi
 
 
-def _parse(rows, doc_id, text, o) -> None:
-    b = _Builder(rows, doc_id)
-    b.feed(text if isinstance(text, str) else text.decode("utf-8", "replace"))
-    b.close()
-    if not b.names:
-        b._imply(None)
-    b.tree.close()
+def html_reader(nodes: Nodes, o: ParseOptions):
+    """A function that appends the nodes of a page, by its id and text, to ``nodes``."""
+
+    def parse(doc_id, text) -> None:
+        b = _Builder(nodes, doc_id, o)
+        b.feed(text if isinstance(text, str) else text.decode("utf-8", "replace"))
+        b.finish()
 
+    return parse
 
-def parse_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", columns: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
-    """The node table of a column of HTML texts.  Never an error: whatever comes is a tree.
+
+def parse_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", options: ParseOptions | None = None, columns: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
+    """The node table of a column of HTML texts.  Whatever comes is a tree.
 
     Unclosed elements end with their parent, end tags without a start are passed over, html,
     head and body are implied, script and style hold raw text, and character references are
     resolved.  Formatting elements that cross block borders are nested as they come; they are
     not reopened.  ``columns`` and ``paths`` are those of ``parse_xml``.
+
+    Of ``options``, max_depth (``MOST_OPEN`` without options) and max_attributes hold: an
+    element that would lie deeper stands beside the innermost open one instead of in it, and
+    further attributes are left out; no text is lost, and the document node's ``error`` says so.
     """
+    o = options or ParseOptions(max_depth=MOST_OPEN, max_attributes=1 << 16)
     names, schema = wanted_columns(columns)
     only = None if paths is None else frozenset(paths)
-    return pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(lambda it: _rows(it, None, _parse, names, only), schema)
+    return pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(lambda it: _rows(it, o, html_reader, names, only), schema)

@@ -1,132 +1,191 @@
-"""Collects one document's nodes, in document order, as rows of the node table."""
+"""Collects nodes in document order, as columns, and makes the node table's Arrow batches of them.
 
-from __future__ import annotations
+A node is appended as three plain values: its depth and kind in one number, a number for its
+name and path, and its content.  All else (``pre``, ``post``, ``parent``, ordinals) follows
+from the depths, and is computed for a batch at once.
+"""
 
-from itertools import compress
+from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 
-from thicket.schema import ARROW
+from thicket.schema import ARROW, KINDS, MOST_PATH
 
-_AT = {name: k for k, name in enumerate(ARROW.names)}
-_PRE, _POST, _PARENT, _ELEM_ORD, _LAST, _KIND, _CONTENT, _PATH, _ERROR = (_AT[c] for c in ("pre", "post", "parent", "elem_ord", "elem_ord_last", "kind", "content", "path", "error"))
+DOCUMENT, ELEMENT, TEXT, CDATA, COMMENT, PI, DOCTYPE = range(len(KINDS))
 
 
-class TreeRows:
-    """Appends nodes under the innermost open one; numbers are those of ``thicket.schema``.
+class Nodes:
+    """The nodes of a batch of documents.
 
-    ``rows`` holds one list of the table's columns per node; attributes are tuples of name,
-    value, prefix and namespace.
+    ``code`` is 8 * depth + kind; ``spot`` numbers ``spots``, pairs of a name and a path;
+    names are tuples of name, prefix and namespace.  ``owner`` and ``attributes`` are a row
+    for each attribute: its element and the tuple of name, value, prefix and namespace.
     """
 
-    def __init__(self, rows: list[list], doc_id):
-        self.rows, self.doc_id = rows, doc_id
-        self.base = len(rows)
-        self.open: list[list] = []  # [row, children, element children]
-        self.n = 0
-        self.run: list[str] = []  # the pieces of the text node that came last
-        self.kind, self.length = "", 0  # of that text
-        self.rows.append([doc_id, 0, 0, None, 0, 1, None, None, "document", None, None, None, None, None, "", None])
-        self.open.append([self.rows[-1], 0, 0])
-        self.n = 1
-
-    def element(self, name, attrs, prefix=None, namespace=None) -> None:
-        """An element's start; attrs is a list."""
-        if self.run:
-            self.cut()
-        top = self.open[-1]
-        top[1] += 1
-        top[2] += 1
-        above, n = top[0], self.n
-        row = [self.doc_id, n, n, above[1], len(self.open), top[1], top[2], None, "element", name, prefix, namespace, attrs, None, f"{above[14]}/{name}", None]
-        self.rows.append(row)
-        self.open.append([row, 0, 0])
-        self.n = n + 1
-
-    def end(self) -> None:
-        if self.run:
-            self.cut()
-        self.open.pop()[0][2] = self.n - 1
-
-    def leaf(self, kind, name=None, content=None) -> None:
-        if self.run:
-            self.cut()
-        top, n = self.open[-1], self.n
-        top[1] += 1
-        self.rows.append([self.doc_id, n, n, top[0][1], len(self.open), top[1], None, None, kind, name, None, None, None, content, None, None])
-        self.n = n + 1
-
-    def text(self, content: str, kind: str = "text") -> int:
-        """Text; what follows a node of its kind at once is added to it.  The length of the node's text so far."""
-        if self.run and self.kind == kind:
-            self.run.append(content)
-            self.length += len(content)
-            return self.length
-        self.leaf(kind, content=content)
-        self.run, self.kind, self.length = [content], kind, len(content)
-        return self.length
-
-    def cut(self) -> None:
-        """What follows is no part of the text node that came last."""
-        if len(self.run) > 1:
-            self.rows[-1][_CONTENT] = "".join(self.run)
-        self.run = []
-
-    def drop(self) -> None:
-        """Only the document node stays."""
-        del self.rows[self.base + 1 :]
-        self.n, self.open, self.run = 1, self.open[:1], []
-
-    def close(self, error: str | None = None) -> None:
-        """Closes what is open; notes an error at the document node."""
-        self.cut()
-        while self.open:
-            self.end()
-        mine = self.rows[self.base :]
-        last: dict[int, int] = {}
-        for row in mine:
-            if row[_ELEM_ORD] is not None:
-                last[row[_PARENT]] = row[_ELEM_ORD]
-        for row in mine:
-            if row[_ELEM_ORD] is not None:
-                row[_LAST] = last[row[_PARENT]] - row[_ELEM_ORD] + 1
-        mine[0][_ERROR] = error
-
-
-def _attributes(column, kind: pa.DataType) -> pa.Array:
-    """Lists of attribute tuples as an Arrow column, built from flat columns."""
-    flat = [a for attrs in column if attrs for a in attrs]
-    parts = list(zip(*flat, strict=True)) or [()] * 4
-    offsets, n = [], 0
-    for attrs in column:
-        offsets.append(None if attrs is None else n)
-        n += len(attrs) if attrs else 0
-    offsets.append(n)
+    def __init__(self):
+        self.code: list[int] = []
+        self.spot: list[int] = []
+        self.content: list[str | None] = []
+        self.owner: list[int] = []
+        self.attributes: list[tuple] = []
+        self.names: list[tuple] = [(None, None, None)]
+        self.named: dict[tuple, int] = {self.names[0]: 0}
+        self.spots: list[tuple[int, str | None]] = [(0, ""), (0, None)]  # 0 is the document's, 1 that of texts
+        self.below: dict[tuple[int, int], int] = {}
+        self.leaves: dict[int, int] = {0: 1}
+        self.documents: list[tuple] = []  # first node, id and error
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def name_of(self, name, prefix=None, namespace=None) -> int:
+        key = (name, prefix, namespace)
+        if (k := self.named.get(key)) is None:
+            k = self.named[key] = len(self.names)
+            self.names.append(key)
+        return k
+
+    def spot_below(self, above: int, name: int) -> int:
+        """That of an element, by its parent's and its name; without a path where it would be over ``MOST_PATH``."""
+        if (k := self.below.get((above, name))) is None:
+            base = self.spots[above][1]
+            path = None if base is None else f"{base}/{self.names[name][0]}"
+            k = self.below[above, name] = len(self.spots)
+            self.spots.append((name, None if path is None or len(path) > MOST_PATH else path))
+        return k
+
+    def spot_of(self, name: int) -> int:
+        """That of a node without a path."""
+        if (k := self.leaves.get(name)) is None:
+            k = self.leaves[name] = len(self.spots)
+            self.spots.append((name, None))
+        return k
+
+    def add(self, kind: int, depth: int, spot: int, content: str | None = None) -> None:
+        self.code.append(8 * depth + kind)
+        self.spot.append(spot)
+        self.content.append(content)
+
+    def begin(self, doc_id) -> tuple[int, int, int]:
+        """A document's node; what the mark tells ``drop`` and ``end``."""
+        mark = (len(self.code), len(self.owner), len(self.documents))
+        self.documents.append((mark[0], doc_id, None))
+        self.add(DOCUMENT, 0, 0)
+        return mark
+
+    def drop(self, mark: tuple[int, int, int]) -> None:
+        """Only the document's node stays."""
+        for column in (self.code, self.spot, self.content):
+            del column[mark[0] + 1 :]
+        del self.owner[mark[1] :]
+        del self.attributes[mark[1] :]
+
+    def end(self, mark: tuple[int, int, int], error: str | None) -> None:
+        first, doc_id, _ = self.documents[mark[2]]
+        self.documents[mark[2]] = (first, doc_id, error)
+
+
+def _ordinals(parent: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row among those of its parent, from either end."""
+    order = np.argsort(parent[rows], kind="stable")
+    p = parent[rows][order]
+    new = np.ones(len(p), bool)
+    new[1:] = p[1:] != p[:-1]
+    at = np.arange(len(p))
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    size = np.diff(np.append(np.flatnonzero(new), len(p)))
+    out, last = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
+    out[order] = at - first + 1
+    last[order] = np.repeat(size, size) - (at - first)
+    return out, last
+
+
+def _strings(values: list, numbers: np.ndarray) -> pa.Array:
+    """The values at these places, of a short list of which many are repeated."""
+    return pa.DictionaryArray.from_arrays(pa.array(numbers, pa.int32()), pa.array(values, pa.string())).cast(pa.string())
+
+
+def record_batch(nodes: Nodes, columns: list[str], paths: frozenset[str] | None) -> pa.RecordBatch:
+    """The nodes as Arrow columns; of ``paths``, only document nodes, the elements there and their texts."""
+    n = len(nodes)
+    code = np.array(nodes.code, np.int64)
+    depth, kind = code >> 3, code & 7
+    starts = np.array([d[0] for d in nodes.documents], np.int64)
+    size = np.diff(np.append(starts, n))
+    pre = np.arange(n) - np.repeat(starts, size)
+    parent, end = np.full(n, -1, np.int64), np.empty(n, np.int64)
+    order = np.argsort(depth, kind="stable")
+    level = np.searchsorted(depth[order], np.arange((int(depth.max()) if n else -1) + 2))
+    closed = np.zeros(0, np.int64)  # nodes that end what is open at this depth
+    for d in range(len(level) - 1):
+        here = order[level[d] : level[d + 1]]
+        if d:
+            above = order[level[d - 1] : level[d]]
+            parent[here] = above[np.searchsorted(above, here) - 1]
+        closed = here if not d else np.sort(np.concatenate([closed, here]), kind="stable")
+        after = np.append(closed, n)
+        end[here] = after[np.searchsorted(closed, here, "right")] - 1
+    element = np.flatnonzero(kind == ELEMENT)
+    keep = None
+    spot = np.array(nodes.spot, np.int64)
+    if paths is not None:
+        wanted = np.array([x in paths for _, x in nodes.spots], bool)[spot] & (kind == ELEMENT)
+        text = (kind == TEXT) | (kind == CDATA)
+        keep = np.flatnonzero((kind == DOCUMENT) | wanted | (text & wanted[parent]))
+
+    def taken(x: np.ndarray) -> np.ndarray:
+        return x if keep is None else x[keep]
+
+    def ints(x: np.ndarray, absent: np.ndarray | None = None) -> pa.Array:
+        return pa.array(taken(x).astype(np.int32), mask=None if absent is None else taken(absent))
+
+    def column(name: str) -> pa.Array:
+        if name == "doc_id":
+            return pa.array([d[1] for d in nodes.documents], pa.int64()).take(pa.array(taken(np.repeat(np.arange(len(starts)), size))))
+        if name == "pre":
+            return ints(pre)
+        if name == "post":
+            return ints(end - np.repeat(starts, size))
+        if name == "parent":
+            return ints(pre[parent], parent < 0)
+        if name == "depth":
+            return ints(depth)
+        if name == "ord":
+            out = np.ones(n, np.int64)
+            inner = np.flatnonzero(parent >= 0)
+            out[inner] = _ordinals(parent, inner)[0]
+            return ints(out)
+        if name in ("elem_ord", "elem_ord_last"):
+            out, absent = np.zeros(n, np.int64), kind != ELEMENT
+            out[element] = _ordinals(parent, element)[name != "elem_ord"]
+            return ints(out, absent)
+        if name == "kind":
+            return _strings(list(KINDS), taken(kind))
+        if name in ("name", "prefix", "namespace"):
+            k = ("name", "prefix", "namespace").index(name)
+            return _strings([nodes.names[x][k] for x, _ in nodes.spots], taken(spot))
+        if name == "path":
+            return _strings([x for _, x in nodes.spots], taken(spot))
+        if name == "content":
+            out = pa.array(nodes.content, pa.string())
+            return out if keep is None else out.take(pa.array(keep))
+        if name == "error":
+            errors = np.zeros(n, np.int64)
+            errors[starts] = np.arange(len(starts)) + 1
+            return _strings([None, *(d[2] for d in nodes.documents)], taken(errors))
+        out = _attributes(nodes, kind == ELEMENT)
+        return out if keep is None else out.take(pa.array(keep))
+
+    return pa.RecordBatch.from_arrays([column(c) for c in columns], schema=pa.schema([ARROW.field(c) for c in columns]))
+
+
+def _attributes(nodes: Nodes, element: np.ndarray) -> pa.Array:
+    """Lists of attributes as an Arrow column, built from flat columns; null but for elements."""
+    kind = ARROW.field("attrs").type
+    offsets = np.zeros(len(element) + 1, np.int32)
+    np.cumsum(np.bincount(np.array(nodes.owner, np.int64), minlength=len(element)), out=offsets[1:])
+    parts = list(zip(*nodes.attributes, strict=True)) or [()] * 4
     fields = list(kind.value_type)
     values = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, fields, strict=True)], fields=fields)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(kind)
-
-
-def record_batch(rows: list[list], columns: list[str], paths: frozenset[str] | None) -> pa.RecordBatch:
-    """The rows as Arrow columns; of ``paths``, only document nodes, the elements there and their texts."""
-    if paths is not None:
-        wanted, keep = False, []
-        inside: set[int] = set()
-        for row in rows:
-            if row[_KIND] == "document":
-                inside.clear()
-                wanted = True
-            elif row[_KIND] == "element":
-                wanted = row[_PATH] in paths
-                if wanted:
-                    inside.add(row[_PRE])
-            else:
-                wanted = row[_KIND] in ("text", "cdata") and row[_PARENT] in inside
-            keep.append(wanted)
-        rows = list(compress(rows, keep))
-    every = list(zip(*rows, strict=True)) or [()] * len(ARROW.names)
-    out = []
-    for name in columns:
-        kind, column = ARROW.field(name).type, every[_AT[name]]
-        out.append(_attributes(column, kind) if name == "attrs" else pa.array(column, kind))
-    return pa.RecordBatch.from_arrays(out, schema=pa.schema([ARROW.field(c) for c in columns]))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~element, False)), values).cast(kind)

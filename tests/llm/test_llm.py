@@ -373,6 +373,26 @@ def test_salvage_follows_members_only_so_deep(monkeypatch):
     assert [type(x) for x in salvage(big)] == [Record]
 
 
+def test_bounds_of_archives(spark):
+    from thicket.llm.warc import Bounds, read_archives, write_archives
+
+    df = spark.createDataFrame([(1, "u" * 500, "x" * 5000), (2, "v", "y")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes) for r in round_trip(df).collect()) == [(1, 5000), (2, 1)]
+    archives = write_archives(df).cache()
+    gaps = lambda bounds: sorted(r.gap for r in read_archives(archives, bounds=bounds).filter("gap is not null").collect())
+    assert gaps(Bounds()) == gaps(None) == [] and "inflates" in gaps(Bounds(1000))[0] and gaps(Bounds(None, 600)) == ["header without end"]
+    many = b"WARC/1.1\r\n" * 20_000 + b"\r\n\r\n"
+    assert [type(x) for x in salvage(many, 0, Bounds(None, 1000))] == [Gap]
+
+
+def test_a_record_that_does_not_come_back_is_an_error(spark, monkeypatch):
+    from thicket.llm import warc
+
+    monkeypatch.setattr(warc, "read_archives", lambda archives, **_: archives.selectExpr("archive", "'broken' as gap", "1 as page_id"))
+    with pytest.raises(Exception, match="broken"):
+        round_trip(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")).collect()
+
+
 def test_salvage_drill(spark):
     from thicket.llm.warc import salvage_drill
 
@@ -465,6 +485,13 @@ def test_quality(spark):
     assert classify(docs, labels.limit(0)).count() == len(all_)
 
 
+@pytest.mark.parametrize("y, score, predicted", [(1, 1.0, 1), (0, 0.0, 0), (None, 1.0, 1)])
+def test_quality_without_both_labels(spark, y, score, predicted):
+    docs = spark.createDataFrame([(i, f"text {i}" if i else None) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in range(20)], "doc_id long, quality int")
+    assert {(r.score, r.predicted) for r in classify(docs, labels).collect()} == {(score, predicted)}
+
+
 def test_quality_bound_passes_over_only_what_does_not_fit(spark, monkeypatch):
     fitted = []
     monkeypatch.setattr(Network, "fit", lambda self, text, y, epochs: fitted.append(sorted(zip(text.to_pylist(), y.tolist(), strict=True))) or self)

@@ -60,6 +60,7 @@ class Network:
             "c": np.zeros(1, np.float32),
         }
         self.shift = 0.0
+        self.prior: float | None = None  # what every text scores where nothing could be learned
 
     def responses(self, sym: np.ndarray, start: np.ndarray, ahead: np.ndarray | None = None) -> np.ndarray:
         """(steps, f) filter responses; the last step of a text sees ``ahead``, by default zeros."""
@@ -110,6 +111,8 @@ class Network:
 
     def score(self, text) -> np.ndarray:
         """A probability for each text of an Arrow column, about SLICE bytes of text at a time."""
+        if self.prior is not None:
+            return np.full(len(text), self.prior)
         raw, at = utf8(text)
         out, i, n = [], 0, len(at) - 1
         while i < n:
@@ -189,9 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The bounds are ``rows_per_class`` texts of either label, those of the smallest hash of
     their id, and of these together ``max_bytes`` of whole texts (see ``_fitting``); texts
     over half of ``max_bytes`` are passed over.  Rows whose crc32(id as text) mod 4 is 2 are
-    held out.  Null labels, ids and texts, and labels but 0 and 1, are passed over.  Without
-    labelled texts of both labels the network stays unfitted; where they exist, but those of
-    a label are all too long, a ValueError says so.
+    held out.  Null labels, ids and texts, and labels but 0 and 1, are passed over.  Where
+    labelled texts of both labels exist, but those of a label are all too long, a ValueError
+    says so.  Where there are texts of one label alone, nothing tells texts apart: every text
+    scores that label; and without labelled texts every text scores 1, for there is nothing
+    against any.
     """
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(F.crc32(F.col("id").cast("string")) % 4 != 2).distinct()
     text = F.col(f"`{text_col}`").cast("string")
@@ -203,8 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = [(*r[:2], y) for y, rows in _fitting(sample, max_bytes).items() for r in rows]
     net = Network()
     if len({y for *_, y in chosen}) < 2:
-        if slim.select("y").distinct().count() == 2:
+        labels_seen = {r.y for r in slim.select("y").distinct().collect()}
+        if len(labels_seen) == 2:
             raise ValueError(f"labelled texts of both labels exist, but those of one are all over max_bytes / 2 = {max_bytes // 2} bytes: no classifier is fitted")
+        net.prior = float(min(labels_seen, default=1))
         return net
     some = docs.sparkSession.createDataFrame(chosen, "id long, th long, y int")
     rows = texts.join(F.broadcast(some), ["id", "th"]).dropDuplicates(["id", "th", "y"]).withColumn("o", F.xxhash64("id", F.lit(11))).orderBy("o", "id", "y", "text").select("text", "y").toArrow()
@@ -237,7 +244,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     score is the probability of label 1, of the whole text (a null text counts as empty;
     empty texts are scored like any other); predicted is 1 if score >= threshold.  held_out
     says that crc32(id as text) mod 4 is 2 (a null id is never held out).  The score depends
-    on the text alone, so repeated rows score alike; an empty table gives an empty result;
+    on the text alone, so repeated rows score alike; where the labels are of one kind, or
+    none, all texts score alike (see ``train``); an empty table gives an empty result;
     columns of docs that bear a result's name, in any case, are replaced.  See ``train`` for the sample
     that the classifier is fitted on; scoring is a narrow transformation.
     """

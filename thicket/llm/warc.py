@@ -24,8 +24,19 @@ _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 #: An archive is closed when it has this many bytes.
 ARCHIVE_BYTES = 4 << 20
-#: Members within members that are followed; bytes that one member may inflate to.
-MOST_DEPTH, MOST_INFLATED = 8, 1 << 29
+#: Members within members that are followed; of archives from elsewhere, bytes that one member may inflate to and a header may have.
+MOST_DEPTH, MOST_INFLATED, MOST_HEADER = 8, 1 << 29, 1 << 20
+
+
+class Bounds(NamedTuple):
+    """What a record is read within; None: whatever it takes."""
+
+    inflated: int | None = None
+    header: int | None = None
+
+
+def foreign() -> Bounds:
+    return Bounds(MOST_INFLATED, MOST_HEADER)
 
 
 class Record(NamedTuple):
@@ -64,12 +75,12 @@ def make_record(kind: str, page_id: int | None, url: str | None, payload: bytes,
     return z.compress(raw) + z.flush()
 
 
-def _plain_record(data, pos: int) -> Record | str:
+def _plain_record(data, pos: int, bounds: Bounds) -> Record | str:
     """The uncompressed record at pos, or why there is none."""
     m = _VERSION.match(data, pos)
     if not m:
         return "no version line"
-    close = data.find(b"\r\n\r\n", m.end() - 2)
+    close = data.find(b"\r\n\r\n", m.end() - 2, len(data) if bounds.header is None else m.end() + bounds.header)
     if close < 0:
         return "header without end"
     headers: dict[str, str] = {}
@@ -98,7 +109,7 @@ def _plain_record(data, pos: int) -> Record | str:
     return Record(pos, end + 4, headers, block)
 
 
-def _member(data: bytes, pos: int) -> tuple[bytes, int] | str:
+def _member(data: bytes, pos: int, bounds: Bounds) -> tuple[bytes, int] | str:
     """The gzip member at pos and where it ends; zlib checks its length and CRC."""
     z = zlib.decompressobj(31)
     out, size, at, step = [], 0, pos, 1 << 16
@@ -110,42 +121,44 @@ def _member(data: bytes, pos: int) -> tuple[bytes, int] | str:
             at += 0 if z.unconsumed_tail else step
             out.append(z.decompress(more, 1 << 20))
             size += len(out[-1])
-            if size > MOST_INFLATED:
-                return f"member inflates to over {MOST_INFLATED} bytes"
+            if bounds.inflated is not None and size > bounds.inflated:
+                return f"member inflates to over {bounds.inflated} bytes"
     except zlib.error as e:
         return f"bad member: {e}"
     return b"".join(out), min(at, len(data)) - len(z.unused_data)
 
 
-def _at(data: bytes, pos: int, depth: int) -> tuple[list[Record | Gap], int] | str:
+def _at(data: bytes, pos: int, depth: int, bounds: Bounds) -> tuple[list[Record | Gap], int] | str:
     """What stands at pos and where it ends, or why nothing valid does."""
     if data[pos : pos + 3] == b"\x1f\x8b\x08":
         if depth >= MOST_DEPTH:
             return f"over {MOST_DEPTH} members within each other"
-        got = _member(data, pos)
+        got = _member(data, pos, bounds)
         if isinstance(got, str):
             return got
-        inner = list(salvage(got[0], depth + 1))
+        inner = list(salvage(got[0], depth + 1, bounds))
         if not any(isinstance(x, Record) for x in inner):
             return inner[0].reason if inner else "empty member"
         return [x._replace(start=pos, end=got[1]) for x in inner], got[1]
-    got = _plain_record(data, pos)
+    got = _plain_record(data, pos, bounds)
     return got if isinstance(got, str) else ([got], got.end)
 
 
-def salvage(data: bytes, depth: int = 0) -> Iterator[Record | Gap]:
+def salvage(data: bytes, depth: int = 0, bounds: Bounds | None = None) -> Iterator[Record | Gap]:
     """All valid records of an archive, and the byte gaps between them.
 
     Records are gzip members or plain.  Where a check fails (gzip's own, the header's form,
     the block's length, end or digest), the next member or version line that holds a valid
     record is searched for, and the bytes before it are a gap with the first failure's
     reason.  Gaps and records together cover the archive; within a member of several records
-    a gap has the member's place.  Members within members are followed MOST_DEPTH deep, and a
-    member that inflates to over MOST_INFLATED bytes is a gap like other damage.
+    a gap has the member's place.  Members within members are followed MOST_DEPTH deep.  What
+    exceeds ``bounds`` (by default those for archives from elsewhere, MOST_INFLATED and
+    MOST_HEADER) is a gap like other damage.
     """
+    bounds = bounds or foreign()
     pos, bad, reason = 0, None, ""
     while pos < len(data):
-        got = _at(data, pos, depth)
+        got = _at(data, pos, depth, bounds)
         if isinstance(got, str):
             if bad is None:
                 bad, reason = pos, got
@@ -206,14 +219,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 _READ = "archive string, start long, end long, gap string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"
 
 
-def _read(batches, with_payload: bool):
+def _read(batches, with_payload: bool, bounds: Bounds | None):
     names = [x.split()[0] for x in _READ.split(", ")] + ["payload"] * with_payload
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     number = lambda s: int(m[1]) if (m := _ID.fullmatch(s)) else None
     for b in batches:
         for archive, content in zip(b.column("archive").to_pylist(), b.column("content"), strict=True):
             rows = []
-            for x in salvage(content.as_py() or b""):
+            for x in salvage(content.as_py() or b"", 0, bounds):
                 if isinstance(x, Gap):
                     rows.append((archive, x.start, x.end, x.reason, *[None] * 7))
                     continue
@@ -231,15 +244,15 @@ def _read(batches, with_payload: bool):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[: len(names)], kinds, strict=False)], names=names)
 
 
-def read_archives(archives: DataFrame, archive_col: str = "archive", content_col: str = "content", with_payload: bool = False) -> DataFrame:
+def read_archives(archives: DataFrame, archive_col: str = "archive", content_col: str = "content", with_payload: bool = False, bounds: Bounds | None = None) -> DataFrame:
     """Records and gaps of archives: archive, start, end, then gap (why these bytes are in
     quarantine) or record_type, page_id, url, payload_bytes, payload_digest, refers_to (and payload).
 
     payload_bytes and payload_digest of a revisit are those of the full payload, as its
-    header has them.  A null or empty archive gives no rows.
+    header has them.  A null or empty archive gives no rows.  ``bounds`` are those of ``salvage``.
     """
     plain = archives.select(F.col(f"`{archive_col}`").cast("string").alias("archive"), F.col(f"`{content_col}`").alias("content"))
-    return plain.mapInArrow(lambda it: _read(it, with_payload), _READ + (", payload binary" if with_payload else ""))
+    return plain.mapInArrow(lambda it: _read(it, with_payload, bounds), _READ + (", payload binary" if with_payload else ""))
 
 
 def round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
@@ -249,10 +262,13 @@ def round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     URI; a row with a null id is a response of page_id null.  Of equal payloads of several
     ids the smallest id is the response; rows that repeat an id with an equal payload are all
     responses, as one with another payload is.  An empty table gives no rows; other columns
-    of pages, whatever their names, don't matter.  Payloads of up to about 500 MB come back
-    whole (MOST_INFLATED, and Spark's bound of 2 GB on a value).
+    of pages, whatever their names, don't matter.  Payloads come back whole, whatever their
+    size (a value of Spark holds 2 GB): one's own archives are read without bounds, and a gap
+    in them, which would be a row that is lost, is an error.
     """
-    return read_archives(written(write_archives(pages, revisit_from=revisit_from))).filter("gap is null")
+    back = read_archives(written(write_archives(pages, revisit_from=revisit_from)), bounds=Bounds())
+    lost = F.raise_error(F.concat(F.lit("a record doesn't come back from "), "archive", F.lit(": "), "gap"))
+    return back.filter(F.when(F.col("gap").isNotNull(), lost.cast("boolean")).otherwise(F.lit(True)))
 
 
 def damaged(archives: DataFrame, letters: str = "ABCDEF") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from thicket.functions import numbers, strings
 from thicket.functions.types import BUILTIN
-from thicket.operators import compare, corpora, css, edit, links, paths, validate
+from thicket.operators import compare, corpora, css, edit, grammar, links, paths, schemas, validate
 from thicket.operators.axes import step
 from thicket.operators.selection import Selection, attr, string_value
 from thicket.plans import relational
@@ -430,6 +430,63 @@ def validate_types(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("doc_id"), BUILTIN["int"](F.col("o_orderstatus")).alias("is_int"), BUILTIN["byte"](key).alias("is_byte"), BUILTIN["date"](F.date_format("o_orderdate", "yyyy-MM-dd")).alias("is_date"), BUILTIN["positiveInteger"](key).alias("is_positive"))
 
 
+ORDER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+<xs:include schemaLocation="types.xsd"/>
+<xs:element name="order"><xs:complexType><xs:sequence>
+  <xs:element name="customer"><xs:complexType><xs:sequence><xs:element name="name" type="named"/></xs:sequence><xs:attribute name="id" type="xs:nonNegativeInteger" use="required"/></xs:complexType></xs:element>
+  <xs:element ref="item" maxOccurs="unbounded"/>
+</xs:sequence><xs:attribute name="id" type="xs:integer" use="required"/><xs:attribute name="status" type="xs:token" use="required"/><xs:attribute name="priority" type="xs:string"/></xs:complexType></xs:element>
+</xs:schema>"""
+TYPES_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+<xs:simpleType name="named"><xs:restriction base="xs:string"><xs:minLength value="1"/></xs:restriction></xs:simpleType>
+<xs:simpleType name="amount"><xs:restriction base="xs:decimal"><xs:maxInclusive value="45"/><xs:fractionDigits value="0"/></xs:restriction></xs:simpleType>
+<xs:attributeGroup name="line"><xs:attribute name="n" type="xs:positiveInteger" use="required"/><xs:attribute name="returnflag" type="xs:string" use="required"/></xs:attributeGroup>
+<xs:element name="item"><xs:complexType><xs:all>
+  <xs:element name="qty" type="amount"/><xs:element name="partkey" type="xs:unsignedInt"/><xs:element name="price" type="xs:double"/>
+  <xs:element name="discount" minOccurs="0"><xs:simpleType><xs:restriction base="xs:decimal"><xs:minInclusive value="0.01"/><xs:totalDigits value="4"/></xs:restriction></xs:simpleType></xs:element>
+</xs:all><xs:attributeGroup ref="line"/></xs:complexType></xs:element>
+</xs:schema>"""
+
+
+@query(ORACLES["validate_schema"])
+def validate_schema_document(spark, sf_dir):
+    """The same rules from XML Schema documents, one of which includes the other."""
+    nodes = order_nodes(spark, sf_dir)
+    found = grammar.check_grammar(nodes, schemas.xml_schema(ORDER_XSD, {"types.xsd": TYPES_XSD}))
+    return validate.verdicts(nodes, found).select("doc_id", "n_errors", "is_valid")
+
+
+ORDER_RNG = """<grammar xmlns="http://relaxng.org/ns/structure/1.0" datatypeLibrary="http://www.w3.org/2001/XMLSchema-datatypes">
+<start><element name="order"><attribute name="id"/><attribute name="status"/><optional><attribute name="priority"/></optional>
+  <element name="customer"><attribute name="id"><data type="integer"/></attribute><element name="name"><text/></element></element>
+  <zeroOrMore><ref name="kept"/></zeroOrMore><zeroOrMore><ref name="returned"/></zeroOrMore>
+</element></start>
+<define name="kept"><element name="item"><attribute name="returnflag"><choice><value>A</value><value>N</value></choice></attribute><ref name="line"/></element></define>
+<define name="returned"><element name="item"><attribute name="returnflag"><value>R</value></attribute><ref name="line"/></element></define>
+<define name="line"><attribute name="n"><data type="positiveInteger"/></attribute><element name="partkey"><data type="unsignedInt"/></element><element name="qty"><text/></element><element name="price"><text/></element><element name="discount"><text/></element></define>
+</grammar>"""
+
+
+@query(f"SELECT o_orderkey AS doc_id, NOT EXISTS (SELECT 1 FROM {_RANKED} x JOIN {_RANKED} y ON y.l_orderkey = x.l_orderkey AND y.r > x.r WHERE x.l_orderkey = o_orderkey AND x.l_returnflag = 'R' AND y.l_returnflag <> 'R') AS is_valid FROM orders")
+def validate_tree_grammar(spark, sf_dir):
+    """A RelaxNG schema in which elements of one name have two types: kept items, then returned ones."""
+    nodes = order_nodes(spark, sf_dir)
+    return validate.verdicts(nodes, grammar.check_grammar(nodes, schemas.relax_ng(ORDER_RNG))).select("doc_id", "is_valid")
+
+
+ORDER_SCH = """<schema xmlns="http://purl.oclc.org/dsdl/schematron"><let name="most" value="40"/>
+<pattern id="items"><let name="large" value="$most"/>
+  <rule context="item[@returnflag = 'R']"><assert test="qty &lt;= $large">returned <value-of select="qty * 1"/></assert></rule>
+  <rule context="item"><report test="discount &gt; 0.09">discount <value-of select="discount"/></report></rule>
+</pattern></schema>"""
+
+
+@query(ORACLES["validate_rules"])
+def validate_rule_document(spark, sf_dir):
+    """The same rules from a Schematron document, whose tests and messages are expressions."""
+    return schemas.check_schematron(order_nodes(spark, sf_dir), ORDER_SCH).select("doc_id", "severity", "message")
+
+
 # Paths and selectors as strings
 
 

@@ -68,6 +68,17 @@ def joined(targets: DataFrame, context: DataFrame, axis: str) -> DataFrame:
     return targets.join(context, on & (F.col("bin_") == F.col("c_bin_"))).drop("bin_", "c_bin_")
 
 
+def below(nodes: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+    """nodes at or below the roots, once for each, with the root's c_pre, c_post and further ``columns`` of it as they are."""
+    r = roots.select(F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"), F.col("post").alias("c_post"), *columns)
+    return joined(nodes, r, "descendant-or-self").drop("c_doc")
+
+
+def above(nodes: DataFrame, context: DataFrame) -> DataFrame:
+    """nodes at or above the context's nodes, once for each, with c_doc and c_pre."""
+    return joined(nodes, context.select(F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre")), "ancestor-or-self")
+
+
 def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column) -> DataFrame:
     """Nodes of the axis that pass the test, each with ``ctx``, the ``pre`` of the node it was reached from.
 
@@ -92,6 +103,6 @@ def attributes(context: DataFrame, name: str | None = None, namespace: str | Non
 def in_scope_namespaces(context: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, prefix, namespace): the declarations in scope of each context node, the nearest wins."""
     declared = nodes.filter("kind = 'element'").select("doc_id", "pre", "post", F.explode("attrs").alias("a")).filter("a.prefix = 'xmlns' or (a.name = 'xmlns' and a.prefix is null)")
-    declared = declared.select(F.col("doc_id").alias("d"), F.col("pre").alias("d_pre"), F.col("post").alias("d_post"), F.when(F.col("a.prefix").isNull(), "").otherwise(F.col("a.name")).alias("prefix"), F.col("a.value").alias("uri"))
-    reach = context.select("doc_id", "pre").join(declared, (F.col("doc_id") == F.col("d")) & (F.col("d_pre") <= F.col("pre")) & (F.col("d_post") >= F.col("pre")))
+    declared = declared.select("doc_id", "pre", "post", F.when(F.col("a.prefix").isNull(), "").otherwise(F.col("a.name")).alias("prefix"), F.col("a.value").alias("uri"))
+    reach = above(declared, context).select(F.col("c_doc").alias("doc_id"), F.col("c_pre").alias("pre"), "prefix", "uri", F.col("pre").alias("d_pre"))
     return reach.groupBy("doc_id", "pre", "prefix").agg(F.max_by("uri", "d_pre").alias("namespace")).filter("namespace <> ''")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.operators.axes import above
+
 
 def any_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """doc_ids where some value of a equals some value of b (rows: doc_id, value)."""
@@ -41,8 +43,7 @@ def by_id(tokens: DataFrame, nodes: DataFrame, attribute: str = "id") -> DataFra
 def language(context: DataFrame, nodes: DataFrame, code: str) -> DataFrame:
     """Context nodes in language ``code``: the nearest xml:lang at or above is it or begins with it and a hyphen."""
     lang = F.try_element_at(F.filter("attrs", lambda a: (a["name"] == "lang") & ((a["prefix"] == "xml") | (a["namespace"] == "http://www.w3.org/XML/1998/namespace"))), F.lit(1))["value"]
-    says = nodes.filter("kind = 'element'").select(F.col("doc_id").alias("l_doc"), F.col("pre").alias("l_pre"), F.col("post").alias("l_post"), lang.alias("l_lang")).filter("l_lang is not null")
-    on = (F.col("doc_id") == F.col("l_doc")) & (F.col("l_pre") <= F.col("pre")) & (F.col("l_post") >= F.col("pre"))
-    nearest = context.select("doc_id", "pre").join(says, on).groupBy("doc_id", "pre").agg(F.lower(F.max_by("l_lang", "l_pre")).alias("in_force"))
+    says = nodes.filter("kind = 'element'").select("doc_id", "pre", "post", lang.alias("l_lang")).filter("l_lang is not null")
+    nearest = above(says, context).groupBy(F.col("c_doc").alias("doc_id"), F.col("c_pre").alias("pre")).agg(F.lower(F.max_by("l_lang", "pre")).alias("in_force"))
     hit = nearest.filter((F.col("in_force") == code.lower()) | F.col("in_force").startswith(code.lower() + "-"))
     return context.join(hit.select("doc_id", "pre"), ["doc_id", "pre"], "left_semi")

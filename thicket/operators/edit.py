@@ -6,18 +6,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.schema import KEY
+from thicket.operators.axes import below
+from thicket.schema import KEY, MOST_PATH
 
 
 def _children(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows at or below the targets (a semi-join on intervals)."""
-    t = targets.select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("post").alias("t_post"))
-    return nodes.join(t, (F.col("doc_id") == F.col("t_doc")) & (F.col("pre") >= F.col("t_pre")) & (F.col("pre") <= F.col("t_post")), "left_semi")
+    """Keys of the rows at or below the targets."""
+    return below(nodes.select("doc_id", "pre", "post"), targets).select(*KEY)
 
 
 def remove(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Without the targets' subtrees."""
-    return renumber(nodes.join(_children(nodes, targets).select(*KEY), KEY, "left_anti"))
+    return renumber(nodes.join(_children(nodes, targets), KEY, "left_anti"))
 
 
 def set_attribute(nodes: DataFrame, targets: DataFrame, name: str, value: str | Column) -> DataFrame:
@@ -62,16 +62,14 @@ def _new(nodes: DataFrame, at: DataFrame, where: str, kind: str, name: str | Non
 
 def replace(nodes: DataFrame, targets: DataFrame, kind: str = "element", name: str | None = None, content: str | Column | None = None) -> DataFrame:
     """One new node in place of each target and what is below it."""
-    rest = nodes.join(_children(nodes, targets).select(*KEY), KEY, "left_anti").withColumn("pre", F.col("pre").cast("double"))
+    rest = nodes.join(_children(nodes, targets), KEY, "left_anti").withColumn("pre", F.col("pre").cast("double"))
     return renumber(rest.unionByName(_new(nodes, targets, "before", kind, name, content), allowMissingColumns=True))
 
 
 def clone(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """A copy of each target's subtree right after it."""
-    t = targets.select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("post").alias("t_post"))
-    below = nodes.join(t, (F.col("doc_id") == F.col("t_doc")) & (F.col("pre") >= F.col("t_pre")) & (F.col("pre") <= F.col("t_post")))
-    place = lambda p: F.col("t_post") + (p - F.col("t_pre") + 1) / (F.col("t_post") - F.col("t_pre") + 2)
-    copy = below.withColumn("pre", place(F.col("pre")))
+    place = lambda p: F.col("c_post") + (p - F.col("c_pre") + 1) / (F.col("c_post") - F.col("c_pre") + 2)
+    copy = below(nodes, targets).withColumn("pre", place(F.col("pre")))
     return renumber(nodes.withColumn("pre", F.col("pre").cast("double")).unionByName(copy.select(*nodes.columns)))
 
 
@@ -134,7 +132,9 @@ def _numbered(table: pa.Table) -> pa.Table:
             ord_[i] = children[p]
             if kinds[i] == "element":
                 elements[p] += 1
-                element[i], paths[i] = elements[p], f"{paths[p]}/{names[i]}"
+                element[i] = elements[p]
+                if paths[p] is not None and len(paths[p]) + len(names[i]) < MOST_PATH:
+                    paths[i] = f"{paths[p]}/{names[i]}"
         else:
             paths[i] = ""
         above.append(i)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.operators.axes import below
 from thicket.operators.edit import renumber
 from thicket.operators.selection import attr
 from thicket.storage import written
@@ -18,8 +19,10 @@ def catalog_entries(nodes: DataFrame) -> DataFrame:
     match = F.coalesce(attr("systemId"), attr("publicId"), attr("systemIdStartString"), attr("publicIdStartString"), attr("uriStartString"), attr("systemIdSuffix"), attr("uriSuffix"), attr("name"))
     target = F.coalesce(attr("catalog"), attr("rewritePrefix"), attr("uri"))
     kinds = sorted({k for t in TIERS.values() for k in t if k} | {"nextCatalog"})
-    over = Window.orderBy("doc_id", "pre")
-    return nodes.filter(F.col("kind") == "element").filter(F.col("name").isin(kinds)).select(F.row_number().over(over).alias("ord"), F.col("name").alias("kind"), match.alias("match"), target.alias("target"))
+    rows = nodes.filter(F.col("kind") == "element").filter(F.col("name").isin(kinds))
+    # A number by document, then node, without ordering all entries in one task.
+    order = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pre")
+    return rows.select(order.cast("decimal(38,0)").alias("ord"), F.col("name").alias("kind"), match.alias("match"), target.alias("target"))
 
 
 def chained(catalogs: DataFrame, start: str, max_depth: int = 50) -> DataFrame:
@@ -31,11 +34,12 @@ def chained(catalogs: DataFrame, start: str, max_depth: int = 50) -> DataFrame:
     its first turn; one that isn't there has no entries; chains over ``max_depth`` long are a
     ValueError.
     """
-    turns = catalogs.sparkSession.createDataFrame([([], start)], "turn array<int>, uri string")
+    number = catalogs.schema["ord"].dataType.simpleString()
+    turns = catalogs.sparkSession.createDataFrame([([], start)], f"turn array<{number}>, uri string")
     fresh = turns
     for _ in range(max_depth):
         step = fresh.join(catalogs.filter("kind = 'nextCatalog'").select("uri", "ord", F.col("target").alias("next")), "uri")
-        step = step.select(F.array_append("turn", F.col("ord").cast("int")).alias("turn"), F.col("next").alias("uri")).groupBy("uri").agg(F.min("turn").alias("turn")).select("turn", "uri")
+        step = step.select(F.array_append("turn", F.col("ord")).alias("turn"), F.col("next").alias("uri")).groupBy("uri").agg(F.min("turn").alias("turn")).select("turn", "uri")
         fresh = written(step.join(turns.select("uri"), "uri", "left_anti").select("turn", "uri"))
         if fresh.isEmpty():
             first = turns.groupBy("uri").agg(F.min("turn").alias("turn"))
@@ -106,7 +110,11 @@ def include(nodes: DataFrame, resources: DataFrame, resource_texts: DataFrame |
     still left after ``max_depth`` rounds stays as it is, and each such element is an error.
     """
     path = "via_"
-    current = nodes.withColumn(path, F.array().cast("array<string>"))
+    # Documents without inclusions take no part in the rounds; an included one can't add any to them.
+    of_include = (F.col("kind") == "element") & (F.col("name") == "include") & (F.col("namespace") == XI)
+    calling = nodes.filter(of_include).select("doc_id").distinct()
+    quiet = nodes.join(calling, "doc_id", "left_anti")
+    current = nodes.join(calling, "doc_id", "left_semi").withColumn(path, F.array().cast("array<string>"))
     errors = None
     for _ in range(max_depth):
         includes = current.filter((F.col("kind") == "element") & (F.col("name") == "include") & (F.col("namespace") == XI))
@@ -128,15 +136,15 @@ def include(nodes: DataFrame, resources: DataFrame, resource_texts: DataFrame |
             done = done.unionByName(texts.select("doc_id", "i_pre"))
         failed = calls.join(done, ["doc_id", "i_pre"], "left_anti")
         # A fallback's content moves up two levels in place of the include element.
-        inside = current.join(failed.select(F.col("doc_id").alias("f_doc"), "i_pre", "i_post"), (F.col("doc_id") == F.col("f_doc")) & (F.col("pre") > F.col("i_pre")) & (F.col("pre") <= F.col("i_post")))
+        inside = below(current, failed.select("doc_id", F.col("i_pre").alias("pre"), F.col("i_post").alias("post"), "i_pre"), "i_pre").filter(F.col("pre") > F.col("i_pre")).drop("c_pre", "c_post")
         fallback = inside.filter((F.col("name") == "fallback") & (F.col("namespace") == XI)).select(F.col("doc_id").alias("b_doc"), F.col("i_pre").alias("b_inc"), F.col("pre").alias("b_pre"), F.col("post").alias("b_post"))
         rescued = inside.join(fallback, (F.col("doc_id") == F.col("b_doc")) & (F.col("i_pre") == F.col("b_inc")) & (F.col("pre") > F.col("b_pre")) & (F.col("pre") <= F.col("b_post")))
         rescued = rescued.withColumn("depth", F.col("depth") - 2).withColumn("pre", F.col("pre").cast("double")).select(*current.columns)
         bad = failed.join(fallback.select(F.col("b_doc").alias("doc_id"), F.col("b_inc").alias("i_pre")), ["doc_id", "i_pre"], "left_anti")
         bad = bad.select("doc_id", "href", F.when(F.array_contains("i_via", F.col("href")), "circular inclusion").otherwise("resource not found").alias("message"))
         errors = bad if errors is None else errors.unionByName(bad)
-        gone = calls.select(F.col("doc_id").alias("g_doc"), "i_pre", "i_post")
-        rest = current.join(gone, (F.col("doc_id") == F.col("g_doc")) & (F.col("pre") >= F.col("i_pre")) & (F.col("pre") <= F.col("i_post")), "left_anti")
+        gone = below(current.select("doc_id", "pre", "post"), calls.select("doc_id", F.col("i_pre").alias("pre"), F.col("i_post").alias("post"))).select(F.col("doc_id").alias("g_doc"), F.col("pre").alias("g_pre"))
+        rest = current.join(gone, (F.col("doc_id") == F.col("g_doc")) & (F.col("pre") == F.col("g_pre")), "left_anti")
         merged = rest.withColumn("pre", F.col("pre").cast("double")).unionByName(new, allowMissingColumns=True).unionByName(rescued)
         current = written(renumber(merged))
         errors = written(errors)
@@ -145,4 +153,4 @@ def include(nodes: DataFrame, resources: DataFrame, resource_texts: DataFrame |
         deep = left.select("doc_id", F.coalesce(attr("href"), F.lit("")).alias("href"), F.lit(f"inclusions nested over {max_depth} deep").alias("message"))
         errors = deep if errors is None else errors.unionByName(deep)
     empty = nodes.select("doc_id", F.lit("").alias("href"), F.lit("").alias("message")).limit(0)
-    return current.drop(path), errors if errors is not None else empty
+    return quiet.unionByName(current.drop(path)), errors if errors is not None else empty

@@ -38,8 +38,8 @@ class Selection:
 
     def step(self, axis: str, name: str | None = None, kind: str | None = "element", namespace: str | None = None) -> Selection:
         test = node_test(name, kind, namespace)
-        if self.root and axis in ("child", "descendant"):  # all nodes but the root are below it: a filter
-            near = test & (F.col("depth") == 1) if axis == "child" else test & (F.col("depth") > 0)
+        if self.root and axis in ("child", "descendant", "descendant-or-self"):  # all other nodes are below the root: a filter
+            near = test & {"child": F.col("depth") == 1, "descendant": F.col("depth") > 0, "descendant-or-self": F.lit(True)}[axis]
             return Selection(self.table, self.table.filter(near).withColumn("ctx", F.lit(0)), False, "child")
         return self._with(step(self.nodes(), self.table, axis, test), axis)
 

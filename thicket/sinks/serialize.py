@@ -169,8 +169,9 @@ def _below(n: DataFrame, nodes: DataFrame, roots: DataFrame, exclusive: bool) ->
 
 def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Each root's subtree as a document of its own: doc_id stays, ``root`` names the root's ``pre``."""
-    r = roots.select(F.col("doc_id").alias("r_doc"), F.col("pre").alias("root"), F.col("post").alias("r_post"))
-    return nodes.join(r, (F.col("doc_id") == F.col("r_doc")) & (F.col("pre") >= F.col("root")) & (F.col("pre") <= F.col("r_post"))).drop("r_doc", "r_post")
+    from thicket.operators.axes import below
+
+    return below(nodes, roots).withColumnRenamed("c_pre", "root").drop("c_post")
 
 
 def subtree_xml(nodes: DataFrame, roots: DataFrame) -> DataFrame:

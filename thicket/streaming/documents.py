@@ -1,15 +1,14 @@
-"""Structured Streaming over documents: whole ones, ones in chunks, and windows over time."""
+"""Structured Streaming over documents: whole ones, ones in chunks (see ``push``), and windows over time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from thicket.sources.xml import ParseOptions, parse_xml
+from thicket.streaming.push import assemble_stream, push_events
+
+__all__ = ["assemble_stream", "interval_join", "push_events", "sessions", "stream_nodes", "windowed"]
 
 
 def stream_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: ParseOptions | None = None) -> DataFrame:
@@ -17,54 +16,6 @@ def stream_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return parse_xml(docs, id_col, text_col, options)
 
 
-def assemble_stream(chunks: DataFrame, timeout: str = "10 minutes", time_col: str = "ts") -> DataFrame:
-    """(doc_id, text, complete) of documents that arrive as (doc_id, seq, chunk, last, ts).
-
-    State holds a document's chunks until all up to the last have come; a document whose
-    last chunk is more than ``timeout`` behind the watermark is given out as it is,
-    complete = false, and its state goes, so state is bounded by what is under way.
-    """
-    seconds = int(pd.Timedelta(timeout).total_seconds())
-
-    def collect(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        have, last, newest = state.get if state.exists else ("", -1, 0)
-        parts = dict(_load(have))
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"doc_id": [key[0]], "text": ["".join(parts[k] for k in sorted(parts))], "complete": [False]})
-            return
-        for f in frames:
-            for seq, chunk, end, ts in zip(f["seq"], f["chunk"], f["last"], f[time_col], strict=True):
-                parts[int(seq)] = chunk
-                newest = max(newest, int(ts.timestamp()))
-                if end:
-                    last = int(seq)
-        if last >= 0 and len(parts) == last + 1:
-            state.remove()
-            yield pd.DataFrame({"doc_id": [key[0]], "text": ["".join(parts[k] for k in range(last + 1))], "complete": [True]})
-            return
-        state.update((_dump(parts), last, newest))
-        state.setTimeoutTimestamp(max(1000 * (newest + seconds), state.getCurrentWatermarkMs() + 1))
-
-    return (
-        chunks.withWatermark(time_col, timeout)
-        .groupBy("doc_id")
-        .applyInPandasWithState(collect, "doc_id long, text string, complete boolean", "parts string, last long, newest long", "append", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
-def _dump(parts: dict[int, str]) -> str:
-    import json
-
-    return json.dumps(sorted(parts.items()))
-
-
-def _load(raw: str):
-    import json
-
-    return json.loads(raw) if raw else []
-
-
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes", time_col: str = "ts", keys: tuple[str, ...] = (), **aggregates) -> DataFrame:
     """Aggregates by tumbling or sliding windows of event time, for streams and tables alike."""
     w = F.window(time_col, size, slide) if slide else F.window(time_col, size)

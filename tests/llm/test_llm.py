@@ -636,7 +636,7 @@ def test_license_headers_titles_notices_and_files(spark):
         "a4/x": ("MIT License\n\nCopyright", "MIT"), "a5/x": ("Apache License, Version 2.0, January 2004", "Apache-2.0"), "a6/x": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "GPL-3.0"),
         "a7/x": ("int x;\n// This work is licensed under the GNU\n// General Public License, version 3.\nint y;", "GPL-3.0"), "a8/x": ("code\n\n/*\n" + notice + "\n */\n\ncode " * 50, "Apache-2.0"),
         "a9/LICENSE": ("Copyright (c) 2020 Someone\n\n" + mit, "MIT"), "b1/LICENSE.txt": ("Copyright 2019, The Authors. All rights reserved.\n\n" + bsd.replace("\n", "\n\n"), "BSD-3-Clause"),
-        "b2/x": ("SPDX-License-Identifier: Zlib", None), "b3/x": ("this sentence has a license in it, and much else that no template holds", None), "b4/COPYING": ("nothing of the kind", None),
+        "b2/x": ("SPDX-License-Identifier: EPL-2.0", None), "b3/x": ("this sentence has a license in it, and much else that no template holds", None), "b4/COPYING": ("nothing of the kind", None),
     }
     got = {r.path: r.license for r in scan_licenses(spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string")).collect()}
     assert got == {p: want for p, (_, want) in cases.items()}
@@ -759,3 +759,22 @@ def test_pipeline_quality_stage(spark):
     got = {r.doc_id: tuple(r) for r in c.quality(spark, docs, sf).collect()}
     good = {r.doc_id for r in classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("score >= 0.7").select("doc_id").collect()}
     assert got == {r.doc_id: tuple(r) for r in docs.collect() if r.doc_id in good} and 0 < len(got) < docs.count()
+
+
+def test_neighbouring_licenses_are_not_taken_for_each_other(spark):
+    from thicket.llm.licenses import TEMPLATES
+
+    mine = {
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0",
+        TEMPLATES["BSD-2-Clause"][1]: "BSD-2-Clause", TEMPLATES["BSD-3-Clause"][2]: "BSD-3-Clause", TEMPLATES["BSD-3-Clause"][2].replace("1.", "*").replace("2.", "*").replace("3.", "*"): "BSD-3-Clause",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": None, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.": None,
+        "The contents of this file are subject to the Mozilla Public License Version 1.1.": "MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.": None, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": "LGPL-2.1", "GNU GENERAL PUBLIC LICENSE": None, "Licensed under the Apache License, Version 1.1.": None,
+        "Released under the MIT License.": "MIT", "Released under the zlib License.": "Zlib", "Released under the Boost License.": None, "SPDX-License-Identifier: EUPL-1.2": None,
+    }
+    rows = [(k, f"d{k}/LICENSE" if "Redistribution" in t else f"d{k}/x.py", t) for k, t in enumerate(mine)]
+    # Frequencies as of a corpus in which such lines are rare.
+    rows += [(1000 + k, f"n{k}/x.py", f"the license of item {k} applies here") for k in range(400)]
+    got = {r.id: r.license for r in scan_licenses(spark.createDataFrame(rows, "id int, path string, text string")).collect()}
+    assert [(t[:90], got[k]) for k, t in enumerate(mine)] == [(t[:90], v) for t, v in mine.items()]

@@ -193,13 +193,16 @@ def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op6_sql() -> str:
-    from thicket.llm.licenses import ANCHOR, PARTED, templates
+    from thicket.llm.licenses import ANCHOR, PARTED, known_terms, templates, vetoes
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(templates()))
+    listed = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]::VARCHAR[]"
+    veto = ", ".join(f"({k}, {listed(vetoes(text)[0])}, {listed(vetoes(text)[1])})" for k, (_, text) in enumerate(templates()))
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH tmpl(k, license, body) AS (VALUES {rows}),
+veto(vk, needed, barred) AS (VALUES {veto}),
 tt AS (SELECT tk, any_value(license) AS license, t, count(*) AS k FROM (SELECT k AS tk, license, unnest(regexp_extract_all({low.format("body")}, '[a-z0-9]+')) AS t FROM tmpl) GROUP BY tk, t),
 docs AS (
   SELECT doc_id, source || '/' || lang AS top, top || CASE WHEN strlen(coalesce(text, '')) % 3 > 0 THEN '/p' || (strlen(text) % 8) ELSE '' END AS dir, dir || '/' || doc_id AS path, {low.format("coalesce(text, '')")} AS low,
@@ -217,7 +220,7 @@ units AS (
 total AS (SELECT count(*) AS n FROM lines),
 df AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT doc_id, i, unnest(ts) AS t FROM lines) GROUP BY t),
 lt AS (SELECT doc_id, i, t, count(*) AS k FROM (SELECT doc_id, i, unnest(ts) AS t FROM units) GROUP BY ALL),
-known AS (SELECT DISTINCT t FROM tt),
+known AS (SELECT unnest({listed(known_terms())}) AS t),
 idf AS (SELECT known.t, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM known CROSS JOIN total LEFT JOIN df ON df.t = known.t),
 lw AS (SELECT doc_id, i, lt.t, k * coalesce(w, ln(1 + n) + 1) AS x FROM lt CROSS JOIN total LEFT JOIN idf ON idf.t = lt.t),
 ln_ AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM lw GROUP BY ALL),
@@ -226,7 +229,8 @@ tn AS (SELECT tk, sqrt(sum(y * y)) AS norm FROM tw GROUP BY ALL),
 c AS (
   SELECT d.doc_id, round(d.dot / (ln_.norm * tn.norm), 6) AS score, d.license
   FROM (SELECT doc_id, i, tk, license, sum(x * y) AS dot FROM lw JOIN tw ON lw.t = tw.t GROUP BY ALL) d
-  JOIN ln_ ON ln_.doc_id = d.doc_id AND ln_.i = d.i JOIN tn ON tn.tk = d.tk),
+  JOIN ln_ ON ln_.doc_id = d.doc_id AND ln_.i = d.i JOIN tn ON tn.tk = d.tk JOIN units u ON u.doc_id = d.doc_id AND u.i = d.i JOIN veto ON vk = d.tk
+  WHERE list_has_all(u.ts, needed) AND NOT list_has_any(u.ts, barred)),
 best AS (SELECT doc_id, score, license FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC) AS r FROM c) WHERE r = 1 AND score >= 0.8),
 spoken AS (
   SELECT dir, score, license FROM (

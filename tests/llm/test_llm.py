@@ -324,6 +324,33 @@ def test_bpe_is_the_library(spark, monkeypatch):
     assert encode_decode(df.limit(0), tokenizer_file("word_bpe_49k.json"), digests=True).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_bpe_all_code_points():
+    """Every code point of the planes that hold letters and marks, beside letters, marks and digits."""
+    from tokenizers import Tokenizer
+
+    from thicket.llm import word_bpe as module
+
+    library, bpe = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")), module.WordBpe(tokenizer_file("word_bpe_49k.json"))
+    points = [chr(i) for i in [*range(0x40000), *range(0xE0000, 0xE0200)] if not 0xD800 <= i < 0xE000]
+    texts = [" ".join(shape.format(c) for c in points[k : k + 2048]) for k in range(0, len(points), 2048) for shape in ("a{}b", "1{}\u0301", "\u00e9{}\u0323's")]
+    ours = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)]
+    assert ours == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_long_chunks_with_rare_characters(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from thicket.llm import word_bpe as module
+
+    monkeypatch.setattr(module, "LONG_CHUNK", 40)
+    library, bpe = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")), module.WordBpe(tokenizer_file("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    letters = [*"ab1'st.!e", "\u0301", "\u0323", "\u1df6", "\U0001f600", "\U000105d2", "\u0307", "\u4e2d", "\u00c5"]
+    texts = ["".join(rng.choice(letters, 300)) for _ in range(200)]
+    ours = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)]
+    assert ours == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/ b", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (5, "u", ""), (None, "u", "<p>é</p>"), (9, "u", "x" * 9_000_000), (9, "u", "x" * 9_000_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -29,6 +29,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Blanks of which str.split() and Unicode's White_Space differ.
 _ODD_BLANK = re.compile("[\x1c-\x1f]")
 _BLANK = re.compile("[ \n]")
+#: Places where one word ends and another begins, whatever stands around: before a digit, after a letter and before a mark.
+_BETWEEN_WORDS = re.compile(r"(?=[0-9])|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 #: Letters of what is remembered at most; of a chunk that is taken in parts; of a text that is cut at blanks.
 SHORT, LONG_CHUNK, LONG_TEXT = 64, 1 << 16, 1 << 20
 #: Bytes of words that are merged at once; a longer word is cut where nothing merges.
@@ -69,6 +71,7 @@ class WordBpe:
         self.final = [self.vocab[x + self.end] for x in letters]
         pattern = regex.compile(PATTERN)
         self.split, self.matches = pattern.findall, pattern.finditer
+        self._take_rare(path, regex)
         #: Bytes that stand side by side within some token; between all others nothing ever merges.
         self.joint = np.zeros((256, 256), bool)
         byte = {c: b for b, c in enumerate(letters)}
@@ -153,6 +156,48 @@ class WordBpe:
             return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # a final sigma is no other letter here
         return text.lower()
 
+    def _take_rare(self, path: str, regex) -> None:
+        """Characters for which the tokenizers library's Unicode tables may be others than Python's.
+
+        Those are all beyond the first plane, and those of it that no table, or not every
+        table, assigns, puts into the same class, lower-cases or orders alike.  Chunks that
+        hold one are normalised and split by the file's own normaliser and splitter.
+        """
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        self.normaliser = Tokenizer.from_file(path).normalizer
+        self.splitter = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
+        plane = [chr(i) for i in range(128, 0x10000) if not 0xD800 <= i < 0xE000]
+        rare = {c for c in plane if unicodedata.category(c) == "Cn"}
+        text = "".join(plane)
+        for kind in (r"\p{L}", r"\p{N}", r"\s"):
+            spans = pre_tokenizers.Split(Regex(f"{kind}+"), "removed", invert=True).pre_tokenize_str(text)
+            rare |= set("".join(x for x, _ in spans)) ^ set(regex.findall(kind, text))
+        letters = [c for c in plane if not c.isspace() and c not in rare]
+        marks = [c for c in letters if unicodedata.combining(c)]
+        probes = {unicodedata.combining(c): c for c in marks}.values()  # one mark of each combining class
+        samples = [(c, c) for c in letters] + [(c, f"a{x}") for c in marks for p in probes for x in (c + p, p + c)]
+        theirs = self.normaliser.normalize_str(" ".join(x for _, x in samples)).split(" ")
+        rare |= {c for (c, x), y in zip(samples, theirs, strict=True) if self._normal(x) != y}
+        self.rare = re.compile(f"[{''.join(map(re.escape, sorted(rare)))}\U00010000-\U0010ffff]").search
+
+    def _split(self, chunk: str) -> list[str]:
+        if chunk.isascii() or not self.rare(chunk):
+            return self.split(self._normal(chunk))
+        return [x for x, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(chunk))]
+
+    def _words_of(self, chunk: str):
+        """The words of a long chunk, one by one; rare characters are taken in parts that end between words."""
+        if chunk.isascii() or not self.rare(chunk):
+            yield from (m[0] for m in self.matches(self._normal(chunk)))
+            return
+        pos = 0
+        while pos < len(chunk):
+            cut = _BETWEEN_WORDS.search(chunk, pos + LONG_CHUNK) if len(chunk) - pos > LONG_CHUNK else None
+            end = cut.start() if cut else len(chunk)
+            yield from self._split(chunk[pos:end])
+            pos = end
+
     def _merged(self, words: list[str]) -> None:
         """Puts distinct new words into ``words``, about LONG_WORD bytes at a time."""
         raw = [w.encode() for w in words]
@@ -178,9 +223,9 @@ class WordBpe:
 
     def learn(self, chunks) -> list[tuple[dict, str]]:
         """Puts distinct new chunks of text without blanks into ``seen``; says what isn't to be kept."""
-        split, normal, words, seen = self.split, self._normal, self.words, self.seen
+        words, seen = self.words, self.seen
         new = list(chunks)
-        parts = [split(normal(x)) for x in new]
+        parts = [*map(self._split, new)]
         fresh = list({p for ps in parts for p in ps if p not in words})
         self._merged(fresh)
         for x, ps in zip(new, parts, strict=True):
@@ -201,9 +246,9 @@ class WordBpe:
                 del self.words[p]
             ps, size = [], 0
 
-        for m in self.matches(self._normal(chunk)):
-            ps.append(m[0])
-            size += len(m[0])
+        for word in self._words_of(chunk):
+            ps.append(word)
+            size += len(word)
             if size >= LONG_TEXT // 8:
                 flush()
         flush()

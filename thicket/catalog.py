@@ -18,9 +18,10 @@ from thicket.operators.axes import step
 from thicket.operators.selection import Selection, attr, string_value
 from thicket.plans import relational
 from thicket.sinks import serialize
-from thicket.sources import encoding
+from thicket.sources import declarations, encoding
 from thicket.sources.events import assemble, events
 from thicket.sources.html import parse_html
+from thicket.sources.reader import first_events
 from thicket.sources.xml import parse_xml
 from thicket.storage import written
 from thicket.streaming import documents as streaming
@@ -764,3 +765,46 @@ def relational_windows(spark, sf_dir):
 def relational_json(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
     return e.filter("k > 50")
+
+
+# Declarations, the pull reader, HTML 4
+
+_LAST_RETURNED = "SELECT doc_id, partkey FROM (SELECT l_orderkey AS doc_id, CAST(l_partkey AS VARCHAR) AS partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC) AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R') WHERE k = 1"
+
+
+@query(_LAST_RETURNED)
+def declared_ids(spark, sf_dir):
+    """id('R')/partkey, where the documents declare returnflag to be of type ID: the last of equal ids."""
+    subset = "<!DOCTYPE order [<!ATTLIST item returnflag ID #REQUIRED>]>"
+    docs = order_docs(spark, sf_dir).withColumn("text", F.concat(F.lit(subset), F.col("text")))
+    nodes = written(parse_xml(docs))
+    return paths.xpath(nodes, "id('R')/partkey").join(_text_children(nodes), ["doc_id", "pre"]).select("doc_id", "partkey")
+
+
+def _text_children(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("kind = 'text'").select("doc_id", F.col("parent").alias("pre"), F.col("content").alias("partkey"))
+
+
+@query(_PER_ORDER.format("count(l_orderkey) AS n_units, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n_returned"))
+def declared_defaults(spark, sf_dir):
+    """Declarations from elsewhere, one external subset a document: an attribute that items lack, and one that they have."""
+    nodes = order_nodes(spark, sf_dir)
+    dtds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("<!ATTLIST item unit CDATA 'piece' returnflag CDATA 'R'><!ATTLIST item unit CDATA 'none'>").alias("text"))
+    items = declarations.with_defaults(nodes, declarations.dtd_declarations(dtds)).filter("name = 'item'")
+    counts = items.groupBy("doc_id").agg(F.count_if(attr("unit") == "piece").alias("n_units"), F.count_if(attr("returnflag") == "R").alias("n_returned"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).join(counts, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_units", "n_returned")])
+
+
+@query("SELECT o_orderkey AS doc_id, unnest([0, 1, 2]) AS seq, unnest(['start_document', 'start_element', 'start_element']) AS event, unnest([NULL, 'order', 'customer']) AS name, unnest([NULL, CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)]) AS id FROM orders")
+def reader_first_events(spark, sf_dir):
+    """The first three events of each document; the rest of it isn't parsed."""
+    return first_events(order_docs(spark, sf_dir), 3).select("doc_id", "seq", "event", "name", attr("id").alias("id"))
+
+
+@query("""SELECT p_partkey AS doc_id, '<html><head><title>' || p_name || '</title></head><body><input disabled title=''the "' || p_name || '"''><a href="/parts/' || replace(p_name, ' ', '%20') || '" rel="&lt;part&gt;">&eacute;' || p_brand || '</a><p>1 &lt; 2</p></body></html>' AS text FROM part""")
+def html4_serialize(spark, sf_dir):
+    """Minimised attributes, quotes by need, blanks of URIs, named entities."""
+    name = F.col("p_name")
+    page = F.concat(F.lit("<html><head><title>"), name, F.lit("</title></head><body><input disabled=disabled title='the \""), name, F.lit("\"'><a href='/parts/"), name, F.lit("' rel='<part>'>é"), F.col("p_brand"), F.lit("</a><p>1 &lt; 2</p></body></html>"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return serialize.to_html4(parse_html(pages))

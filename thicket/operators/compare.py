@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.operators.axes import above
+from thicket.sources.declarations import identifiers
 
 
 def any_equal(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -27,14 +28,19 @@ def any_less(a: DataFrame, b: DataFrame, or_equal: bool = False) -> DataFrame:
     return low.join(high, "doc_id").filter("lo <= hi" if or_equal else "lo < hi").select("doc_id")
 
 
-def by_id(tokens: DataFrame, nodes: DataFrame, attribute: str = "id") -> DataFrame:
+def by_id(tokens: DataFrame, nodes: DataFrame, attribute: str | None = None) -> DataFrame:
     """Elements whose id is one of the white-space separated tokens of (doc_id, value): an equi-join.
 
-    Of several elements with one id in a document, the last counts.
+    Ids are attributes of this name; if none is given, those named id and those that a
+    document declares to be of type ID.  Of several elements with one id in a document, the
+    last counts.
     """
     from thicket.operators.selection import attr
 
-    ids = nodes.filter("kind = 'element'").withColumn("id_", attr(attribute)).filter("id_ is not null")
+    if attribute is None:
+        ids = identifiers(nodes).withColumnRenamed("id", "id_")
+    else:
+        ids = nodes.filter("kind = 'element'").withColumn("id_", attr(attribute)).filter("id_ is not null")
     last = ids.groupBy("doc_id", "id_").agg(F.max("pre").alias("pre"))
     wanted = tokens.select("doc_id", F.explode(F.split(F.trim("value"), r"\s+")).alias("id_")).filter("id_ <> ''").distinct()
     return nodes.join(last.join(wanted, ["doc_id", "id_"]).select("doc_id", "pre"), ["doc_id", "pre"], "left_semi")

@@ -24,6 +24,7 @@ from thicket.functions import numbers, strings
 from thicket.operators.axes import CONDITIONS, REVERSE, attributes, in_scope_namespaces, joined, node_test
 from thicket.operators.compare import language
 from thicket.operators.selection import attr, string_value
+from thicket.sources.declarations import identifiers
 
 Term = tuple
 
@@ -433,7 +434,7 @@ class Compiler:
         return Nodes(rows, a.carried, a.attrs or b.attrs, a.trees or b.trees, unique=False).distinct()
 
     def by_id(self, term: Term, at: Contexts) -> Nodes:
-        """Elements whose attribute id is one of the tokens; of several with one id in a document, the last."""
+        """Elements whose id, by name or by declared type, is one of the tokens; of several with one id in a document, the last."""
         if self.kind(term) == "nodes":
             found = self.nodes(term, at)
             tokens, carried = self.valued(found), found.carried
@@ -442,7 +443,7 @@ class Compiler:
             tokens = at.rows.withColumn("value", value).withColumn("o_pre", F.col("pre")).withColumn("o_idx", F.col("idx"))
         key = ["doc_id", "o_pre", "o_idx"] if carried else ["doc_id"]
         tokens = tokens.select(*key, F.explode(F.split(F.trim("value"), r"\s+")).alias("id_")).filter("id_ <> ''").distinct()
-        ids = self.table.filter("kind = 'element'").select("doc_id", "pre", attr("id").alias("id_")).filter("id_ is not null")
+        ids = identifiers(self.table).withColumnRenamed("id", "id_")
         last = ids.groupBy("doc_id", "id_").agg(F.max("pre").alias("pre"))
         hit = tokens.join(last, ["doc_id", "id_"]).select(*key, "pre")
         rows = self.table.join(hit, ["doc_id", "pre"]).select(*self.columns, *key[1:], F.lit(0).alias("c_pre"), F.lit(0).alias("c_idx"))

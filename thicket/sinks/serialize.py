@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import codepoint2name
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,22 +84,69 @@ def to_xml(nodes: DataFrame, declaration: bool = True, indent: str | None = None
     return _folded(rows, ["doc_id"])
 
 
-def to_html(nodes: DataFrame) -> DataFrame:
-    """(doc_id, text): documents as HTML: void elements without end tags, script and style raw."""
+_RAW = ("script", "style", "xmp", "iframe", "noembed", "noframes", "plaintext")
+#: Attributes of HTML 4 that hold URIs (fixed values).
+_URI_ATTRIBUTES = ("href", "src", "action", "background", "cite", "classid", "codebase", "data", "longdesc", "profile", "usemap")
+
+
+def _html(nodes: DataFrame, attrs: Column, text: Column) -> DataFrame:
     kind = F.col("kind")
-    raw = nodes.filter((F.col("kind") == "element") & F.col("name").isin("script", "style", "xmp", "iframe", "noembed", "noframes", "plaintext")).select("doc_id", F.col("pre").alias("parent"), F.lit(True).alias("raw_"))
-    n = nodes.join(raw, ["doc_id", "parent"], "left")
-    value = lambda v: _escape(v, (("&", "&amp;"), ("\xa0", "&nbsp;"), ('"', "&quot;")))
-    text = _escape(F.col("content"), (("&", "&amp;"), ("\xa0", "&nbsp;"), ("<", "&lt;"), (">", "&gt;")))
     opening = (
-        F.when(kind == "element", F.concat(F.lit("<"), F.col("name"), _attrs(F.col("attrs"), value), F.lit(">")))
+        F.when(kind == "element", F.concat(F.lit("<"), F.col("name"), attrs, F.lit(">")))
         .when(kind == "text", F.when(F.col("raw_"), F.col("content")).otherwise(text))
         .when(kind == "doctype", F.concat(F.lit("<!DOCTYPE "), F.coalesce("name", F.lit("")), F.when(F.length("content") > 0, F.concat(F.lit(" "), F.col("content"))).otherwise(""), F.lit(">")))
         .when(kind == "comment", F.concat(F.lit("<!--"), F.coalesce("content", F.lit("")), F.lit("-->")))
         .otherwise("")
     )
     closing = F.when((kind == "element") & ~F.col("name").isin(list(VOID)), F.concat(F.lit("</"), F.col("name"), F.lit(">"))).otherwise("")
-    return _folded(n.withColumn("opening", opening).withColumn("closing", closing), ["doc_id"])
+    return _folded(nodes.withColumn("opening", opening).withColumn("closing", closing), ["doc_id"])
+
+
+def _with_raw(nodes: DataFrame) -> DataFrame:
+    raw = nodes.filter((F.col("kind") == "element") & F.col("name").isin(*_RAW)).select("doc_id", F.col("pre").alias("parent"), F.lit(True).alias("raw_"))
+    return nodes.join(raw, ["doc_id", "parent"], "left")
+
+
+def to_html(nodes: DataFrame) -> DataFrame:
+    """(doc_id, text): documents as HTML: void elements without end tags, script and style raw."""
+    value = lambda v: _escape(v, (("&", "&amp;"), ("\xa0", "&nbsp;"), ('"', "&quot;")))
+    text = _escape(F.col("content"), (("&", "&amp;"), ("\xa0", "&nbsp;"), ("<", "&lt;"), (">", "&gt;")))
+    return _html(_with_raw(nodes), _attrs(F.col("attrs"), value), text)
+
+
+def _named_entities(s: Column) -> Column:
+    """Characters beyond ASCII as the entities that HTML 4 names; those without a name stay."""
+    names = F.create_map(*[F.lit(x) for code, name in sorted(codepoint2name.items()) if code > 127 for x in (chr(code), f"&{name};")])
+    return F.when(s.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")).otherwise(s)
+
+
+def to_html4(nodes: DataFrame) -> DataFrame:
+    """(doc_id, text): documents by the habits of HTML 4.
+
+    An attribute whose value is its own name is written as the name alone; a value with
+    double quotes but no single ones stands in single quotes; blanks of URI attributes become
+    %20; in documents that don't declare UTF-8 in a meta element, characters that have a named
+    entity are written as it.  No line breaks are added.
+    """
+    content = lambda name: F.lower(F.coalesce(F.try_element_at(F.filter("attrs", lambda a: F.lower(a["name"]) == name), F.lit(1))["value"], F.lit("")))
+    meta = nodes.filter((F.col("kind") == "element") & (F.lower("name") == "meta"))
+    says = meta.filter((F.trim(content("charset")) == "utf-8") | ((content("http-equiv") == "content-type") & content("content").rlike(r"charset\s*=\s*[\"']?utf-8")))
+    n = _with_raw(nodes).join(says.select("doc_id", F.lit(True).alias("utf8_")).distinct(), "doc_id", "left")
+    coded = lambda s: F.when(F.col("utf8_"), s).otherwise(_named_entities(s))
+    plain = lambda s: _escape(s, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")))
+    doubled = lambda s: F.replace(plain(s), F.lit('"'), F.lit("&quot;"))
+
+    def one(a: Column) -> Column:
+        v, name = a["value"], a["name"]
+        single = v.contains('"') & ~v.contains("'")
+        uri = F.lower(name).isin(*_URI_ATTRIBUTES)
+        # The characters of every value are coded in one place, so that the map of names occurs once.
+        inner = coded(F.when(single, plain(v)).when(uri, F.replace(doubled(v), F.lit(" "), F.lit("%20"))).otherwise(doubled(v)))
+        quote = F.when(single, "'").otherwise('"')
+        return F.concat(F.lit(" "), _qname(a["prefix"], name), F.when(v == name, "").otherwise(F.concat(F.lit("="), quote, inner, quote)))
+
+    attrs = F.array_join(F.transform(F.coalesce("attrs", F.array().cast(nodes.schema["attrs"].dataType)), one), "")
+    return _html(n, attrs, coded(plain(F.col("content"))))
 
 
 def canonical(nodes: DataFrame, comments: bool = False, exclusive: bool = False, inclusive_prefixes: tuple[str, ...] = (), roots: DataFrame | None = None) -> DataFrame:

@@ -22,10 +22,16 @@ def text(value: Column) -> Column:
     return escape_text(value.cast("string"))
 
 
-def orders(orders_table: DataFrame, lineitem: DataFrame, customer: DataFrame) -> DataFrame:
-    """(doc_id, text): one document per order, its items in line order, then by ITEM_ORDER."""
+def orders(orders_table: DataFrame, lineitem: DataFrame, customer: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, text): one document per order, its items in line order, then by ITEM_ORDER.
+
+    Customers meet the orders' rows, not their texts, which are not shuffled once they are
+    made.  ``partitions`` is the number of those that documents are dealt into by doc_id.
+    """
+    dealt = (lambda t, key: t) if partitions is None else lambda t, key: t.repartition(partitions, key)
     item = element("item", element("partkey", text(F.col("l_partkey"))), element("qty", text(F.col("l_quantity"))), element("price", text(F.col("l_extendedprice"))), element("discount", text(F.col("l_discount"))), n=F.col("l_linenumber"), returnflag=F.col("l_returnflag"))
-    items = lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ITEM_ORDER], item.alias("x")))), lambda s: s["x"]), "").alias("items"))
-    o = orders_table.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    items = dealt(lineitem.select("l_orderkey", *ITEM_ORDER), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ITEM_ORDER], item.alias("x")))), lambda s: s["x"]), "").alias("items"))
+    o = orders_table.join(customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "c_name")
+    o = dealt(o, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     who = element("customer", element("name", text(F.coalesce("c_name", F.lit("")))), id=F.col("o_custkey"))
     return o.select(F.col("o_orderkey").alias("doc_id"), element("order", who, F.coalesce("items", F.lit("")), id=F.col("o_orderkey"), status=F.col("o_orderstatus"), priority=F.col("o_orderpriority")).alias("text"))

@@ -218,17 +218,17 @@ class _Origin(Selection):
 def string_value(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows with ``value``: the text below an element or document, else the node's own content.
 
-    An element with one node below it takes its text in an equi-join; others meet their text
+    A node with one text below it takes it in an equi-join; elements with more meet their text
     nodes by bins of numbers with an interval (see ``axes.joined``), and the text is put
-    together in document order by one aggregation.
+    together in document order by one aggregation.  All joins hold doc_id, so those of a
+    bucketed table shuffle nothing.
     """
     texts = table.filter("kind in ('text', 'cdata')").select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("content").alias("t_text"))
-    inner = rows.filter("kind in ('element', 'document') and post > pre").select("doc_id", "pre", "post").distinct()
-    one = inner.filter("post = pre + 1").join(texts, (F.col("doc_id") == F.col("t_doc")) & (F.col("pre") + 1 == F.col("t_pre"))).select("doc_id", "pre", F.col("t_text").alias("below"))
-    many = inner.filter("post > pre + 1").withColumn("bin_", F.explode(F.sequence(F.floor(F.col("pre") / BIN), F.floor(F.col("post") / BIN))))
+    inner = F.col("kind").isin("element", "document")
+    many = rows.filter(inner & (F.col("post") > F.col("pre") + 1)).select("doc_id", "pre", "post").distinct().withColumn("bin_", F.explode(F.sequence(F.floor(F.col("pre") / BIN), F.floor(F.col("post") / BIN))))
     on = (F.col("doc_id") == F.col("t_doc")) & (F.col("bin_") == F.col("t_bin_")) & (F.col("t_pre") > F.col("pre")) & (F.col("t_pre") <= F.col("post"))
-    found = many.join(texts.withColumn("t_bin_", F.floor(F.col("t_pre") / BIN)), on).groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_pre", "t_text"))), lambda x: x["t_text"]), "").alias("below"))
-    found = one.union(found)
-    out = rows.join(found, ["doc_id", "pre"], "left")
-    value = F.when(F.col("kind").isin("element", "document"), F.coalesce("below", F.lit(""))).otherwise(F.coalesce("content", F.lit("")))
+    found = many.join(texts.withColumn("t_bin_", F.floor(F.col("t_pre") / BIN)), on).groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_pre", "t_text"))), lambda x: x["t_text"]), "").alias("below_"))
+    only = F.when(inner & (F.col("post") == F.col("pre") + 1), F.col("pre") + 1)
+    out = rows.join(found, ["doc_id", "pre"], "left").withColumn("only_", only).join(texts, (F.col("doc_id") == F.col("t_doc")) & (F.col("only_") == F.col("t_pre")), "left")
+    value = F.when(inner, F.coalesce("t_text", "below_", F.lit(""))).otherwise(F.coalesce("content", F.lit("")))
     return out.select(*[F.col(c) for c in rows.columns], value.alias("value"))

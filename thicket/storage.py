@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,25 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/thicket-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(spark: SparkSession, rows: int, most: int = 16384) -> int:
+    """Into how many buckets to deal so many documents: of at most ``most`` each, and some for every core if there are enough."""
+    return max(1, ceil(rows / most), min(ceil(rows / 1024), 3 * spark.sparkContext.defaultParallelism))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df as a table of buckets by ``key`` in the shared folder, read again.
+
+    Joins and groups by the key, alone or with others, find their rows in one bucket: nothing of
+    the table is shuffled for them.  Rows that are dealt into as many partitions by the key
+    already (``repartition(buckets, key)``) make one file a bucket.  The session is told that
+    joins by more keys than the buckets' need no other partitioning, and to go by counts of rows:
+    files of nodes are so small beside their rows that a join would send millions to the driver.
+    """
+    spark, name = df.sparkSession, f"thicket_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.cbo.planStats.enabled", "true")
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+    return spark.table(name)

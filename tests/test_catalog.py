@@ -23,7 +23,7 @@ def test_no_document_is_left_out(spark, name):
     assert compare(spark, name) == sorted(r[0] for r in catalog.table(spark, SF, of).select(key).collect())
 
 
-@pytest.mark.parametrize("name", ["canonical_digest", "functions_on_numbers", "function_string_join", "path_attribute_nodes"])
+@pytest.mark.parametrize("name", ["canonical_digest", "edit_documents", "functions_on_numbers", "function_string_join", "path_attribute_nodes"])
 def test_nodes_of_documents_are_not_shuffled(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "Exchange hashpartitioning" not in plan

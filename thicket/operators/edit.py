@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.operators.axes import below
 from thicket.schema import KEY, MOST_PATH
+from thicket.sources.tree import ordinals, spans
 
 
 def _children(nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -84,9 +87,11 @@ def renumber(nodes: DataFrame) -> DataFrame:
     """All numbers and paths from the order of ``pre`` (whole or not) and ``depth``, document by document.
 
     Documents stream through a task one behind another, so it holds one of them and a batch.
+    The window puts them so, and shuffles nothing where documents lie together already.
     """
     kinds = ", ".join(f"{f.name} {NUMBERS.get(f.name) or f.dataType.simpleString()}" for f in nodes.schema.fields)
-    return nodes.repartition("doc_id").sortWithinPartitions("doc_id", "pre").mapInArrow(_streamed, kinds)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
+    return nodes.withColumn("pre", place).mapInArrow(_streamed, kinds)
 
 
 def _streamed(batches):
@@ -114,35 +119,60 @@ NUMBERS = dict.fromkeys(("pre", "post", "parent", "depth", "ord", "elem_ord", "e
 
 def _numbered(table: pa.Table) -> pa.Table:
     """The numbers of whole documents, one behind another, in the order of their rows."""
-    docs, depths, kinds, names = (table.column(c).to_pylist() for c in ("doc_id", "depth", "kind", "name"))
-    n, base, first = len(depths), 0, [0] * len(depths)
-    post, parent, ord_, element, paths = [0] * n, [None] * n, [1] * n, [None] * n, [None] * n
-    children, elements, above = [0] * n, [0] * n, []
-    for i, d in enumerate(depths):
-        if i and docs[i] != docs[i - 1]:
-            for k in above:
-                post[k] = i - 1 - base
-            above, base = [], i
-        first[i] = base
-        while above and depths[above[-1]] >= d:
-            post[above.pop()] = i - 1 - base
-        if above:
-            p = parent[i] = above[-1]
-            children[p] += 1
-            ord_[i] = children[p]
-            if kinds[i] == "element":
-                elements[p] += 1
-                element[i] = elements[p]
-                if paths[p] is not None and len(paths[p]) + len(names[i]) < MOST_PATH:
-                    paths[i] = f"{paths[p]}/{names[i]}"
-        else:
-            paths[i] = ""
-        above.append(i)
-    for i in above:
-        post[i] = n - 1 - base
-    back = [None if e is None else elements[parent[i]] - e + 1 for i, e in enumerate(element)]
-    parent = [None if p is None else p - b for p, b in zip(parent, first, strict=True)]
-    new = {"pre": [i - b for i, b in enumerate(first)], "post": post, "parent": parent, "ord": ord_, "elem_ord": element, "elem_ord_last": back}
-    for c, values in new.items():
-        table = table.set_column(table.schema.get_field_index(c), c, pa.array(values, pa.int32()))
-    return table.set_column(table.schema.get_field_index("path"), "path", pa.array(paths, pa.string()))
+    n, depth = table.num_rows, table.column("depth").to_numpy().astype(np.int64)
+    docs = _codes(table.column("doc_id"))[0]
+    new_doc = np.append(True, docs[1:] != docs[:-1])
+    starts = np.flatnonzero(new_doc)
+    if np.any(depth[starts]) or np.any((np.diff(depth) > 1) & ~new_doc[1:]):  # a level is left out
+        depth = _closed_up(depth, new_doc)
+    parent, end = spans(depth)
+    first = np.repeat(starts, np.diff(np.append(starts, n)))
+    element = pc.equal(table.column("kind"), "element").to_numpy(zero_copy_only=False) & (parent >= 0)
+    numbered, inner = np.flatnonzero(element), np.flatnonzero(parent >= 0)
+    order, forth, back = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    order[inner] = ordinals(parent, inner)[0]
+    forth[numbered], back[numbered] = ordinals(parent, numbered)
+    new = {"pre": (np.arange(n) - first, None), "post": (end - first, None), "parent": (parent - first, parent < 0), "ord": (order, None), "elem_ord": (forth, ~element), "elem_ord_last": (back, ~element)}
+    for c, (values, absent) in new.items():
+        table = table.set_column(table.schema.get_field_index(c), c, pa.array(values.astype(np.int32), mask=absent))
+    return table.set_column(table.schema.get_field_index("path"), "path", _paths(table.column("name"), depth, parent, element))
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """The values as numbers (null: -1) of a list of them."""
+    coded = column.combine_chunks().dictionary_encode()
+    return pc.fill_null(coded.indices, -1).to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _closed_up(depth: np.ndarray, new_doc: np.ndarray) -> np.ndarray:
+    """Depths as numbers of the nodes above, where levels are left out."""
+    out, above = [], []
+    for d, new in zip(depth.tolist(), new_doc.tolist(), strict=True):
+        if new:
+            above = []
+        while above and above[-1] >= d:
+            above.pop()
+        out.append(len(above))
+        above.append(d)
+    return np.array(out, np.int64)
+
+
+def _paths(names: pa.ChunkedArray, depth: np.ndarray, parent: np.ndarray, element: np.ndarray) -> pa.Array:
+    """Element paths, level by level: each pair of a path and a name below it is put together once."""
+    name, known = _codes(names)
+    spot, paths, many = np.where(parent < 0, 0, -1), [""], max(1, len(known))
+    order = np.argsort(depth, kind="stable")
+    level = np.searchsorted(depth[order], np.arange(int(depth.max()) + 2))
+    for d in range(1, len(level) - 1):
+        here = order[level[d] : level[d + 1]]
+        here = here[element[here]]
+        here = here[spot[parent[here]] >= 0]
+        pairs, which = np.unique(spot[parent[here]] * many + name[here], return_inverse=True)
+        made = np.full(len(pairs), -1, np.int64)
+        for k, pair in enumerate(pairs.tolist()):
+            base, last = paths[pair // many], known[pair % many]
+            if len(base) + len(last) < MOST_PATH:
+                made[k] = len(paths)
+                paths.append(f"{base}/{last}")
+        spot[here] = made[which]
+    return pa.DictionaryArray.from_arrays(pa.array(spot.astype(np.int32), mask=spot < 0), pa.array(paths, pa.string())).cast(pa.string())

@@ -86,7 +86,25 @@ class Nodes:
         self.documents[mark[2]] = (first, doc_id, error)
 
 
-def _ordinals(parent: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's parent (-1: none) and the last node below it, by rows, where no depth is left out on the way down."""
+    n = len(depth)
+    parent, end = np.full(n, -1, np.int64), np.empty(n, np.int64)
+    order = np.argsort(depth, kind="stable")
+    level = np.searchsorted(depth[order], np.arange((int(depth.max()) if n else -1) + 2))
+    closed = np.zeros(0, np.int64)  # nodes that end what is open at this depth
+    for d in range(len(level) - 1):
+        here = order[level[d] : level[d + 1]]
+        if d:
+            above = order[level[d - 1] : level[d]]
+            parent[here] = above[np.searchsorted(above, here) - 1]
+        closed = here if not d else np.sort(np.concatenate([closed, here]), kind="stable")
+        after = np.append(closed, n)
+        end[here] = after[np.searchsorted(closed, here, "right")] - 1
+    return parent, end
+
+
+def ordinals(parent: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of each row among those of its parent, from either end."""
     order = np.argsort(parent[rows], kind="stable")
     p = parent[rows][order]
@@ -114,18 +132,7 @@ def record_batch(nodes: Nodes, columns: list[str], paths: frozenset[str] | None)
     starts = np.array([d[0] for d in nodes.documents], np.int64)
     size = np.diff(np.append(starts, n))
     pre = np.arange(n) - np.repeat(starts, size)
-    parent, end = np.full(n, -1, np.int64), np.empty(n, np.int64)
-    order = np.argsort(depth, kind="stable")
-    level = np.searchsorted(depth[order], np.arange((int(depth.max()) if n else -1) + 2))
-    closed = np.zeros(0, np.int64)  # nodes that end what is open at this depth
-    for d in range(len(level) - 1):
-        here = order[level[d] : level[d + 1]]
-        if d:
-            above = order[level[d - 1] : level[d]]
-            parent[here] = above[np.searchsorted(above, here) - 1]
-        closed = here if not d else np.sort(np.concatenate([closed, here]), kind="stable")
-        after = np.append(closed, n)
-        end[here] = after[np.searchsorted(closed, here, "right")] - 1
+    parent, end = spans(depth)
     element = np.flatnonzero(kind == ELEMENT)
     keep = None
     spot = np.array(nodes.spot, np.int64)
@@ -154,11 +161,11 @@ def record_batch(nodes: Nodes, columns: list[str], paths: frozenset[str] | None)
         if name == "ord":
             out = np.ones(n, np.int64)
             inner = np.flatnonzero(parent >= 0)
-            out[inner] = _ordinals(parent, inner)[0]
+            out[inner] = ordinals(parent, inner)[0]
             return ints(out)
         if name in ("elem_ord", "elem_ord_last"):
             out, absent = np.zeros(n, np.int64), kind != ELEMENT
-            out[element] = _ordinals(parent, element)[name != "elem_ord"]
+            out[element] = ordinals(parent, element)[name != "elem_ord"]
             return ints(out, absent)
         if name == "kind":
             return _strings(list(KINDS), taken(kind))

@@ -27,3 +27,11 @@ def test_no_document_is_left_out(spark, name):
 def test_nodes_of_documents_are_not_shuffled(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_included_resources_are_not_broadcast_by_the_size_of_their_files(spark):
+    from thicket.storage import bucketed
+
+    nodes = bucketed(spark.range(300000).selectExpr("id % 2 AS doc_id", "cast(id AS int) AS pre", "'x' AS content").repartition(2, "doc_id"), "doc_id", 2)
+    size = int(str(nodes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size > 300000 * 12

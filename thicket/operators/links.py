@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from thicket.operators.axes import below
 from thicket.operators.edit import renumber
 from thicket.operators.selection import attr
-from thicket.storage import written
+from thicket.storage import bucketed, dealt, written
 
 #: Kinds of catalog entries, by how they match; the order is their tier.
 TIERS = {"system": ("system", "rewriteSystem", "systemSuffix", "delegateSystem"), "public": ("public", None, None, "delegatePublic"), "uri": ("uri", "rewriteURI", "uriSuffix", "delegateURI")}
@@ -114,6 +114,7 @@ def include(nodes: DataFrame, resources: DataFrame, resource_texts: DataFrame |
     of_include = (F.col("kind") == "element") & (F.col("name") == "include") & (F.col("namespace") == XI)
     calling = nodes.filter(of_include).select("doc_id").distinct()
     quiet = nodes.join(calling, "doc_id", "left_anti")
+    buckets = dealt(nodes.sparkSession, calling.count())
     current = nodes.join(calling, "doc_id", "left_semi").withColumn(path, F.array().cast("array<string>"))
     errors = None
     for _ in range(max_depth):
@@ -146,7 +147,7 @@ def include(nodes: DataFrame, resources: DataFrame, resource_texts: DataFrame |
         gone = below(current.select("doc_id", "pre", "post"), calls.select("doc_id", F.col("i_pre").alias("pre"), F.col("i_post").alias("post"))).select(F.col("doc_id").alias("g_doc"), F.col("pre").alias("g_pre"))
         rest = current.join(gone, (F.col("doc_id") == F.col("g_doc")) & (F.col("pre") == F.col("g_pre")), "left_anti")
         merged = rest.withColumn("pre", F.col("pre").cast("double")).unionByName(new, allowMissingColumns=True).unionByName(rescued)
-        current = written(renumber(merged))
+        current = bucketed(renumber(merged.repartition(buckets, "doc_id")), "doc_id", buckets)
         errors = written(errors)
     else:
         left = current.filter((F.col("kind") == "element") & (F.col("name") == "include") & (F.col("namespace") == XI))

@@ -35,3 +35,20 @@ def test_included_resources_are_not_broadcast_by_the_size_of_their_files(spark):
     nodes = bucketed(spark.range(300000).selectExpr("id % 2 AS doc_id", "cast(id AS int) AS pre", "'x' AS content").repartition(2, "doc_id"), "doc_id", 2)
     size = int(str(nodes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert size > 300000 * 12
+
+
+def test_levels_of_a_grammar_are_not_shuffled(spark, monkeypatch):
+    from thicket.operators import grammar, schemas
+    from thicket.storage import bucketed
+
+    plans = []
+
+    def kept(df, *how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return bucketed(df, *how)
+
+    monkeypatch.setattr(grammar, "bucketed", kept)
+    nodes = catalog.order_nodes(spark, SF)
+    types = grammar.element_types(nodes, schemas.relax_ng(catalog.ORDER_RNG), catalog.order_buckets(spark, SF))
+    assert len(plans) == 4 and not any("Exchange hashpartitioning" in p for p in plans)
+    assert types.count() == nodes.filter("kind = 'element'").count()

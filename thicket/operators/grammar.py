@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.operators.content import EMPTY, Model, automaton
-from thicket.storage import written
+from thicket.storage import bucketed, written
 
 Test = Callable[[Column], Column]
 #: Levels of elements that a document may have.
@@ -111,12 +111,14 @@ def _holding(number: int):
     return lambda k: F.array_contains(k, number)
 
 
-def element_types(nodes: DataFrame, grammar: Grammar) -> DataFrame:
+def element_types(nodes: DataFrame, grammar: Grammar, buckets: int | None = None) -> DataFrame:
     """(doc_id, pre, depth, name, able, types, clear) of all elements: the types that all but the
     children allow, those that the children allow too, and whether every child has a type.
 
-    One written table a level, as each level needs the next deeper one alone.
+    One written table a level, as each level needs the next deeper one alone.  ``buckets`` is the
+    number of those by doc_id that ``nodes`` lie in: the levels then do too, and shuffle nothing.
     """
+    keep = written if buckets is None else lambda rows: bucketed(rows, "doc_id", buckets)
     keys = list(grammar.types)
     number = {k: i for i, k in enumerate(keys)}
     texts = nodes.filter("kind in ('text', 'cdata')").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]), "").alias("text"))
@@ -128,7 +130,7 @@ def element_types(nodes: DataFrame, grammar: Grammar) -> DataFrame:
         able = F.when(F.col("name") == name, mine) if able is None else able.when(F.col("name") == name, mine)
     nothing = F.array().cast("array<int>")
     rows = rows.withColumn("able", F.array_compact(nothing if able is None else able.otherwise(nothing)))
-    rows = written(rows.select("doc_id", "pre", "parent", "depth", "ord", "name", "able"))
+    rows = keep(rows.select("doc_id", "pre", "parent", "depth", "ord", "name", "able"))
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     if deepest > MOST_LEVELS:
         raise ValueError(f"elements lie {deepest} deep; {MOST_LEVELS} levels are taken")
@@ -149,7 +151,7 @@ def element_types(nodes: DataFrame, grammar: Grammar) -> DataFrame:
             kids = below.groupBy(F.col("doc_id").alias("k_doc"), F.col("parent").alias("k_pre")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "types"))), lambda x: x["types"]).alias("kids"))
             here = here.join(kids, (F.col("doc_id") == F.col("k_doc")) & (F.col("pre") == F.col("k_pre")), "left").withColumn("kids", F.coalesce("kids", F.array().cast("array<array<int>>")))
         here = here.withColumn("types", F.filter("able", fitting)).withColumn("clear", F.forall("kids", lambda k: F.size(k) > 0))
-        below = written(here.select("doc_id", "pre", "parent", "depth", "ord", "name", "able", "types", "clear"))
+        below = keep(here.select("doc_id", "pre", "parent", "depth", "ord", "name", "able", "types", "clear"))
         levels.append(below)
     out = levels[0] if levels else rows.withColumn("types", F.col("able")).withColumn("clear", F.lit(True))
     for x in levels[1:]:
@@ -157,7 +159,7 @@ def element_types(nodes: DataFrame, grammar: Grammar) -> DataFrame:
     return out.select("doc_id", "pre", "depth", "name", "able", "types", "clear")
 
 
-def check_grammar(nodes: DataFrame, grammar: Grammar) -> DataFrame:
+def check_grammar(nodes: DataFrame, grammar: Grammar, buckets: int | None = None) -> DataFrame:
     """(doc_id, pre, rule, message) of every element that has no type while all its children have one, and of roots of a wrong type.
 
     rule is "undeclared-element" for a name that no type has, "attributes-or-text" where no
@@ -166,7 +168,7 @@ def check_grammar(nodes: DataFrame, grammar: Grammar) -> DataFrame:
     """
     number = {k: i for i, k in enumerate(grammar.types)}
     names = list({t.name for t in grammar.types.values()}) or [""]
-    found = element_types(nodes, grammar)
+    found = element_types(nodes, grammar, buckets)
     known = F.col("name").isin(names)
     rule = F.when(~known, "undeclared-element").when(F.size("able") == 0, "attributes-or-text").otherwise("content")
     start = F.array(*[F.lit(number[k]) for k in grammar.start]).cast("array<int>")

@@ -61,3 +61,8 @@ def test_values_of_pages_and_orders_are_those_of_the_sql(spark, tmp_path):
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     for name in ("html_heading_text", "pages_title_and_links"):
         assert [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == c.execute(catalog.ORACLES[name]).fetchall()
+
+
+@pytest.mark.parametrize("name", ["predicate_having_and_without", "functions_on_numbers", "axis_parent", "function_string_join"])
+def test_string_values_take_no_joins(spark, name):
+    assert "t_pre" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

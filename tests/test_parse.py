@@ -220,3 +220,25 @@ def test_references_without_an_end_are_text_where_options_say_so(spark):
 
     assert shown(ParseOptions(ended_references=True)) == ["a&amp", "1&amp2", " &lt ", "b & c&amp d &nope; &#38 e&&copy"]
     assert shown(None) == ["a&", "1&amp2", " &lt ", "b & c& d &nope; & e&©"]
+
+
+def test_string_values_of_the_parser_are_those_of_joins(spark):
+    from thicket.operators.edit import remove
+    from thicket.operators.selection import string_value, valued
+    from thicket.schema import ARROW, VALUE
+    from thicket.sources.xml import parse_xml
+
+    r = random.Random(5)
+    texts = [random_document(r) for _ in range(40)] + ["<a>x<![CDATA[<y>]]><b/>&amp;<!--c-->z</a>", "<broken>", "<a/>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, nodes = parse_xml(docs), valued(parse_xml(docs, columns=[*ARROW.names, VALUE]))
+    assert VALUE in nodes.columns and VALUE not in plain.columns
+    values = lambda t: sorted(tuple(x) for x in string_value(t, t).select("doc_id", "pre", "value").collect())
+    assert values(nodes) == values(plain)
+    assert "Join" not in string_value(nodes, nodes)._jdf.queryExecution().executedPlan().toString()
+    assert VALUE not in remove(nodes, nodes.filter("name = 'b'")).columns
+    # One over the bound: the table goes without the column, and joins give the values.
+    long = spark.createDataFrame([(0, f"<a><b>{'x' * 5000}</b><c>y</c></a>")], "doc_id long, text string")
+    nodes = valued(parse_xml(long, columns=[*ARROW.names, VALUE]))
+    assert VALUE not in nodes.columns
+    assert [len(x[2]) for x in values(nodes)] == [5001, 5001, 5000, 5000, 1, 1]

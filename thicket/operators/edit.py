@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.operators.axes import below
-from thicket.schema import KEY, MOST_PATH
+from thicket.schema import KEY, MOST_PATH, VALUE
 from thicket.sources.tree import ordinals, spans
 
 
@@ -89,6 +89,7 @@ def renumber(nodes: DataFrame) -> DataFrame:
     Documents stream through a task one behind another, so it holds one of them and a batch.
     The window puts them so, and shuffles nothing where documents lie together already.
     """
+    nodes = nodes.drop(VALUE)  # those of before the edit
     kinds = ", ".join(f"{f.name} {NUMBERS.get(f.name) or f.dataType.simpleString()}" for f in nodes.schema.fields)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
     return nodes.withColumn("pre", place).mapInArrow(_streamed, kinds)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thicket.operators.axes import below
 from thicket.operators.edit import renumber
 from thicket.operators.selection import attr
+from thicket.schema import VALUE
 from thicket.storage import bucketed, dealt, written
 
 #: Kinds of catalog entries, by how they match; the order is their tier.
@@ -110,6 +111,7 @@ def include(nodes: DataFrame, resources: DataFrame, resource_texts: DataFrame |
     still left after ``max_depth`` rounds stays as it is, and each such element is an error.
     """
     path = "via_"
+    nodes, resources = nodes.drop(VALUE), resources.drop(VALUE)
     # Documents without inclusions take no part in the rounds; an included one can't add any to them.
     of_include = (F.col("kind") == "element") & (F.col("name") == "include") & (F.col("namespace") == XI)
     calling = nodes.filter(of_include).select("doc_id").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.numbers import to_number
 from thicket.operators.axes import BIN, DISJOINT, REVERSE, attributes, joined, node_test, step
+from thicket.schema import VALUE
 
 
 def attr(name: str) -> Column:
@@ -215,14 +216,23 @@ class _Origin(Selection):
         return self._with(self.rows.filter(F.coalesce(condition(attr(name)), F.lit(False))))
 
 
+def valued(nodes: DataFrame) -> DataFrame:
+    """nodes, with the parser's string-values if no document or element lacks its own (see ``schema.MOST_VALUE``)."""
+    return nodes if nodes.filter(F.col("kind").isin("element", "document") & F.col(VALUE).isNull()).isEmpty() else nodes.drop(VALUE)
+
+
 def string_value(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows with ``value``: the text below an element or document, else the node's own content.
 
     A node with one text below it takes it in an equi-join; elements with more meet their text
     nodes by bins of numbers with an interval (see ``axes.joined``), and the text is put
     together in document order by one aggregation.  All joins hold doc_id, so those of a
-    bucketed table shuffle nothing.
+    bucketed table shuffle nothing.  Rows of a table that holds all string-values (``valued``)
+    have theirs already: no join.
     """
+    if VALUE in rows.columns:
+        lacking = F.when(F.col("kind").isin("element", "document"), F.raise_error("a string-value isn't in the table (see valued)").cast("string"))
+        return rows.withColumn("value", F.coalesce(VALUE, lacking, "content", F.lit("")))
     texts = table.filter("kind in ('text', 'cdata')").select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("content").alias("t_text"))
     inner = F.col("kind").isin("element", "document")
     many = rows.filter(inner & (F.col("post") > F.col("pre") + 1)).select("doc_id", "pre", "post").distinct().withColumn("bin_", F.explode(F.sequence(F.floor(F.col("pre") / BIN), F.floor(F.col("post") / BIN))))

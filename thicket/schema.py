@@ -8,6 +8,9 @@ is null where it would be longer than ``MOST_PATH``, so that deep documents stay
 
 A doctype's ``content`` is what follows its name: public and system identifier, in quotes, and
 the internal subset as it is written.
+
+``string_value`` is a further column, made where it is asked for: the text below a document or an
+element, null where it has over ``MOST_VALUE`` characters, so that the table stays linear.
 """
 
 from __future__ import annotations
@@ -28,5 +31,7 @@ ARROW = pa.schema(
     + [("attrs", pa.list_(_ATTR)), ("content", pa.string()), ("path", pa.string()), ("error", pa.string())]
 )
 KEY = ["doc_id", "pre"]
-#: Characters of a path at most.
-MOST_PATH = 2048
+#: Characters of a path, and of a string-value that is kept, at most.
+MOST_PATH, MOST_VALUE = 2048, 4096
+VALUE = "string_value"
+VALUE_FIELD = pa.field(VALUE, pa.string())

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from thicket.schema import ARROW, KINDS, MOST_PATH
+from thicket.schema import ARROW, KINDS, MOST_PATH, MOST_VALUE, VALUE, VALUE_FIELD
 
 DOCUMENT, ELEMENT, TEXT, CDATA, COMMENT, PI, DOCTYPE = range(len(KINDS))
 
@@ -181,10 +181,29 @@ def record_batch(nodes: Nodes, columns: list[str], paths: frozenset[str] | None)
             errors = np.zeros(n, np.int64)
             errors[starts] = np.arange(len(starts)) + 1
             return _strings([None, *(d[2] for d in nodes.documents)], taken(errors))
+        if name == VALUE:
+            out = _values(nodes, kind, end)
+            return out if keep is None else out.take(pa.array(keep))
         out = _attributes(nodes, kind == ELEMENT)
         return out if keep is None else out.take(pa.array(keep))
 
-    return pa.RecordBatch.from_arrays([column(c) for c in columns], schema=pa.schema([ARROW.field(c) for c in columns]))
+    return pa.RecordBatch.from_arrays([column(c) for c in columns], schema=pa.schema([VALUE_FIELD if c == VALUE else ARROW.field(c) for c in columns]))
+
+
+def _values(nodes: Nodes, kind: np.ndarray, end: np.ndarray) -> pa.Array:
+    """String-values of documents and elements: stretches of the batch's texts, put together once."""
+    text = (kind == TEXT) | (kind == CDATA)
+    pieces = [nodes.content[i] for i in np.flatnonzero(text).tolist()]
+    size = np.zeros(len(kind), np.int64)
+    size[text] = [len(x) for x in pieces]
+    upto = np.append(0, np.cumsum(size))
+    inner = np.flatnonzero(kind <= ELEMENT)
+    low, high = upto[inner], upto[end[inner] + 1]
+    fits, whole = high - low <= MOST_VALUE, "".join(pieces)
+    made = [whole[a:b] for a, b in zip(low[fits].tolist(), high[fits].tolist(), strict=True)]
+    place = np.full(len(kind), -1, np.int64)
+    place[inner[fits]] = np.arange(len(made))
+    return pa.array(made, pa.string()).take(pa.array(place, mask=place < 0))
 
 
 def _attributes(nodes: Nodes, element: np.ndarray) -> pa.Array:

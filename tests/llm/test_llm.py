@@ -433,6 +433,25 @@ def test_salvage_drill(spark):
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_damage_is_done_where_it_matters(spark):
+    import gzip
+    import io
+
+    from thicket.llm.warc import damaged, make_record, read_archives
+
+    def member(*plain):
+        with gzip.GzipFile("x" * 2000, "wb", fileobj=(out := io.BytesIO()), mtime=0) as z:  # the middle of it is in the file's name, which no check covers
+            z.write(b"".join(plain))
+        return out.getvalue()
+
+    plain = lambda i: make_record("response", i, "u", b"<p>same</p>", None, compress=False)
+    archive = member(plain(1)) + member(plain(2), plain(3))  # of a member with two records, a byte isn't turned twice
+    df = spark.createDataFrame([("a", bytearray(archive))], "archive string, content binary")
+    assert [r.page_id for r in read_archives(df).collect()] == [1, 2, 3]
+    got = read_archives(damaged(df, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).collect()
+    assert got and all(r.gap for r in got)
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 

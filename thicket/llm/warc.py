@@ -271,11 +271,26 @@ def round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     return back.filter(F.when(F.col("gap").isNotNull(), lost.cast("boolean")).otherwise(F.lit(True)))
 
 
+def spoil(raw: bytearray, start: int, end: int) -> None:
+    """Turns over one byte amid a record's bytes, so that no record is read from them any more.
+
+    Bytes whose turning changes nothing that a reader sees are passed over: deflate can say the
+    same in several ways (a repeat of a text with a period may be taken from one period or two back).
+    """
+    middle = (start + end) // 2
+    for at in (*range(middle, end), *range(start, middle)):
+        raw[at] ^= 0xFF
+        if not any(isinstance(x, Record) for x in salvage(bytes(raw[start:end]))):
+            return
+        raw[at] ^= 0xFF
+    raise ValueError(f"no byte from {start} to {end} matters to the record there")
+
+
 def damaged(archives: DataFrame, letters: str = "ABCDEF") -> DataFrame:
-    """archives in which a byte amid each record whose payload digest begins with one of ``letters`` is turned over.
+    """archives in which a byte amid each record whose payload digest begins with one of ``letters`` is turned over (see ``spoil``).
 
-    For drills of the salvage reader: such a record's checks fail, its neighbours' don't.  A
-    null content stays null.
+    For drills of the salvage reader: such a record's checks fail, its neighbours' don't, but
+    for records of one gzip member, which stand or fall together.  A null content stays null.
     """
 
     def hit(batches):
@@ -286,9 +301,8 @@ def damaged(archives: DataFrame, letters: str = "ABCDEF") -> DataFrame:
                 if raw is not None:
                     found = [x for x in salvage(raw) if isinstance(x, Record)]
                     raw = bytearray(raw)
-                    for x in found:
-                        if x.headers.get("warc-payload-digest", "").removeprefix("sha1:")[:1] in [*letters]:
-                            raw[(x.start + x.end) // 2] ^= 0xFF
+                    for place in {(x.start, x.end) for x in found if x.headers.get("warc-payload-digest", "").removeprefix("sha1:")[:1] in [*letters]}:
+                        spoil(raw, *place)
                     raw = bytes(raw)
                 out.append(raw)
             yield pa.RecordBatch.from_arrays([b.column("archive"), pa.array(out, pa.binary())], names=["archive", "content"])

@@ -109,3 +109,11 @@ def test_selectors(spark, selector, n):
 def test_bad_selectors(spark, bad):
     with pytest.raises(PathError):
         select(html(spark, "<p>"), bad)
+
+
+def test_children_of_contexts_are_found_without_a_join(spark):
+    nodes = xml(spark, "<r><o><i><q>4</q></i><i><q>1</q></i><n>x</n></o><o><n>y</n></o></r>", "<i><q>9</q></i>")
+    joins = lambda path: xpath(nodes, path)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins("//i[count(q) = 1]") == 1
+    for path, found in {"//i[q > 3]": [(0, 3), (1, 1)], "//o[count(i[q > 0]) > 1]/n": [(0, 9)], "//o[self::o[i]]": [(0, 2)], "//o[(.)[n = 'y']/n]": [(0, 11)], "//@*[child::q]": [], "//o[i[2]/q = 1]": [(0, 2)], "//o[not(i)]": [(0, 11)]}.items():
+        assert pres(xpath(nodes, path)) == found, path

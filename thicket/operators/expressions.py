@@ -256,6 +256,7 @@ class Nodes:
     unique: bool = True  # whether each node comes once for an origin
     root: bool = False  # just the document nodes
     backward: bool = False  # reverse(): the first node is the last in document order
+    own: bool = False  # whether these are just the contexts, each as its own origin
 
     @property
     def key(self) -> list[str]:
@@ -318,10 +319,12 @@ class Compiler:
         """Each context node, as the origin of a path."""
         if at.top:
             return self.root()
-        rows = at.base.select(*self.columns).dropDuplicates(["doc_id", "pre", "idx"])
+        rows = at.base.select(*self.columns)
+        if at.nodes.carried or not at.nodes.unique:
+            rows = rows.dropDuplicates(["doc_id", "pre", "idx"])
         for a in ("o", "c"):
             rows = rows.withColumn(f"{a}_pre", F.col("pre")).withColumn(f"{a}_idx", F.col("idx"))
-        return Nodes(rows, True, at.nodes.attrs, at.nodes.trees)
+        return Nodes(rows, True, at.nodes.attrs, at.nodes.trees, own=True)
 
     def nodes(self, term: Term, at: Contexts) -> Nodes:
         if term[0] == "|":
@@ -336,7 +339,7 @@ class Compiler:
         if term[0] == "filter":
             s = self.nodes(term[1], at).distinct()
             rows = s.rows.withColumn("c_pre", F.lit(0)).withColumn("c_idx", F.lit(0))
-            s = replace(s, rows=rows, axis="preceding" if s.backward else "self", root=False)
+            s = replace(s, rows=rows, axis="preceding" if s.backward else "self", root=False, own=False)
             for p in term[2]:
                 s = self.predicate(s, p)
             return s
@@ -355,17 +358,21 @@ class Compiler:
         origin = ["o_pre", "o_idx"] if s.carried else []
         if axis == "self":
             if kind is not None:
-                return replace(s, rows=s.rows.filter((F.col("idx") == 0) & wanted), attrs=False, root=False)
+                return replace(s, rows=s.rows.filter((F.col("idx") == 0) & wanted), attrs=False, root=False, own=False)
             return s
         if s.root and axis in ("child", "descendant", "descendant-or-self"):
             # All other nodes are below the root: a filter.
             depth = {"child": F.col("depth") == 1, "descendant": F.col("depth") > 0, "descendant-or-self": F.lit(True)}[axis]
             rows = self.table.filter(wanted & depth).withColumn("c_pre", F.lit(0)).withColumn("c_idx", F.lit(0))
             return Nodes(rows, False, axis="child")
+        if s.own and s.trees and axis == "child":
+            # A child tells its parent, and what is made of a set meets the contexts by their origin: no join is needed for the step.
+            rows = self.table.filter(wanted & F.col("parent").isNotNull()).select(*self.columns, *[F.col("parent").alias(x) if x.endswith("pre") else F.lit(0).alias(x) for x in (*origin, "c_pre", "c_idx")])
+            return Nodes(rows, True, axis="child")
         s = s.distinct()
         if axis == "attribute":
             if kind not in ("element", None):
-                return replace(s, rows=s.rows.filter("false"), attrs=True, trees=False, root=False)
+                return replace(s, rows=s.rows.filter("false"), attrs=True, trees=False, root=False, own=False)
             owners = s.rows.filter("idx = 0") if s.attrs else s.rows
             a = F.col("attr")
             rows = attributes(owners.drop("c_pre", "c_idx"), name, namespace)
@@ -378,7 +385,7 @@ class Compiler:
             if name not in (None, "*", "xml"):
                 scope = in_scope_namespaces(rows.select("doc_id", "pre").distinct(), self.table).filter(F.col("prefix") == name)
                 rows = rows.join(scope.select("doc_id", "pre"), ["doc_id", "pre"], "left_semi")
-            return replace(s, rows=rows.select(*s.rows.columns), attrs=False, axis="self", root=False)
+            return replace(s, rows=rows.select(*s.rows.columns), attrs=False, axis="self", root=False, own=False)
         parts = []
         if s.trees:
             parts.append(self.reached(s.rows.filter("idx = 0") if s.attrs else s.rows, axis, wanted, origin, positions))
@@ -389,7 +396,7 @@ class Compiler:
             if kind is None and axis.endswith("-or-self"):
                 parts.append(owned.withColumn("c_pre", F.col("pre")).withColumn("c_idx", F.col("idx")).select(*self.columns, *origin, "c_pre", "c_idx"))
         if not parts:
-            return replace(s, rows=s.rows.filter("false"), root=False)
+            return replace(s, rows=s.rows.filter("false"), root=False, own=False)
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
@@ -418,11 +425,11 @@ class Compiler:
         if _asks(term, ("last",)):
             rows = rows.withColumn("last_", F.count(F.lit(1)).over(Window.partitionBy(*by)))
         if whole:
-            return replace(s, rows=rows.filter(F.col("position_") == F.lit(term[1])).select(*names), root=False)
+            return replace(s, rows=rows.filter(F.col("position_") == F.lit(term[1])).select(*names), root=False, own=False)
         at = Contexts(replace(s, rows=rows), False)
         kind, value = self.scalar(term, at) if self.kind(term) != "nodes" else ("boolean", self.truth(term, at))
         test = (F.col("position_").cast("double") == value) if kind == "number" else self.converted("boolean", kind, value)
-        return replace(s, rows=at.rows.filter(F.coalesce(test, F.lit(False))).select(*names), root=False)
+        return replace(s, rows=at.rows.filter(F.coalesce(test, F.lit(False))).select(*names), root=False, own=False)
 
     def union(self, a: Nodes, b: Nodes, at: Contexts) -> Nodes:
         if a.carried != b.carried:  # one side is the document's, the other the context's

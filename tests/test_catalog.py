@@ -66,3 +66,16 @@ def test_values_of_pages_and_orders_are_those_of_the_sql(spark, tmp_path):
 @pytest.mark.parametrize("name", ["predicate_having_and_without", "functions_on_numbers", "axis_parent", "function_string_join"])
 def test_string_values_take_no_joins(spark, name):
     assert "t_pre" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_of_orders_are_not_escaped_and_writers_are_set_back(spark):
+    from thicket.storage import bucketed
+
+    plan = catalog.order_docs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(cast(l_partkey" not in plan and "replace(cast(l_extendedprice" not in plan and "replace(" in plan
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "3")
+    try:
+        made = bucketed(spark.range(100).repartition(4, "id"), "id", 4)
+        assert len(made.inputFiles()) == 4 and made.count() == 100 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3"
+    finally:
+        spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thicket.sinks.serialize import escape_attribute, escape_text
 
@@ -29,7 +30,9 @@ def orders(orders_table: DataFrame, lineitem: DataFrame, customer: DataFrame, pa
     made.  ``partitions`` is the number of those that documents are dealt into by doc_id.
     """
     dealt = (lambda t, key: t) if partitions is None else lambda t, key: t.repartition(partitions, key)
-    item = element("item", element("partkey", text(F.col("l_partkey"))), element("qty", text(F.col("l_quantity"))), element("price", text(F.col("l_extendedprice"))), element("discount", text(F.col("l_discount"))), n=F.col("l_linenumber"), returnflag=F.col("l_returnflag"))
+    # Numbers hold nothing to escape.
+    shown = lambda name: F.col(name).cast("string") if isinstance(lineitem.schema[name].dataType, T.NumericType) else text(F.col(name))
+    item = element("item", element("partkey", shown("l_partkey")), element("qty", shown("l_quantity")), element("price", shown("l_extendedprice")), element("discount", shown("l_discount")), n=F.col("l_linenumber"), returnflag=F.col("l_returnflag"))
     items = dealt(lineitem.select("l_orderkey", *ITEM_ORDER), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ITEM_ORDER], item.alias("x")))), lambda s: s["x"]), "").alias("items"))
     o = orders_table.join(customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "c_name")
     o = dealt(o, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")

@@ -53,6 +53,13 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     spark, name = df.sparkSession, f"thicket_{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark.conf.set("spark.sql.cbo.planStats.enabled", "true")
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    # A task's rows are mostly of one bucket: it keeps a few files open rather than sort by the bucket.
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, "8")
+    try:
+        df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    finally:
+        spark.conf.set(writers, before)
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
     return spark.table(name)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from thicket.schema import ARROW, KINDS, MOST_PATH, MOST_VALUE, VALUE, VALUE_FIELD
 
@@ -20,7 +21,8 @@ class Nodes:
 
     ``code`` is 8 * depth + kind; ``spot`` numbers ``spots``, pairs of a name and a path;
     names are tuples of name, prefix and namespace.  ``owner`` and ``attributes`` are a row
-    for each attribute: its element and the tuple of name, value, prefix and namespace.
+    for each attribute: its element and the tuple of name, value, prefix and namespace.  Where
+    a batch is read at once, these are arrays, ``content`` an Arrow one and ``attributes`` four.
     """
 
     def __init__(self):
@@ -62,6 +64,13 @@ class Nodes:
             self.spots.append((name, None))
         return k
 
+    def contents(self) -> pa.Array:
+        return self.content if isinstance(self.content, pa.Array) else pa.array(self.content, pa.string())
+
+    def attribute_columns(self) -> list:
+        """Names, values, prefixes and namespaces."""
+        return list(self.attributes) if isinstance(self.attributes, tuple) else list(zip(*self.attributes, strict=True)) or [()] * 4
+
     def add(self, kind: int, depth: int, spot: int, content: str | None = None) -> None:
         self.code.append(8 * depth + kind)
         self.spot.append(spot)
@@ -121,6 +130,8 @@ def ordinals(parent: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _strings(values: list, numbers: np.ndarray) -> pa.Array:
     """The values at these places, of a short list of which many are repeated."""
+    if all(x is None for x in values):
+        return pa.nulls(len(numbers), pa.string())
     return pa.DictionaryArray.from_arrays(pa.array(numbers, pa.int32()), pa.array(values, pa.string())).cast(pa.string())
 
 
@@ -134,7 +145,7 @@ def record_batch(nodes: Nodes, columns: list[str], paths: frozenset[str] | None)
     pre = np.arange(n) - np.repeat(starts, size)
     parent, end = spans(depth)
     element = np.flatnonzero(kind == ELEMENT)
-    keep = None
+    keep, content = None, nodes.contents()
     spot = np.array(nodes.spot, np.int64)
     if paths is not None:
         wanted = np.array([x in paths for _, x in nodes.spots], bool)[spot] & (kind == ELEMENT)
@@ -175,14 +186,14 @@ def record_batch(nodes: Nodes, columns: list[str], paths: frozenset[str] | None)
         if name == "path":
             return _strings([x for _, x in nodes.spots], taken(spot))
         if name == "content":
-            out = pa.array(nodes.content, pa.string())
+            out = content
             return out if keep is None else out.take(pa.array(keep))
         if name == "error":
             errors = np.zeros(n, np.int64)
             errors[starts] = np.arange(len(starts)) + 1
             return _strings([None, *(d[2] for d in nodes.documents)], taken(errors))
         if name == VALUE:
-            out = _values(nodes, kind, end)
+            out = _values(content, kind, end)
             return out if keep is None else out.take(pa.array(keep))
         out = _attributes(nodes, kind == ELEMENT)
         return out if keep is None else out.take(pa.array(keep))
@@ -190,20 +201,21 @@ def record_batch(nodes: Nodes, columns: list[str], paths: frozenset[str] | None)
     return pa.RecordBatch.from_arrays([column(c) for c in columns], schema=pa.schema([VALUE_FIELD if c == VALUE else ARROW.field(c) for c in columns]))
 
 
-def _values(nodes: Nodes, kind: np.ndarray, end: np.ndarray) -> pa.Array:
-    """String-values of documents and elements: stretches of the batch's texts, put together once."""
+def _values(content: pa.Array, kind: np.ndarray, end: np.ndarray) -> pa.Array:
+    """String-values of documents and elements: stretches of the batch's texts, copied from their bytes."""
     text = (kind == TEXT) | (kind == CDATA)
-    pieces = [nodes.content[i] for i in np.flatnonzero(text).tolist()]
-    size = np.zeros(len(kind), np.int64)
-    size[text] = [len(x) for x in pieces]
-    upto = np.append(0, np.cumsum(size))
-    inner = np.flatnonzero(kind <= ELEMENT)
-    low, high = upto[inner], upto[end[inner] + 1]
-    fits, whole = high - low <= MOST_VALUE, "".join(pieces)
-    made = [whole[a:b] for a, b in zip(low[fits].tolist(), high[fits].tolist(), strict=True)]
-    place = np.full(len(kind), -1, np.int64)
-    place[inner[fits]] = np.arange(len(made))
-    return pa.array(made, pa.string()).take(pa.array(place, mask=place < 0))
+    pieces = content.take(pa.array(np.flatnonzero(text)))
+    upto = np.append(0, np.cumsum(text))
+    low, high = upto[:-1], upto[end + 1]
+    length = np.append(0, np.cumsum(pc.utf8_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)))
+    fits = (kind <= ELEMENT) & (length[high] - length[low] <= MOST_VALUE)
+    _, borders, data = pieces.buffers()
+    at = np.frombuffer(borders, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64) if len(pieces) else np.zeros(1, np.int64)
+    size = np.where(fits, at[high] - at[low], 0)
+    place = np.append(0, np.cumsum(size))
+    made = np.frombuffer(data, np.uint8)[np.arange(place[-1]) + np.repeat(at[low] - place[:-1], size)] if place[-1] else np.zeros(0, np.uint8)
+    known = pa.py_buffer(np.packbits(fits, bitorder="little"))
+    return pa.StringArray.from_buffers(len(kind), pa.py_buffer(place.astype(np.int32)), pa.py_buffer(made), known)
 
 
 def _attributes(nodes: Nodes, element: np.ndarray) -> pa.Array:
@@ -211,7 +223,6 @@ def _attributes(nodes: Nodes, element: np.ndarray) -> pa.Array:
     kind = ARROW.field("attrs").type
     offsets = np.zeros(len(element) + 1, np.int32)
     np.cumsum(np.bincount(np.array(nodes.owner, np.int64), minlength=len(element)), out=offsets[1:])
-    parts = list(zip(*nodes.attributes, strict=True)) or [()] * 4
     fields = list(kind.value_type)
-    values = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, fields, strict=True)], fields=fields)
+    values = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(nodes.attribute_columns(), fields, strict=True)], fields=fields)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~element, False)), values).cast(kind)

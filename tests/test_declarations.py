@@ -82,3 +82,19 @@ def test_html4(spark):
     assert '<i title="&Ouml;&copy;漢">&nbsp;&eacute;</i>' in out("<i title='Ö©漢'>\xa0é</i>")
     assert "é" in out("<meta http-equiv=Content-Type content='text/html; charset=utf-8'><b>é</b>")
     assert "<script>1 < 2 && 'é'</script>" in out("<script>1 < 2 && 'é'</script>")
+
+
+def test_reader_stops_within_its_slice():
+    import sys
+
+    from thicket.sources.reader import pull
+    from thicket.sources.xml import ParseOptions
+
+    begun = []
+    sys.setprofile(lambda frame, event, arg: begun.append(1) if event == "call" and frame.f_code.co_name == "start" and frame.f_code.co_filename.endswith("reader.py") else None)
+    try:
+        found = pull("<a>" + "<b/>" * 100 + "</a>", 3, ParseOptions())
+    finally:
+        sys.setprofile(None)
+    assert [e[1] for e in found] == ["start_document", "start_element", "start_element"]
+    assert len(begun) == 2

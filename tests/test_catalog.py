@@ -79,3 +79,8 @@ def test_numbers_of_orders_are_not_escaped_and_writers_are_set_back(spark):
         assert len(made.inputFiles()) == 4 and made.count() == 100 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3"
     finally:
         spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
+
+
+def test_documents_without_declarations_are_put_together_without_joins(spark):
+    plan = catalog.QUERIES["canonical_digest"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan and "Exchange hashpartitioning" not in plan

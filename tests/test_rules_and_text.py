@@ -245,3 +245,12 @@ def test_as_of_and_descendants(spark):
     assert sorted((r.key, r.t, r.v or "") for r in relational.as_of(left, right, ["key"], "t", "t", ["v"]).collect()) == [("j", 9, ""), ("k", 1, ""), ("k", 5, "b")]
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "parent string, child string")
     assert sorted(r.node for r in relational.descendants(edges, spark.createDataFrame([("a",)], "node string")).collect()) == ["a", "b", "c"]
+
+
+def test_documents_of_many_batches_are_put_together_whole(spark):
+    texts = ["<a/>", "<a><b>" + "<c>x</c>" * 9000 + "</b><!--y--><d><e/></d></a>", "<a>é<b>z</b></a>", "", "<?p?><a xmlns='u'><b xmlns=''/></a><!--e-->"]
+    nodes = xml(spark, *texts)
+    want = {0: "<a></a>", 1: texts[1].replace("<!--y-->", "").replace("<e/>", "<e></e>"), 2: texts[2], 4: '<?p?>\n<a xmlns="u"><b xmlns=""></b></a>'}
+    assert {d: t for d, t in serialize.canonical(nodes).collect() if d != 3} == want
+    written = dict(serialize.to_xml(nodes, declaration=False).collect())
+    assert [written[k].strip() for k in (0, 1, 2, 3)] == [texts[0], texts[1], texts[2], ""]

@@ -1,12 +1,16 @@
-"""Node tables to text: every node gives its opening and closing parts, one ordered aggregation joins them."""
+"""Node tables to text: every node gives its opening and closing parts, which are joined document by document."""
 
 from __future__ import annotations
 
 from html.entities import codepoint2name
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.operators.ordered import in_order, starts, whole
 from thicket.sources.html import VOID
 
 
@@ -44,9 +48,35 @@ def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     An opening stands at its node's number; closings after node post come in order of falling depth.
     """
-    part = F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("d"), F.col("opening").alias("t")), F.struct(F.col("post").alias("at"), F.lit(1).alias("turn"), (-F.col("depth")).alias("d"), F.col("closing").alias("t")))
-    parts = rows.select(*keys, F.explode(part).alias("p")).filter("p.t <> ''")
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["t"]), "").alias("text"))
+    part = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    parts = rows.select(*keys, "pre", "post", "depth", part("opening"), part("closing")).filter("opening <> '' or closing <> ''")
+    kinds = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys)
+    return in_order(parts, *keys).mapInArrow(lambda it: _texts(it, tuple(keys)), f"{kinds}, text string")
+
+
+def _texts(batches, keys: tuple[str, ...]):
+    """The parts of whole documents, put in order and written one behind another."""
+    for table in whole(batches, *keys):
+        first = starts(table, keys)
+        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+        opening, closing = (table.column(c).combine_chunks().cast(pa.string()) for c in ("opening", "closing"))
+        pre, post, depth = (table.column(c).to_numpy() for c in ("pre", "post", "depth"))
+        ends = np.flatnonzero(pc.binary_length(closing).to_numpy(zero_copy_only=False))
+        ends = ends[np.lexsort((-depth[ends], post[ends], doc[ends]))]
+        # Within a document, a closing stands behind all openings up to its node's last number.
+        far = int(post.max()) + 2
+        place = np.searchsorted(doc * far + pre, doc[ends] * far + post[ends], "right") + np.arange(len(ends))
+        order = np.empty(table.num_rows + len(ends), np.int64)
+        is_end = np.zeros(len(order), bool)
+        is_end[place] = True
+        order[place], order[~is_end] = table.num_rows + ends, np.arange(table.num_rows)
+        parts = pa.concat_arrays([opening, closing]).take(pa.array(order))
+        _, borders, data = parts.buffers()
+        borders = np.frombuffer(borders, np.int32)[parts.offset : parts.offset + len(parts) + 1]
+        upto = np.flatnonzero(~is_end)[first]
+        text = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(borders[upto], borders[-1]).astype(np.int32)), data)
+        taken = pa.array(first)
+        yield from pa.Table.from_arrays([*[table.column(k).combine_chunks().take(taken) for k in keys], text], names=[*keys, "text"]).to_batches()
 
 
 def _has_content(nodes: DataFrame) -> DataFrame:
@@ -160,8 +190,6 @@ def canonical(nodes: DataFrame, comments: bool = False, exclusive: bool = False,
     attributes follow, by namespace and local name.  What is in force comes from a join of
     each element with the declarations at or above it.
     """
-    from thicket.operators.axes import in_scope_namespaces
-
     keep = F.col("kind") != "doctype"
     if not comments:
         keep = keep & (F.col("kind") != "comment")
@@ -169,6 +197,31 @@ def canonical(nodes: DataFrame, comments: bool = False, exclusive: bool = False,
     if roots is not None:
         n = _below(n, nodes, roots, exclusive)
     elements = n.filter("kind = 'element'")
+    outside = (F.col("depth") == 1) & (F.col("kind") != "element")
+    # Without a declaration nothing is in force anywhere: no joins. Without a node beside a root, none has a line of its own.
+    declares = F.array_contains("attrs.prefix", "xmlns") | F.array_contains("attrs.name", "xmlns")
+    declared, beside = nodes.agg(F.bool_or(F.coalesce(declares, F.array_contains("attrs.name", "xmlns"))), F.bool_or(outside)).first()
+    rows = n.join(_namespaces(elements, nodes, exclusive, inclusive_prefixes), ["doc_id", "pre"], "left") if declared else n.withColumn("ns_", F.lit(""))
+    plain = F.filter("attrs", lambda a: (F.coalesce(a["prefix"], F.lit("")) != "xmlns") & ~((a["name"] == "xmlns") & a["prefix"].isNull()))
+    ordered = F.transform(F.sort_array(F.transform(plain, lambda a: F.struct(F.coalesce(a["namespace"], F.lit("")).alias("namespace"), a["name"].alias("name"), a["prefix"].alias("prefix"), a["value"].alias("value")))), lambda a: F.concat(F.lit(" "), _qname(a["prefix"], a["name"]), F.lit('="'), escape_attribute(a["value"]), F.lit('"')))
+    kind, qname = F.col("kind"), _qname(F.col("prefix"), F.col("name"))
+    text = _escape(F.col("content"), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#xD;")))
+    body = F.when(kind == "element", F.concat(F.lit("<"), qname, F.coalesce("ns_", F.lit("")), F.when(F.size("attrs") > 0, F.array_join(ordered, "")).otherwise(""), F.lit(">"))).when(kind.isin("text", "cdata"), text).when(kind == "document", "").otherwise(_comment_like(kind))
+    closing = F.when(kind == "element", F.concat(F.lit("</"), qname, F.lit(">"))).otherwise("")
+    rows = rows.select("doc_id", "pre", "post", "depth", body.alias("opening"), closing.alias("closing"), outside.alias("outside_"), ((kind == "element") & (F.col("depth") == 1)).alias("root_"))
+    if beside:
+        # By the order in which the texts are put together, so that nothing is sorted twice.
+        behind = F.bool_or("root_").over(Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.withColumn("behind_", behind)
+        lines = F.when(F.col("outside_") & F.col("behind_"), F.concat(F.lit("\n"), "opening")).when(F.col("outside_"), F.concat("opening", F.lit("\n"))).otherwise(F.col("opening"))
+        rows = rows.withColumn("opening", lines)
+    return _folded(rows, ["doc_id"])
+
+
+def _namespaces(elements: DataFrame, nodes: DataFrame, exclusive: bool, inclusive_prefixes: tuple[str, ...]) -> DataFrame:
+    """(doc_id, pre, ns_): the declarations that elements show, as text."""
+    from thicket.operators.axes import in_scope_namespaces
+
     scope = in_scope_namespaces(elements, nodes)
     if exclusive:
         used = elements.select("doc_id", "pre", F.explode(F.array_union(F.array(F.coalesce("prefix", F.lit(""))), F.array_compact(F.transform("attrs", lambda a: F.when(a["prefix"] != "xmlns", a["prefix"]))))).alias("prefix"))
@@ -186,19 +239,7 @@ def canonical(nodes: DataFrame, comments: bool = False, exclusive: bool = False,
     default = scope.filter("prefix = ''").select("doc_id", F.col("pre").alias("parent"))
     bare = elements.filter("namespace is null").join(scope.filter("prefix = ''").select("doc_id", "pre"), ["doc_id", "pre"], "left_anti").join(default, ["doc_id", "parent"], "left_semi")
     declared = declared.unionByName(bare.select("doc_id", "pre", F.struct(F.lit("").alias("prefix"), F.lit("").alias("namespace")).alias("d")))
-    ns = declared.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list("d")), lambda x: F.concat(F.when(x["prefix"] == "", " xmlns").otherwise(F.concat(F.lit(" xmlns:"), x["prefix"])), F.lit('="'), escape_attribute(x["namespace"]), F.lit('"'))), "").alias("ns_"))
-    rows = n.join(ns, ["doc_id", "pre"], "left")
-    plain = F.filter("attrs", lambda a: (F.coalesce(a["prefix"], F.lit("")) != "xmlns") & ~((a["name"] == "xmlns") & a["prefix"].isNull()))
-    ordered = F.transform(F.array_sort(F.transform(plain, lambda a: F.struct(F.coalesce(a["namespace"], F.lit("")).alias("namespace"), a["name"].alias("name"), a["prefix"].alias("prefix"), a["value"].alias("value")))), lambda a: F.concat(F.lit(" "), _qname(a["prefix"], a["name"]), F.lit('="'), escape_attribute(a["value"]), F.lit('"')))
-    kind, qname = F.col("kind"), _qname(F.col("prefix"), F.col("name"))
-    root = nodes.filter("kind = 'element' and depth = 1").select("doc_id", F.col("pre").alias("root_"))
-    rows = rows.join(root, "doc_id", "left")
-    outside = (F.col("depth") == 1) & (kind != "element")
-    text = _escape(F.col("content"), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#xD;")))
-    body = F.when(kind == "element", F.concat(F.lit("<"), qname, F.coalesce("ns_", F.lit("")), F.array_join(ordered, ""), F.lit(">"))).when(kind.isin("text", "cdata"), text).when(kind == "document", "").otherwise(_comment_like(kind))
-    opening = F.when(outside & (F.col("pre") > F.col("root_")), F.concat(F.lit("\n"), body)).when(outside, F.concat(body, F.lit("\n"))).otherwise(body)
-    closing = F.when(kind == "element", F.concat(F.lit("</"), qname, F.lit(">"))).otherwise("")
-    return _folded(rows.withColumn("opening", opening).withColumn("closing", closing), ["doc_id"])
+    return declared.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list("d")), lambda x: F.concat(F.when(x["prefix"] == "", " xmlns").otherwise(F.concat(F.lit(" xmlns:"), x["prefix"])), F.lit('="'), escape_attribute(x["namespace"]), F.lit('"'))), "").alias("ns_"))
 
 
 def _below(n: DataFrame, nodes: DataFrame, roots: DataFrame, exclusive: bool) -> DataFrame:

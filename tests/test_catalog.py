@@ -84,3 +84,16 @@ def test_numbers_of_orders_are_not_escaped_and_writers_are_set_back(spark):
 def test_documents_without_declarations_are_put_together_without_joins(spark):
     plan = catalog.QUERIES["canonical_digest"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "collect_list" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_edits_by_conditions_are_one_pass(spark, monkeypatch):
+    plans, was = [], catalog.bucketed
+    nodes = catalog.order_nodes(spark, SF)
+
+    def kept(df, *how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return was(df, *how)
+
+    monkeypatch.setattr(catalog, "bucketed", kept)
+    catalog.QUERIES["edit_documents"](spark, SF)
+    assert len(plans) == 1 and plans[0].count("FileScan") == 1 and "Join" not in plans[0] and "Exchange hashpartitioning" not in plans[0]

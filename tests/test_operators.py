@@ -231,3 +231,21 @@ def test_next_catalogs_follow_in_turn(spark):
     entries = links.chained(spark.createDataFrame(rows, "uri string, ord int, kind string, match string, target string"), "m")
     out = links.resolve(spark.createDataFrame([("k",), ("q",), ("zz",)], "u string"), entries, "uri", "u")
     assert {r.u: r.resolved for r in out.collect()} == {"k": "own", "q": "x-tail", "zz": None}
+
+
+def test_edits_by_conditions_and_by_nodes_are_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from thicket.operators import edit
+
+    texts = ["<a><b n='1'><b><c/>x</b>y</b><c>z<b n='2'/></c><!--k--><b/></a>", "<b><a/></b>", "<a>" + "<d><b n='1'><e/></b><b>t</b></d>" * 3000 + "</a>", "<a", "<?b?><a><?b x?><c/></a>"]
+    nodes = xml(spark, *texts)
+    is_b, marked = (F.col("kind") == "element") & (F.col("name") == "b"), F.exists("attrs", lambda a: a["name"] == "n")
+    rows = lambda df: sorted(map(str, df.select(*[c for c in nodes.columns]).collect()))
+    removed = edit.remove(nodes, nodes.filter(is_b & marked))
+    assert rows(edit.remove(nodes, is_b & marked)) == rows(removed)
+    want = edit.rename(removed, removed.filter(is_b), "q")
+    later = edit.rename(edit.remove(nodes, is_b & marked, numbered=False), is_b, "q", numbered=False)
+    assert rows(edit.renumber(later)) == rows(want)
+    few = edit.renumber(later, ["doc_id", "path", "pre"])
+    assert few.columns == ["doc_id", "pre", "path"] and sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, want.select(*few.columns).collect()), key=str)

@@ -1,4 +1,9 @@
-"""Edits of the node table: rows change, and each document is numbered anew."""
+"""Edits of the node table: rows change, and each document is numbered anew.
+
+Targets are a DataFrame of nodes, which is joined, or a condition on rows, which is not.  With
+``numbered=False`` an edit leaves numbers, which still nest, and paths as they were: of several
+edits, ``renumber`` needs to come once, after the last.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.operators.axes import below
+from thicket.operators.ordered import in_order, whole
 from thicket.schema import KEY, MOST_PATH, VALUE
 from thicket.sources.tree import ordinals, spans
 
@@ -18,12 +24,18 @@ def _children(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return below(nodes.select("doc_id", "pre", "post"), targets).select(*KEY)
 
 
-def remove(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+def remove(nodes: DataFrame, targets: DataFrame | Column, numbered: bool = True) -> DataFrame:
     """Without the targets' subtrees."""
-    return renumber(nodes.join(_children(nodes, targets), KEY, "left_anti"))
+    if isinstance(targets, Column):
+        # Subtrees nest: a node is in one if some target before it, or itself, ends at it or later.
+        so_far = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        left = nodes.withColumn("gone_", F.max(F.when(targets, F.col("post"))).over(so_far)).filter("gone_ is null or gone_ < pre").drop("gone_")
+    else:
+        left = nodes.join(_children(nodes, targets), KEY, "left_anti")
+    return renumber(left) if numbered else left
 
 
-def set_attribute(nodes: DataFrame, targets: DataFrame, name: str, value: str | Column) -> DataFrame:
+def set_attribute(nodes: DataFrame, targets: DataFrame | Column, name: str, value: str | Column) -> DataFrame:
     """The attribute with that local name gets the value, where it is or at the end."""
     v = F.lit(value) if isinstance(value, str) else value
     kind = "struct<name:string,value:string,prefix:string,namespace:string>"
@@ -33,12 +45,13 @@ def set_attribute(nodes: DataFrame, targets: DataFrame, name: str, value: str |
     return _touch(nodes, targets, attrs=F.when(there, changed).otherwise(F.array_append("attrs", new)))
 
 
-def remove_attribute(nodes: DataFrame, targets: DataFrame, name: str) -> DataFrame:
+def remove_attribute(nodes: DataFrame, targets: DataFrame | Column, name: str) -> DataFrame:
     return _touch(nodes, targets, attrs=F.filter("attrs", lambda a: a["name"] != name))
 
 
-def rename(nodes: DataFrame, targets: DataFrame, name: str) -> DataFrame:
-    return renumber(_touch(nodes, targets, name=F.lit(name)))
+def rename(nodes: DataFrame, targets: DataFrame | Column, name: str, numbered: bool = True) -> DataFrame:
+    named = _touch(nodes, targets, name=F.lit(name))
+    return renumber(named) if numbered else named
 
 
 def set_text(nodes: DataFrame, targets: DataFrame, value: str | Column) -> DataFrame:
@@ -76,50 +89,41 @@ def clone(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return renumber(nodes.withColumn("pre", F.col("pre").cast("double")).unionByName(copy.select(*nodes.columns)))
 
 
-def _touch(nodes: DataFrame, targets: DataFrame, **columns: Column) -> DataFrame:
+def _touch(nodes: DataFrame, targets: DataFrame | Column, **columns: Column) -> DataFrame:
+    if isinstance(targets, Column):
+        return nodes.select(*[F.when(targets, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else c for c in nodes.columns])
     marked = nodes.join(targets.select(*KEY).distinct().withColumn("hit_", F.lit(True)), KEY, "left")
     for c, value in columns.items():
         marked = marked.withColumn(c, F.when(F.col("hit_"), value).otherwise(F.col(c)))
     return marked.select(*nodes.columns)
 
 
-def renumber(nodes: DataFrame) -> DataFrame:
+def renumber(nodes: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """All numbers and paths from the order of ``pre`` (whole or not) and ``depth``, document by document.
 
     Documents stream through a task one behind another, so it holds one of them and a batch.
-    The window puts them so, and shuffles nothing where documents lie together already.
+    Of ``columns``, only these are made and sent, for the optimizer can't see into the numbering.
     """
     nodes = nodes.drop(VALUE)  # those of before the edit
-    kinds = ", ".join(f"{f.name} {NUMBERS.get(f.name) or f.dataType.simpleString()}" for f in nodes.schema.fields)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
-    return nodes.withColumn("pre", place).mapInArrow(_streamed, kinds)
-
-
-def _streamed(batches):
-    held: list[pa.RecordBatch] = []  # of the document that isn't complete
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = b.column(b.schema.get_field_index("doc_id"))
-        if held and ids[0].as_py() != held[-1].column(held[-1].schema.get_field_index("doc_id"))[0].as_py():
-            yield from _numbered(pa.Table.from_batches(held)).to_batches()
-            held = []
-        last, k = ids[-1].as_py(), b.num_rows - 1
-        while k and ids[k - 1].as_py() == last:
-            k -= 1
-        if k:
-            yield from _numbered(pa.Table.from_batches([*held, b.slice(0, k)])).to_batches()
-            held = []
-        held.append(b.slice(k))
-    if held:
-        yield from _numbered(pa.Table.from_batches(held)).to_batches()
-
-
-NUMBERS = dict.fromkeys(("pre", "post", "parent", "depth", "ord", "elem_ord", "elem_ord_last"), "int")
-
-
-def _numbered(table: pa.Table) -> pa.Table:
-    """The numbers of whole documents, one behind another, in the order of their rows."""
+    wanted = [c for c in nodes.columns if columns is None or c in columns]
+    kept = [c for c in wanted if c not in NUMBERS and c not in ("doc_id", "depth", "path")]
+    # Elements are told by their names.
+    rows = nodes.select("doc_id", "pre", "depth", F.when(F.col("kind") == "element", F.col("name")).alias(_ELEMENT), *kept)
+    kinds = ", ".join(f"{c} {NUMBERS.get(c) or nodes.schema[c].dataType.simpleString()}" for c in wanted)
+    return in_order(rows, "doc_id").drop("pre").mapInArrow(lambda it: _streamed(it, wanted), kinds)
+
+
+def _streamed(batches, wanted: list[str]):
+    for table in whole(batches, "doc_id"):
+        yield from _numbered(table, wanted).to_batches()
+
+
+_ELEMENT = "element_"
+NUMBERS = dict.fromkeys(("pre", "post", "parent", "ord", "elem_ord", "elem_ord_last"), "int")
+
+
+def _numbered(table: pa.Table, wanted: list[str]) -> pa.Table:
+    """The wanted columns of whole documents, one behind another, numbered in the order of their rows."""
     n, depth = table.num_rows, table.column("depth").to_numpy().astype(np.int64)
     docs = _codes(table.column("doc_id"))[0]
     new_doc = np.append(True, docs[1:] != docs[:-1])
@@ -128,15 +132,19 @@ def _numbered(table: pa.Table) -> pa.Table:
         depth = _closed_up(depth, new_doc)
     parent, end = spans(depth)
     first = np.repeat(starts, np.diff(np.append(starts, n)))
-    element = pc.equal(table.column("kind"), "element").to_numpy(zero_copy_only=False) & (parent >= 0)
+    element = pc.is_valid(table.column(_ELEMENT)).to_numpy() & (parent >= 0)
     numbered, inner = np.flatnonzero(element), np.flatnonzero(parent >= 0)
     order, forth, back = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     order[inner] = ordinals(parent, inner)[0]
     forth[numbered], back[numbered] = ordinals(parent, numbered)
     new = {"pre": (np.arange(n) - first, None), "post": (end - first, None), "parent": (parent - first, parent < 0), "ord": (order, None), "elem_ord": (forth, ~element), "elem_ord_last": (back, ~element)}
-    for c, (values, absent) in new.items():
-        table = table.set_column(table.schema.get_field_index(c), c, pa.array(values.astype(np.int32), mask=absent))
-    return table.set_column(table.schema.get_field_index("path"), "path", _paths(table.column("name"), depth, parent, element))
+
+    def column(c: str):
+        if c == "path":
+            return _paths(table.column(_ELEMENT), depth, parent, element)
+        return pa.array(new[c][0].astype(np.int32), mask=new[c][1]) if c in new else table.column(c)
+
+    return pa.Table.from_arrays([column(c) for c in wanted], names=wanted)
 
 
 def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:

@@ -8,16 +8,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The place of a row in its document, from 1.
-PLACE = "place_"
-
 
 def in_order(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows with PLACE; those of one key lie together and by ``pre``.
+    """rows, those of one key together and by ``pre``.
 
-    The window puts them so, and shuffles nothing where they lie together already.
+    A window puts them so, and shuffles nothing where they lie together already; its numbers
+    all pass, and go no further.
     """
-    return rows.withColumn(PLACE, F.row_number().over(Window.partitionBy(*keys).orderBy("pre")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("pre"))
+    return rows.withColumn("place_", place).filter("place_ > 0").drop("place_")
 
 
 def starts(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:

@@ -6,7 +6,6 @@ from html.entities import codepoint2name
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +47,9 @@ def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     An opening stands at its node's number; closings after node post come in order of falling depth.
     """
-    part = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    parts = rows.select(*keys, "pre", "post", "depth", part("opening"), part("closing")).filter("opening <> '' or closing <> ''")
+    opening, closing = (F.coalesce(c, F.lit("")) for c in ("opening", "closing"))
+    # One string a node, and the bytes of it that are the opening: few columns are sent.
+    parts = rows.select(*keys, "pre", "post", F.concat(opening, closing).alias("both"), F.octet_length(opening).alias("cut")).filter("both <> ''")
     kinds = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys)
     return in_order(parts, *keys).mapInArrow(lambda it: _texts(it, tuple(keys)), f"{kinds}, text string")
 
@@ -59,18 +59,21 @@ def _texts(batches, keys: tuple[str, ...]):
     for table in whole(batches, *keys):
         first = starts(table, keys)
         doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
-        opening, closing = (table.column(c).combine_chunks().cast(pa.string()) for c in ("opening", "closing"))
-        pre, post, depth = (table.column(c).to_numpy() for c in ("pre", "post", "depth"))
-        ends = np.flatnonzero(pc.binary_length(closing).to_numpy(zero_copy_only=False))
-        ends = ends[np.lexsort((-depth[ends], post[ends], doc[ends]))]
+        both = table.column("both").combine_chunks().cast(pa.string())
+        pre, post, cut = (table.column(c).to_numpy().astype(np.int64) for c in ("pre", "post", "cut"))
+        _, borders, data = both.buffers()
+        at = np.frombuffer(borders, np.int32)[both.offset : both.offset + len(both) + 1]
+        ends = np.flatnonzero(np.diff(at) > cut)
+        ends = ends[np.lexsort((-pre[ends], post[ends], doc[ends]))]  # of nodes that end together, the deepest comes last
         # Within a document, a closing stands behind all openings up to its node's last number.
         far = int(post.max()) + 2
         place = np.searchsorted(doc * far + pre, doc[ends] * far + post[ends], "right") + np.arange(len(ends))
-        order = np.empty(table.num_rows + len(ends), np.int64)
+        order = np.empty(len(both) + len(ends), np.int64)
         is_end = np.zeros(len(order), bool)
         is_end[place] = True
-        order[place], order[~is_end] = table.num_rows + ends, np.arange(table.num_rows)
-        parts = pa.concat_arrays([opening, closing]).take(pa.array(order))
+        order[place], order[~is_end] = 2 * ends + 1, 2 * np.arange(len(both))
+        halves = np.append(np.column_stack([at[:-1], at[:-1] + cut]).ravel(), at[-1]).astype(np.int32)
+        parts = pa.StringArray.from_buffers(2 * len(both), pa.py_buffer(halves), data).take(pa.array(order))
         _, borders, data = parts.buffers()
         borders = np.frombuffer(borders, np.int32)[parts.offset : parts.offset + len(parts) + 1]
         upto = np.flatnonzero(~is_end)[first]

@@ -58,3 +58,24 @@ def test_what_is_plain_is_read_at_once():
     texts = ['<order id="1"><item n="1">5.0</item>é</order>', "<a/>", "<a>x</a>"]
     nodes, left = plain_nodes([7, 8, 9], pa.array(texts), ParseOptions())
     assert [d[1] for d in nodes.documents] == [7, 9] and left.tolist() == [1]
+
+
+SUBSETS = [
+    "<!DOCTYPE a [<!ATTLIST b n ID #REQUIRED>]>", "<!DOCTYPE order [<!ATTLIST item n ID #IMPLIED k CDATA #REQUIRED><!ATTLIST b m NMTOKENS #IMPLIED>]>",
+    "<!DOCTYPE a [<!ATTLIST b n ID #REQUIRED z CDATA 'd'>]>", "<!DOCTYPE a [<!ATTLIST b z (x|y) 'x'>]>", "<!DOCTYPE a [<!ENTITY e 'v'>]>", "<!DOCTYPE a SYSTEM 'u' [<!ATTLIST b n ID #REQUIRED>]>", "<!DOCTYPE a>", "<!DOCTYPE a []>", "<!DOCTYPE a [<!ATTLIST b n ID #REQUIRED> ]>", "<!DOCTYPE a [<!ATTLIST n n ID>]>",
+]
+
+
+@pytest.mark.parametrize("subset", SUBSETS)
+def test_documents_behind_a_doctype(subset):
+    texts = [*(subset + (t or "") for t in ODD), subset + '<a><b n="x"></b><b n=" x  y "></b></a>', subset + '<a><b m="x y" k="x  y" n="1"></b></a>', subset + subset + "<a></a>"]
+    for t in texts:
+        assert rows([t], True) == rows([t], False), t
+    for mixed in (texts, [*texts, *ODD], [*ODD, *texts], [texts[1], *ODD, *texts, SUBSETS[0] + "<a>x</a>"]):
+        assert rows(mixed, True) == rows(mixed, False)
+
+
+def test_documents_with_one_subset_of_declarations_are_read_at_once():
+    texts = [SUBSETS[0] + '<a><b n="1">x</b></a>', SUBSETS[0] + '<a><b n="x y">x</b></a>', SUBSETS[0] + "<a>y</a>"]
+    nodes, left = plain_nodes([7, 8, 9], pa.array(texts), ParseOptions())
+    assert [d[1] for d in nodes.documents] == [7, 9] and left.tolist() == [1]

@@ -2,7 +2,8 @@
 
 Plain is what tables write: elements, attributes in double quotes after one blank, and texts,
 names of ASCII without prefixes; no references, declarations, comments, sections or
-instructions.  Whatever is not certainly plain and well-formed, within all limits, is left to
+instructions.  A doctype may stand in front, one for all of a batch, whose subset declares
+attributes without defaults and nothing else.  Whatever is not certainly plain and well-formed, within all limits, is left to
 expat, so a document has the same nodes either way.
 """
 
@@ -14,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from thicket.sources.tree import ELEMENT, TEXT, Nodes
+from thicket.sources.tree import DOCTYPE, ELEMENT, TEXT, Nodes
 
 #: Bytes of documents that are read at once; longer documents are expat's.
 MOST = 1 << 19
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
+_DECLARED = r"[A-Za-z_][A-Za-z0-9_.-]* (?:CDATA|ID|IDREF|IDREFS|ENTITY|ENTITIES|NMTOKEN|NMTOKENS) #(?:REQUIRED|IMPLIED)"
+_SUBSET = re.compile(rf"<!DOCTYPE ([A-Za-z_][A-Za-z0-9_.-]*) (\[(?:<!ATTLIST [A-Za-z_][A-Za-z0-9_.-]*(?: {_DECLARED})+>)+\])>")
 _LT, _GT, _QUOTE, _BLANK, _SOFT, _OTHER = range(1, 7)
 #: What a byte means here; 0xEF begins the characters that XML forbids and the byte order mark.
 _CLASS = np.zeros(256, np.uint8)
@@ -55,8 +58,11 @@ def _named(found: pa.Array, most: int) -> tuple[np.ndarray, list[str], np.ndarra
     return numbers, names, wrong[numbers] if len(names) else np.zeros(0, bool)
 
 
-def _read(ids: list, texts: pa.Array, o) -> Nodes | np.ndarray:
-    """The nodes of documents, or which of them are not plain, as far as one look tells."""
+def _read(ids: list, texts: pa.Array, o, doctype: tuple[str, str] | None = None) -> Nodes | np.ndarray:
+    """The nodes of documents, or which of them are not plain, as far as one look tells.
+
+    ``doctype`` is the name and the subset of one that stands before each of them, and isn't in the texts.
+    """
     n_docs = len(texts)
     at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n_docs + 1].astype(np.int64)
     data = texts.buffers()[2].slice(int(at[0]), int(at[-1] - at[0]))
@@ -115,6 +121,9 @@ def _read(ids: list, texts: pa.Array, o) -> Nodes | np.ndarray:
     bad[doc[wrong]] = True
     key, keys, wrong = _named(_strings(data, before + 1, opens - 1), o.max_name_length)
     bad[doc[owner[wrong]]] = True
+    if doctype:  # values of declared types are trimmed, which is expat's work
+        typed = np.array([bool(re.search(rf"[ ]{re.escape(x)} (?!CDATA)", doctype[1])) for x in keys], bool)
+        bad[doc[owner[typed[key] & (np.searchsorted(blank, closes) > np.searchsorted(blank, opens))]]] = True
     pair = np.sort(owner * max(1, len(keys)) + key)
     bad[doc[pair[1:][pair[1:] == pair[:-1]] // max(1, len(keys))]] = True
 
@@ -137,7 +146,7 @@ def _read(ids: list, texts: pa.Array, o) -> Nodes | np.ndarray:
 
     # A document's node before its first tag, an element for a tag that opens, a text after a tag.
     begin = np.zeros(n_tags, np.int64)
-    begin[first[:-1]] = 1
+    begin[first[:-1]] = 1 if doctype is None else 2
     some = text_end > text_begin
     size = begin + ~closing + some
     row = np.cumsum(size) - size
@@ -161,7 +170,11 @@ def _read(ids: list, texts: pa.Array, o) -> Nodes | np.ndarray:
     taken = np.full(len(code), -1, np.int64)
     taken[text] = np.arange(len(text))
     nodes.code, nodes.spot, nodes.owner = code, spot, element[owner]
-    nodes.content = _strings(data, text_begin[texty], text_end[texty]).take(pa.array(taken, mask=taken < 0))
+    pieces = _strings(data, text_begin[texty], text_end[texty])
+    if doctype:
+        code[starts + 1], spot[starts + 1], taken[starts + 1] = 8 + DOCTYPE, nodes.spot_of(nodes.name_of(doctype[0])), len(pieces)
+        pieces = pa.concat_arrays([pieces, pa.array([doctype[1]], pa.string())])
+    nodes.content = pieces.take(pa.array(taken, mask=taken < 0))
     none = pa.nulls(len(owner), pa.string())
     nodes.attributes = (pa.array(keys, pa.string()).take(pa.array(key)), _strings(data, opens + 1, closes), none, none)
     nodes.documents = [(s, i, None) for s, i in zip(starts.tolist(), ids, strict=True)]
@@ -171,9 +184,13 @@ def _read(ids: list, texts: pa.Array, o) -> Nodes | np.ndarray:
 def plain_nodes(ids: list, texts: pa.Array, o) -> tuple[Nodes | None, np.ndarray]:
     """The nodes of the plain ones of these documents, if any, and the places of the others."""
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    left = np.flatnonzero((size > 0) & (size <= MOST))
+    left, doctype = np.flatnonzero((size > 0) & (size <= MOST)), None
+    if len(left) and (m := _SUBSET.match(texts[int(left[0])].as_py())):
+        doctype = m.groups()
+        left = left[pc.starts_with(texts.take(pa.array(left)), m[0]).to_numpy(zero_copy_only=False)]
+        texts = pc.utf8_slice_codeunits(texts, len(m[0]))
     while len(left):
-        found = _read([ids[i] for i in left], texts.take(pa.array(left)) if len(left) < len(texts) else texts, o)
+        found = _read([ids[i] for i in left], texts.take(pa.array(left)) if len(left) < len(texts) else texts, o, doctype)
         if isinstance(found, Nodes):
             return found, np.setdiff1d(np.arange(len(texts)), left, assume_unique=True)
         left = left[~found]

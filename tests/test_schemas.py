@@ -104,3 +104,51 @@ def test_schematron(spark):
     for bad, phase in ((circle, None), (s, "none"), (s.replace("$twice &lt;", "$other &lt;"), None)):
         with pytest.raises(SchemaError):
             check_schematron(nodes, bad, phase)
+
+
+def test_folded_models_and_levels_agree(spark):
+    """What the fold over whole documents finds is what the levels' tables say, with and without string-values."""
+    from pyspark.sql import functions as F
+
+    from thicket.operators.content import interleave, one_of, seq, times
+    from thicket.schema import ARROW, VALUE
+    from thicket.sources.xml import parse_xml
+
+    g = Grammar(
+        {
+            "top": Type("a", seq(times(el("k1"), 0), times(el("k2"), 0))), "k1": Type("b", text=lambda v: v == "1", attributes=[Attribute("n")]), "k2": Type("b", one_of(el("c"), seq()), text="mixed", attributes=None),
+            "c": Type("c", interleave(("k1", 0, 1), ("c", 1, None))), "end": Type("c", text=lambda v: F.length(v) < 3), "any": Type("d", None, text="mixed"),
+        },
+        ["top"],
+    )
+    texts = [
+        "<a><b>1</b><b>2</b></a>", "<a><b>2</b><b>1</b></a>", "<a><b>1<!--x--></b><b n='1'>2<c/></b></a>", "<a><b><c><c/><c/><b>1</b></c></b></a>", "<a><b><c><b>1</b><b>1</b><c/></c></b>x</a>", "<b>1</b>", "<a><q/></a>", "<a>", "<d>x<a/><q><a/></q></d>",
+        "<a>" + "<b>1</b>" * 2000 + "<b>2</b>" * 2000 + "</a>", "<a>" + "<b>1</b>" * 2000 + "<b>2</b>" * 2000 + "<b m='1'>1</b><b>1</b><c/></a>", "<a><b>1</b>\n <b>1</b></a>", "<a><b>1<?p?></b><b><![CDATA[1]]></b></a>", "<a><b>" + "1" * 5000 + "</b></a>", "<a><c>" + "1" * 5000 + "</c></a>",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for nodes in (parse_xml(docs), parse_xml(docs, columns=[*ARROW.names, VALUE])):
+        types = element_types(nodes, g)
+        bad = types.filter("size(types) = 0 and clear or depth = 1 and size(types) > 0 and not array_contains(types, 0)")
+        got = check_grammar(nodes, g)
+        assert sorted((r.doc_id, r.pre) for r in got.collect()) == sorted((r.doc_id, r.pre) for r in bad.collect())
+        assert 0 < len({r.doc_id for r in got.collect()}) < len(texts)
+
+
+def test_shapes_are_checked_without_joins_of_children(spark):
+    from thicket import catalog
+
+    for name in ("validate_schema", "validate_schema_document", "validate_tree_grammar"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "thicket-" not in plan
+
+
+def test_shapes_of_odd_documents(spark):
+    from thicket.operators.validate import Shape, check_shapes, interleave, one_of, seq, times
+
+    shapes = {"a": Shape(seq(el("b"), times(one_of(el("c"), el("b")), 0, 2))), "b": Shape(interleave(("c", 1, 2), ("d", 0, 1))), "c": Shape(None, text="mixed"), "d": Shape(text="integer"), "e": Shape()}
+    texts = ["<a><b><c/></b></a>", "<a><c/></a>", "<a>x<b><d>1</d><c/><c/></b><c/></a>", "<a><b><c/><c/><c/><d>y</d><d>1</d></b></a>", "<a><b><c><z/></c></b><b/><b/><b/></a>", "<e> <e/></e>", "<e><![CDATA[ ]]></e>", "<a><b><c/>t</b></a>", "<", "<d>1<!--x--></d>"]
+    found = check_shapes(xml(spark, *texts), "a", shapes).groupBy("doc_id", "rule").count().collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, {})[r.rule] = r["count"]
+    assert got == {1: {"content": 1}, 2: {"text": 1}, 3: {"content": 1, "type": 1}, 4: {"content": 4, "undeclared-element": 1}, 5: {"root": 1, "content": 1}, 6: {"root": 1, "text": 1}, 7: {"text": 1}, 9: {"root": 1}}

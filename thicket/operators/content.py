@@ -53,6 +53,11 @@ def interleave(*parts: tuple[str, int, int | None]) -> Model:
     return Model("all", counts=parts)
 
 
+def names_of(m: Model) -> list[str]:
+    """The names in a model, as often as they stand there."""
+    return [n for n, *_ in m.counts] if m.kind == "all" else [m.name] if m.kind == "name" else [n for p in m.parts for n in names_of(p)]
+
+
 def parse(text: str) -> Model:
     """A DTD's content model: names, ``,`` ``|`` ``?`` ``*`` ``+`` and parentheses."""
     tokens = re.findall(r"[()|,?*+]|[^\s()|,?*+]+", text)

@@ -8,11 +8,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions.types import BUILTIN
-from thicket.operators.content import EMPTY, Model, el, fits, interleave, one_of, parse, seq, times
+from thicket.operators.content import EMPTY, Model, el, fits, interleave, names_of, one_of, parse, seq, times
+from thicket.operators.folding import Children, Fold
+from thicket.operators.ordered import in_order, whole
 from thicket.operators.selection import Selection, attr
 
 __all__ = ["Dtd", "Rule", "Shape", "check_dtd", "check_rules", "check_shapes", "dtd_table", "el", "interleave", "one_of", "seq", "times", "verdicts"]
@@ -213,8 +217,9 @@ class Shape:
 def check_shapes(nodes: DataFrame, root: str, shapes: dict[str, Shape]) -> DataFrame:
     """XSD- and RelaxNG-like rules: root, content, text types with facets, attributes.
 
-    One pass over the elements for what they and their children show, one over the values of
-    those that have a text type.
+    One pass over the elements for what they show themselves, one over the values of those that
+    have a text type, one for texts where none may be; models are folded over the children
+    document by document (``folding``).
     """
     from thicket.functions.types import facets_ok
 
@@ -224,11 +229,7 @@ def check_shapes(nodes: DataFrame, root: str, shapes: dict[str, Shape]) -> DataF
     checks, values = {}, {}
     for name, s in shapes.items():
         found = list(always)
-        if s.content is not None:
-            found.append(_found("content", f"content of {name} doesn't fit", ~fits(F.col("children"), s.content)))
-        if s.text is None:
-            found.append(_found("text", f"{name} has text", F.col("n_text") > 0))
-        elif s.text != "mixed":
+        if s.text not in (None, "mixed"):
             ok = BUILTIN[s.text](F.col("value")) & facets_ok(F.col("value"), s.text, s.facets)
             values[name] = [_found("type", f"text of {name} isn't a valid {s.text}", ~F.coalesce(ok, F.lit(False)))]
         for a, (kind, required) in s.attributes.items():
@@ -238,13 +239,45 @@ def check_shapes(nodes: DataFrame, root: str, shapes: dict[str, Shape]) -> DataF
         if s.closed:
             found.append(_found("undeclared-attribute", f"{name} has other attributes", F.exists("attrs", _other(list(s.attributes) or [""]))))
         checks[name] = found
-    out = [_listed(child_names(nodes), _by_name(checks, [*always, stranger]))]
+    out = [_listed(elements, _by_name(checks, [*always, stranger]))]
+    models = {name: s.content for name, s in shapes.items() if s.content is not None}
+    if models:
+        rows = in_order(elements.select("doc_id", "pre", "parent", "name"), "doc_id")
+        out.append(rows.mapInArrow(lambda it: _misfits(it, models), "doc_id bigint, pre int, rule string, message string"))
+    bare = [name for name, s in shapes.items() if s.text is None]
+    if bare:
+        texts = nodes.filter((F.col("depth") > 1) & ((F.col("kind") == "cdata") | ((F.col("kind") == "text") & F.col("content").rlike(r"[^ \t\r\n]")))).select("doc_id", F.col("parent").alias("pre"))
+        having = elements.filter(F.col("name").isin(bare)).select("doc_id", "pre", "name").join(texts, ["doc_id", "pre"], "left_semi")
+        out.append(_violation(having, "text", F.concat(F.col("name"), F.lit(" has text"))))
     if values:
         valued = Selection(nodes, elements.filter(F.col("name").isin(list(values))).withColumn("ctx", F.lit(0)), False, "child").strings()
         out.append(_listed(valued, _by_name(values, [])))
     return _all(out)
 
 
+def _misfits(batches, models: dict[str, Model]):
+    """The elements of whole documents whose children's names don't fit the model of their own."""
+    number = {}
+    for m in models.values():
+        for name in names_of(m):
+            number.setdefault(name, len(number))
+    folds = {name: Fold(m, number) for name, m in models.items()}
+    sets = [frozenset(), *[frozenset([i]) for i in range(len(number))]]
+    for table in whole(batches, "doc_id"):
+        children = Children(table)
+        coded = table.column("name").combine_chunks().dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        kind = np.array([number.get(x, -1) + 1 for x in names], np.int64)[codes]
+        bad = []
+        for code, name in enumerate(names):
+            if name in folds:
+                mine = np.flatnonzero(codes == code)
+                bad.append(mine[~folds[name].takes(children, mine, kind, sets)])
+        rows = np.concatenate([np.zeros(0, np.int64), *bad])
+        said = pa.array([f"content of {names[c]} doesn't fit" for c in codes[rows]], pa.string())
+        yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().take(pa.array(rows)) for c in ("doc_id", "pre")], pa.array(["content"] * len(rows), pa.string()), said], names=["doc_id", "pre", "rule", "message"])
+
+
 def _other(names: list[str]):
     return lambda x: _real(x) & ~x["name"].isin(names)
 
